@@ -229,3 +229,207 @@ def r14(spark, sf):
 @register("r15_label_quality")
 def r15(spark, sf):
     return R.label_quality(X.d1(spark, sf), X.D1_SPEC)
+
+
+# ---- Q: contract and data quality ---------------------------------------------------------
+
+from labeltab.operators import clean as C  # noqa: E402
+from labeltab.operators import contract as Q  # noqa: E402
+from labeltab.operators import split as S  # noqa: E402
+
+PART_COLUMNS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+LINEITEM_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                    "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+LI_FLAG = X.LI_SPEC.with_(expected_classes=None)  # classes discovered from the data
+
+
+@register("q01_schema_contract")
+def q01(spark, sf):
+    return Q.schema_contract(X.load(spark, sf, "part"), PART_COLUMNS)
+
+
+@register("q02_required_columns")
+def q02(spark, sf):
+    return Q.required_columns(X.load(spark, sf, "part"), ["p_partkey", "p_size", "p_retailprice", "p_brand", "p_color"])
+
+
+@register("q03_non_empty")
+def q03(spark, sf):
+    return Q.non_empty({t: X.load(spark, sf, t) for t in X.TABLES})
+
+
+@register("q04_type_kinds")
+def q04(spark, sf):
+    return Q.type_kinds(X.load(spark, sf, "part"), X.PT_SPEC)
+
+
+@register("q05_table_profile")
+def q05(spark, sf):
+    return Q.table_profile(X.load(spark, sf, "lineitem"), X.LI_SPEC, "lineitem")
+
+
+@register("q06_missing_counts")
+def q06(spark, sf):
+    return Q.missing_counts(X.d1(spark, sf))
+
+
+@register("q09_numeric_validity")
+def q09(spark, sf):
+    return Q.numeric_validity(X.d1(spark, sf), ["f1"])
+
+
+@register("q10_finite_gate")
+def q10(spark, sf):
+    return Q.finite_gate(X.load(spark, sf, "lineitem"), list(X.LI_FEATURES))
+
+
+@register("q11_bounds_rules")
+def q11(spark, sf):
+    return Q.bounds_rule_counts(X.d1(spark, sf), X.D1_SPEC)
+
+
+@register("q12_duplicate_count")
+def q12(spark, sf):
+    return Q.duplicate_count(X.load(spark, sf, "part"), ["p_size", "p_type", "p_brand"])
+
+
+@register("q13_duplicate_listing")
+def q13(spark, sf):
+    return Q.duplicate_listing(X.load(spark, sf, "part"), ["p_size", "p_type", "p_brand"], "p_partkey")
+
+
+@register("q14_checklist")
+def q14(spark, sf):
+    return Q.checklist(X.load(spark, sf, "lineitem"), X.LI_SPEC, LINEITEM_COLUMNS)
+
+
+def li_split(spark, sf):
+    return S.stratified_split(li(spark, sf), X.LI_SPEC)
+
+
+@register("q15_split_shape")
+def q15(spark, sf):
+    return Q.split_shape(li_split(spark, sf), X.LI_SPEC.test_fraction)
+
+
+@register("q16_class_domain")
+def q16(spark, sf):
+    return Q.class_domain(X.load(spark, sf, "lineitem"), X.LI_SPEC)
+
+
+@register("q17_encoded_range")
+def q17(spark, sf):
+    sp = li_split(spark, sf)
+    dim = S.label_dimension(sp, LI_FLAG)
+    return Q.encoded_range(S.encode(sp, X.LI_SPEC, dim))
+
+
+@register("q18_row_validation")
+def q18(spark, sf):
+    return Q.validation_report(X.d1(spark, sf), X.D1_SPEC)
+
+
+# ---- C: cleaning, encoding, split ------------------------------------------------------------
+
+@register("c01_projection")
+def c01(spark, sf):
+    return C.project(X.load(spark, sf, "lineitem"), X.LI_SPEC)
+
+
+@register("c02_blank_drop")
+def c02(spark, sf):
+    return C.drop_blank_and_missing(X.d1(spark, sf), ["f1", "label"])
+
+
+@register("c03_drop_incomplete")
+def c03(spark, sf):
+    return C.drop_incomplete_report(X.d1(spark, sf), ["f1", "label"])
+
+
+@register("c04_drop_duplicates")
+def c04(spark, sf):
+    return C.drop_duplicates(X.load(spark, sf, "part").select("p_size", "p_type", "p_brand"))
+
+
+@register("c05_bounds_drop")
+def c05(spark, sf):
+    return C.drop_out_of_bounds(X.d1(spark, sf), X.D1_SPEC)
+
+
+@register("c06_label_fix")
+def c06(spark, sf):
+    return C.label_fix_report(X.d1(spark, sf), X.D1_SPEC)
+
+
+@register("c07_lineage")
+def c07(spark, sf):
+    return C.lineage(X.d1(spark, sf), X.D1_SPEC)
+
+
+@register("c08_label_encode")
+def c08(spark, sf):
+    return S.label_dimension(X.load(spark, sf, "lineitem"), LI_FLAG)
+
+
+@register("c09_label_decode")
+def c09(spark, sf):
+    d = X.load(spark, sf, "lineitem")
+    dim = S.label_dimension(d, LI_FLAG)
+    dec = S.decode(S.encode(d, X.LI_SPEC, dim), dim)
+    return dec.groupBy(F.col("l_returnflag").alias("label"), "code", "decoded").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("c10_split")
+def c10(spark, sf):
+    return li_split(spark, sf).select("rid", F.col("l_returnflag").alias("label"), "split")
+
+
+@register("c11_split_report")
+def c11(spark, sf):
+    return S.split_report(li_split(spark, sf), X.LI_SPEC)
+
+
+def li_folds(spark, sf):
+    return S.stratified_folds(li_split(spark, sf).where("split = 'train'"), X.LI_SPEC)
+
+
+@register("c12_folds")
+def c12(spark, sf):
+    return li_folds(spark, sf).select("rid", F.col("l_returnflag").alias("label"), "fold")
+
+
+@register("c13_fold_sizes")
+def c13(spark, sf):
+    return S.fold_sizes(li_folds(spark, sf))
+
+
+@register("c14_union")
+def c14(spark, sf):
+    sp = li_split(spark, sf)
+    u = S.union_splits([sp.where("split = 'train'"), sp.where("split = 'test'")])
+    return u.groupBy(F.col("l_returnflag").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("c15_ablation_sets")
+def c15(spark, sf):
+    return S.ablation_sets(X.d2(spark, sf), X.D2_SPEC)
+
+
+@register("c16_derived_columns")
+def c16(spark, sf):
+    return finish(C.derived_columns(li(spark, sf)).select(
+        "rid", "discount_pct", "flag_equals_status", "abs_net_change", "tax_to_net_ratio"))
+
+
+@register("a17_leakage_overlap")
+def a17(spark, sf):
+    sp = li_split(spark, sf)
+    spec = X.LI_SPEC.with_(features=("l_quantity", "l_discount"))
+    return A.leakage_overlap(sp.where("split = 'train'"), sp.where("split = 'test'"), spec)
+
+
+@register("a18_union_duplicates")
+def a18(spark, sf):
+    sp = li_split(spark, sf)
+    u = S.union_splits([sp.where("split = 'train'"), sp.where("split = 'test'")])
+    return Q.duplicate_count(u, ["l_quantity", "l_discount", "l_returnflag"])

@@ -403,3 +403,277 @@ SELECT count(DISTINCT label) AS n_labels,
        count(*) FILTER (WHERE label IN ('5-LWO')) AS n_misspelled_rows,
        count(*) FILTER (WHERE label IN ('5-LWO')) > 0 AS has_known_misspelling
 FROM d1"""
+
+
+# ---- Q: contract ---------------------------------------------------------------------------
+
+_PART_COLUMNS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+ORACLE["q01_schema_contract"] = """
+WITH actual AS (SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name AS actual_column
+                FROM (DESCRIBE part)),
+expected(position, expected_column) AS (VALUES """ + ", ".join(
+    f"({i}, '{c}')" for i, c in enumerate(_PART_COLUMNS)) + """)
+SELECT CAST(coalesce(e.position, a.position) AS INTEGER) AS position, expected_column, actual_column,
+       coalesce(expected_column = actual_column, false) AS matches
+FROM expected e FULL OUTER JOIN actual a ON e.position = a.position"""
+
+ORACLE["q02_required_columns"] = """
+WITH req(column_name) AS (VALUES ('p_partkey'), ('p_size'), ('p_retailprice'), ('p_brand'), ('p_color'))
+SELECT column_name, column_name IN (SELECT column_name FROM (DESCRIBE part)) AS present FROM req"""
+
+ORACLE["q03_non_empty"] = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, NOT EXISTS (SELECT 1 FROM {t}) AS is_empty" for t in _TABLES)
+
+ORACLE["q04_type_kinds"] = """
+WITH want(column_name, expected_kind, pos) AS (VALUES ('p_size', 'numeric', 0), ('p_retailprice', 'numeric', 1), ('p_brand', 'string', 2)),
+d AS (SELECT column_name, CASE WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT', 'SMALLINT', 'TINYINT')
+                              OR column_type LIKE 'DECIMAL%' THEN 'numeric'
+                              WHEN column_type = 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS kind
+      FROM (DESCRIBE part))
+SELECT w.column_name, kind, expected_kind, CASE WHEN kind = expected_kind THEN 'OK' ELSE 'INVALID' END AS status
+FROM want w JOIN d USING (column_name)"""
+
+ORACLE["q05_table_profile"] = """
+SELECT 'lineitem' AS table_name, count(*) AS n_rows, CAST(11 AS BIGINT) AS n_columns,
+       count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem) x) AS n_duplicates,
+       CAST(""" + " + ".join(f"count(*) FILTER (WHERE {c} IS NULL OR isnan({c}))" for c in LI_FEATURES) + """
+            + count(*) FILTER (WHERE l_returnflag IS NULL) AS BIGINT) AS n_missing,
+       count(DISTINCT l_returnflag) AS n_classes
+FROM lineitem"""
+
+ORACLE["q06_missing_counts"] = f"""
+WITH {D1},
+c AS (SELECT count(*) FILTER (WHERE row_id IS NULL) AS n0, CAST(0 AS BIGINT) AS b0,
+             count(*) FILTER (WHERE f1 IS NULL) AS n1, count(*) FILTER (WHERE regexp_matches(f1, '^\\s*$')) AS b1,
+             count(*) FILTER (WHERE label IS NULL) AS n2, count(*) FILTER (WHERE regexp_matches(label, '^\\s*$')) AS b2
+      FROM d1)
+SELECT 'row_id' AS column_name, n0 AS n_null, b0 AS n_blank, n0 + b0 AS n_missing_like FROM c
+UNION ALL SELECT 'f1', n1, b1, n1 + b1 FROM c
+UNION ALL SELECT 'label', n2, b2, n2 + b2 FROM c
+UNION ALL SELECT '_total', n0 + n1 + n2, b0 + b1 + b2, n0 + n1 + n2 + b0 + b1 + b2 FROM c"""
+
+ORACLE["q09_numeric_validity"] = f"""
+WITH {D1},
+p AS (SELECT f1, TRY_CAST(f1 AS DOUBLE) AS v FROM d1),
+bad AS (SELECT DISTINCT f1 FROM p WHERE f1 IS NOT NULL AND NOT regexp_matches(f1, '^\\s*$') AND v IS NULL),
+ex AS (SELECT coalesce(string_agg(f1, ',' ORDER BY f1), '') AS examples FROM (SELECT f1 FROM bad ORDER BY f1 LIMIT 5) b)
+SELECT 'f1' AS feature, count(*) FILTER (WHERE isnan(v)) AS n_nan, count(*) FILTER (WHERE isinf(v)) AS n_inf,
+       count(*) FILTER (WHERE f1 IS NOT NULL AND NOT regexp_matches(f1, '^\\s*$') AND v IS NULL) AS n_invalid,
+       any_value(examples) AS examples
+FROM p, ex"""
+
+ORACLE["q10_finite_gate"] = "WITH g AS (SELECT " + ", ".join(
+    f"coalesce(bool_and({c} IS NOT NULL AND NOT isnan({c}) AND NOT isinf({c})), true) AS g_{c}" for c in LI_FEATURES
+) + " FROM lineitem)\n" + "\nUNION ALL\n".join(
+    [f"SELECT '{c}' AS feature, g_{c} AS all_finite FROM g" for c in LI_FEATURES]
+    + ["SELECT '*', " + " AND ".join(f"g_{c}" for c in LI_FEATURES) + " FROM g"])
+
+_D1_NUM = """p AS (SELECT row_id, f1, label, TRY_CAST(f1 AS DOUBLE) AS v FROM d1),
+m AS (SELECT *, f1 IS NOT NULL AND (v IS NULL OR isnan(v)) AS non_numeric,
+             v IS NOT NULL AND NOT isnan(v) AND v < 0.0 AS below_min,
+             v IS NOT NULL AND NOT isnan(v) AND v > 500000.0 AS above_max,
+             v IS NOT NULL AND NOT isnan(v) AND isinf(v) AS infinite FROM p)"""
+
+ORACLE["q11_bounds_rules"] = f"""
+WITH {D1}, {_D1_NUM}
+SELECT 'f1' AS feature, 'non_numeric' AS rule, count(*) FILTER (WHERE non_numeric) AS n FROM m
+UNION ALL SELECT 'f1', 'below_min', count(*) FILTER (WHERE below_min) FROM m
+UNION ALL SELECT 'f1', 'above_max', count(*) FILTER (WHERE above_max) FROM m
+UNION ALL SELECT 'f1', 'infinite', count(*) FILTER (WHERE infinite) FROM m"""
+
+ORACLE["q12_duplicate_count"] = """
+SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS n_duplicates
+FROM (SELECT count(*) AS c FROM part GROUP BY p_size, p_type, p_brand) g"""
+
+ORACLE["q13_duplicate_listing"] = """
+SELECT p_partkey AS key, p_size, p_type, p_brand, group_size
+FROM (SELECT p_partkey, p_size, p_type, p_brand,
+             count(*) OVER (PARTITION BY p_size, p_type, p_brand) AS group_size FROM part) t
+WHERE group_size > 1"""
+
+ORACLE["q14_checklist"] = """
+WITH a AS (SELECT count(*) AS n,
+                  count(*) FILTER (WHERE """ + " OR ".join(f"{c} IS NULL OR isnan({c})" for c in LI_FEATURES) + """ OR l_returnflag IS NULL) AS miss,
+                  coalesce(bool_and(""" + " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND NOT isinf({c})" for c in LI_FEATURES) + """), true) AS fin,
+                  count(DISTINCT l_returnflag) AS k,
+                  count(*) FILTER (WHERE l_returnflag NOT IN ('A', 'N', 'R') OR l_returnflag IS NULL) AS unexpected
+           FROM lineitem),
+d AS (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem) x) AS dups FROM lineitem),
+c AS (SELECT 'has_rows' AS check_name, n > 0 AS passed FROM a
+      UNION ALL SELECT 'schema_matches', true FROM a
+      UNION ALL SELECT 'no_missing_in_used_columns', miss = 0 FROM a
+      UNION ALL SELECT 'features_finite', fin FROM a
+      UNION ALL SELECT 'class_count_matches', k = 3 FROM a
+      UNION ALL SELECT 'labels_in_domain', unexpected = 0 FROM a
+      UNION ALL SELECT 'no_duplicate_rows', dups = 0 FROM d)
+SELECT * FROM c UNION ALL SELECT 'status', bool_and(passed) FROM c"""
+
+
+def split_cte(src: str, key: str, label: str, seed: str = "42", frac: float = 0.2) -> str:
+    """Exact stratified split: largest-remainder quotas, then the lowest digests train."""
+    return f"""sc AS (SELECT {label} AS label, count(*) AS n_c FROM {src} WHERE {label} IS NOT NULL GROUP BY 1),
+sq1 AS (SELECT label, n_c, sum(n_c) OVER () AS n FROM sc),
+sq2 AS (SELECT label, n_c, n, n - CAST(ceil(CAST({frac} AS DOUBLE) * n) AS BIGINT) AS n_train FROM sq1),
+sq3 AS (SELECT label, (n_c * n_train) // n AS base, (n_c * n_train) % n AS rem, n_train FROM sq2),
+sq4 AS (SELECT label, base, row_number() OVER (ORDER BY rem DESC, CAST(label AS VARCHAR)) AS rr,
+               n_train - sum(base) OVER () AS lft FROM sq3),
+quota AS (SELECT label, base + CASE WHEN rr <= lft THEN 1 ELSE 0 END AS quota FROM sq4),
+ranked AS (SELECT s.*, row_number() OVER (PARTITION BY {label}
+                  ORDER BY md5(concat_ws('|', '{seed}', CAST({key} AS VARCHAR))), {key}) AS rk
+           FROM {src} s WHERE {label} IS NOT NULL),
+split AS (SELECT ranked.*, CASE WHEN rk <= quota THEN 'train' ELSE 'test' END AS split
+          FROM ranked JOIN quota ON ranked.{label} = quota.label)"""
+
+
+LI_SPLIT = LI_RID + ",\n" + split_cte("li_rid", "rid", "l_returnflag")
+
+ORACLE["q15_split_shape"] = f"""
+WITH {LI_SPLIT},
+c AS (SELECT split, count(*) AS actual FROM split GROUP BY 1),
+t AS (SELECT sum(actual) AS n FROM c)
+SELECT split, CAST(CASE WHEN split = 'test' THEN ceil(CAST(0.2 AS DOUBLE) * n) ELSE n - ceil(CAST(0.2 AS DOUBLE) * n) END AS BIGINT) AS expected,
+       actual, CASE WHEN split = 'test' THEN ceil(CAST(0.2 AS DOUBLE) * n) ELSE n - ceil(CAST(0.2 AS DOUBLE) * n) END = actual AS passed
+FROM c, t"""
+
+ORACLE["q16_class_domain"] = """
+WITH seen AS (SELECT DISTINCT l_returnflag AS label FROM lineitem WHERE l_returnflag IS NOT NULL),
+exp(label) AS (VALUES ('A'), ('N'), ('R'))
+SELECT coalesce(s.label, e.label) AS label, s.label IS NOT NULL AS in_data, e.label IS NOT NULL AS in_expected,
+       s.label IS NOT NULL AND e.label IS NOT NULL AS matches
+FROM seen s FULL OUTER JOIN exp e ON s.label = e.label"""
+
+ORACLE["q17_encoded_range"] = f"""
+WITH {LI_SPLIT},
+dim AS (SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS code
+        FROM (SELECT DISTINCT l_returnflag AS label FROM split WHERE l_returnflag IS NOT NULL) d),
+e AS (SELECT split, code FROM split JOIN dim ON split.l_returnflag = dim.label)
+SELECT split, min(code) AS min_code, max(code) AS max_code, count(DISTINCT code) AS n_codes,
+       min(code) = 0 AND max(code) = count(DISTINCT code) - 1 AS passed
+FROM e GROUP BY split"""
+
+ORACLE["q18_row_validation"] = f"""
+WITH {D1},
+p AS (SELECT row_id, TRY_CAST(f1 AS DOUBLE) AS v FROM d1),
+m AS (SELECT row_id,
+        CASE WHEN v IS NULL THEN 'f1 must be numeric.' WHEN isnan(v) THEN 'f1 cannot be NaN.'
+             WHEN isinf(v) THEN 'f1 cannot be infinite.' END AS e1,
+        CASE WHEN v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v) AND v < 0.0
+             THEN 'f1 must be greater than or equal to 0.' END AS e2,
+        CASE WHEN v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v) AND v > 500000.0
+             THEN 'f1 must be less than or equal to 500000.' END AS e3
+      FROM p)
+SELECT row_id, e1 IS NULL AND e2 IS NULL AND e3 IS NULL AS is_valid,
+       CAST((e1 IS NOT NULL)::INTEGER + (e2 IS NOT NULL)::INTEGER + (e3 IS NOT NULL)::INTEGER AS INTEGER) AS n_errors,
+       concat_ws('; ', e1, e2, e3) AS errors FROM m"""
+
+
+# ---- C: cleaning, encoding, split --------------------------------------------------------------
+
+ORACLE["c01_projection"] = "SELECT " + ", ".join(LI_FEATURES) + ", l_returnflag FROM lineitem"
+
+_D1_MISSING = "(f1 IS NULL OR regexp_matches(f1, '^\\s*$') OR label IS NULL OR regexp_matches(label, '^\\s*$'))"
+
+ORACLE["c02_blank_drop"] = f"WITH {D1} SELECT row_id, f1, label FROM d1 WHERE NOT {_D1_MISSING}"
+
+ORACLE["c03_drop_incomplete"] = f"""
+WITH {D1}
+SELECT count(*) AS n_before, count(*) FILTER (WHERE {_D1_MISSING}) AS n_missing_rows,
+       count(*) - count(*) FILTER (WHERE {_D1_MISSING}) AS n_after,
+       CASE WHEN count(*) FILTER (WHERE {_D1_MISSING}) > 0 THEN 'drop_rows_with_missing_values'
+            ELSE 'no_missing_values_found' END AS method
+FROM d1"""
+
+ORACLE["c04_drop_duplicates"] = "SELECT DISTINCT p_size, p_type, p_brand FROM part"
+
+ORACLE["c05_bounds_drop"] = f"""
+WITH {D1}, {_D1_NUM}
+SELECT row_id, f1, label FROM m WHERE NOT (non_numeric OR below_min OR above_max OR infinite)"""
+
+ORACLE["c06_label_fix"] = f"""
+WITH {D1},
+f AS (SELECT label, CASE WHEN label = '5-LWO' THEN '5-LOW' ELSE label END AS fixed FROM d1),
+b AS (SELECT label, count(*) AS n_before FROM f GROUP BY 1),
+a AS (SELECT fixed AS label, count(*) AS n_after FROM f GROUP BY 1),
+ch AS (SELECT label, count(*) AS n_changed FROM f WHERE label <> fixed GROUP BY 1)
+SELECT label, CAST(coalesce(n_before, 0) AS BIGINT) AS n_before, CAST(coalesce(n_after, 0) AS BIGINT) AS n_after,
+       CAST(coalesce(n_changed, 0) AS BIGINT) AS n_changed
+FROM b FULL OUTER JOIN a USING (label) LEFT JOIN ch USING (label) WHERE label IS NOT NULL"""
+
+ORACLE["c07_lineage"] = f"""
+WITH {D1}, {_D1_NUM},
+g AS (SELECT f1, label, any_value(non_numeric OR below_min OR above_max OR infinite) AS bad, count(*) AS c
+      FROM m GROUP BY f1, label),
+s AS (SELECT sum(c) AS n0, coalesce(sum(c) FILTER (WHERE {_D1_MISSING}), 0) AS r1,
+             count(*) FILTER (WHERE NOT {_D1_MISSING}) AS g, count(*) FILTER (WHERE NOT {_D1_MISSING} AND bad) AS r3 FROM g)
+SELECT 1 AS step, 'missing_values' AS stage, CAST(n0 AS BIGINT) AS n_before, CAST(r1 AS BIGINT) AS n_removed,
+       CAST(n0 - r1 AS BIGINT) AS n_after FROM s
+UNION ALL SELECT 2, 'duplicates', CAST(n0 - r1 AS BIGINT), CAST(n0 - r1 - g AS BIGINT), CAST(g AS BIGINT) FROM s
+UNION ALL SELECT 3, 'bounds', CAST(g AS BIGINT), CAST(r3 AS BIGINT), CAST(g - r3 AS BIGINT) FROM s"""
+
+ORACLE["c08_label_encode"] = """
+SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS code
+FROM (SELECT DISTINCT l_returnflag AS label FROM lineitem WHERE l_returnflag IS NOT NULL) d"""
+
+ORACLE["c09_label_decode"] = """
+WITH dim AS (SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS code
+             FROM (SELECT DISTINCT l_returnflag AS label FROM lineitem WHERE l_returnflag IS NOT NULL) d),
+e AS (SELECT l_returnflag, code FROM lineitem LEFT JOIN dim ON l_returnflag = dim.label)
+SELECT e.l_returnflag AS label, e.code, d2.label AS decoded, count(*) AS n
+FROM e LEFT JOIN dim d2 ON e.code = d2.code GROUP BY 1, 2, 3"""
+
+ORACLE["c10_split"] = f"WITH {LI_SPLIT} SELECT rid, l_returnflag AS label, split FROM split"
+
+ORACLE["c11_split_report"] = f"WITH {LI_SPLIT} SELECT split, l_returnflag AS label, count(*) AS n FROM split GROUP BY 1, 2"
+
+LI_FOLDS = LI_SPLIT + """,
+folds AS (SELECT rid, l_returnflag, CAST((row_number() OVER (ORDER BY l_returnflag,
+                 md5(concat_ws('|', '42|fold', CAST(rid AS VARCHAR))), rid) - 1) % 5 AS INTEGER) AS fold
+          FROM split WHERE split = 'train')"""
+
+ORACLE["c12_folds"] = f"WITH {LI_FOLDS} SELECT rid, l_returnflag AS label, fold FROM folds"
+
+ORACLE["c13_fold_sizes"] = f"""
+WITH {LI_FOLDS}, c AS (SELECT fold, count(*) AS n FROM folds GROUP BY 1)
+SELECT CAST(fold + 1 AS INTEGER) AS fold, CAST(sum(n) OVER () - n AS BIGINT) AS n_train, n AS n_validation FROM c"""
+
+ORACLE["c14_union"] = f"""
+WITH {LI_SPLIT}
+SELECT l_returnflag AS label, count(*) AS n FROM (SELECT * FROM split WHERE split = 'train'
+                                                  UNION ALL SELECT * FROM split WHERE split = 'test') u GROUP BY 1"""
+
+ORACLE["c15_ablation_sets"] = f"""
+WITH {D2}
+SELECT 'A_All_Features' AS config, 3 AS n_features, 'l_quantity,l_discount,l_tax' AS features,
+       count(*) FILTER (WHERE {nz('l_quantity')} IS NOT NULL AND {nz('l_discount')} IS NOT NULL AND {nz('l_tax')} IS NOT NULL) AS n_complete_rows FROM d2
+UNION ALL SELECT 'B_No_l_quantity', 2, 'l_discount,l_tax',
+       count(*) FILTER (WHERE {nz('l_discount')} IS NOT NULL AND {nz('l_tax')} IS NOT NULL) FROM d2
+UNION ALL SELECT 'C_No_l_discount', 2, 'l_quantity,l_tax',
+       count(*) FILTER (WHERE {nz('l_quantity')} IS NOT NULL AND {nz('l_tax')} IS NOT NULL) FROM d2
+UNION ALL SELECT 'D_No_l_tax', 2, 'l_quantity,l_discount',
+       count(*) FILTER (WHERE {nz('l_quantity')} IS NOT NULL AND {nz('l_discount')} IS NOT NULL) FROM d2"""
+
+ORACLE["c16_derived_columns"] = f"""
+WITH {LI_RID}
+SELECT rid, round(l_discount * 100.0, 6) AS discount_pct, l_returnflag = l_linestatus AS flag_equals_status,
+       round(abs(l_extendedprice * (l_tax - l_discount)), 6) AS abs_net_change,
+       round(CASE WHEN l_discount <> 1 THEN l_tax / (1 - l_discount) END, 6) AS tax_to_net_ratio
+FROM li_rid"""
+
+ORACLE["a17_leakage_overlap"] = f"""
+WITH {LI_SPLIT},
+tr AS (SELECT l_quantity, l_discount, l_returnflag FROM split WHERE split = 'train'),
+te AS (SELECT l_quantity, l_discount, l_returnflag FROM split WHERE split = 'test')
+SELECT (SELECT count(*) FROM te) AS n_test,
+       (SELECT count(*) FROM te) - (SELECT count(*) FROM (SELECT DISTINCT l_quantity, l_discount FROM te) x) AS dup_test_features,
+       (SELECT count(*) FROM te) - (SELECT count(*) FROM (SELECT DISTINCT * FROM te) x) AS dup_test_rows,
+       (SELECT count(*) FROM (SELECT l_quantity, l_discount FROM tr INTERSECT SELECT l_quantity, l_discount FROM te) x) AS feature_overlap,
+       (SELECT count(*) FROM (SELECT * FROM tr INTERSECT SELECT * FROM te) x) AS row_overlap"""
+
+ORACLE["a18_union_duplicates"] = f"""
+WITH {LI_SPLIT},
+u AS (SELECT l_quantity, l_discount, l_returnflag FROM split WHERE split = 'train'
+      UNION ALL SELECT l_quantity, l_discount, l_returnflag FROM split WHERE split = 'test')
+SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM u) x) AS BIGINT) AS n_duplicates FROM u"""
