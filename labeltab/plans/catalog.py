@@ -433,3 +433,130 @@ def a18(spark, sf):
     sp = li_split(spark, sf)
     u = S.union_splits([sp.where("split = 'train'"), sp.where("split = 'test'")])
     return Q.duplicate_count(u, ["l_quantity", "l_discount", "l_returnflag"])
+
+
+# ---- M: evaluation on deterministic rule predictions (D3) --------------------------------
+
+from labeltab.operators import metrics as M  # noqa: E402
+from labeltab.operators import score as SC  # noqa: E402
+
+
+def d3_conf(spark, sf):
+    return M.confusion(X.d3(spark, sf), X.D2_CLASSES)
+
+
+@register("m06_confusion")
+def m06(spark, sf):
+    return d3_conf(spark, sf)
+
+
+@register("m07_summary_metrics")
+def m07(spark, sf):
+    return finish(M.summary(d3_conf(spark, sf)))
+
+
+@register("m10_classification_report")
+def m10(spark, sf):
+    return finish(M.classification_report(d3_conf(spark, sf)))
+
+
+@register("m11_per_class")
+def m11(spark, sf):
+    pc = M.per_class(d3_conf(spark, sf))
+    return finish(pc.select("model", "class", "precision", "recall", "f1", "support"))
+
+
+@register("m12_largest_confusions")
+def m12(spark, sf):
+    return M.largest_confusions(d3_conf(spark, sf)).select("model", "label", "prediction", "n",
+                                                          F.col("rank").cast("int"))
+
+
+@register("m13_model_comparison")
+def m13(spark, sf):
+    return finish(M.compare_models(M.summary(d3_conf(spark, sf))).withColumn("rank", F.col("rank").cast("int")))
+
+
+@register("m14_best_model")
+def m14(spark, sf):
+    return finish(M.select_best(M.summary(d3_conf(spark, sf))))
+
+
+@register("m15_best_model_v1")
+def m15(spark, sf):
+    return finish(M.select_best_v1(M.summary(d3_conf(spark, sf))))
+
+
+@register("m17_easiest_hardest")
+def m17(spark, sf):
+    return finish(M.easiest_hardest(d3_conf(spark, sf)).withColumn("rank", F.col("rank").cast("int")))
+
+
+def d2_split(spark, sf):
+    return S.stratified_split(X.d2(spark, sf), X.D2_SPEC)
+
+
+@register("m18_heldout_sample")
+def m18(spark, sf):
+    test = d2_split(spark, sf).where("split = 'test'")
+    pred = X.rule_predictions(test).where("model = 'm_exact'")
+    return M.heldout_sample(pred, "rid").withColumn("row_number", F.col("row_number").cast("int"))
+
+
+def d2_fold_metrics(spark, sf):
+    train = d2_split(spark, sf).where("split = 'train'")
+    folds = S.stratified_folds(train, X.D2_SPEC).select("rid", "fold")
+    pred = X.rule_predictions(train).join(folds, "rid")
+    return M.summary(M.confusion(pred, X.D2_CLASSES, ("model", "fold")), ("model", "fold"))
+
+
+@register("m20_cv_summary")
+def m20(spark, sf):
+    return finish(M.cv_summary(d2_fold_metrics(spark, sf)))
+
+
+def stability_inputs(spark, sf):
+    """One row of evidence for M22, assembled from aggregates without a join."""
+    sp = d2_split(spark, sf)
+    test_pred = X.rule_predictions(sp.where("split = 'test'"))
+    conf = M.confusion(test_pred, X.D2_CLASSES)
+    summ = M.summary(conf)
+    cv = M.cv_summary(d2_fold_metrics(spark, sf)).where("model = 'm_exact' AND metric = 'macro_f1'")
+    anova = R.anova(X.d2(spark, sf), X.D2_SPEC)
+    pc = M.per_class(conf).where("model = 'm_exact'")
+    parts = [
+        cv.select(F.lit("cv_macro_f1_mean").alias("m"), F.col("mean").alias("v")),
+        cv.select(F.lit("cv_macro_f1_std").alias("m"), F.col("std").alias("v")),
+        summ.where("model = 'm_exact'").select(F.lit("full_feature_macro_f1").alias("m"), F.col("macro_f1").alias("v")),
+        summ.where("model = 'm_const'").select(F.lit("no_key_feature_macro_f1").alias("m"), F.col("macro_f1").alias("v")),
+        anova.agg((F.sum(F.when(F.col("feature") == "l_quantity", F.col("f_stat"))) / F.sum("f_stat")).alias("v"))
+             .select(F.lit("key_feature_normalized_importance").alias("m"), "v"),
+        pc.agg(F.min("f1").alias("v")).select(F.lit("minimum_class_f1").alias("m"), "v"),
+    ]
+    u = parts[0]
+    for p_ in parts[1:]:
+        u = u.unionByName(p_)
+    names = ["cv_macro_f1_mean", "cv_macro_f1_std", "full_feature_macro_f1", "no_key_feature_macro_f1",
+             "key_feature_normalized_importance", "minimum_class_f1"]
+    return u.groupBy().pivot("m", names).agg(F.first("v"))
+
+
+@register("m22_stability_verdict")
+def m22(spark, sf):
+    return finish(M.stability_verdict(stability_inputs(spark, sf), "l_quantity"))
+
+
+@register("m23_confidence")
+def m23(spark, sf):
+    return finish(SC.confidence(X.rule_probabilities(X.d2(spark, sf)), "probability", "row_id"))
+
+
+@register("m24_probability_table")
+def m24(spark, sf):
+    return finish(SC.probability_table(X.rule_probabilities(X.d2(spark, sf)), X.D2_CLASSES, "probability", "row_id"))
+
+
+@register("m28_contribution_ranking")
+def m28(spark, sf):
+    return finish(SC.rank_contributions(X.linear_contributions(X.d2(spark, sf)), list(X.LINEAR_WEIGHTS),
+                                        "row_id", "contributions"))

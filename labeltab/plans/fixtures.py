@@ -113,3 +113,28 @@ def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineitem_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with its unique row id (the V1-like, no-signal labelled table)."""
     return with_rid(load(spark, sf_dir, "lineitem"))
+
+
+# ---- rule-based scores on D2 (deterministic inputs for M23/M24/M28) ----------------------
+
+# Class centres and spread of the softmax rule, linear attribution weights.
+PROB_CENTRES = (5.5, 15.5, 25.5, 35.5, 45.5)
+PROB_SPREAD = 5.0
+LINEAR_WEIGHTS = {"l_quantity": 0.1, "l_discount": -20.0, "l_tax": 25.0}
+
+
+def rule_probabilities(d2df: DataFrame) -> DataFrame:
+    """(rid, probability array<double>) — a softmax over distances to the class centres."""
+    q = F.col("l_quantity")
+    raw = F.array(*[F.exp(-F.pow((q - F.lit(c)) / PROB_SPREAD, 2)) for c in PROB_CENTRES])
+    tot = F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x)
+    return d2df.select(F.col("rid").alias("row_id"), F.transform(raw, lambda x: x / tot).alias("probability"))
+
+
+def linear_contributions(d2df: DataFrame) -> DataFrame:
+    """(rid, contributions array<double>): exact Shapley values of a linear score,
+    w_f * (x_f - mean_f). The means are one aggregate row."""
+    feats = list(LINEAR_WEIGHTS)
+    means = d2df.agg(*[F.avg(f).alias(f) for f in feats]).first()
+    arr = F.array(*[F.lit(LINEAR_WEIGHTS[f]) * (F.col(f) - F.lit(means[f])) for f in feats])
+    return d2df.select(F.col("rid").alias("row_id"), arr.alias("contributions"))

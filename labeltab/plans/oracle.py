@@ -677,3 +677,148 @@ WITH {LI_SPLIT},
 u AS (SELECT l_quantity, l_discount, l_returnflag FROM split WHERE split = 'train'
       UNION ALL SELECT l_quantity, l_discount, l_returnflag FROM split WHERE split = 'test')
 SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM u) x) AS BIGINT) AS n_duplicates FROM u"""
+
+
+# ---- M: evaluation ----------------------------------------------------------------------------
+
+_CLS = "(VALUES (0), (1), (2), (3), (4))"
+
+
+def metric_ctes(pred: str, g: str = "model", p: str = "") -> str:
+    """confusion grid -> per-class -> summary, over the prediction relation ``pred``."""
+    return f"""{p}counts AS (SELECT {g}, label, prediction, count(*) AS n FROM {pred} GROUP BY ALL),
+{p}grid AS (SELECT gg.*, l.c AS label, q.c AS prediction FROM (SELECT DISTINCT {g} FROM {pred}) gg, {_CLS} l(c), {_CLS} q(c)),
+{p}conf AS (SELECT {p}grid.*, CAST(coalesce(n, 0) AS BIGINT) AS n FROM {p}grid LEFT JOIN {p}counts USING ({g}, label, prediction)),
+{p}sup AS (SELECT {g}, label AS class, sum(n) AS support FROM {p}conf GROUP BY ALL),
+{p}prd AS (SELECT {g}, prediction AS class, sum(n) AS predicted FROM {p}conf GROUP BY ALL),
+{p}tp AS (SELECT {g}, label AS class, n AS tp FROM {p}conf WHERE label = prediction),
+{p}pc1 AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS "precision",
+                  CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall
+           FROM {p}sup JOIN {p}prd USING ({g}, class) JOIN {p}tp USING ({g}, class)),
+{p}pc AS (SELECT *, CASE WHEN "precision" + recall > 0 THEN 2 * "precision" * recall / ("precision" + recall) ELSE 0.0 END AS f1
+          FROM {p}pc1),
+{p}summ AS (SELECT {g}, sum(tp) / sum(support) AS accuracy,
+       sum("precision" * support) / sum(support) AS weighted_precision,
+       sum(recall * support) / sum(support) AS weighted_recall,
+       sum(f1 * support) / sum(support) AS weighted_f1,
+       avg("precision") FILTER (WHERE support > 0 OR predicted > 0) AS macro_precision,
+       avg(recall) FILTER (WHERE support > 0 OR predicted > 0) AS macro_recall,
+       avg(f1) FILTER (WHERE support > 0 OR predicted > 0) AS macro_f1
+  FROM {p}pc GROUP BY ALL)"""
+
+
+_M = ["accuracy", "weighted_precision", "weighted_recall", "weighted_f1", "macro_precision", "macro_recall", "macro_f1"]
+_MR = ", ".join(f"round({m}, 6) AS {m}" for m in _M)
+D3M = f"{D3},\n{metric_ctes('d3')}"
+
+ORACLE["m06_confusion"] = f"WITH {D3M} SELECT model, label, prediction, n FROM conf"
+ORACLE["m07_summary_metrics"] = f"WITH {D3M} SELECT model, {_MR} FROM summ"
+ORACLE["m10_classification_report"] = f"""WITH {D3M}
+SELECT model, CAST(class AS VARCHAR) AS class, round("precision", 6) AS "precision", round(recall, 6) AS recall,
+       round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM pc
+UNION ALL SELECT model, 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM pc GROUP BY model
+UNION ALL SELECT model, 'macro avg', round(avg("precision"), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM pc GROUP BY model
+UNION ALL SELECT model, 'weighted avg', round(sum("precision" * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+       round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM pc GROUP BY model"""
+ORACLE["m11_per_class"] = f"""WITH {D3M}
+SELECT model, class, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1,
+       CAST(support AS BIGINT) AS support FROM pc"""
+ORACLE["m12_largest_confusions"] = f"""WITH {D3M}
+SELECT * FROM (SELECT model, label, prediction, n,
+       CAST(row_number() OVER (PARTITION BY model ORDER BY n DESC, label, prediction) AS INTEGER) AS rank
+       FROM conf WHERE label <> prediction AND n > 0) t WHERE rank <= 10"""
+_RANK = "CAST(row_number() OVER (ORDER BY macro_f1 DESC, weighted_f1 DESC, accuracy DESC, model) AS INTEGER)"
+ORACLE["m13_model_comparison"] = f"WITH {D3M} SELECT model, {_MR}, {_RANK} AS rank FROM summ"
+ORACLE["m14_best_model"] = f"""WITH {D3M}
+SELECT model, {_MR},
+       printf('Selected %s using Macro F1 as the primary criterion (%.4f), then Weighted F1 (%.4f), then Accuracy (%.4f).',
+              model, macro_f1, weighted_f1, accuracy) AS reason
+FROM (SELECT *, {_RANK} AS rk FROM summ) t WHERE rk = 1"""
+ORACLE["m15_best_model_v1"] = f"""WITH {D3M},
+r AS (SELECT model, round_even(accuracy, 4) AS accuracy, round_even(weighted_f1, 4) AS weighted_f1 FROM summ),
+t AS (SELECT *, row_number() OVER (ORDER BY weighted_f1 DESC, accuracy DESC, model) AS rk,
+             count(*) OVER (PARTITION BY weighted_f1) AS n_tied FROM r)
+SELECT model, round(accuracy, 6) AS accuracy, round(weighted_f1, 6) AS weighted_f1, CAST(n_tied AS BIGINT) AS n_tied,
+       CASE WHEN n_tied > 1 THEN printf('Selected %s because it achieved the highest weighted F1-score (%.4f) among tied models, with accuracy %.4f and favorable simplicity/stability.', model, weighted_f1, accuracy)
+            ELSE printf('Selected %s because it achieved the highest weighted F1-score (%.4f) on the held-out test set.', model, weighted_f1) END AS reason
+FROM t WHERE rk = 1"""
+ORACLE["m17_easiest_hardest"] = f"""WITH {D3M},
+e AS (SELECT model, 'easiest' AS side, CAST(row_number() OVER (PARTITION BY model ORDER BY f1 DESC, recall DESC, "precision" DESC, class) AS INTEGER) AS rank,
+             class, f1, recall, "precision" FROM pc),
+h AS (SELECT model, 'hardest' AS side, CAST(row_number() OVER (PARTITION BY model ORDER BY f1, recall, "precision", class) AS INTEGER) AS rank,
+             class, f1, recall, "precision" FROM pc)
+SELECT model, side, rank, class, round(f1, 6) AS f1, round(recall, 6) AS recall, round("precision", 6) AS "precision"
+FROM (SELECT * FROM e WHERE rank <= 3 UNION ALL SELECT * FROM h WHERE rank <= 3) u"""
+
+D2_SPLIT = D2 + ",\n" + split_cte("d2", "rid", "cls")
+_D3_OF = """SELECT '{m}' AS model, rid, cls AS label, {e} AS prediction FROM {src}"""
+
+
+def _rules(src: str, extra: str = "") -> str:
+    return " UNION ALL ".join([
+        f"SELECT 'm_exact' AS model, rid, cls AS label, CAST(floor((l_quantity - 1) / 10) AS INTEGER) AS prediction{extra} FROM {src}",
+        f"SELECT 'm_shift', rid, cls, CAST(least(floor(l_quantity / 10), 4) AS INTEGER){extra} FROM {src}",
+        f"SELECT 'm_const', rid, cls, 0{extra} FROM {src}"])
+
+
+ORACLE["m18_heldout_sample"] = f"""WITH {D2_SPLIT}
+SELECT CAST(row_number() OVER (ORDER BY rid) AS INTEGER) AS row_number, rid, actual, predicted, actual = predicted AS correct
+FROM (SELECT rid, cls AS actual, CAST(floor((l_quantity - 1) / 10) AS INTEGER) AS predicted FROM split
+      WHERE split = 'test' ORDER BY rid LIMIT 5) t"""
+
+D2_FOLDS = D2_SPLIT + """,
+folds AS (SELECT *, CAST((row_number() OVER (ORDER BY cls, md5(concat_ws('|', '42|fold', CAST(rid AS VARCHAR))), rid) - 1) % 5 AS INTEGER) AS fold
+          FROM split WHERE split = 'train'),
+fpred AS (""" + _rules("folds", ", fold") + ")"
+
+_CV = f"""{D2_FOLDS},
+{metric_ctes('fpred', 'model, fold', 'f_')},
+cvl AS (""" + " UNION ALL ".join(f"SELECT model, '{m}' AS metric, {m} AS value FROM f_summ" for m in _M) + """),
+cv AS (SELECT model, metric, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max
+       FROM cvl GROUP BY model, metric)"""
+
+ORACLE["m20_cv_summary"] = f"""WITH {_CV}
+SELECT model, metric, round(mean, 6) AS mean, round(std, 6) AS std, round(min, 6) AS min, round(max, 6) AS max FROM cv"""
+
+ORACLE["m22_stability_verdict"] = f"""WITH {_CV},
+tpred AS ({_rules("(SELECT * FROM split WHERE split = 'test')")}),
+{metric_ctes('tpred', 'model', 't_')},
+{_anova('', 'd2', D2_FEATURES, 'cls').removeprefix('WITH ')},
+ev AS (SELECT (SELECT mean FROM cv WHERE model = 'm_exact' AND metric = 'macro_f1') AS cv_macro_f1_mean,
+              (SELECT std FROM cv WHERE model = 'm_exact' AND metric = 'macro_f1') AS cv_macro_f1_std,
+              (SELECT macro_f1 FROM t_summ WHERE model = 'm_exact') AS full_feature_macro_f1,
+              (SELECT macro_f1 FROM t_summ WHERE model = 'm_const') AS no_key_feature_macro_f1,
+              (SELECT sum(f_stat) FILTER (WHERE feature = 'l_quantity') / sum(f_stat) FROM res) AS key_feature_normalized_importance,
+              (SELECT min(f1) FROM t_pc WHERE model = 'm_exact') AS minimum_class_f1)
+SELECT CASE WHEN cv_macro_f1_mean >= 0.98 AND full_feature_macro_f1 - no_key_feature_macro_f1 >= 0.2
+                 AND key_feature_normalized_importance >= 0.8 THEN 'B. Stable but heavily dependent on l_quantity'
+            WHEN cv_macro_f1_std > 0.03 THEN 'C. Highly sensitive to the train/test split'
+            WHEN cv_macro_f1_mean >= 0.99 AND minimum_class_f1 >= 0.95 THEN 'A. Stable and robust'
+            ELSE 'E. Other' END AS category,
+       round(cv_macro_f1_mean, 6) AS cv_macro_f1_mean, round(cv_macro_f1_std, 6) AS cv_macro_f1_std,
+       round(full_feature_macro_f1, 6) AS full_feature_macro_f1, round(no_key_feature_macro_f1, 6) AS no_key_feature_macro_f1,
+       round(full_feature_macro_f1 - no_key_feature_macro_f1, 6) AS macro_f1_drop_without_key_feature,
+       round(key_feature_normalized_importance, 6) AS key_feature_normalized_importance,
+       round(minimum_class_f1, 6) AS minimum_class_f1
+FROM ev"""
+
+_PROBS = f"""{D2},
+raw AS (SELECT rid, c, exp(-pow((l_quantity - (10 * c + 5.5)) / 5.0, 2)) AS e FROM d2, {_CLS} k(c)),
+pr AS (SELECT rid, c, e / sum(e) OVER (PARTITION BY rid) AS p FROM raw)"""
+
+ORACLE["m23_confidence"] = f"""WITH {_PROBS}
+SELECT rid AS row_id, CAST(arg_max(c, p) AS INTEGER) AS predicted, round(max(p), 6) AS confidence FROM pr GROUP BY rid"""
+
+ORACLE["m24_probability_table"] = f"""WITH {_PROBS}
+SELECT rid AS row_id, CAST(c AS VARCHAR) AS class, round(p, 6) AS probability, round(p * 100.0, 6) AS percent,
+       CAST(row_number() OVER (PARTITION BY rid ORDER BY p DESC, CAST(c AS VARCHAR)) AS INTEGER) AS rank FROM pr"""
+
+ORACLE["m28_contribution_ranking"] = f"""WITH {D2},
+mu AS (SELECT avg(l_quantity) AS mq, avg(l_discount) AS md, avg(l_tax) AS mt FROM d2),
+c AS (SELECT rid, 'l_quantity' AS feature, 0.1 * (l_quantity - mq) AS v FROM d2, mu
+      UNION ALL SELECT rid, 'l_discount', -20.0 * (l_discount - md) FROM d2, mu
+      UNION ALL SELECT rid, 'l_tax', 25.0 * (l_tax - mt) FROM d2, mu),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY abs(v) DESC, feature) AS rk,
+             max(abs(v)) OVER (PARTITION BY rid) AS mx FROM c)
+SELECT rid AS row_id, feature, round(v, 6) AS contribution, round(abs(v), 6) AS abs_contribution, CAST(rk AS INTEGER) AS rank,
+       round(CASE WHEN mx > 0 THEN abs(v) / mx ELSE 0.0 END, 6) AS bar FROM r"""
