@@ -560,3 +560,166 @@ def m24(spark, sf):
 def m28(spark, sf):
     return finish(SC.rank_contributions(X.linear_contributions(X.d2(spark, sf)), list(X.LINEAR_WEIGHTS),
                                         "row_id", "contributions"))
+
+
+# ---- M: Spark ML fits on the separable table D2 (rows-only checks + invariants) ----------
+
+from labeltab.operators import explain as EX  # noqa: E402
+from labeltab.operators import models as ML  # noqa: E402
+from labeltab.session import scratch_path  # noqa: E402
+from labeltab.streaming import scoring as ST  # noqa: E402
+
+_FITTED: dict = {}
+
+
+def fitted(spark, sf, preset: str, features=None):
+    """Fit once per (data folder, preset, features) in this process; the fit is the model."""
+    key = (sf, preset, tuple(features or X.D2_FEATURES))
+    if key not in _FITTED:
+        train = d2_split(spark, sf).where("split = 'train'")
+        _FITTED[key] = ML.fit(train, X.D2_SPEC, ML.PRESETS[preset], features)
+    return _FITTED[key]
+
+
+def d2_test(spark, sf):
+    return d2_split(spark, sf).where("split = 'test'")
+
+
+@register("m01_random_forest")
+def m01(spark, sf):
+    return ML.predict(fitted(spark, sf, "Random Forest"), d2_test(spark, sf), X.D2_SPEC, "Random Forest") \
+        .drop("probability")
+
+
+@register("m02_boosted_presets")
+def m02(spark, sf):
+    out = None
+    for name in ("LightGBM-like", "XGBoost-like", "CatBoost-like"):
+        p = ML.predict(fitted(spark, sf, name), d2_test(spark, sf), X.D2_SPEC, name).drop("probability")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@register("m13_model_comparison_fitted")
+def m13f(spark, sf):
+    """All four presets evaluated in one job from one confusion table."""
+    test = d2_test(spark, sf)
+    preds = ML.predict_all({n: fitted(spark, sf, n) for n in ML.PRESETS}, test, X.D2_SPEC)
+    return finish(M.compare_models(M.summary(M.confusion(preds, X.D2_CLASSES))))
+
+
+@register("m03_train_persist")
+def m03(spark, sf):
+    base = scratch_path(spark, "models")
+    rows = ML.save_models({"Random Forest": fitted(spark, sf, "Random Forest")}, base)
+    return spark.createDataFrame(rows, "model string, path string, n_stages int").drop("path")
+
+
+@register("m04_artifact_contract")
+def m04(spark, sf):
+    base = scratch_path(spark, "models")
+    ML.save_models({"Random Forest": fitted(spark, sf, "Random Forest")}, base)
+    row = ML.load_and_check(f"{base}/Random_Forest", X.D2_SPEC, "Random Forest")
+    return spark.createDataFrame([row], "model string, kind string, features string, feature_order_ok boolean, "
+                                        "n_classes_ok boolean")
+
+
+@register("m05_batch_predict")
+def m05(spark, sf):
+    dim = spark.createDataFrame([(f"class_{c}", c) for c in X.D2_CLASSES], "label string, code int")
+    p = ML.predict(fitted(spark, sf, "Random Forest"), d2_test(spark, sf), X.D2_SPEC, "Random Forest")
+    return S.decode(p, dim, "prediction", "predicted_label").select("rid", "prediction", "predicted_label")
+
+
+@register("m16_feature_importance")
+def m16(spark, sf):
+    models = {n: fitted(spark, sf, n) for n in ("Random Forest", "XGBoost-like")}
+    return finish(ML.feature_importance(models, list(X.D2_FEATURES), spark))
+
+
+@register("m19_cross_validation")
+def m19(spark, sf):
+    train = d2_split(spark, sf).where("split = 'train'")
+    folds = S.stratified_folds(train, X.D2_SPEC)
+    preds = ML.cross_validate(folds, X.D2_SPEC, ML.PRESETS["Random Forest"])
+    per_fold = M.summary(M.confusion(preds, X.D2_CLASSES, ("model", "fold")), ("model", "fold"))
+    return finish(per_fold.withColumn("fold", (F.col("fold") + 1).cast("int")))
+
+
+@register("m20_cv_summary_fitted")
+def m20f(spark, sf):
+    return finish(M.cv_summary(m19(spark, sf).withColumn("fold", F.col("fold") - 1)))
+
+
+def ablation_configs():
+    feats = list(X.D2_FEATURES)
+    return [("A_All_Features", feats)] + [(f"{chr(66 + i)}_No_{f}", [g for g in feats if g != f])
+                                          for i, f in enumerate(feats)]
+
+
+@register("m21_feature_ablation")
+def m21(spark, sf):
+    sp = d2_split(spark, sf)
+    preds = ML.ablation(sp.where("split = 'train'"), sp.where("split = 'test'"), X.D2_SPEC,
+                        ML.PRESETS["Random Forest"], ablation_configs())
+    return finish(M.summary(M.confusion(preds, X.D2_CLASSES, ("model", "config")), ("model", "config")))
+
+
+@register("m25_ovr_probabilities")
+def m25(spark, sf):
+    p = ML.predict(fitted(spark, sf, "XGBoost-like"), d2_test(spark, sf), X.D2_SPEC, "XGBoost-like")
+    return finish(p.select("rid", "prediction", F.aggregate("probability", F.lit(0.0), lambda a, x: a + x).alias("prob_sum"),
+                           (F.array_position("probability", F.array_max("probability")) - 1).cast("int").alias("argmax")))
+
+
+# Bounds of the validated scoring input (quantity is 1..50 in lineitem).
+D2_SCORING_SPEC = X.D2_SPEC.with_(bounds={"l_quantity": (1.0, 50.0)})
+
+
+def d2_dirty(spark, sf):
+    """D2 test rows with the quantity as text and D1-style dirt keyed by the row digest."""
+    t = d2_test(spark, sf)
+    h = F.substring(F.md5("rid"), 1, 2)
+    q = (F.when(h == "00", F.lit("abc")).when(h == "01", F.lit("NaN")).when(h == "02", F.lit("-3"))
+         .when(h == "03", F.lit(None).cast("string")).when(h == "04", F.lit("inf"))
+         .otherwise(F.col("l_quantity").cast("string")))
+    return t.select("rid", q.alias("l_quantity"), "l_discount", "l_tax", "cls")
+
+
+@register("m26_validated_scoring")
+def m26(spark, sf):
+    scored, rejected = ST.score_batch(d2_dirty(spark, sf), fitted(spark, sf, "Random Forest"), D2_SCORING_SPEC,
+                                      "Random Forest")
+    return finish(scored.select("rid", F.lit(True).alias("is_valid"), "prediction", "confidence",
+                                F.lit(None).cast("string").alias("errors"))
+                  .unionByName(rejected.select("rid", F.lit(False).alias("is_valid"), F.lit(None).cast("int").alias("prediction"),
+                                               F.lit(None).cast("double").alias("confidence"), "errors")))
+
+
+@register("m27_shapley")
+def m27(spark, sf):
+    model = fitted(spark, sf, "Random Forest")
+    train = d2_split(spark, sf).where("split = 'train'")
+    bg = EX.background_rows(train, list(X.D2_FEATURES), "rid", n=16)
+    sh = EX.shapley(model, d2_test(spark, sf), list(X.D2_FEATURES), "rid", bg)
+    return finish(EX.contributions_long(sh, list(X.D2_FEATURES), "rid"))
+
+
+@register("m29_golden_cases")
+def m29(spark, sf):
+    test = d2_test(spark, sf).where(F.col("l_quantity").isin(5.0, 15.0, 25.0, 35.0, 45.0))
+    pred = ML.predict(fitted(spark, sf, "Random Forest"), test, X.D2_SPEC, "Random Forest") \
+        .select("rid", F.col("prediction").alias("predicted"))
+    cases = SC.golden_cases(pred, test.select("rid", F.col("cls").alias("expected")), "rid")
+    return finish(SC.golden_summary(cases))
+
+
+@register("m30_streaming_scoring")
+def m30(spark, sf):
+    src = scratch_path(spark, "stream-in")
+    d2_dirty(spark, sf).repartition(4).write.parquet(src)  # several files -> several micro-batches
+    out = scratch_path(spark, "stream-out")
+    schema = spark.read.parquet(src).schema
+    ST.run_stream(spark, src, schema, fitted(spark, sf, "Random Forest"), D2_SCORING_SPEC, "Random Forest",
+                  out, scratch_path(spark, "stream-ckpt"))
+    return finish(ST.read_results(spark, out, "rid"))
