@@ -723,3 +723,104 @@ def m30(spark, sf):
     ST.run_stream(spark, src, schema, fitted(spark, sf, "Random Forest"), D2_SCORING_SPEC, "Random Forest",
                   out, scratch_path(spark, "stream-ckpt"))
     return finish(ST.read_results(spark, out, "rid"))
+
+
+# ---- S: sources and sinks ----------------------------------------------------------------
+
+from labeltab.sources import io as IO  # noqa: E402
+
+PART_SCHEMA = T.StructType([
+    T.StructField("p_partkey", T.LongType()), T.StructField("p_name", T.StringType()),
+    T.StructField("p_brand", T.StringType()), T.StructField("p_type", T.StringType()),
+    T.StructField("p_size", T.IntegerType()), T.StructField("p_retailprice", T.DoubleType())])
+
+
+@register("s01_scan")
+def s01(spark, sf):
+    return IO.shape(IO.scan(spark, X.table_path(sf, "part"), "parquet", PART_SCHEMA), "part")
+
+
+@register("s01_csv_scan")
+def s01c(spark, sf):
+    path = scratch_path(spark, "part-csv")
+    X.load(spark, sf, "part").write.option("header", True).csv(path)
+    back = IO.scan(spark, path, "csv", PART_SCHEMA)
+    return finish(back.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("p_size").cast("bigint").alias("sum_size"),
+                           F.count_distinct("p_brand").alias("n_brands"), F.sum("p_retailprice").alias("sum_price")))
+
+
+@register("s02_dimension_scan")
+def s02(spark, sf):
+    nation = X.load(spark, sf, "nation")
+    region = X.load(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    return IO.dimension_join(nation, region, "n_regionkey").select("n_nationkey", "n_name", "r_name")
+
+
+@register("s03_preview")
+def s03(spark, sf):
+    return finish(IO.preview(X.load(spark, sf, "part"), "p_partkey", 5))
+
+
+@register("s04_manifest")
+def s04(spark, sf):
+    expected = [f"{t}.parquet" for t in X.TABLES] + ["fertilizer.parquet"]
+    return IO.manifest(spark, sf, expected, "*.parquet")
+
+
+@register("s05_file_digests")
+def s05(spark, sf):
+    return IO.file_digests(spark, sf, "*.parquet")
+
+
+def _fingerprints(spark, sf, tables: dict) -> DataFrame:
+    out = None
+    for name, df in tables.items():
+        fp = IO.table_fingerprint(df, name)
+        out = fp if out is None else out.unionByName(fp)
+    return out
+
+
+@register("s06_change_audit")
+def s06(spark, sf):
+    ld = lambda t: X.load(spark, sf, t)
+    part2 = ld("part").withColumn("p_retailprice", F.when(F.col("p_partkey") % 100 == 0, F.col("p_retailprice") + 1)
+                                  .otherwise(F.col("p_retailprice")))
+    before = _fingerprints(spark, sf, {"region": ld("region"), "nation": ld("nation"), "part": ld("part"),
+                                       "supplier": ld("supplier")})
+    after = _fingerprints(spark, sf, {"region": ld("region"), "nation": ld("nation"), "part": part2,
+                                      "customer": ld("customer")})
+    return IO.change_audit(before, after)
+
+
+def _written_split(spark, sf):
+    sp = li_split(spark, sf)
+    dim = S.label_dimension(sp, LI_FLAG)
+    path = scratch_path(spark, "split-table")
+    IO.write_split_table(S.encode(sp, X.LI_SPEC, dim), dim, path)
+    return path
+
+
+@register("s07_split_sink")
+def s07(spark, sf):
+    path = _written_split(spark, sf)
+    return spark.read.parquet(f"{path}/labels")
+
+
+@register("s08_split_reload")
+def s08(spark, sf):
+    path = _written_split(spark, sf)
+    test = IO.read_split(spark, path, "test", [*X.LI_FEATURES, "l_returnflag"])
+    return test.groupBy(F.col("l_returnflag").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("s09_report_sink")
+def s09(spark, sf):
+    rep = a05(spark, sf)
+    path = scratch_path(spark, "report")
+    IO.write_report(rep, path, "json")
+    return spark.read.schema(rep.schema).json(path)
+
+
+@register("s10_json_entries")
+def s10(spark, sf):
+    return IO.json_entries(X.load(spark, sf, "events"), "event_id", "props", "bigint")

@@ -822,3 +822,50 @@ r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY abs(v) DESC, featur
              max(abs(v)) OVER (PARTITION BY rid) AS mx FROM c)
 SELECT rid AS row_id, feature, round(v, 6) AS contribution, round(abs(v), 6) AS abs_contribution, CAST(rk AS INTEGER) AS rank,
        round(CASE WHEN mx > 0 THEN abs(v) / mx ELSE 0.0 END, 6) AS bar FROM r"""
+
+
+# ---- S: sources and sinks ----------------------------------------------------------------------
+
+ORACLE["s01_scan"] = "SELECT 'part' AS table_name, count(*) AS n_rows, CAST(6 AS BIGINT) AS n_columns FROM part"
+ORACLE["s01_csv_scan"] = """SELECT count(*) AS n_rows, CAST(sum(p_size) AS BIGINT) AS sum_size,
+       count(DISTINCT p_brand) AS n_brands, round(sum(p_retailprice), 6) AS sum_price FROM part"""
+ORACLE["s02_dimension_scan"] = """SELECT n_nationkey, n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey"""
+ORACLE["s03_preview"] = """SELECT p_partkey, p_name, p_brand, p_type, p_size, round(p_retailprice, 6) AS p_retailprice
+FROM part ORDER BY p_partkey LIMIT 5"""
+
+
+def _canon(cols: list[tuple[str, str]]) -> str:
+    parts = [f"coalesce(CAST(TRY_CAST({c} AS DECIMAL(38,9)) AS VARCHAR), '\\N')" if k == "double"
+             else f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c, k in cols]
+    return "CAST('0x' || substr(md5(concat_ws('|', " + ", ".join(parts) + ")), 1, 15) AS BIGINT)"
+
+
+def _fp(name: str, rel: str, cols: list[tuple[str, str]]) -> str:
+    return f"SELECT '{name}' AS table_name, count(*) AS n_rows, bit_xor({_canon(cols)}) AS digest FROM {rel}"
+
+
+_REG = [("r_regionkey", "int"), ("r_name", "string")]
+_NAT = [("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int")]
+_SUP = [("s_suppkey", "int"), ("s_name", "string"), ("s_nationkey", "int"), ("s_acctbal", "double")]
+_CUS = [("c_custkey", "int"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string")]
+_PTC = [("p_partkey", "int"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"), ("p_size", "int"),
+        ("p_retailprice", "double")]
+
+ORACLE["s06_change_audit"] = f"""
+WITH part2 AS (SELECT p_partkey, p_name, p_brand, p_type, p_size,
+                      CASE WHEN p_partkey % 100 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS p_retailprice FROM part),
+b AS ({_fp('region', 'region', _REG)} UNION ALL {_fp('nation', 'nation', _NAT)} UNION ALL {_fp('part', 'part', _PTC)}
+      UNION ALL {_fp('supplier', 'supplier', _SUP)}),
+a AS ({_fp('region', 'region', _REG)} UNION ALL {_fp('nation', 'nation', _NAT)} UNION ALL {_fp('part', 'part2', _PTC)}
+      UNION ALL {_fp('customer', 'customer', _CUS)})
+SELECT coalesce(b.table_name, a.table_name) AS table_name,
+       CASE WHEN b.digest IS NULL THEN 'added' WHEN a.digest IS NULL THEN 'removed'
+            WHEN b.digest = a.digest AND b.n_rows = a.n_rows THEN 'same' ELSE 'changed' END AS status,
+       b.n_rows AS n_rows_before, a.n_rows AS n_rows_after
+FROM b FULL OUTER JOIN a ON b.table_name = a.table_name"""
+
+ORACLE["s07_split_sink"] = ORACLE["c08_label_encode"]
+ORACLE["s08_split_reload"] = f"WITH {LI_SPLIT} SELECT l_returnflag AS label, count(*) AS n FROM split WHERE split = 'test' GROUP BY 1"
+ORACLE["s09_report_sink"] = ORACLE["a05_feature_summary"]
+ORACLE["s10_json_entries"] = """SELECT e.event_id, j.key AS entry, CAST(j.value AS BIGINT) AS value
+FROM events e, json_each(e.props) j"""
