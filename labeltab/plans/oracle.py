@@ -861,7 +861,7 @@ a AS ({_fp('region', 'region', _REG)} UNION ALL {_fp('nation', 'nation', _NAT)}
 SELECT coalesce(b.table_name, a.table_name) AS table_name,
        CASE WHEN b.digest IS NULL THEN 'added' WHEN a.digest IS NULL THEN 'removed'
             WHEN b.digest = a.digest AND b.n_rows = a.n_rows THEN 'same' ELSE 'changed' END AS status,
-       b.n_rows AS n_rows_before, a.n_rows AS n_rows_after
+       CAST(coalesce(b.n_rows, 0) AS BIGINT) AS n_rows_before, CAST(coalesce(a.n_rows, 0) AS BIGINT) AS n_rows_after
 FROM b FULL OUTER JOIN a ON b.table_name = a.table_name"""
 
 ORACLE["s07_split_sink"] = ORACLE["c08_label_encode"]

@@ -113,7 +113,8 @@ def change_audit(before: DataFrame, after: DataFrame, key: str = "table_name") -
               .when(F.col("d_after").isNull(), F.lit("removed"))
               .when((F.col("d_before") == F.col("d_after")) & (F.col("n_rows_before") == F.col("n_rows_after")), F.lit("same"))
               .otherwise(F.lit("changed")))
-    return j.select(key, status.alias("status"), "n_rows_before", "n_rows_after")
+    return j.select(key, status.alias("status"), F.coalesce("n_rows_before", F.lit(0)).cast("bigint").alias("n_rows_before"),
+                    F.coalesce("n_rows_after", F.lit(0)).cast("bigint").alias("n_rows_after"))
 
 
 # ---- S07–S09 sinks ---------------------------------------------------------------------------
