@@ -388,29 +388,32 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str]) -> F.Column:
     return df.groupBy(*columns).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("n"))
 
 
-def leakage_overlap(train: DataFrame, test: DataFrame, spec: TableSpec,
-                    features: Sequence[str] | None = None) -> DataFrame:
+def leakage_overlap(split_df: DataFrame, spec: TableSpec, features: Sequence[str] | None = None,
+                    split_col: str = "split") -> DataFrame:
     """Distinct feature rows / feature+label rows present in both splits, and duplicate
-    rows inside the test split. Set semantics via ``intersect`` (a shuffle on the row values,
-    never a collected set)."""
+    rows inside the test split (set semantics, as ``intersect``). One partially-aggregated
+    ``groupBy(features, label, split)`` over the split table; every count is then a
+    second-level aggregate of that distinct-row table — no intersect, no second scan."""
     feats = list(features or spec.features)
     rows = feats + [spec.target]
-    f_over = train.select(*feats).intersect(test.select(*feats)).agg(F.count(F.lit(1)).alias("v"))
-    r_over = train.select(*rows).intersect(test.select(*rows)).agg(F.count(F.lit(1)).alias("v"))
-    dup_f = duplicate_rows(test, feats)
-    dup_r = duplicate_rows(test, rows)
-    n_test = test.agg(F.count(F.lit(1)).alias("v"))
-    parts = [n_test.select(F.lit("n_test").alias("m"), "v"),
-             dup_f.select(F.lit("dup_test_features").alias("m"), F.col("n").alias("v")),
-             dup_r.select(F.lit("dup_test_rows").alias("m"), F.col("n").alias("v")),
-             f_over.select(F.lit("feature_overlap").alias("m"), "v"),
-             r_over.select(F.lit("row_overlap").alias("m"), "v")]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+    g = split_df.groupBy(*rows, split_col).agg(F.count(F.lit(1)).alias("c"))
+    is_test = F.col(split_col) == "test"
+    by_row = g.groupBy(*rows).agg(F.max(F.when(~is_test, 1).otherwise(0)).alias("tr"),
+                                  F.max(F.when(is_test, 1).otherwise(0)).alias("te"),
+                                  F.sum(F.when(is_test, F.col("c")).otherwise(0)).alias("c_te"))
+    by_feat = by_row.groupBy(*feats).agg(F.max("tr").alias("tr"), F.max("te").alias("te"), F.sum("c_te").alias("c_te"))
+    r = by_row.agg(F.sum("c_te").alias("n_test"), F.sum(F.greatest(F.col("c_te") - 1, F.lit(0))).alias("dup_test_rows"),
+                   F.count_if((F.col("tr") == 1) & (F.col("te") == 1)).alias("row_overlap"))
+    f = by_feat.agg(F.sum(F.greatest(F.col("c_te") - 1, F.lit(0))).alias("dup_test_features"),
+                    F.count_if((F.col("tr") == 1) & (F.col("te") == 1)).alias("feature_overlap"))
     names = ["n_test", "dup_test_features", "dup_test_rows", "feature_overlap", "row_overlap"]
-    # five one-row aggregates -> one row, without a join
-    return u.groupBy().pivot("m", names).agg(F.first("v")).select(*[F.col(n).cast("bigint") for n in names])
+    u = (r.select(F.inline(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("bigint").alias("v"))
+                                     for m in ("n_test", "dup_test_rows", "row_overlap")])))
+         .unionByName(f.select(F.inline(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("bigint").alias("v"))
+                                                  for m in ("dup_test_features", "feature_overlap")])))))
+    # two one-row aggregates -> one row, without a join
+    return u.groupBy().pivot("m", names).agg(F.first("v")).select(
+        *[F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n) for n in names])
 
 
 def dataset_profile(df: DataFrame, spec: TableSpec, name: str) -> DataFrame:

@@ -28,10 +28,12 @@ def probability_table(df: DataFrame, classes: Sequence, probs: str = "probabilit
     k = len(classes)
     checked = F.when(F.size(probs) == k, F.col(probs)).otherwise(
         F.raise_error(F.format_string(f"Probability vector length mismatch. Expected {k}, found %d", F.size(probs))))
-    names = F.array(*[F.lit(str(c)) for c in classes])
-    structs = F.transform(checked, lambda p, i: F.struct((-p).alias("neg"), names[i].alias("class"), p.alias("probability")))
+    t = df.select(key, checked.alias("__p"))
+    p = [F.col("__p")[i] for i in range(k)]  # fixed k: plain indexing stays in codegen (no lambda)
+    structs = F.array(*[F.struct((-p[i]).alias("neg"), F.lit(str(c)).alias("class"), p[i].alias("probability"))
+                        for i, c in enumerate(classes)])
     ranked = F.posexplode(F.sort_array(structs))
-    return df.select(key, ranked.alias("pos", "s")).select(
+    return t.select(key, ranked.alias("pos", "s")).select(
         key, F.col("s.class").alias("class"), F.col("s.probability").alias("probability"),
         (F.col("s.probability") * 100.0).alias("percent"), (F.col("pos") + 1).cast("int").alias("rank"))
 
@@ -40,10 +42,10 @@ def rank_contributions(df: DataFrame, features: Sequence[str], key: str = "row_i
                        contrib: str = "contributions") -> DataFrame:
     """Per row, features ordered by |contribution| (desc, ties by name); bar length =
     |c| / max |c| of the row (0 when all are 0)."""
-    names = F.array(*[F.lit(f) for f in features])
-    structs = F.transform(F.col(contrib), lambda c, i: F.struct((-F.abs(c)).alias("neg"), names[i].alias("feature"),
-                                                                c.alias("contribution")))
-    mx = F.array_max(F.transform(F.col(contrib), lambda c: F.abs(c)))
+    c = [F.col(contrib)[i] for i in range(len(features))]  # fixed length: no lambda
+    structs = F.array(*[F.struct((-F.abs(c[i])).alias("neg"), F.lit(f).alias("feature"), c[i].alias("contribution"))
+                        for i, f in enumerate(features)])
+    mx = F.greatest(*[F.abs(x) for x in c]) if len(c) > 1 else F.abs(c[0])
     t = df.select(key, mx.alias("mx"), F.posexplode(F.sort_array(structs)).alias("pos", "s"))
     return t.select(key, F.col("s.feature").alias("feature"), F.col("s.contribution").alias("contribution"),
                     F.abs("s.contribution").alias("abs_contribution"), (F.col("pos") + 1).cast("int").alias("rank"),

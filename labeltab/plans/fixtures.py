@@ -94,7 +94,7 @@ def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.floor((e - 1) / 10).cast("int").alias("cls"))
 
 
-def rule_predictions(d2df: DataFrame) -> DataFrame:
+def rule_predictions(d2df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """D3: three deterministic rule models in one pass (explode, not a union of three scans)."""
     q = F.col("l_quantity")
     preds = F.array(
@@ -102,8 +102,8 @@ def rule_predictions(d2df: DataFrame) -> DataFrame:
         F.struct(F.lit("m_shift").alias("model"), F.least(F.floor(q / 10), F.lit(4)).cast("int").alias("prediction")),
         F.struct(F.lit("m_const").alias("model"), F.lit(0).alias("prediction")),
     )
-    return d2df.select("rid", F.col("cls").alias("label"), F.inline(preds)) \
-        .select("model", "rid", "label", "prediction")
+    return d2df.select("rid", F.col("cls").alias("label"), *keep, F.inline(preds)) \
+        .select("model", "rid", "label", "prediction", *keep)
 
 
 def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +126,10 @@ LINEAR_WEIGHTS = {"l_quantity": 0.1, "l_discount": -20.0, "l_tax": 25.0}
 def rule_probabilities(d2df: DataFrame) -> DataFrame:
     """(rid, probability array<double>) — a softmax over distances to the class centres."""
     q = F.col("l_quantity")
-    raw = F.array(*[F.exp(-F.pow((q - F.lit(c)) / PROB_SPREAD, 2)) for c in PROB_CENTRES])
-    tot = F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x)
-    return d2df.select(F.col("rid").alias("row_id"), F.transform(raw, lambda x: x / tot).alias("probability"))
+    raw = [F.exp(-F.pow((q - F.lit(c)) / PROB_SPREAD, 2)) for c in PROB_CENTRES]
+    t = d2df.select(F.col("rid").alias("row_id"), *[r.alias(f"e{i}") for i, r in enumerate(raw)])
+    tot = sum((F.col(f"e{i}") for i in range(1, len(raw))), F.col("e0"))  # left to right, as a fold
+    return t.select("row_id", F.array(*[F.col(f"e{i}") / tot for i in range(len(raw))]).alias("probability"))
 
 
 def linear_contributions(d2df: DataFrame) -> DataFrame:
