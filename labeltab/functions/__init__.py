@@ -2,6 +2,7 @@
 
 from labeltab.functions.exprs import (  # noqa: F401
     blank_or_null,
+    bounded_broadcast,
     clean_number,
     feature_structs,
     hash_order_key,

@@ -113,3 +113,10 @@ def feature_structs(fields: Iterable[tuple[str, dict[str, Column]]]) -> Column:
 def inline_features(df: DataFrame, fields: Iterable[tuple[str, dict[str, Column]]],
                     keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*keep, F.inline(feature_structs(fields)))
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Broadcast hint only after proving the side has at most ``max_rows`` rows (a
+    ``limit(max_rows + 1).count()`` job); otherwise leave the join strategy to the optimizer."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

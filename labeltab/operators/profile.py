@@ -28,6 +28,7 @@ from labeltab.functions.exprs import (
     quantiles,
     sanitize,
 )
+from labeltab.functions.quantile import distributed_quantiles, quantile_columns
 from labeltab.spec import TableSpec
 
 
@@ -41,7 +42,32 @@ def _labelled(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 
 def _q(spec: TableSpec, v, probs):
-    return quantiles(v, probs, spec.exact_quantiles, spec.approx_accuracy)
+    return quantiles(v, probs, spec.quantile_mode != "approx", spec.approx_accuracy)
+
+
+def quantile_plan(df: DataFrame, spec: TableSpec, feats: Sequence[str]) -> str:
+    """"percentile" (in-buffer aggregate), "distributed" (exact sort) or "approx"."""
+    if spec.quantile_mode != "auto":
+        return spec.quantile_mode
+    est = df.agg(*[F.approx_count_distinct(clean_number(f, _dt(df, f))).alias(f"d{i}")
+                   for i, f in enumerate(feats)]).first()  # one HLL pass, f numbers back
+    worst = max((est[f"d{i}"] or 0) for i in range(len(feats))) if feats else 0
+    return "percentile" if worst <= spec.percentile_buffer_limit else "distributed"
+
+
+_QNAMES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
+def _attach_quantiles(long: DataFrame, df: DataFrame, spec: TableSpec, groups: Sequence[str],
+                      feats: Sequence[str], stats: Sequence[str], rename: dict[str, str],
+                      order: Sequence[str]) -> DataFrame:
+    """Join exact distributed quantiles (one row per group x feature) onto a long result."""
+    qs = [s for s in ("q1", "median", "q3") if s in stats]
+    if not qs:
+        return long
+    qdf = quantile_columns(distributed_quantiles(df, groups, feats, [_QNAMES[s] for s in qs]),
+                           [*groups, "feature"], {_QNAMES[s]: rename.get(s, s) for s in qs})
+    return long.join(qdf, [*groups, "feature"], "left").select(*order)
 
 
 # ---- A01–A03 class counts ---------------------------------------------------------------
@@ -83,8 +109,11 @@ def class_balance(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 # ---- A04–A07 summaries ------------------------------------------------------------------
 
-def _stat_aggs(df: DataFrame, spec: TableSpec, feats: Sequence[str], stats: Sequence[str]):
+def _stat_aggs(df: DataFrame, spec: TableSpec, feats: Sequence[str], stats: Sequence[str],
+               with_quantiles: bool = True):
     """Aggregate expressions, one set per feature, named ``<stat>__<i>``."""
+    if not with_quantiles:
+        stats = [s for s in stats if s not in ("q1", "median", "q3")]
     aggs = []
     for i, f in enumerate(feats):
         dt = _dt(df, f)
@@ -113,8 +142,11 @@ def _stat_aggs(df: DataFrame, spec: TableSpec, feats: Sequence[str], stats: Sequ
     return aggs
 
 
-def _stat_fields(feats: Sequence[str], stats: Sequence[str], names: dict[str, str] | None = None):
+def _stat_fields(feats: Sequence[str], stats: Sequence[str], names: dict[str, str] | None = None,
+                 with_quantiles: bool = True):
     names = names or {}
+    if not with_quantiles:
+        stats = [s for s in stats if s not in ("q1", "median", "q3")]
     qs = [s for s in ("q1", "median", "q3") if s in stats]
     out = []
     for i, f in enumerate(feats):
@@ -134,17 +166,22 @@ def describe(df: DataFrame, spec: TableSpec, features: Sequence[str] | None = No
     """Count, mean, std, min, quartiles, max and missing per feature (one pass)."""
     feats = list(features or spec.features)
     stats = ["n", "mean", "std", "min", "q1", "median", "q3", "max", "n_missing"]
-    one = df.agg(*_stat_aggs(df, spec, feats, stats))
-    fields = _stat_fields(feats, stats, {"q1": "p25", "median": "p50", "q3": "p75"})
-    return one.select(F.inline(feature_structs(fields)))
+    names = {"q1": "p25", "median": "p50", "q3": "p75"}
+    inq = quantile_plan(df, spec, feats) != "distributed"
+    one = df.agg(*_stat_aggs(df, spec, feats, stats, inq))
+    out = one.select(F.inline(feature_structs(_stat_fields(feats, stats, names, inq))))
+    order = ["feature", *[names.get(s, s) for s in stats]]
+    return out if inq else _attach_quantiles(out, df, spec, [], feats, stats, names, order)
 
 
 def feature_summary(df: DataFrame, spec: TableSpec, features: Sequence[str] | None = None) -> DataFrame:
     """Min, max, mean, median, std, number of distinct values per feature."""
     feats = list(features or spec.features)
     stats = ["min", "max", "mean", "median", "std", "n_unique"]
-    one = df.agg(*_stat_aggs(df, spec, feats, stats))
-    return one.select(F.inline(feature_structs(_stat_fields(feats, stats))))
+    inq = quantile_plan(df, spec, feats) != "distributed"
+    one = df.agg(*_stat_aggs(df, spec, feats, stats, inq))
+    out = one.select(F.inline(feature_structs(_stat_fields(feats, stats, None, inq))))
+    return out if inq else _attach_quantiles(out, df, spec, [], feats, stats, {}, ["feature", *stats])
 
 
 def class_stats(df: DataFrame, spec: TableSpec, features: Sequence[str] | None = None,
@@ -154,13 +191,25 @@ def class_stats(df: DataFrame, spec: TableSpec, features: Sequence[str] | None =
     feats = list(features or spec.features)
     stats = (["n", "mean", "median", "std", "min", "q1", "q3", "max"] if five_number
              else ["mean", "median", "std", "min", "max"])
-    wide = (_labelled(df, spec).groupBy(F.col(spec.target).alias("label"))
-            .agg(*_stat_aggs(df, spec, feats, stats)))
-    fields = _stat_fields(feats, stats)
-    if five_number:
+    lab = _labelled(df, spec)
+    inq = quantile_plan(lab, spec, feats) != "distributed"
+    wide = lab.groupBy(F.col(spec.target).alias("label")).agg(*_stat_aggs(df, spec, feats, stats, inq))
+    fields = _stat_fields(feats, stats, None, inq)
+    if five_number and inq:
         for _, cols in fields:
             cols["iqr"] = cols["q3"] - cols["q1"]
-    return wide.select("label", F.inline(feature_structs(fields)))
+    out = wide.select("label", F.inline(feature_structs(fields)))
+    if inq:
+        return out
+    order = ["label", "feature", *stats] + (["iqr"] if five_number else [])
+    lab2 = lab.withColumn("label", F.col(spec.target))
+    out = out.join(quantile_columns(distributed_quantiles(lab2, ["label"], feats,
+                                                          [_QNAMES[s] for s in ("q1", "median", "q3") if s in stats]),
+                                    ["label", "feature"], {_QNAMES[s]: s for s in ("q1", "median", "q3") if s in stats}),
+                   ["label", "feature"], "left")
+    if five_number:
+        out = out.withColumn("iqr", F.col("q3") - F.col("q1"))
+    return out.select(*order)
 
 
 def class_stats_wide(df: DataFrame, spec: TableSpec, features: Sequence[str] | None = None) -> DataFrame:
@@ -181,6 +230,9 @@ def class_stats_wide(df: DataFrame, spec: TableSpec, features: Sequence[str] | N
 
 def _fences(df: DataFrame, spec: TableSpec, feats: Sequence[str]) -> list[tuple[float, float]]:
     """(q1, q3) per feature — one aggregate row, bounded by the feature count."""
+    if quantile_plan(df, spec, feats) == "distributed":
+        got = {(r.feature, r.p): r.q for r in distributed_quantiles(df, [], feats, [0.25, 0.75]).collect()}
+        return [(got.get((f, 0.25)), got.get((f, 0.75))) for f in feats]  # f x 2 numbers
     row = df.agg(*[_q(spec, clean_number(f, _dt(df, f)), [0.25, 0.75]).alias(f"q{i}")
                    for i, f in enumerate(feats)]).first()
     return [tuple(row[f"q{i}"]) if row[f"q{i}"] is not None else (None, None) for i in range(len(feats))]
@@ -237,8 +289,17 @@ def box_stats(df: DataFrame, spec: TableSpec, features: Sequence[str] | None = N
     fences (literals)."""
     feats = list(features or spec.features)
     lab = _labelled(df, spec).withColumn("label", F.col(spec.target).cast("string"))
-    qagg = [_q(spec, clean_number(f, _dt(df, f)), [0.25, 0.5, 0.75]).alias(f"q{i}") for i, f in enumerate(feats)]
-    quart = lab.rollup("label").agg(F.grouping("label").alias("g"), *qagg)
+    if quantile_plan(lab, spec, feats) == "distributed":
+        names = {0.25: "a", 0.5: "b", 0.75: "c"}
+        per = quantile_columns(distributed_quantiles(lab, ["label"], feats, list(names)), ["label", "feature"], names)
+        allq = quantile_columns(distributed_quantiles(lab, [], feats, list(names)), ["feature"], names) \
+            .withColumn("label", F.lit(None).cast("string"))
+        u = per.withColumn("g", F.lit(0)).unionByName(allq.withColumn("g", F.lit(1)))
+        quart = u.groupBy("label", "g").agg(*[F.max(F.when(F.col("feature") == f, F.array("a", "b", "c"))).alias(f"q{i}")
+                                             for i, f in enumerate(feats)])  # (k + 1) x f rows
+    else:
+        qagg = [_q(spec, clean_number(f, _dt(df, f)), [0.25, 0.5, 0.75]).alias(f"q{i}") for i, f in enumerate(feats)]
+        quart = lab.rollup("label").agg(F.grouping("label").alias("g"), *qagg)
     overall = quart.where("g = 1").first()
     per_class = quart.where("g = 0")
     n_cls = per_class.count()

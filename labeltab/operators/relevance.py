@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labeltab.functions.exprs import clean_number, is_missing, xlogy
+from labeltab.functions.exprs import clean_number, is_missing
 from labeltab.spec import TableSpec
 
 
@@ -226,14 +226,27 @@ def class_ranges(df: DataFrame, spec: TableSpec, features: Sequence[str] | None
                  tolerance: int = 0) -> DataFrame:
     """R10 per-class [min, max] and the number of other-class rows inside it; R11 ``exclusive``
     when that number is <= ``tolerance``. Range join: distinct (feature, value, class) counts
-    against the broadcast k x f bounds table."""
-    vals, bounds = class_bounds(df, spec, features)
+    against the k x f bounds, which are collected (row count checked against max_classes) and
+    broadcast as a local relation of proven size."""
+    feats = list(features or spec.features)
+    lab = df.where(~is_missing(spec.target, _dt(df, spec.target)))
+    aggs = []
+    for i, f in enumerate(feats):
+        v = clean_number(f, _dt(df, f))
+        aggs += [F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}"), F.count(v).alias(f"n{i}")]
+    per_class = lab.groupBy(F.col(spec.target).alias("label")).agg(*aggs).limit(spec.max_classes + 1).collect()
+    if len(per_class) > spec.max_classes:
+        raise ValueError(f"more than max_classes={spec.max_classes} classes")
+    rows = [(f, r["label"], r[f"a{i}"], r[f"b{i}"], r[f"n{i}"]) for r in per_class for i, f in enumerate(feats)
+            if r[f"n{i}"]]
+    ltype = df.schema[spec.target].dataType.simpleString()
+    bounds = df.sparkSession.createDataFrame(rows, f"feature string, label {ltype}, min double, max double, n bigint")
+    vals = _long_values(df, spec, feats).groupBy("feature", "value", "label").agg(F.count(F.lit(1)).alias("cnt"))
     v = vals.alias("v")
-    b = bounds.alias("b")
+    b = F.broadcast(bounds).alias("b")
     cond = ((F.col("v.feature") == F.col("b.feature")) & (F.col("v.value") >= F.col("b.min"))
             & (F.col("v.value") <= F.col("b.max")) & (F.col("v.label") != F.col("b.label")))
-    inside = (v.join(F.broadcast(b), cond)  # k x f bounds, size checked by the caller's spec
-              .groupBy(F.col("b.feature").alias("feature"), F.col("b.label").alias("label"))
+    inside = (v.join(b, cond).groupBy(F.col("b.feature").alias("feature"), F.col("b.label").alias("label"))
               .agg(F.sum("v.cnt").alias("inside")))
     return (bounds.join(inside, ["feature", "label"], "left")
             .select("feature", "label", "min", "max", "n",

@@ -31,7 +31,9 @@ def label_dimension(df: DataFrame, spec: TableSpec) -> DataFrame:
         labels = sorted(spec.expected_classes)
         return df.sparkSession.createDataFrame([(str(c), i) for i, c in enumerate(labels)], "label string, code int")
     d = _labelled(df, spec).select(F.col(spec.target).cast("string").alias("label")).distinct()
-    return d.withColumn("code", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("int"))  # k rows
+    if d.limit(spec.max_classes + 1).count() > spec.max_classes:
+        raise ValueError(f"more than max_classes={spec.max_classes} labels")
+    return d.withColumn("code", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("int"))  # k rows, checked
 
 
 def encode(df: DataFrame, spec: TableSpec, dim: DataFrame, out: str = "code") -> DataFrame:
@@ -114,7 +116,7 @@ def stratified_folds(train: DataFrame, spec: TableSpec) -> DataFrame:
     counts = _labelled(train, spec).groupBy(spec.target).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy(spec.target).rowsBetween(Window.unboundedPreceding, -1)  # k rows
     off = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
-    return (ranked.join(F.broadcast(off), spec.target)
+    return (ranked.join(off, spec.target)  # k rows: the optimizer broadcasts it under its threshold
             .withColumn("fold", ((F.col("__off") + F.col("rank_in_class") - 1) % spec.n_folds).cast("int"))
             .drop("__off", "__h", "rank_in_class"))
 

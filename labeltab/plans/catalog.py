@@ -833,3 +833,33 @@ def s09(spark, sf):
 @register("s10_json_entries")
 def s10(spark, sf):
     return IO.json_entries(X.load(spark, sf, "events"), "event_id", "props", "bigint")
+
+
+# ---- exact quantiles through the distributed sort (the path large continuous columns take) --
+
+_DIST = {"quantile_mode": "distributed"}
+
+
+@register("a04_describe_distributed")
+def a04d(spark, sf):
+    return finish(A.describe(li(spark, sf), X.LI_SPEC.with_(**_DIST)))
+
+
+@register("a05_feature_summary_distributed")
+def a05d(spark, sf):
+    return finish(A.feature_summary(X.load(spark, sf, "part"), X.PT_SPEC.with_(**_DIST)))
+
+
+@register("a07_class_summary_distributed")
+def a07d(spark, sf):
+    return finish(A.class_stats(li(spark, sf), X.LI_SPEC.with_(**_DIST), five_number=True))
+
+
+@register("a08_iqr_outliers_distributed")
+def a08d(spark, sf):
+    return finish(A.iqr_outliers(li(spark, sf), X.LI_SPEC.with_(**_DIST)))
+
+
+@register("a12_box_stats_distributed")
+def a12d(spark, sf):
+    return finish(A.box_stats(li(spark, sf), X.LI_SPEC.with_(**_DIST)))

@@ -869,3 +869,9 @@ ORACLE["s08_split_reload"] = f"WITH {LI_SPLIT} SELECT l_returnflag AS label, cou
 ORACLE["s09_report_sink"] = ORACLE["a05_feature_summary"]
 ORACLE["s10_json_entries"] = """SELECT e.event_id, j.key AS entry, CAST(j.value AS BIGINT) AS value
 FROM events e, json_each(e.props) j"""
+
+ORACLE["a04_describe_distributed"] = ORACLE["a04_describe"]
+ORACLE["a05_feature_summary_distributed"] = ORACLE["a05_feature_summary"]
+ORACLE["a07_class_summary_distributed"] = ORACLE["a07_class_summary"]
+ORACLE["a08_iqr_outliers_distributed"] = ORACLE["a08_iqr_outliers_lineitem"]
+ORACLE["a12_box_stats_distributed"] = ORACLE["a12_box_stats"]

@@ -23,9 +23,11 @@ class TableSpec:
     seed: int = 42
     test_fraction: float = 0.2
     n_folds: int = 5
-    # exact quantiles keep a per-group value map (fine for discrete / rounded data);
-    # set False on large continuous columns to use percentile_approx
-    exact_quantiles: bool = True
+    # quantiles: "auto" = exact; the in-buffer ``percentile`` aggregate when every feature has
+    # at most ``percentile_buffer_limit`` distinct values (HLL estimate), else the exact
+    # distributed sort; "percentile" / "distributed" force one; "approx" = percentile_approx
+    quantile_mode: str = "auto"
+    percentile_buffer_limit: int = 200_000
     approx_accuracy: int = 10000
     # guard for anything collected to the driver per class (bounds, quotas, class lists)
     max_classes: int = 10000
