@@ -29,13 +29,20 @@ def long_values(df: DataFrame, groups: Sequence[str], features: Sequence[str]) -
 
 
 def distributed_quantiles(df: DataFrame, groups: Sequence[str], features: Sequence[str],
-                          probs: Sequence[float], partitions: int | None = None) -> DataFrame:
-    """(groups..., feature, p, q) for every group, feature and probability."""
+                          probs: Sequence[float], partitions: int | None = None,
+                          overall_label: str | None = None) -> DataFrame:
+    """(groups..., feature, p, q) for every group, feature and probability. With
+    ``overall_label`` (one string group column) the all-rows quantiles are added under that
+    label, derived from the per-group value counts — still a single range pass."""
     groups = list(groups)
     keys = [*groups, "feature"]
     spark = df.sparkSession
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vc = long_values(df, groups, features).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+    if overall_label is not None:
+        g = groups[0]
+        vc = vc.unionByName(vc.groupBy("feature", "v").agg(F.sum("c").alias("c"))
+                            .withColumn(g, F.lit(overall_label)))
     rp = vc.repartitionByRange(n_parts, *keys, "v").withColumn("pid", F.spark_partition_id())
     chunks = rp.groupBy(*keys, "pid").agg(F.sum("c").alias("cn"))
     before = Window.partitionBy(*keys).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -291,20 +291,22 @@ def box_stats(df: DataFrame, spec: TableSpec, features: Sequence[str] | None = N
     lab = _labelled(df, spec).withColumn("label", F.col(spec.target).cast("string"))
     if quantile_plan(lab, spec, feats) == "distributed":
         names = {0.25: "a", 0.5: "b", 0.75: "c"}
-        per = quantile_columns(distributed_quantiles(lab, ["label"], feats, list(names)), ["label", "feature"], names)
-        allq = quantile_columns(distributed_quantiles(lab, [], feats, list(names)), ["feature"], names) \
-            .withColumn("label", F.lit(None).cast("string"))
-        u = per.withColumn("g", F.lit(0)).unionByName(allq.withColumn("g", F.lit(1)))
+        both = quantile_columns(distributed_quantiles(lab, ["label"], feats, list(names), overall_label="\u0000*"),
+                                ["label", "feature"], names)
+        u = both.select(F.when(F.col("label") == "\u0000*", F.lit(None)).otherwise(F.col("label")).alias("label"),
+                        (F.col("label") == "\u0000*").cast("int").alias("g"), "feature", "a", "b", "c")
         quart = u.groupBy("label", "g").agg(*[F.max(F.when(F.col("feature") == f, F.array("a", "b", "c"))).alias(f"q{i}")
                                              for i, f in enumerate(feats)])  # (k + 1) x f rows
     else:
         qagg = [_q(spec, clean_number(f, _dt(df, f)), [0.25, 0.5, 0.75]).alias(f"q{i}") for i, f in enumerate(feats)]
         quart = lab.rollup("label").agg(F.grouping("label").alias("g"), *qagg)
-    overall = quart.where("g = 1").first()
+    # the (k + 1)-row quartile table is computed once and reused as a local relation
+    qrows = quart.limit(spec.max_classes + 2).collect()
+    if len(qrows) > spec.max_classes + 1:
+        raise ValueError(f"more than max_classes={spec.max_classes} classes")
+    quart = df.sparkSession.createDataFrame(qrows, quart.schema)
+    overall = next(r for r in qrows if r["g"] == 1)
     per_class = quart.where("g = 0")
-    n_cls = per_class.count()
-    if n_cls > spec.max_classes:
-        raise ValueError(f"{n_cls} classes exceed max_classes={spec.max_classes}")
     fence_cols = []
     for i in range(len(feats)):
         q = F.col(f"q{i}")

@@ -27,7 +27,8 @@ class TableSpec:
     # at most ``percentile_buffer_limit`` distinct values (HLL estimate), else the exact
     # distributed sort; "percentile" / "distributed" force one; "approx" = percentile_approx
     quantile_mode: str = "auto"
-    percentile_buffer_limit: int = 200_000
+    # ~40 MB of hash map per (group, feature) at 1M distinct values; above it, sort instead
+    percentile_buffer_limit: int = 1_000_000
     approx_accuracy: int = 10000
     # guard for anything collected to the driver per class (bounds, quotas, class lists)
     max_classes: int = 10000
