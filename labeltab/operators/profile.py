@@ -496,16 +496,17 @@ def dataset_profile(df: DataFrame, spec: TableSpec, name: str) -> DataFrame:
         F.count_distinct(F.when(~is_missing(spec.target, dt[spec.target]), F.col(spec.target))).cast("bigint").alias("n_classes"))
 
 
-def compare_datasets(profiles: Sequence[DataFrame]) -> DataFrame:
-    """Side-by-side metrics; one row per metric, one column per dataset."""
-    u = profiles[0]
-    for p in profiles[1:]:
+def compare_datasets(profiles: dict[str, DataFrame]) -> DataFrame:
+    """Side-by-side metrics; one row per metric, one column per dataset (name -> the
+    one-row ``dataset_profile``). Pivot values are the given names, so nothing runs twice."""
+    frames = list(profiles.values())
+    u = frames[0]
+    for p in frames[1:]:
         u = u.unionByName(p)
     metrics = ["n_rows", "n_columns", "n_duplicates", "n_missing", "n_classes"]
     long = u.select("dataset", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
                                                   for m in metrics])))
-    names = [r[0] for r in u.select("dataset").collect()]  # one row per profiled dataset
-    return long.groupBy("metric").pivot("dataset", names).agg(F.first("value")).orderBy("metric")
+    return long.groupBy("metric").pivot("dataset", list(profiles)).agg(F.first("value")).orderBy("metric")
 
 
 def rank_features(relevance: DataFrame, score: str = "f_stat") -> DataFrame:

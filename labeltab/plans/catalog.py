@@ -167,8 +167,8 @@ def a16(spark, sf):
 def a19(spark, sf):
     od = X.load(spark, sf, "orders")
     pt = X.load(spark, sf, "part")
-    return A.compare_datasets([A.dataset_profile(od, X.OD_SPEC, "orders"),
-                               A.dataset_profile(pt, X.PT_SPEC, "part")])
+    return A.compare_datasets({"orders": A.dataset_profile(od, X.OD_SPEC, "orders"),
+                               "part": A.dataset_profile(pt, X.PT_SPEC, "part")})
 
 
 @register("a20_feature_rank")
@@ -564,7 +564,7 @@ def m28(spark, sf):
 
 from labeltab.operators import explain as EX  # noqa: E402
 from labeltab.operators import models as ML  # noqa: E402
-from labeltab.session import scratch_path  # noqa: E402
+from labeltab.session import ensure_checkpoint_dir, scratch_path  # noqa: E402
 from labeltab.streaming import scoring as ST  # noqa: E402
 
 _FITTED: dict = {}
@@ -577,6 +577,7 @@ def d2_split_ckpt(spark, sf):
     checkpoint files instead of recomputing the digest ranking."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _SPLITS:
+        ensure_checkpoint_dir(spark)
         _SPLITS[key] = d2_split(spark, sf).checkpoint()
     return _SPLITS[key]
 
