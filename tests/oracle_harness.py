@@ -55,17 +55,37 @@ def close(a, b, tol=1e-6) -> bool:
     return a == b
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT",
+                 "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
+def type_mismatches(sdf, rel) -> list[str]:
+    """Columns whose Spark type does not correspond to the oracle's DuckDB type."""
+    st = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    dt = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    return [f"{c}: spark {st[c]} vs oracle {dt.get(c)}" for c in sorted(st) if c in dt and st[c] != dt[c]]
+
+
 def compare(spark, con, name: str, fn, sql: str, sf_dir: str) -> dict:
     t0 = time.time()
-    sp = fn(spark, sf_dir).toPandas()
+    sdf = fn(spark, sf_dir)
+    sp = sdf.toPandas()
     t1 = time.time()
-    dk = con.execute(sql).df()
+    rel = con.sql(sql)
+    types_bad = type_mismatches(sdf, rel)
+    dk = rel.df()
     res = {"name": name, "spark_rows": len(sp), "oracle_rows": len(dk), "spark_sec": round(t1 - t0, 2)}
     res["columns_match"] = sorted(sp.columns) == sorted(dk.columns)
     if not res["columns_match"]:
         res["detail"] = f"spark={sorted(sp.columns)} oracle={sorted(dk.columns)}"
         res["exact"] = res["close"] = False
         return res
+    res["types_match"] = not types_bad
+    if types_bad:
+        res["exact"] = res["close"] = False
+        res["detail"] = "types: " + "; ".join(types_bad)
+        return res
     a, b = rows_of(sp), rows_of(dk)
     res["exact"] = a == b
     res["close"] = len(a) == len(b) and all(all(close(x, y) for x, y in zip(ra, rb)) for ra, rb in zip(a, b))
