@@ -1,20 +1,30 @@
-"""Per-row attribution for the predicted class (M27), re-aimed as exact interventional
-Shapley values over feature coalitions.
-
-For f features and a background set of B rows, every scored row is expanded to 2^f x B
-synthetic rows (coalition features from the row, the rest from a background row) with
-``explode`` — no join. One ``model.transform`` scores them all, one ``groupBy(row)`` with a
-conditional mean per coalition gives v(S) (map-side partial aggregation collapses the B
-copies before the shuffle), and the Shapley weights combine v(S) into f contributions.
-Additivity holds exactly: sum of contributions = v(all) - v(none).
-
-The background set is a sampling operator by nature: the ``background`` rows with the lowest
-seeded digest (a bounded top-k, broadcast as literals).
+"""Per-row attribution for the predicted class (M27), re-aimed as interventional Shapley
+values over feature coalitions.
+
+Every attribution is a linear combination of coalition values: phi_i = sum_S coef[S, i] v(S),
+where v(S) is the mean model probability of the row's predicted class when the features in S
+come from the row and the rest from a background row. The coefficient table is built on the
+driver (coalitions x features, small):
+
+* exact — every coalition, Shapley weights |S|! (f-|S|-1)! / f! (used up to ``exact_max``
+  features);
+* sampled — ``permutations`` seeded random orders; each order telescopes from v(empty) to
+  v(all), so additivity (sum phi = v(all) - v(empty)) still holds exactly.
+
+The Spark plan is the same for both: rows are expanded to coalitions x background rows with
+``explode`` (no join), scored by one ``model.transform``, and reduced by one ``groupBy(row)``
+of coefficient-weighted sums (map-side partial aggregation collapses each row's expansion,
+so one row per input row is shuffled).
+
+The background set is a sampling operator by nature: the ``n`` rows with the lowest seeded
+digest (a bounded top-k, passed as literals).
 """
 
 from __future__ import annotations
 
 import math
+import random
+from collections import defaultdict
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
@@ -33,45 +43,72 @@ def background_rows(df: DataFrame, features: Sequence[str], key: str, n: int = 1
     return [[float(r[f]) for f in features] for r in rows]
 
 
-def _prob_of(model: PipelineModel, scored: DataFrame, cls: str) -> F.Column:
+def coalition_coefficients(f: int, exact_max: int = 10, permutations: int = 64,
+                           seed: int = 42) -> dict[int, list[float]]:
+    """mask -> per-feature coefficient, exact or from sampled permutations."""
+    coef: dict[int, list[float]] = defaultdict(lambda: [0.0] * f)
+    if f <= exact_max:
+        for s in range(1 << f):
+            size = bin(s).count("1")
+            for i in range(f):
+                if s >> i & 1:
+                    continue
+                w = math.factorial(size) * math.factorial(f - size - 1) / math.factorial(f)
+                coef[s | (1 << i)][i] += w
+                coef[s][i] -= w
+        return dict(coef)
+    rng = random.Random(seed)
+    for _ in range(permutations):
+        order = list(range(f))
+        rng.shuffle(order)
+        mask = 0
+        for i in order:
+            coef[mask | (1 << i)][i] += 1.0 / permutations
+            coef[mask][i] -= 1.0 / permutations
+            mask |= 1 << i
+    return dict(coef)
+
+
+def _prob_of(model: PipelineModel, cls: str) -> F.Column:
     clf = model.stages[-1]
     probs = ovr_probabilities() if isinstance(clf, OneVsRestModel) else vector_to_array("probability")
     return F.element_at(probs, F.col(cls) + 1)
 
 
 def shapley(model: PipelineModel, df: DataFrame, features: Sequence[str], key: str,
-            background: list[list[float]], max_features: int = 10) -> DataFrame:
-    """(key, predicted, score, base, contributions array) for every row of ``df``."""
+            background: list[list[float]], exact_max: int = 10, permutations: int = 64,
+            seed: int = 42) -> DataFrame:
+    """(key, predicted, score, base, contributions array) for every row of ``df``.
+
+    phi_i = sum_S coef[S, i] * mean_b p(S, b) = (1/B) * sum over the row's synthetic rows of
+    coef[S, i] * p — a linear aggregate, so a single ``groupBy(row)`` with f + 2 sums finishes
+    the job and map-side partial aggregation collapses each row's expansion before the one
+    shuffle. Coefficients are literal arrays indexed by coalition (coalitions x features)."""
     f = len(features)
-    if f > max_features:
-        raise ValueError("exact coalition expansion is limited to max_features features")
     B = len(background)
-    n_coal = 1 << f
+    full, empty = (1 << f) - 1, 0
+    coef = coalition_coefficients(f, exact_max, permutations, seed)
+    masks = sorted(set(coef) | {full, empty})
     first = model.transform(df.select(key, *features)).select(key, *features, F.col("prediction").cast("int").alias("__c"))
-    idx = F.explode(F.sequence(F.lit(0), F.lit(n_coal * B - 1)))
-    exp = first.select(key, "__c", *features, idx.alias("__i")).withColumn("__m", (F.col("__i") / B).cast("int")) \
-        .withColumn("__b", F.col("__i") % B)
+    idx = F.explode(F.sequence(F.lit(0), F.lit(len(masks) * B - 1)))
+    exp = (first.select(key, "__c", *features, idx.alias("__i"))
+           .withColumn("__k", (F.col("__i") / B).cast("int"))
+           .withColumn("__m", F.array(*[F.lit(m) for m in masks])[F.col("__k")])
+           .withColumn("__b", F.col("__i") % B))
     cols = {}
     for i, feat in enumerate(features):
         bg = F.array(*[F.lit(row[i]) for row in background])[F.col("__b")]
         cols[feat] = F.when(F.shiftright(F.col("__m"), i) % 2 == 1, F.col(feat).cast("double")).otherwise(bg)
-    z = exp.select(key, "__c", "__m", *[cols[ft].alias(ft) for ft in features])
-    scored = model.transform(z)
-    p = _prob_of(model, scored, "__c")
-    v = scored.select(key, "__c", "__m", p.alias("__p")).groupBy(key, "__c").agg(
-        *[F.avg(F.when(F.col("__m") == m, F.col("__p"))).alias(f"v{m}") for m in range(n_coal)])
-    contribs = []
-    for i in range(f):
-        terms = []
-        for s in range(n_coal):
-            if s >> i & 1:
-                continue
-            size = bin(s).count("1")
-            w = math.factorial(size) * math.factorial(f - size - 1) / math.factorial(f)
-            terms.append(F.lit(w) * (F.col(f"v{s | (1 << i)}") - F.col(f"v{s}")))
-        contribs.append(sum(terms[1:], terms[0]))
-    return v.select(key, F.col("__c").alias("predicted"), F.col(f"v{n_coal - 1}").alias("score"),
-                    F.col("v0").alias("base"), F.array(*contribs).alias("contributions"))
+    scored = model.transform(exp.select(key, "__c", "__k", "__m", *[cols[ft].alias(ft) for ft in features]))
+    p = _prob_of(model, "__c")
+    sums = [F.sum(F.array(*[F.lit(coef.get(m, [0.0] * f)[i]) for m in masks])[F.col("__k")] * p).alias(f"phi{i}")
+            for i in range(f)]
+    agg = scored.groupBy(key, "__c").agg(
+        *sums, F.sum(F.when(F.col("__m") == full, p)).alias("s_full"),
+        F.sum(F.when(F.col("__m") == empty, p)).alias("s_empty"))
+    return agg.select(key, F.col("__c").alias("predicted"), (F.col("s_full") / B).alias("score"),
+                      (F.col("s_empty") / B).alias("base"),
+                      F.array(*[F.col(f"phi{i}") / B for i in range(f)]).alias("contributions"))
 
 
 def contributions_long(sh: DataFrame, features: Sequence[str], key: str) -> DataFrame:

@@ -125,3 +125,31 @@ def test_artifact_contract_and_manifest(spark):
     assert man["lineitem.parquet"] == "found" and man["fertilizer.parquet"] == "missing"
     dig = C.s05(spark, SF_SMALL).collect()
     assert len(dig) == 14 and all(len(r.sha256) == 64 for r in dig)
+
+
+def test_sampled_permutations_cover_exact(spark):
+    """With every permutation of 3 features sampled many times, the sampled coefficients
+    converge to the exact Shapley weights; additivity holds for any sample."""
+    from labeltab.operators import explain as EX
+
+    exact = EX.coalition_coefficients(3, exact_max=10)
+    sampled = EX.coalition_coefficients(3, exact_max=0, permutations=6000, seed=1)
+    for m in range(8):
+        for i in range(3):
+            assert abs(exact.get(m, [0] * 3)[i] - sampled.get(m, [0] * 3)[i]) < 0.03
+    # telescoping: coefficients of each feature sum to zero except at the full / empty masks
+    for i in range(3):
+        tot = sum(cs[i] for cs in sampled.values())
+        assert abs(tot) < 1e-9
+
+
+def test_shapley_sampled_additivity(spark):
+    from labeltab.operators import explain as EX
+
+    model = C.fitted(spark, SF_SMALL, "Random Forest")
+    train = C.d2_split_ckpt(spark, SF_SMALL).where("split = 'train'")
+    bg = EX.background_rows(train, list(X.D2_FEATURES), "rid", n=4)
+    sh = EX.shapley(model, C.d2_test(spark, SF_SMALL), list(X.D2_FEATURES), "rid", bg, exact_max=0, permutations=5)
+    err = sh.select(F.max(F.abs(F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)
+                                - (F.col("score") - F.col("base")))).alias("e")).first().e
+    assert err < 1e-9
