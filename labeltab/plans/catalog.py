@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labeltab.functions.exprs import r6
+from labeltab.session import ensure_checkpoint_dir
 from labeltab.operators import profile as A
 from labeltab.operators import relevance as R
 from labeltab.plans import fixtures as X
@@ -496,15 +497,30 @@ def d2_split(spark, sf):
     return S.stratified_split(X.d2(spark, sf), X.D2_SPEC)
 
 
+_FITTED: dict = {}
+_SPLITS: dict = {}
+
+
+def d2_split_ckpt(spark, sf):
+    """The D2 split materialised once per application with a reliable ``checkpoint()`` in the
+    shared checkpoint folder: the model queries reuse it, and a lost executor re-reads the
+    checkpoint files instead of recomputing the digest ranking."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SPLITS:
+        ensure_checkpoint_dir(spark)
+        _SPLITS[key] = d2_split(spark, sf).checkpoint()
+    return _SPLITS[key]
+
+
 @register("m18_heldout_sample")
 def m18(spark, sf):
-    test = d2_split(spark, sf).where("split = 'test'")
+    test = d2_split_ckpt(spark, sf).where("split = 'test'")
     pred = X.rule_predictions(test).where("model = 'm_exact'")
     return M.heldout_sample(pred, "rid").withColumn("row_number", F.col("row_number").cast("int"))
 
 
 def d2_fold_metrics(spark, sf):
-    train = d2_split(spark, sf).where("split = 'train'")
+    train = d2_split_ckpt(spark, sf).where("split = 'train'")
     pred = X.rule_predictions(S.stratified_folds(train, X.D2_SPEC), keep=("fold",))
     return M.summary(M.confusion(pred, X.D2_CLASSES, ("model", "fold")), ("model", "fold"))
 
@@ -516,7 +532,7 @@ def m20(spark, sf):
 
 def stability_inputs(spark, sf):
     """One row of evidence for M22, assembled from aggregates without a join."""
-    sp = d2_split(spark, sf)
+    sp = d2_split_ckpt(spark, sf)
     test_pred = X.rule_predictions(sp.where("split = 'test'"))
     conf = M.confusion(test_pred, X.D2_CLASSES)
     summ = M.summary(conf)
@@ -565,24 +581,9 @@ def m28(spark, sf):
 
 from labeltab.operators import explain as EX  # noqa: E402
 from labeltab.operators import models as ML  # noqa: E402
-from labeltab.session import ensure_checkpoint_dir, scratch_path  # noqa: E402
+from labeltab.session import scratch_path  # noqa: E402
 from labeltab.streaming import scoring as ST  # noqa: E402
 
-_FITTED: dict = {}
-_SPLITS: dict = {}
-
-
-def d2_split_ckpt(spark, sf):
-    """The D2 split materialised once per application with a reliable ``checkpoint()`` in the
-    shared checkpoint folder: the model queries reuse it, and a lost executor re-reads the
-    checkpoint files instead of recomputing the digest ranking."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _SPLITS:
-        ensure_checkpoint_dir(spark)
-        _SPLITS[key] = d2_split(spark, sf).checkpoint()
-    return _SPLITS[key]
-
-
 def fitted(spark, sf, preset: str, features=None):
     """Fit once per (application, data folder, preset, features)."""
     key = (spark.sparkContext.applicationId, sf, preset, tuple(features or X.D2_FEATURES))
