@@ -123,8 +123,12 @@ def numeric_validity(df: DataFrame, features: Sequence[str], n_examples: int = 5
     u = ex[0]
     for e in ex[1:]:
         u = u.unionByName(e)
-    exs = u.groupBy("feature").agg(F.array_join(F.sort_array(F.collect_list("v")), ",").alias("examples"))  # <= k per feature
-    return counts.join(exs, "feature", "left").withColumn("examples", F.coalesce("examples", F.lit("")))
+    got: dict[str, list[str]] = {}
+    for r in u.collect():  # at most n_examples rows per feature
+        got.setdefault(r["feature"], []).append(r["v"])
+    text = {f: ",".join(sorted(v)) for f, v in got.items()}
+    lookup = F.create_map(*[x for f in features for x in (F.lit(f), F.lit(text.get(f, "")))])
+    return counts.withColumn("examples", F.coalesce(lookup[F.col("feature")], F.lit("")))
 
 
 def finite_gate(df: DataFrame, features: Sequence[str]) -> DataFrame:
