@@ -413,7 +413,7 @@ _TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineit
 
 ORACLE["q01_schema_contract"] = """
 WITH actual AS (SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name AS actual_column
-                FROM (DESCRIBE part)),
+                FROM (DESCRIBE SELECT * FROM part)),
 expected(position, expected_column) AS (VALUES """ + ", ".join(
     f"({i}, '{c}')" for i, c in enumerate(_PART_COLUMNS)) + """)
 SELECT CAST(coalesce(e.position, a.position) AS INTEGER) AS position, expected_column, actual_column,
@@ -422,7 +422,7 @@ FROM expected e FULL OUTER JOIN actual a ON e.position = a.position"""
 
 ORACLE["q02_required_columns"] = """
 WITH req(column_name) AS (VALUES ('p_partkey'), ('p_size'), ('p_retailprice'), ('p_brand'), ('p_color'))
-SELECT column_name, column_name IN (SELECT column_name FROM (DESCRIBE part)) AS present FROM req"""
+SELECT column_name, column_name IN (SELECT column_name FROM (DESCRIBE SELECT * FROM part)) AS present FROM req"""
 
 ORACLE["q03_non_empty"] = "\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, NOT EXISTS (SELECT 1 FROM {t}) AS is_empty" for t in _TABLES)
@@ -432,7 +432,7 @@ WITH want(column_name, expected_kind, pos) AS (VALUES ('p_size', 'numeric', 0),
 d AS (SELECT column_name, CASE WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT', 'SMALLINT', 'TINYINT')
                               OR column_type LIKE 'DECIMAL%' THEN 'numeric'
                               WHEN column_type = 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS kind
-      FROM (DESCRIBE part))
+      FROM (DESCRIBE SELECT * FROM part))
 SELECT w.column_name, kind, expected_kind, CASE WHEN kind = expected_kind THEN 'OK' ELSE 'INVALID' END AS status
 FROM want w JOIN d USING (column_name)"""
 
