@@ -18,6 +18,11 @@ from labeltab.operators.contract import invalid_row_mask
 from labeltab.spec import TableSpec
 
 
+# Method tags of the missing-value step.
+METHOD_DROPPED = "drop_rows_with_missing_values"
+METHOD_NONE = "no_missing_values_found"
+
+
 def _dt(df: DataFrame, c: str) -> T.DataType:
     return df.schema[c].dataType
 
@@ -58,8 +63,7 @@ def drop_incomplete_report(df: DataFrame, subset: Sequence[str]) -> DataFrame:
     m = missing_row_mask(df, subset)
     return df.agg(F.count(F.lit(1)).alias("n_before"), F.count_if(m).alias("n_missing_rows")).select(
         "n_before", "n_missing_rows", (F.col("n_before") - F.col("n_missing_rows")).alias("n_after"),
-        F.when(F.col("n_missing_rows") > 0, F.lit("drop_rows_with_missing_values"))
-         .otherwise(F.lit("no_missing_values_found")).alias("method"))
+        F.when(F.col("n_missing_rows") > 0, F.lit(METHOD_DROPPED)).otherwise(F.lit(METHOD_NONE)).alias("method"))
 
 
 def drop_duplicates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -291,6 +291,14 @@ def encoded_range(split_df: DataFrame, code: str = "code") -> DataFrame:
 
 # ---- Q18 row validation ------------------------------------------------------------------------
 
+# Row-validation message templates, in check order.
+MSG_NOT_NUMERIC = "{f} must be numeric."
+MSG_NAN = "{f} cannot be NaN."
+MSG_INFINITE = "{f} cannot be infinite."
+MSG_BELOW_MIN = "{f} must be greater than or equal to {b}."
+MSG_ABOVE_MAX = "{f} must be less than or equal to {b}."
+
+
 def _fmt_g(x: float) -> str:
     return format(float(x), "g")
 
@@ -311,17 +319,17 @@ def validate_rows(df: DataFrame, spec: TableSpec, check_bounds: bool = True) ->
         unparsed = num.isNull()
         is_nan = F.isnan(num)
         is_inf = num.isin(float("inf"), float("-inf"))
-        msgs.append(F.when(unparsed, F.lit(f"{f} must be numeric."))
-                    .when(is_nan, F.lit(f"{f} cannot be NaN."))
-                    .when(is_inf, F.lit(f"{f} cannot be infinite.")))
+        msgs.append(F.when(unparsed, F.lit(MSG_NOT_NUMERIC.format(f=f)))
+                    .when(is_nan, F.lit(MSG_NAN.format(f=f)))
+                    .when(is_inf, F.lit(MSG_INFINITE.format(f=f))))
         lo, hi = spec.bounds.get(f, (None, None)) if check_bounds else (None, None)
         finite = ~unparsed & ~is_nan & ~is_inf
         if lo is not None:
             msgs.append(F.when(finite & (num < F.lit(float(lo))),
-                               F.lit(f"{f} must be greater than or equal to {_fmt_g(lo)}.")))
+                               F.lit(MSG_BELOW_MIN.format(f=f, b=_fmt_g(lo)))))
         if hi is not None:
             msgs.append(F.when(finite & (num > F.lit(float(hi))),
-                               F.lit(f"{f} must be less than or equal to {_fmt_g(hi)}.")))
+                               F.lit(MSG_ABOVE_MAX.format(f=f, b=_fmt_g(hi)))))
     errors = F.filter(F.array(*msgs), lambda x: x.isNotNull())
     return (df.withColumn("errors", errors)
             .withColumn("n_errors", F.size("errors").cast("int"))

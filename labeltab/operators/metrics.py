@@ -15,6 +15,20 @@ from pyspark.sql import functions as F
 
 from labeltab.functions.exprs import safe_div
 
+# Best-model reason texts, stability-verdict categories and thresholds.
+REASON_BEST = ("Selected %s using Macro F1 as the primary criterion (%.4f), then Weighted F1 (%.4f), "
+               "then Accuracy (%.4f).")
+REASON_V1_TIED = ("Selected %s because it achieved the highest weighted F1-score (%.4f) among tied models, "
+                  "with accuracy %.4f and favorable simplicity/stability.")
+REASON_V1_SINGLE = "Selected %s because it achieved the highest weighted F1-score (%.4f) on the held-out test set."
+VERDICT_B = "B. Stable but heavily dependent on {feature}"
+VERDICT_C = "C. Highly sensitive to the train/test split"
+VERDICT_A = "A. Stable and robust"
+VERDICT_E = "E. Other"
+B_MIN_CV_F1, B_MIN_F1_DROP, B_MIN_IMPORTANCE = 0.98, 0.2, 0.8
+C_MAX_CV_STD = 0.03
+A_MIN_CV_F1, A_MIN_CLASS_F1 = 0.99, 0.95
+
 METRICS = ("accuracy", "weighted_precision", "weighted_recall", "weighted_f1",
            "macro_precision", "macro_recall", "macro_f1")
 
@@ -110,9 +124,8 @@ def compare_models(summ: DataFrame) -> DataFrame:
 def select_best(summ: DataFrame) -> DataFrame:
     """The first row of M13 with the reason text."""
     best = compare_models(summ).where("rank = 1")
-    return best.withColumn("reason", F.format_string(
-        "Selected %s using Macro F1 as the primary criterion (%.4f), then Weighted F1 (%.4f), then Accuracy (%.4f).",
-        "model", "macro_f1", "weighted_f1", "accuracy")).drop("rank")
+    return best.withColumn("reason", F.format_string(REASON_BEST, "model", "macro_f1", "weighted_f1", "accuracy")) \
+        .drop("rank")
 
 
 def select_best_v1(summ: DataFrame) -> DataFrame:
@@ -123,10 +136,8 @@ def select_best_v1(summ: DataFrame) -> DataFrame:
     t = (r.withColumn("rank", F.row_number().over(w))
          .withColumn("n_tied", F.count(F.lit(1)).over(Window.partitionBy("weighted_f1"))))
     b = t.where("rank = 1")
-    tied = F.format_string("Selected %s because it achieved the highest weighted F1-score (%.4f) among tied models, "
-                           "with accuracy %.4f and favorable simplicity/stability.", "model", "weighted_f1", "accuracy")
-    single = F.format_string("Selected %s because it achieved the highest weighted F1-score (%.4f) on the held-out test set.",
-                             "model", "weighted_f1")
+    tied = F.format_string(REASON_V1_TIED, "model", "weighted_f1", "accuracy")
+    single = F.format_string(REASON_V1_SINGLE, "model", "weighted_f1")
     return b.select("model", "accuracy", "weighted_f1", F.col("n_tied").cast("bigint"),
                     F.when(F.col("n_tied") > 1, tied).otherwise(single).alias("reason"))
 
@@ -163,11 +174,13 @@ def cv_summary(fold_metrics: DataFrame, group: Sequence[str] = ("model",)) -> Da
 def stability_verdict(inputs: DataFrame, key_feature: str) -> DataFrame:
     """Ordered rules over one row of evidence (CV, ablation drop, importance, class F1)."""
     drop = F.col("full_feature_macro_f1") - F.col("no_key_feature_macro_f1")
-    cat = (F.when((F.col("cv_macro_f1_mean") >= 0.98) & (drop >= 0.2) & (F.col("key_feature_normalized_importance") >= 0.8),
-                  F.lit(f"B. Stable but heavily dependent on {key_feature}"))
-           .when(F.col("cv_macro_f1_std") > 0.03, F.lit("C. Highly sensitive to the train/test split"))
-           .when((F.col("cv_macro_f1_mean") >= 0.99) & (F.col("minimum_class_f1") >= 0.95), F.lit("A. Stable and robust"))
-           .otherwise(F.lit("E. Other")))
+    cat = (F.when((F.col("cv_macro_f1_mean") >= B_MIN_CV_F1) & (drop >= B_MIN_F1_DROP)
+                  & (F.col("key_feature_normalized_importance") >= B_MIN_IMPORTANCE),
+                  F.lit(VERDICT_B.format(feature=key_feature)))
+           .when(F.col("cv_macro_f1_std") > C_MAX_CV_STD, F.lit(VERDICT_C))
+           .when((F.col("cv_macro_f1_mean") >= A_MIN_CV_F1) & (F.col("minimum_class_f1") >= A_MIN_CLASS_F1),
+                 F.lit(VERDICT_A))
+           .otherwise(F.lit(VERDICT_E)))
     return inputs.select(cat.alias("category"), "cv_macro_f1_mean", "cv_macro_f1_std", "full_feature_macro_f1",
                          "no_key_feature_macro_f1", drop.alias("macro_f1_drop_without_key_feature"),
                          "key_feature_normalized_importance", "minimum_class_f1")

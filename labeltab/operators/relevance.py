@@ -20,6 +20,13 @@ from labeltab.functions.exprs import clean_number, is_missing
 from labeltab.spec import TableSpec
 
 
+# Granularity assessment labels (the few-distinct-values rule is our own).
+GRAIN_INTEGER = "discretized/integer-valued"
+GRAIN_FEW = "discretized (few distinct values)"
+GRAIN_ROUNDED = "continuous-looking but rounded to <=2 decimals"
+GRAIN_CONTINUOUS = "continuous"
+
+
 def _dt(df: DataFrame, c: str) -> T.DataType:
     return df.schema[c].dataType
 
@@ -295,10 +302,10 @@ def granularity(df: DataFrame, spec: TableSpec, features: Sequence[str] | None =
     text = F.concat(F.lit("{"), F.array_join(F.transform("m", lambda x: F.concat(
         F.lit('"'), x["l"], F.lit('": '), x["d"].cast("string"))), ", "), F.lit("}"))
     rep_rows = F.col("n") - F.col("n_unique")
-    assess = (F.when(F.col("integer_like"), F.lit("discretized/integer-valued"))
-              .when(F.col("n_unique") < F.col("n") * 0.05, F.lit("discretized (few distinct values)"))
-              .when(F.col("max_decimals") <= 2, F.lit("continuous-looking but rounded to <=2 decimals"))
-              .otherwise(F.lit("continuous")))
+    assess = (F.when(F.col("integer_like"), F.lit(GRAIN_INTEGER))
+              .when(F.col("n_unique") < F.col("n") * 0.05, F.lit(GRAIN_FEW))
+              .when(F.col("max_decimals") <= 2, F.lit(GRAIN_ROUNDED))
+              .otherwise(F.lit(GRAIN_CONTINUOUS)))
     return j.select("feature", "n_unique", rep_rows.alias("n_repeated_rows"), "n_repeated_values",
                     (rep_rows * 100.0 / F.col("n")).alias("repeated_pct"), "min", "max",
                     "min_distinct", "max_distinct", "mean_distinct", text.alias("distinct_by_class"),
