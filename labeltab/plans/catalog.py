@@ -873,3 +873,24 @@ def a08d(spark, sf):
 @register("a12_box_stats_distributed")
 def a12d(spark, sf):
     return finish(A.box_stats(li(spark, sf), X.LI_SPEC.with_(**_DIST)))
+
+
+# ---- the V1-like case: labels without signal (lineitem return flag) -----------------------
+
+LI_MODEL_SPEC = X.LI_SPEC.with_(features=("l_quantity", "l_discount", "l_tax"))
+
+
+@register("m15_best_model_v1_fitted")
+def m15f(spark, sf):
+    """Forest and one boosted preset fitted on lineitem's return flag (no signal: accuracy near
+    the largest class share), evaluated in one job and selected by the V1 rule (weighted F1
+    rounded to 4 decimals, ties by accuracy then name)."""
+    sp = S.stratified_split(li(spark, sf), X.LI_SPEC).checkpoint()
+    train, test = sp.where("split = 'train'"), sp.where("split = 'test'")
+    preds = None
+    for name in ("Random Forest", "XGBoost-like"):
+        m = ML.fit(train, LI_MODEL_SPEC, ML.PRESETS[name])
+        p = ML.predict(m, test, LI_MODEL_SPEC, name).drop("probability")
+        preds = p if preds is None else preds.unionByName(p)
+    summ = M.summary(M.confusion(preds, [0, 1, 2]))
+    return finish(M.select_best_v1(summ))

@@ -173,3 +173,20 @@ def test_fingerprint_ignores_row_order_and_layout(spark):
     assert a.digest != c.digest
     audit = {r.table_name: r.status for r in C.s06(spark, SF_SMALL).collect()}
     assert audit == {"region": "same", "nation": "same", "part": "changed", "supplier": "removed", "customer": "added"}
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    li = X.lineitem_labelled(spark, SF_SMALL)
+    exact = {r.feature: r for r in A.describe(li, X.LI_SPEC.with_(quantile_mode="percentile")).collect()}
+    approx = {r.feature: r for r in A.describe(li, X.LI_SPEC.with_(quantile_mode="approx")).collect()}
+    dist = {r.feature: r for r in A.describe(li, X.LI_SPEC.with_(quantile_mode="distributed")).collect()}
+    for f in X.LI_FEATURES:
+        assert dist[f].p50 == pytest.approx(exact[f].p50, rel=1e-12)
+        spread = exact[f].max - exact[f].min
+        assert abs(approx[f].p50 - exact[f].p50) <= 0.01 * spread + 1e-9
+
+
+def test_no_signal_model_selection(spark):
+    r = C.m15f(spark, SF_SMALL).first()
+    assert r.model in ("Random Forest", "XGBoost-like")
+    assert 0.2 <= r.accuracy <= 0.7
