@@ -1,8 +1,6 @@
 """Column-expression helpers shared by the operators (all JVM-side built-ins)."""
 
 from labeltab.functions.exprs import (  # noqa: F401
-    blank_or_null,
-    bounded_broadcast,
     clean_number,
     feature_structs,
     hash_order_key,
@@ -14,6 +12,4 @@ from labeltab.functions.exprs import (  # noqa: F401
     r6,
     safe_div,
     sanitize,
-    to_number,
-    xlogy,
 )

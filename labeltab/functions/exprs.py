@@ -44,17 +44,6 @@ def is_blank(c: str | Column) -> Column:
     return F.coalesce(col.rlike(BLANK_RE), F.lit(False))
 
 
-def blank_or_null(c: str | Column) -> Column:
-    col = F.col(c) if isinstance(c, str) else c
-    return F.when(col.rlike(BLANK_RE), F.lit(None)).otherwise(col)
-
-
-def to_number(c: str | Column) -> Column:
-    """``pd.to_numeric(errors='coerce')``: unparseable -> null, 'nan' -> NaN, 'inf' -> inf."""
-    col = F.col(c) if isinstance(c, str) else c
-    return col.try_cast("double")
-
-
 def clean_number(c: str | Column, dt: T.DataType | None = None) -> Column:
     """A numeric value with missing (null or NaN) mapped to null, so aggregates skip it."""
     col = F.col(c) if isinstance(c, str) else c
@@ -71,11 +60,6 @@ def safe_div(a: Column, b: Column, zero: float | None = 0.0) -> Column:
     return res.otherwise(F.lit(zero)) if zero is not None else res
 
 
-def xlogy(p: Column, q: Column) -> Column:
-    """p * ln(q) with 0 * ln(0) = 0."""
-    return F.when(p > 0, p * F.log(q)).otherwise(F.lit(0.0))
-
-
 def r6(c: Column, digits: int = 6) -> Column:
     """Round half away from zero at ``digits`` decimals on the double itself: y = x * 10^d,
     sign(y) * floor(|y| + 0.5) / 10^d. Stays in codegen (``F.round`` on a double goes through a
@@ -114,15 +98,3 @@ def feature_structs(fields: Iterable[tuple[str, dict[str, Column]]]) -> Column:
     for name, stats in fields:
         structs.append(F.struct(F.lit(name).alias("feature"), *[v.alias(k) for k, v in stats.items()]))
     return F.array(*structs)
-
-
-def inline_features(df: DataFrame, fields: Iterable[tuple[str, dict[str, Column]]],
-                    keep: Sequence[str] = ()) -> DataFrame:
-    return df.select(*keep, F.inline(feature_structs(fields)))
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only after proving the side has at most ``max_rows`` rows (a
-    ``limit(max_rows + 1).count()`` job); otherwise leave the join strategy to the optimizer."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
