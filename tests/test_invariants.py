@@ -190,3 +190,17 @@ def test_no_signal_model_selection(spark):
     r = C.m15f(spark, SF_SMALL).first()
     assert r.model in ("Random Forest", "XGBoost-like")
     assert 0.2 <= r.accuracy <= 0.7
+
+
+def test_one_class_and_ties(spark):
+    from labeltab.operators import relevance as R
+    from labeltab.operators import score as SC
+
+    one = spark.createDataFrame([(1.0, "a"), (2.0, "a"), (3.0, "a")], "x double, y string")
+    r = R.anova(one, TableSpec(features=("x",), target="y")).first()
+    assert r.k == 1 and r.f_stat is None and r.eta_squared == 0.0
+    probs = spark.createDataFrame([("r1", [0.4, 0.4, 0.2])], "row_id string, probability array<double>")
+    conf = SC.confidence(probs, "probability", "row_id").first()
+    assert conf.predicted == 0 and conf.confidence == 0.4  # first maximum wins
+    table = SC.probability_table(probs, ["b", "a", "c"], "probability", "row_id").orderBy("rank").collect()
+    assert [t["class"] for t in table] == ["a", "b", "c"]  # tie broken by class name
