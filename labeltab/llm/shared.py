@@ -54,3 +54,11 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     hit = F.expr("_bits & shiftleft(1L, CAST(_slot & 63 AS INT))") != 0
     return (probe.join(F.broadcast(bits), (F.shiftright("_slot", 6) == F.col("_word")) & hit, "left_semi")
             .drop("_slot"))
+
+
+def bounded_sample(df: DataFrame, rows: int, key: str) -> DataFrame:
+    """At most ``rows`` rows, those with the smallest hash of ``key``: the same rows on every run.
+
+    For fits only. The bound is a parameter of the caller.
+    """
+    return stage(df.orderBy(F.xxhash64(key), key).limit(rows), "sample")
