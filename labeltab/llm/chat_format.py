@@ -1,15 +1,15 @@
 """Operator 6 [native]: chat formatting with Spark expressions only.
 
-A conversation's turns are collected as structs and sorted by (turn, role, text). Adjacent turns of one
-role form one block:
+Turns are ordered by (turn, role, text) and collected as structs, which are sorted and joined. Adjacent
+turns of one role form one block:
 
     <|start|>role<|text|>text<|next|>text<|end|>
 
 ``<`` and ``\\`` inside texts and roles are written ``\\l`` and ``\\b``, so no text holds a control
 string, and reading back is exact. The loss mask names the texts of the ``assistant`` role, as code point
-spans of the formatted string (``start``, ``size``) with their byte spans. Offsets come from blocked prefix sums over
-arrays. Turns are first sorted in runs of ``RUN`` turn numbers, so a very long conversation is put
-together from sorted runs.
+spans of the formatted string (``start``, ``size``) with their byte spans. Offsets are running sums over the
+conversation's rows, which share one shuffle with the aggregation. A conversation is one output string, so its
+rows meet in one task at the end.
 
 Null texts and roles read as empty; rows without conv_id are one conversation with a null id. Turns with
 equal numbers are ordered by role and text; repeated rows are repeated turns.
@@ -17,14 +17,12 @@ equal numbers are ordered by role and text; repeated rows are repeated turns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The control strings of the template and the trained role.
 START, TEXT, NEXT, END = "<|start|>", "<|text|>", "<|next|>", "<|end|>"
 TRAINED = "assistant"
-RUN = 256
-STEP = 64
 
 
 def escape(x: Column) -> Column:
@@ -35,71 +33,38 @@ def unescape(x: Column) -> Column:
     return F.replace(F.replace(x, F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
 
 
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0).cast("long"), lambda acc, x: acc + x)
-
-
-def _with_starts(df: DataFrame, sizes: str, out: str) -> DataFrame:
-    """Column ``out``: sums of the items of ``sizes`` before each item. Sums of ``STEP`` items, and sums
-    of those, keep the work far below the square of the array size."""
-    steps = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / STEP).cast("int"))
-    df = df.withColumn("_sums", F.transform(steps, lambda k: _sum(F.slice(sizes, k * STEP + 1, STEP))))
-    df = df.withColumn("_before", F.transform(steps, lambda k: F.when(k == 0, F.lit(0).cast("long"))
-                                              .otherwise(_sum(F.slice("_sums", F.lit(1), k)))))
-
-    def start(_: Column, i: Column) -> Column:
-        k = F.floor(i / STEP).cast("int")
-        inner = F.when(i % STEP == 0, F.lit(0).cast("long")).otherwise(_sum(F.slice(sizes, k * STEP + 1, i % STEP)))
-        return F.element_at("_before", k + 1) + inner
-
-    return df.withColumn(out, F.transform(sizes, start)).drop("_sums", "_before")
-
-
 def format_conversations(rows: DataFrame) -> DataFrame:
     """``conv_id, formatted, loss_mask`` with one row per conversation of ``rows(conv_id, turn, role, text)``."""
     x = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                     escape(F.coalesce(F.col("role").cast("string"), F.lit(""))).alias("role"),
                     escape(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
-    run = F.floor(F.col("turn") / RUN)
-    runs = x.groupBy("conv_id", run.alias("run")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("own"))
-    conv = (runs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("run", "own"))).alias("all"))
-            .select("conv_id", F.flatten(F.transform("all", lambda r: r["own"])).alias("turns")))
-
-    def first(i: Column) -> Column:
-        return (i == 0) | (F.element_at("turns", F.greatest(i, F.lit(1)))["role"] != F.element_at("turns", i + 1)["role"])
-
-    def lead(t: Column, i: Column) -> Column:
-        """What the template puts before a turn's text."""
-        return (F.when(first(i), F.concat(F.when(i > 0, F.lit(END)).otherwise(F.lit("")), F.lit(START), t["role"], F.lit(TEXT)))
-                .otherwise(F.lit(NEXT)))
-
-    conv = conv.withColumn("leads", F.transform("turns", lead))
-    pieces = F.zip_with("leads", "turns", lambda a, t: F.concat(a, t["text"]))
-    conv = conv.withColumn("formatted", F.concat(F.array_join(pieces, ""), F.lit(END)))
-    conv = conv.withColumn("chars", F.zip_with("leads", "turns", lambda a, t: (F.char_length(a) + F.char_length(t["text"])).cast("long")))
-    conv = conv.withColumn("bytes", F.zip_with("leads", "turns", lambda a, t: (F.octet_length(a) + F.octet_length(t["text"])).cast("long")))
-    conv = _with_starts(_with_starts(conv, "chars", "char_at"), "bytes", "byte_at")
-
-    def span(t: Column, i: Column) -> Column:
-        a = F.element_at("leads", i + 1)
-        return F.struct((F.element_at("char_at", i + 1) + F.char_length(a)).alias("start"), F.char_length(t["text"]).cast("long").alias("size"),
-                        (F.element_at("byte_at", i + 1) + F.octet_length(a)).alias("byte_start"),
-                        F.octet_length(t["text"]).cast("long").alias("byte_size"), (t["role"] == TRAINED).alias("loss"))
-
-    mask = F.transform(F.filter(F.transform("turns", span), lambda m: m["loss"]), lambda m: m.dropFields("loss"))
-    return conv.select("conv_id", "formatted", mask.alias("loss_mask"))
+    inside = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.lag("role").over(inside)
+    opening = F.concat(F.lit(START), F.col("role"), F.lit(TEXT))
+    x = (x.withColumn("place", F.row_number().over(inside))
+         .withColumn("lead", F.when(before.isNull(), opening).when(before == F.col("role"), F.lit(NEXT))
+                     .otherwise(F.concat(F.lit(END), opening)))
+         .withColumn("size", F.char_length("text").cast("long")).withColumn("byte_size", F.octet_length("text").cast("long"))
+         .withColumn("start", F.sum(F.char_length("lead") + F.col("size")).over(so_far) - F.col("size"))
+         .withColumn("byte_start", F.sum(F.octet_length("lead") + F.col("byte_size")).over(so_far) - F.col("byte_size")))
+    span = F.struct("start", "size", "byte_start", "byte_size")
+    turns = F.sort_array(F.collect_list(F.struct("place", F.concat("lead", "text").alias("piece"),
+                                                 (F.col("role") == TRAINED).alias("loss"), span.alias("span"))))
+    conv = x.groupBy("conv_id").agg(turns.alias("turns"))
+    mask = F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["span"])
+    return conv.select("conv_id", F.concat(F.array_join(F.transform("turns", lambda t: t["piece"]), ""), F.lit(END)).alias("formatted"),
+                       mask.alias("loss_mask"))
 
 
 def read_turns(formatted: Column) -> Column:
     """Turns read back from a formatted string: array of (role, text)."""
     blocks = F.filter(F.split(formatted, r"<\|end\|>"), lambda b: b != "")
-
-    def turns(block: Column) -> Column:
-        parts = F.split(F.substring(block, len(START) + 1, 2147483647), r"<\|text\|>")
-        return F.transform(F.split(F.element_at(parts, 2), r"<\|next\|>"),
-                           lambda t: F.struct(unescape(F.element_at(parts, 1)).alias("role"), unescape(t).alias("text")))
-
-    return F.flatten(F.transform(blocks, turns))
+    parts = F.transform(blocks, lambda b: F.split(F.substring(b, len(START) + 1, 2147483647), r"<\|text\|>"))
+    said = F.transform(parts, lambda p: F.struct(unescape(F.element_at(p, 1)).alias("role"),
+                                                 F.split(F.element_at(p, 2), r"<\|next\|>").alias("texts")))
+    return F.flatten(F.transform(said, lambda s: F.transform(
+        s["texts"], lambda t: F.struct(s["role"].alias("role"), unescape(t).alias("text")))))
 
 
 def read_loss(formatted: Column, mask: Column) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import stage
+from .shared import stage, without_ids
 
 # Unit words that count as units after a number.
 UNITS = ("mm cm dm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres "
@@ -208,4 +208,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFr
 
 def clean(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
     """``docs`` without the documents into which an item leaked; rows without an id stay."""
-    return docs.join(leaks(docs, benchmark, p).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return without_ids(docs, leaks(docs, benchmark, p), "doc_id")

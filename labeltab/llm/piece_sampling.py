@@ -169,20 +169,21 @@ class Lattice:
             best = best[np.append(True, self.pos[best[1:]] != self.pos[best[:-1]])]
             for x in (self.next, self.id, self.log_q):
                 x[head], x[best] = x[best], x[head]
-        q = np.exp(self.log_q)
-        c = np.cumsum(q)
-        base = (c - q)[self.first[self.pos]]
-        last = np.append(self.pos[1:] != self.pos[:-1], True) if len(q) else np.zeros(0, bool)
-        rank = np.cumsum(np.append(True, self.pos[1:] != self.pos[:-1])) - 1.0 if len(q) else np.zeros(0)
-        self.mark = rank + np.where(last, 1.0, np.minimum(c - base, 1.0))
-        self.rank = np.zeros(n + 1)
-        self.rank[self.pos] = rank
+        head = np.flatnonzero(np.append(True, self.pos[1:] != self.pos[:-1])) if len(self.pos) else self.pos
+        count = np.diff(np.append(head, len(self.pos)))
+        self.upto = np.exp(self.log_q)  # probability of an edge or one before it; summed position by position,
+        for k in range(1, int(count.max(initial=1))):  # so that it does not depend on what else is in the slice
+            at = head[count > k] + k
+            self.upto[at] += self.upto[at - 1]
+        self.upto[head + count - 1] = 1.0
 
     def draw(self, pos: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each position, by probability."""
-        e, at = self.first[pos], self.rank[pos] + u
-        other = np.flatnonzero(at >= self.mark[e])
-        e[other] = np.searchsorted(self.mark, at[other], "right")
+        e = self.first[pos]
+        left = np.flatnonzero(u >= self.upto[e])
+        while len(left):
+            e[left] += 1
+            left = left[u[left] >= self.upto[e[left]]]
         return e
 
 
@@ -215,7 +216,7 @@ class Sampler:
         cut[1:] = (blank[1:] & ~blank[:-1]) | alone[1:] | alone[:-1]
         cut[begin] = True
         s = np.flatnonzero(cut)
-        e = np.append(s[1:], n)
+        e = np.append(s[1:], n)[: len(s)]
         self.row = full[np.searchsorted(begin, s, "right") - 1] if len(s) else s
         _, first, inverse = np.unique(tv.Spans(text).hash(s, e), return_index=True, return_inverse=True)
         size = e[first] - s[first]
@@ -253,15 +254,17 @@ class Sampler:
         row = self.row[unit]
         bounds = tv.row_bounds(row, self.rows)
         lq = self.lattice.log_q[edge]
-        c = np.zeros(len(lq) + 1)
-        np.cumsum(lq, out=c[1:])
-        before = c[:-1] - c[bounds[row]]
+        before, total = np.zeros(len(lq)), np.zeros(self.rows)
+        for r in np.flatnonzero(np.diff(bounds) > 0).tolist():
+            c = np.cumsum(lq[bounds[r]: bounds[r + 1]])
+            before[bounds[r] + 1: bounds[r + 1]] = c[:-1]
+            total[r] = c[-1]
         value = np.full(len(lq), -np.inf)
         i = np.flatnonzero(fresh & (lq < -1e-15))
         mass = before[i] + np.log(-np.expm1(lq[i]))
         value[i] = truncated(mass, top[row[i]], uniform(self.key[row[i]], sample, i - bounds[row[i]], 1 << 40))
         return {"unit": unit, "edge": edge, "row": row, "bounds": bounds, "before": before, "value": value,
-                "total": c[bounds[1:]] - c[bounds[:-1]]}
+                "total": total}
 
     def run(self) -> Iterator[tuple[int, dict, np.ndarray, np.ndarray]]:
         """(sample number, its pieces, rows that have it, perturbed values), then the thresholds as number 0."""
@@ -298,8 +301,9 @@ class Sampler:
                 limit = np.where(source == s, place, -1)
                 keep.append(np.flatnonzero(np.arange(len(x["row"])) < limit[x["row"]]))
             some = np.flatnonzero(has)
-            draws = uniform(self.key[some], number, place[some], 1 << 42).tolist()
-            again = uniform(self.key[some], number, place[some], 1 << 43).tolist()
+            inner = np.array([place[r] - paths[source[r]]["bounds"][r] for r in some], np.int64)
+            draws = uniform(self.key[some], number, inner, 1 << 42).tolist()
+            again = uniform(self.key[some], number, inner, 1 << 43).tolist()
             for r, u, u2 in zip(some.tolist(), draws, again):
                 x, t = paths[source[r]], int(place[r])
                 old, unit = int(x["edge"][t]), int(x["unit"][t])

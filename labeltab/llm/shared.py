@@ -56,6 +56,11 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
             .drop("_slot"))
 
 
+def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``ids``; rows with a null key stay. Columns stay as they are."""
+    return df.join(ids.select(key).distinct(), key, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def bounded_sample(df: DataFrame, rows: int, key: str) -> DataFrame:
     """At most ``rows`` rows, those with the smallest hash of ``key``: the same rows on every run.
 

@@ -6,21 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, near_dup, piece_sampling, secret_scan, toxicity
-from .shared import table
+from .shared import table, without_ids
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It learns from all labelled documents of its input."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     scored = toxicity.score(docs, toxicity.train(docs, labels))
-    gone = scored.where("predicted = 1").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without_ids(docs, scored.where("predicted = 1"), "doc_id")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
-    gone = near_dup.link_documents(docs, ngram=5, num=80, den=100).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    links = near_dup.link_documents(docs, ngram=5, num=80, den=100)
+    return without_ids(docs, links.where(~F.col("kept")), "doc_id")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
