@@ -8,8 +8,8 @@ from labeltab.functions.exprs import (  # noqa: F401
     is_floating,
     is_missing,
     is_numeric,
-    quantiles,
     r6,
     safe_div,
     sanitize,
+    strict_number,
 )

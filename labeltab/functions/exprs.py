@@ -5,7 +5,7 @@ whole-stage codegen. pandas semantics that the operators reproduce:
 
 * missing = null, or NaN for floating columns;
 * a blank string is one that is empty after trimming (regex ``^\\s*$``);
-* ``to_numeric(errors="coerce")`` = ``try_cast(... as double)`` (ANSI-safe);
+* ``to_numeric(errors="coerce")`` = ``strict_number`` (ANSI-safe);
 * NaN never satisfies a bound check (Spark orders NaN above every number, so guard).
 """
 
@@ -48,7 +48,7 @@ def clean_number(c: str | Column, dt: T.DataType | None = None) -> Column:
     """A numeric value with missing (null or NaN) mapped to null, so aggregates skip it."""
     col = F.col(c) if isinstance(c, str) else c
     if dt is not None and not is_numeric(dt):
-        col = col.try_cast("double")
+        col = strict_number(col) if isinstance(dt, T.StringType) else col.try_cast("double")
     elif dt is not None and not is_floating(dt):
         return col.cast("double")
     return F.when(~F.isnan(col), col)
@@ -70,13 +70,14 @@ def r6(c: Column, digits: int = 6) -> Column:
     return F.when(F.abs(y) < F.lit(float(2 ** 52)), F.signum(y) * F.floor(F.abs(y) + F.lit(0.5)) / F.lit(m)).otherwise(c)
 
 
-def quantiles(c: Column, probs: Sequence[float], exact: bool = True, accuracy: int = 10000) -> Column:
-    """Array of quantiles. Exact = linear interpolation (pandas default); otherwise the
-    Greenwald-Khanna sketch, whose buffer does not grow with the number of distinct values."""
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    if exact:
-        return F.percentile(c, arr)
-    return F.percentile_approx(c, arr, accuracy).cast("array<double>")
+#: numbers that text may hold: plain decimals, infinities and NaN. A cast alone also takes
+#: type suffixes and hexadecimal forms.
+NUMBER_RE = r"^\s*[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
+
+
+def strict_number(col: Column) -> Column:
+    """Text as a double; null where it is no plain number."""
+    return F.when(col.rlike(NUMBER_RE), col.try_cast("double"))
 
 
 def hash_order_key(seed: int | str, key: str | Column) -> Column:

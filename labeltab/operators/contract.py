@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labeltab.functions.exprs import is_blank, is_missing, is_numeric
+from labeltab.functions.exprs import is_blank, is_missing, is_numeric, strict_number
 from labeltab.operators.profile import dataset_profile
 from labeltab.spec import TableSpec
 
@@ -106,7 +106,7 @@ def numeric_validity(df: DataFrame, features: Sequence[str], n_examples: int = 5
     for i, f in enumerate(features):
         dt = _dt(df, f)
         raw = F.col(f)
-        num = raw.try_cast("double") if not is_numeric(dt) else raw.cast("double")
+        num = strict_number(raw) if not is_numeric(dt) else raw.cast("double")
         bad = raw.isNotNull() & ~is_blank(raw.cast("string")) & num.isNull() if not is_numeric(dt) else F.lit(False)
         aggs += [F.count_if(F.isnan(num)).alias(f"nan{i}"), F.count_if(num.isin(float("inf"), float("-inf"))).alias(f"inf{i}"),
                  F.count_if(bad).alias(f"bad{i}")]
@@ -156,7 +156,7 @@ def parsed(df: DataFrame, f: str) -> tuple[Column, Column]:
     raw = F.col(f)
     if is_numeric(dt):
         return raw.cast("double"), F.lit(False)
-    num = raw.try_cast("double")
+    num = strict_number(raw)
     return num, raw.isNotNull() & (num.isNull() | F.isnan(num))
 
 
@@ -297,6 +297,7 @@ MSG_NAN = "{f} cannot be NaN."
 MSG_INFINITE = "{f} cannot be infinite."
 MSG_BELOW_MIN = "{f} must be greater than or equal to {b}."
 MSG_ABOVE_MAX = "{f} must be less than or equal to {b}."
+MSG_MISSING = "Missing required input(s): {names}"
 
 
 def _fmt_g(x: float) -> str:
@@ -310,12 +311,12 @@ def validate_rows(df: DataFrame, spec: TableSpec, check_bounds: bool = True) ->
     ``n_errors`` and ``is_valid``; valid and invalid rows are ``where`` filters of this."""
     missing = [f for f in spec.features if f not in df.columns]
     if missing:
-        raise ValueError(f"Missing required input(s): {', '.join(missing)}")
+        raise ValueError(MSG_MISSING.format(names=", ".join(missing)))
     msgs = []
     for f in spec.features:
         dt = _dt(df, f)
         raw = F.col(f)
-        num = raw.cast("double") if is_numeric(dt) else raw.try_cast("double")
+        num = raw.cast("double") if is_numeric(dt) else strict_number(raw)
         unparsed = num.isNull()
         is_nan = F.isnan(num)
         is_inf = num.isin(float("inf"), float("-inf"))

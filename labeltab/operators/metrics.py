@@ -38,14 +38,18 @@ def _lits(values: Sequence) -> F.Column:
 
 
 def confusion(pred: DataFrame, classes: Sequence, group: Sequence[str] = ("model",)) -> DataFrame:
-    """(group..., label, prediction, n) for the full k x k grid of every group."""
+    """(group..., label, prediction, n) for the full k x k grid of every group, and for every
+    other pair of values that occurs (labels or predictions outside ``classes``, nulls). One scan:
+    the cells of a group and the empty grid are put together in one array."""
     group = list(group)
     counts = pred.groupBy(*group, "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
-    grid = (counts.select(*group).distinct()  # from the aggregated cells: no second pass over pred
-            .withColumn("label", F.explode(_lits(classes)))
-            .withColumn("prediction", F.explode(_lits(classes))))
-    return (grid.join(counts, [*group, "label", "prediction"], "left")
-            .select(*group, "label", "prediction", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    types = {c: pred.schema[c].dataType for c in ("label", "prediction")}
+    known = _lits(classes)
+    empty = F.flatten(F.transform(known, lambda a: F.transform(known, lambda b: F.struct(
+        a.cast(types["label"]).alias("label"), b.cast(types["prediction"]).alias("prediction"), F.lit(0).cast("bigint").alias("n")))))
+    cells = counts.groupBy(*group).agg(F.collect_list(F.struct("label", "prediction", "n")).alias("cells"))
+    return (cells.select(*group, F.inline(F.concat("cells", empty)))
+            .groupBy(*group, "label", "prediction").agg(F.sum("n").cast("bigint").alias("n")))
 
 
 def per_class(conf: DataFrame, group: Sequence[str] = ("model",)) -> DataFrame:
@@ -68,9 +72,10 @@ def per_class(conf: DataFrame, group: Sequence[str] = ("model",)) -> DataFrame:
                     F.col("predicted").cast("bigint"), "precision", "recall", "f1"))
 
 
-def summary(conf: DataFrame, group: Sequence[str] = ("model",)) -> DataFrame:
+def summary(conf: DataFrame, group: Sequence[str] = ("model",), classes: Sequence | None = None) -> DataFrame:
     """M07 accuracy, M08 support-weighted P/R/F1, M09 macro P/R/F1 over the labels present in
-    actual or predicted values (sklearn's default when ``labels`` is not given)."""
+    actual or predicted values (sklearn's default when ``labels`` is not given). With ``classes``
+    also the rows whose label, and whose prediction, is outside that domain."""
     group = list(group)
     pc = per_class(conf, group)
     seen = (F.col("support") > 0) | (F.col("predicted") > 0)
@@ -81,7 +86,10 @@ def summary(conf: DataFrame, group: Sequence[str] = ("model",)) -> DataFrame:
         (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"),
         F.avg(F.when(seen, F.col("precision"))).alias("macro_precision"),
         F.avg(F.when(seen, F.col("recall"))).alias("macro_recall"),
-        F.avg(F.when(seen, F.col("f1"))).alias("macro_f1"))
+        F.avg(F.when(seen, F.col("f1"))).alias("macro_f1"),
+        *([] if classes is None else [
+            F.coalesce(F.sum(F.when(F.coalesce(~F.col("class").isin(list(classes)), F.lit(True)), F.col(c))), F.lit(0))
+            .cast("bigint").alias(n) for c, n in (("support", "n_unknown_labels"), ("predicted", "n_unknown_predictions"))]))
 
 
 def classification_report(conf: DataFrame, group: Sequence[str] = ("model",)) -> DataFrame:

@@ -115,12 +115,14 @@ def ovr_probabilities(raw: str = "rawPrediction") -> F.Column:
 
 def predict(model: PipelineModel, df: DataFrame, spec: TableSpec, name: str, key: str | None = None,
             keep: Sequence[str] = ()) -> DataFrame:
-    """(model, key, label, prediction, probability) for every row of ``df``."""
+    """(model, key, label, prediction, probability) for every row of ``df``; without ``label``
+    if the rows carry none (new rows to be scored)."""
     key = key or spec.key
-    scored = model.transform(label_column(df, spec))
+    labelled = spec.target in df.columns
+    scored = model.transform(label_column(df, spec) if labelled else df)
     clf = _clf_stage(model)
     prob = ovr_probabilities() if isinstance(clf, OneVsRestModel) else vector_to_array("probability")
-    return scored.select(F.lit(name).alias("model"), key, F.col("label").cast("int").alias("label"),
+    return scored.select(F.lit(name).alias("model"), key, *([F.col("label").cast("int").alias("label")] if labelled else []),
                          F.col("prediction").cast("int").alias("prediction"), prob.alias("probability"), *keep)
 
 

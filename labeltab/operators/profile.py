@@ -7,7 +7,7 @@ the input by the feature count. Per-class variants add the class to ``groupBy``;
 holds a third of all rows is harmless because only partial aggregates are shuffled.
 
 Anything brought back to the driver is an aggregate whose size is bounded by the number of
-features or classes (fences, min/max), checked against ``spec.max_classes``.
+features or classes (fences, min/max).
 """
 
 from __future__ import annotations
@@ -25,10 +25,9 @@ from labeltab.functions.exprs import (
     is_floating,
     is_missing,
     is_numeric,
-    quantiles,
     sanitize,
 )
-from labeltab.functions.quantile import distributed_quantiles, quantile_columns
+from labeltab.functions.quantile import exact_quantiles, quantile_columns
 from labeltab.spec import TableSpec
 
 
@@ -41,31 +40,17 @@ def _labelled(df: DataFrame, spec: TableSpec) -> DataFrame:
     return df.where(~is_missing(spec.target, _dt(df, spec.target)))
 
 
-def _q(spec: TableSpec, v, probs):
-    return quantiles(v, probs, spec.quantile_mode != "approx", spec.approx_accuracy)
-
-
-def quantile_plan(df: DataFrame, spec: TableSpec, feats: Sequence[str]) -> str:
-    """"percentile" (in-buffer aggregate), "distributed" (exact sort) or "approx"."""
-    if spec.quantile_mode != "auto":
-        return spec.quantile_mode
-    est = df.agg(*[F.approx_count_distinct(clean_number(f, _dt(df, f))).alias(f"d{i}")
-                   for i, f in enumerate(feats)]).first()  # one HLL pass, f numbers back
-    worst = max((est[f"d{i}"] or 0) for i in range(len(feats))) if feats else 0
-    return "percentile" if worst <= spec.percentile_buffer_limit else "distributed"
-
-
 _QNAMES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
-def _attach_quantiles(long: DataFrame, df: DataFrame, spec: TableSpec, groups: Sequence[str],
+def _attach_quantiles(long: DataFrame, df: DataFrame, groups: Sequence[str],
                       feats: Sequence[str], stats: Sequence[str], rename: dict[str, str],
                       order: Sequence[str]) -> DataFrame:
-    """Join exact distributed quantiles (one row per group x feature) onto a long result."""
+    """Join exact quantiles (one row per group x feature) onto a long result."""
     qs = [s for s in ("q1", "median", "q3") if s in stats]
     if not qs:
         return long
-    qdf = quantile_columns(distributed_quantiles(df, groups, feats, [_QNAMES[s] for s in qs]),
+    qdf = quantile_columns(exact_quantiles(df, groups, feats, [_QNAMES[s] for s in qs]),
                            [*groups, "feature"], {_QNAMES[s]: rename.get(s, s) for s in qs})
     return long.join(qdf, [*groups, "feature"], "left").select(*order)
 
@@ -109,16 +94,12 @@ def class_balance(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 # ---- A04–A07 summaries ------------------------------------------------------------------
 
-def _stat_aggs(df: DataFrame, spec: TableSpec, feats: Sequence[str], stats: Sequence[str],
-               with_quantiles: bool = True):
-    """Aggregate expressions, one set per feature, named ``<stat>__<i>``."""
-    if not with_quantiles:
-        stats = [s for s in stats if s not in ("q1", "median", "q3")]
+def _stat_aggs(df: DataFrame, feats: Sequence[str], stats: Sequence[str]):
+    """Aggregate expressions, one set per feature, named ``<stat>__<i>`` (quantiles apart)."""
     aggs = []
     for i, f in enumerate(feats):
         dt = _dt(df, f)
         v = clean_number(f, dt)
-        qs = [s for s in ("q1", "median", "q3") if s in stats]
         for s in stats:
             if s == "n":
                 aggs.append(F.count(v).alias(f"n__{i}"))
@@ -136,25 +117,17 @@ def _stat_aggs(df: DataFrame, spec: TableSpec, feats: Sequence[str], stats: Sequ
                 aggs.append(F.count_if(is_missing(f, dt)).alias(f"n_missing__{i}"))
             elif s == "n_unique":
                 aggs.append(F.count_distinct(v).alias(f"n_unique__{i}"))
-        if qs:
-            probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-            aggs.append(_q(spec, v, [probs[s] for s in qs]).alias(f"q__{i}"))
     return aggs
 
 
-def _stat_fields(feats: Sequence[str], stats: Sequence[str], names: dict[str, str] | None = None,
-                 with_quantiles: bool = True):
+def _stat_fields(feats: Sequence[str], stats: Sequence[str], names: dict[str, str] | None = None):
     names = names or {}
-    if not with_quantiles:
-        stats = [s for s in stats if s not in ("q1", "median", "q3")]
-    qs = [s for s in ("q1", "median", "q3") if s in stats]
+    stats = [s for s in stats if s not in _QNAMES]
     out = []
     for i, f in enumerate(feats):
         cols = {}
         for s in stats:
-            if s in qs:
-                cols[names.get(s, s)] = F.col(f"q__{i}")[qs.index(s)]
-            elif s in ("n", "n_missing", "n_unique"):
+            if s in ("n", "n_missing", "n_unique"):
                 cols[names.get(s, s)] = F.col(f"{s}__{i}").cast("bigint")
             else:
                 cols[names.get(s, s)] = F.col(f"{s}__{i}").cast("double")
@@ -167,21 +140,19 @@ def describe(df: DataFrame, spec: TableSpec, features: Sequence[str] | None = No
     feats = list(features or spec.features)
     stats = ["n", "mean", "std", "min", "q1", "median", "q3", "max", "n_missing"]
     names = {"q1": "p25", "median": "p50", "q3": "p75"}
-    inq = quantile_plan(df, spec, feats) != "distributed"
-    one = df.agg(*_stat_aggs(df, spec, feats, stats, inq))
-    out = one.select(F.inline(feature_structs(_stat_fields(feats, stats, names, inq))))
+    one = df.agg(*_stat_aggs(df, feats, stats))
+    out = one.select(F.inline(feature_structs(_stat_fields(feats, stats, names))))
     order = ["feature", *[names.get(s, s) for s in stats]]
-    return out if inq else _attach_quantiles(out, df, spec, [], feats, stats, names, order)
+    return _attach_quantiles(out, df, [], feats, stats, names, order)
 
 
 def feature_summary(df: DataFrame, spec: TableSpec, features: Sequence[str] | None = None) -> DataFrame:
     """Min, max, mean, median, std, number of distinct values per feature."""
     feats = list(features or spec.features)
     stats = ["min", "max", "mean", "median", "std", "n_unique"]
-    inq = quantile_plan(df, spec, feats) != "distributed"
-    one = df.agg(*_stat_aggs(df, spec, feats, stats, inq))
-    out = one.select(F.inline(feature_structs(_stat_fields(feats, stats, None, inq))))
-    return out if inq else _attach_quantiles(out, df, spec, [], feats, stats, {}, ["feature", *stats])
+    one = df.agg(*_stat_aggs(df, feats, stats))
+    out = one.select(F.inline(feature_structs(_stat_fields(feats, stats))))
+    return _attach_quantiles(out, df, [], feats, stats, {}, ["feature", *stats])
 
 
 def class_stats(df: DataFrame, spec: TableSpec, features: Sequence[str] | None = None,
@@ -192,50 +163,31 @@ def class_stats(df: DataFrame, spec: TableSpec, features: Sequence[str] | None =
     stats = (["n", "mean", "median", "std", "min", "q1", "q3", "max"] if five_number
              else ["mean", "median", "std", "min", "max"])
     lab = _labelled(df, spec)
-    inq = quantile_plan(lab, spec, feats) != "distributed"
-    wide = lab.groupBy(F.col(spec.target).alias("label")).agg(*_stat_aggs(df, spec, feats, stats, inq))
-    fields = _stat_fields(feats, stats, None, inq)
-    if five_number and inq:
-        for _, cols in fields:
-            cols["iqr"] = cols["q3"] - cols["q1"]
-    out = wide.select("label", F.inline(feature_structs(fields)))
-    if inq:
-        return out
-    order = ["label", "feature", *stats] + (["iqr"] if five_number else [])
-    lab2 = lab.withColumn("label", F.col(spec.target))
-    out = out.join(quantile_columns(distributed_quantiles(lab2, ["label"], feats,
-                                                          [_QNAMES[s] for s in ("q1", "median", "q3") if s in stats]),
-                                    ["label", "feature"], {_QNAMES[s]: s for s in ("q1", "median", "q3") if s in stats}),
-                   ["label", "feature"], "left")
-    if five_number:
-        out = out.withColumn("iqr", F.col("q3") - F.col("q1"))
-    return out.select(*order)
+    lab = lab.withColumn("label", F.col(spec.target))
+    wide = lab.groupBy("label").agg(*_stat_aggs(df, feats, stats))
+    out = wide.select("label", F.inline(feature_structs(_stat_fields(feats, stats))))
+    out = _attach_quantiles(out, lab, ["label"], feats, stats, {}, ["label", "feature", *stats])
+    return out.withColumn("iqr", F.col("q3") - F.col("q1")) if five_number else out
 
 
 def class_stats_wide(df: DataFrame, spec: TableSpec, features: Sequence[str] | None = None) -> DataFrame:
     """A06 (wide): one row per class, columns ``<feature>_<stat>``."""
     feats = list(features or spec.features)
     stats = ["mean", "median", "std", "min", "max"]
-    wide = (_labelled(df, spec).groupBy(F.col(spec.target).alias("label"))
-            .agg(*_stat_aggs(df, spec, feats, stats)))
-    cols = []
-    for i, f in enumerate(feats):
-        for s in stats:
-            src = F.col(f"q__{i}")[0] if s == "median" else F.col(f"{s}__{i}")
-            cols.append(src.cast("double").alias(f"{f}_{s}"))
-    return wide.select("label", *cols)
+    lab = _labelled(df, spec).withColumn("label", F.col(spec.target))
+    wide = lab.groupBy("label").agg(*_stat_aggs(df, feats, stats))
+    medians = exact_quantiles(lab, ["label"], feats, [0.5]).groupBy("label").agg(
+        *[F.max(F.when(F.col("feature") == f, F.col("q"))).alias(f"median__{i}") for i, f in enumerate(feats)])
+    return wide.join(medians, "label", "left").select(
+        "label", *[F.col(f"{s}__{i}").cast("double").alias(f"{f}_{s}") for i, f in enumerate(feats) for s in stats])
 
 
 # ---- A08 outliers, A11 histogram, A12 box plots ---------------------------------------
 
 def _fences(df: DataFrame, spec: TableSpec, feats: Sequence[str]) -> list[tuple[float, float]]:
     """(q1, q3) per feature — one aggregate row, bounded by the feature count."""
-    if quantile_plan(df, spec, feats) == "distributed":
-        got = {(r.feature, r.p): r.q for r in distributed_quantiles(df, [], feats, [0.25, 0.75]).collect()}
-        return [(got.get((f, 0.25)), got.get((f, 0.75))) for f in feats]  # f x 2 numbers
-    row = df.agg(*[_q(spec, clean_number(f, _dt(df, f)), [0.25, 0.75]).alias(f"q{i}")
-                   for i, f in enumerate(feats)]).first()
-    return [tuple(row[f"q{i}"]) if row[f"q{i}"] is not None else (None, None) for i in range(len(feats))]
+    got = {(r.feature, r.p): r.q for r in exact_quantiles(df, [], feats, [0.25, 0.75]).collect()}  # f x 2 numbers
+    return [(got.get((f, 0.25)), got.get((f, 0.75))) for f in feats]
 
 
 def iqr_outliers(df: DataFrame, spec: TableSpec, features: Sequence[str] | None = None) -> DataFrame:
@@ -256,7 +208,7 @@ def iqr_outliers(df: DataFrame, spec: TableSpec, features: Sequence[str] | None
         fields.append((f, {"q1": F.lit(q1).cast("double"), "q3": F.lit(q3).cast("double"),
                            "lower_fence": F.lit(lo).cast("double"), "upper_fence": F.lit(hi).cast("double"),
                            "outlier_count": F.col(f"o{i}").cast("bigint"),
-                           "outlier_pct": F.col(f"o{i}") * 100.0 / F.col("n_rows")}))
+                           "outlier_pct": F.try_divide(F.col(f"o{i}") * 100.0, F.col("n_rows"))}))
     return df.agg(*aggs).select(F.inline(feature_structs(fields)))
 
 
@@ -289,30 +241,22 @@ def box_stats(df: DataFrame, spec: TableSpec, features: Sequence[str] | None = N
     fences (literals)."""
     feats = list(features or spec.features)
     lab = _labelled(df, spec).withColumn("label", F.col(spec.target).cast("string"))
-    if quantile_plan(lab, spec, feats) == "distributed":
-        names = {0.25: "a", 0.5: "b", 0.75: "c"}
-        both = quantile_columns(distributed_quantiles(lab, ["label"], feats, list(names), overall_label="\u0000*"),
-                                ["label", "feature"], names)
-        u = both.select(F.when(F.col("label") == "\u0000*", F.lit(None)).otherwise(F.col("label")).alias("label"),
-                        (F.col("label") == "\u0000*").cast("int").alias("g"), "feature", "a", "b", "c")
-        quart = u.groupBy("label", "g").agg(*[F.max(F.when(F.col("feature") == f, F.array("a", "b", "c"))).alias(f"q{i}")
-                                             for i, f in enumerate(feats)])  # (k + 1) x f rows
-    else:
-        qagg = [_q(spec, clean_number(f, _dt(df, f)), [0.25, 0.5, 0.75]).alias(f"q{i}") for i, f in enumerate(feats)]
-        quart = lab.rollup("label").agg(F.grouping("label").alias("g"), *qagg)
-    # the (k + 1)-row quartile table is computed once and reused as a local relation
-    qrows = quart.limit(spec.max_classes + 2).collect()
-    if len(qrows) > spec.max_classes + 1:
-        raise ValueError(f"more than max_classes={spec.max_classes} classes")
-    quart = df.sparkSession.createDataFrame(qrows, quart.schema)
-    overall = next(r for r in qrows if r["g"] == 1)
+    names = {0.25: "a", 0.5: "b", 0.75: "c"}
+    both = quantile_columns(exact_quantiles(lab, ["label"], feats, list(names), overall_label="\u0000*"),
+                            ["label", "feature"], names)
+    u = both.select(F.when(F.col("label") == "\u0000*", F.lit(None)).otherwise(F.col("label")).alias("label"),
+                    (F.col("label") == "\u0000*").cast("int").alias("g"), "feature", "a", "b", "c")
+    quart = u.groupBy("label", "g").agg(*[F.max(F.when(F.col("feature") == f, F.array("a", "b", "c"))).alias(f"q{i}")
+                                         for i, f in enumerate(feats)])  # (k + 1) x f rows
+    first = quart.where("g = 1").first()
+    overall = first.asDict() if first else {f"q{i}": None for i in range(len(feats))}
     per_class = quart.where("g = 0")
     fence_cols = []
     for i in range(len(feats)):
         q = F.col(f"q{i}")
         fence_cols += [(q[0] - 1.5 * (q[2] - q[0])).alias(f"lo{i}"), (q[2] + 1.5 * (q[2] - q[0])).alias(f"hi{i}")]
     fences = per_class.select("label", *fence_cols)
-    j = lab.join(F.broadcast(fences), "label")
+    j = lab.join(fences, "label")  # k rows: the optimizer broadcasts it under its threshold
     aggs = [F.grouping("label").alias("g")]
     for i, f in enumerate(feats):
         v = clean_number(f, _dt(df, f))
@@ -376,17 +320,17 @@ def crosstab(df: DataFrame, category: str, spec: TableSpec) -> DataFrame:
     """Counts and row shares per category x class. Pivot values come from the spec's
     class domain, so no discovery job runs."""
     classes = list(spec.expected_classes) if spec.expected_classes else \
-        [r[0] for r in _labelled(df, spec).select(spec.target).distinct().orderBy(spec.target).limit(spec.max_classes + 1).collect()]
-    if len(classes) > spec.max_classes:
-        raise ValueError("too many classes for a pivot")
+        [r[0] for r in _labelled(df, spec).select(spec.target).distinct().orderBy(spec.target).collect()]  # output columns
     base = df.where(F.col(category).isNotNull()).where(~is_missing(spec.target, _dt(df, spec.target)))
-    pv = base.groupBy(F.col(category).alias("category")).pivot(spec.target, classes).count().na.fill(0)
-    names = [str(c) for c in classes]
+    known = F.col(spec.target).isin(classes)
+    names = [*[str(c) for c in classes], "other"]  # labels outside the domain are counted, too
+    base = base.withColumn("__class", F.when(known, F.col(spec.target).cast("string")).otherwise(F.lit("other")))
+    pv = base.groupBy(F.col(category).alias("category")).pivot("__class", names).count().na.fill(0)
     total = sum((F.col(f"`{c}`") for c in names), F.lit(0))
     return pv.select(
         "category",
         *[F.col(f"`{c}`").cast("bigint").alias(f"n_{sanitize(c)}") for c in names],
-        *[(F.col(f"`{c}`") / total).alias(f"share_{sanitize(c)}") for c in names],
+        *[F.try_divide(F.col(f"`{c}`"), total).alias(f"share_{sanitize(c)}") for c in names],
     ).orderBy("category")
 
 
@@ -412,7 +356,7 @@ def column_inventory(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
         rows.append(F.struct(
             F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.lit(dt.simpleString()).alias("data_type"),
             F.lit(kind).alias("feature_type"), F.col(f"m{i}").cast("bigint").alias("missing_values"),
-            (F.col(f"m{i}") * 100.0 / F.col("n_rows")).alias("missing_pct"),
+            F.try_divide(F.col(f"m{i}") * 100.0, F.col("n_rows")).alias("missing_pct"),
             F.col(f"u{i}").cast("bigint").alias("unique_values"),
             F.col(f"f{i}").cast("bigint").alias("infinite_values"),
             F.col(f"x{i}").cast("bigint").alias("invalid_numeric_values"),

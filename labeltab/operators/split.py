@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labeltab.functions.exprs import hash_order_key, is_missing
+from labeltab.session import scratch_path
 from labeltab.spec import TableSpec
 
 
@@ -26,26 +27,25 @@ def _labelled(df: DataFrame, spec: TableSpec) -> DataFrame:
 # ---- C08–C09 label encoding -------------------------------------------------------------------
 
 def label_dimension(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """(label, code) with codes 0..k-1 in alphabetical order of the label."""
+    """(label, code) with codes 0..k-1 in the order of the label's own type."""
     if spec.expected_classes:
         labels = sorted(spec.expected_classes)
         return df.sparkSession.createDataFrame([(str(c), i) for i, c in enumerate(labels)], "label string, code int")
-    d = _labelled(df, spec).select(F.col(spec.target).cast("string").alias("label")).distinct()
-    if d.limit(spec.max_classes + 1).count() > spec.max_classes:
-        raise ValueError(f"more than max_classes={spec.max_classes} labels")
-    return d.withColumn("code", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("int"))  # k rows, checked
+    d = _labelled(df, spec).select(F.col(spec.target).alias("own")).distinct()
+    return d.select(F.col("own").cast("string").alias("label"),
+                    (F.dense_rank().over(Window.orderBy("own")) - 1).cast("int").alias("code"))  # k rows
 
 
 def encode(df: DataFrame, spec: TableSpec, dim: DataFrame, out: str = "code") -> DataFrame:
-    """Attach the class code through a broadcast join with the k-row dimension."""
+    """Attach the class code by a join with the k-row dimension."""
     d = dim.select(F.col("label").alias("__l"), F.col("code").alias(out))
-    return df.join(F.broadcast(d), F.col(spec.target).cast("string") == F.col("__l"), "left").drop("__l")
+    return df.join(d, F.col(spec.target).cast("string") == F.col("__l"), "left").drop("__l")
 
 
 def decode(df: DataFrame, dim: DataFrame, code: str = "code", out: str = "decoded") -> DataFrame:
     """Code -> label through the same dimension."""
     d = dim.select(F.col("code").alias("__c"), F.col("label").alias(out))
-    return df.join(F.broadcast(d), F.col(code) == F.col("__c"), "left").drop("__c")
+    return df.join(d, F.col(code) == F.col("__c"), "left").drop("__c")
 
 
 # ---- class rank (shared by C10 and C12) --------------------------------------------------------
@@ -83,23 +83,43 @@ def train_quotas(class_counts: dict, test_fraction: float) -> dict:
     return base
 
 
-def class_counts(df: DataFrame, spec: TableSpec) -> dict:
-    rows = _labelled(df, spec).groupBy(spec.target).count().limit(spec.max_classes + 1).collect()
-    if len(rows) > spec.max_classes:
-        raise ValueError(f"more than max_classes={spec.max_classes} classes")
-    return {r[0]: r[1] for r in rows}
+def quota_table(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """(label, quota) by the rule of ``train_quotas``, in the plan (k rows)."""
+    counts = _labelled(df, spec).groupBy(spec.target).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"))
+    whole = Window.partitionBy()
+    t = counts.withColumn("total", F.sum("n").over(whole).cast("decimal(38,0)"))
+    t = t.withColumn("n_train", (F.col("total") - F.ceil(F.lit(spec.test_fraction) * F.col("total").cast("double"))).cast("decimal(38,0)"))
+    t = t.withColumn("base", F.expr("cast(n * n_train as decimal(38,0)) div total")) \
+         .withColumn("rest", F.expr("cast(n * n_train as decimal(38,0)) % total"))
+    t = t.withColumn("left", F.col("n_train") - F.sum("base").over(whole)) \
+         .withColumn("turn", F.row_number().over(Window.orderBy(F.desc("rest"), F.col(spec.target).cast("string"))))
+    return t.select(spec.target, (F.col("base") + (F.col("turn") <= F.col("left")).cast("int")).cast("bigint").alias("quota"))
 
 
-def stratified_split(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """Adds ``split`` = train/test with exact per-class quotas. Only the k class counts
-    reach the driver; quotas return as a k-row broadcast table."""
-    quotas = train_quotas(class_counts(df, spec), spec.test_fraction)
-    q = df.sparkSession.createDataFrame(list(quotas.items()),
-                                        f"__lab {df.schema[spec.target].dataType.simpleString()}, __quota long")
-    ranked = class_rank(df, spec)
-    return (ranked.join(F.broadcast(q), F.col(spec.target) == F.col("__lab"))
-            .withColumn("split", F.when(F.col("rank_in_class") <= F.col("__quota"), F.lit("train")).otherwise(F.lit("test")))
-            .drop("__lab", "__quota", "__h", "rank_in_class"))
+def stratified_split(df: DataFrame, spec: TableSpec, prefix: int = 4) -> DataFrame:
+    """Adds ``split`` = train/test with exact per-class quotas. The quota-th digest of a class
+    is found from counts per digest bucket and the rows of one bucket per class; a row's split is
+    then a comparison with its class's cut-off. No row is shuffled for it."""
+    if not spec.key:
+        raise ValueError("a key column is required for a reproducible order")
+    rows = _labelled(df, spec).withColumn("__h", hash_order_key(spec.seed, spec.key))
+    small = rows.select(spec.target, "__h", F.col(spec.key).alias("__k"), F.substring("__h", 1, prefix).alias("__b"))
+    before = Window.partitionBy(spec.target).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # counts only
+    counts = small.groupBy(spec.target, "__b").agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.withColumn("cum", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    cut = (counts.join(quota_table(df, spec), spec.target)
+           .where((F.col("cum") < F.col("quota")) & (F.col("quota") <= F.col("cum") + F.col("c")))
+           .select(spec.target, "__b", (F.col("quota") - F.col("cum")).alias("need")))
+    inside = Window.partitionBy(spec.target).orderBy("__h", "__k")  # rows of one bucket
+    last = (small.join(cut, [spec.target, "__b"]).withColumn("r", F.row_number().over(inside)).where("r = need")
+            .select(F.col(spec.target).alias("__label"), F.col("__h").alias("__cut"), F.col("__k").alias("__cut_key")))
+    path = scratch_path(df.sparkSession, "split-cuts")
+    last.write.parquet(path)  # k rows; a table of known size for the join
+    cuts = df.sparkSession.read.schema(last.schema).parquet(path)
+    train = (F.col("__h") < F.col("__cut")) | ((F.col("__h") == F.col("__cut")) & (F.col(spec.key) <= F.col("__cut_key")))
+    return (rows.join(cuts, F.col(spec.target) == F.col("__label"), "left")
+            .withColumn("split", F.when(train, F.lit("train")).otherwise(F.lit("test")))
+            .drop("__label", "__cut", "__cut_key", "__h"))
 
 
 def split_report(split_df: DataFrame, spec: TableSpec) -> DataFrame:

@@ -64,6 +64,8 @@ def d1(spark: SparkSession, sf_dir: str) -> DataFrame:
           .when(k % 73 == 0, F.lit("inf"))
           .when(k % 71 == 0, F.lit("-5.0"))
           .when(k % 67 == 0, F.lit("999999"))
+          .when(k % 61 == 0, F.lit("5d")).when(k % 59 == 0, F.lit("3F")).when(k % 53 == 0, F.lit("0x1p3"))
+          .when(k % 47 == 0, F.lit("1_000")).when(k % 43 == 0, F.lit("+5"))
           .otherwise(F.round("o_totalprice").cast("string")))
     label = (F.when(k % 101 == 0, F.lit(" "))
              .when(k % 103 == 0, F.concat(F.lit(" "), p))

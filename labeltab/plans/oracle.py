@@ -25,6 +25,11 @@ D1 = """d1 AS (
          WHEN o_orderkey % 73 = 0 THEN 'inf'
          WHEN o_orderkey % 71 = 0 THEN '-5.0'
          WHEN o_orderkey % 67 = 0 THEN '999999'
+         WHEN o_orderkey % 61 = 0 THEN '5d'
+         WHEN o_orderkey % 59 = 0 THEN '3F'
+         WHEN o_orderkey % 53 = 0 THEN '0x1p3'
+         WHEN o_orderkey % 47 = 0 THEN '1_000'
+         WHEN o_orderkey % 43 = 0 THEN '+5'
          ELSE CAST(round(o_totalprice) AS VARCHAR) END AS f1,
     CASE WHEN o_orderkey % 101 = 0 THEN ' '
          WHEN o_orderkey % 103 = 0 THEN ' ' || o_orderpriority
@@ -33,6 +38,11 @@ D1 = """d1 AS (
          ELSE o_orderpriority END AS label
   FROM orders)"""
 
+#: f1 as a number by the reference's reading: digits with an optional sign, point and exponent, or a
+#: spelled infinity or NaN; anything else is no number
+NUM_F1 = ("CASE WHEN regexp_full_match(trim(f1), '[-+]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][-+]?[0-9]+)?') "
+          "OR regexp_full_match(lower(trim(f1)), '[-+]?(inf|infinity|nan)') THEN TRY_CAST(ltrim(trim(f1), '+') AS DOUBLE) END")
+
 LI_RID = """li_rid AS (
   SELECT concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber,
                    CAST(round(l_extendedprice * 100) AS BIGINT)) AS rid, *
@@ -190,7 +200,10 @@ _IN_P = ", ".join(f"'{p}'" for p in PRIORITIES)
 ORACLE["a13_crosstab"] = "SELECT o_orderstatus AS category,\n  " + ",\n  ".join(
     [f"count(*) FILTER (WHERE o_orderpriority = '{p}') AS n_{_san(p)}" for p in PRIORITIES]
     + [f"round(CAST(count(*) FILTER (WHERE o_orderpriority = '{p}') AS DOUBLE) / count(*), 6) AS share_{_san(p)}"
-       for p in PRIORITIES]) + f"\nFROM orders WHERE o_orderstatus IS NOT NULL AND o_orderpriority IN ({_IN_P})\nGROUP BY 1"
+       for p in PRIORITIES]
+    + [f"count(*) FILTER (WHERE o_orderpriority NOT IN ({_IN_P})) AS n_other",
+       f"round(CAST(count(*) FILTER (WHERE o_orderpriority NOT IN ({_IN_P})) AS DOUBLE) / count(*), 6) AS share_other"]
+) + "\nFROM orders WHERE o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL\nGROUP BY 1"
 
 _TYPE_MAP = ("CASE any_value(typeof({c})) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' "
              "WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' "
@@ -457,7 +470,7 @@ UNION ALL SELECT '_total', n0 + n1 + n2, b0 + b1 + b2, n0 + n1 + n2 + b0 + b1 +
 
 ORACLE["q09_numeric_validity"] = f"""
 WITH {D1},
-p AS (SELECT f1, TRY_CAST(f1 AS DOUBLE) AS v FROM d1),
+p AS (SELECT f1, {NUM_F1} AS v FROM d1),
 bad AS (SELECT DISTINCT f1 FROM p WHERE f1 IS NOT NULL AND NOT regexp_matches(f1, '^\\s*$') AND v IS NULL),
 ex AS (SELECT coalesce(string_agg(f1, ',' ORDER BY f1), '') AS examples FROM (SELECT f1 FROM bad ORDER BY f1 LIMIT 5) b)
 SELECT 'f1' AS feature, count(*) FILTER (WHERE isnan(v)) AS n_nan, count(*) FILTER (WHERE isinf(v)) AS n_inf,
@@ -471,7 +484,7 @@ ORACLE["q10_finite_gate"] = "WITH g AS (SELECT " + ", ".join(
     [f"SELECT '{c}' AS feature, g_{c} AS all_finite FROM g" for c in LI_FEATURES]
     + ["SELECT '*', " + " AND ".join(f"g_{c}" for c in LI_FEATURES) + " FROM g"])
 
-_D1_NUM = """p AS (SELECT row_id, f1, label, TRY_CAST(f1 AS DOUBLE) AS v FROM d1),
+_D1_NUM = f"""p AS (SELECT row_id, f1, label, {NUM_F1} AS v FROM d1),
 m AS (SELECT *, f1 IS NOT NULL AND (v IS NULL OR isnan(v)) AS non_numeric,
              v IS NOT NULL AND NOT isnan(v) AND v < 0.0 AS below_min,
              v IS NOT NULL AND NOT isnan(v) AND v > 500000.0 AS above_max,
@@ -556,7 +569,7 @@ FROM e GROUP BY split"""
 
 ORACLE["q18_row_validation"] = f"""
 WITH {D1},
-p AS (SELECT row_id, TRY_CAST(f1 AS DOUBLE) AS v FROM d1),
+p AS (SELECT row_id, {NUM_F1} AS v FROM d1),
 m AS (SELECT row_id,
         CASE WHEN v IS NULL THEN 'f1 must be numeric.' WHEN isnan(v) THEN 'f1 cannot be NaN.'
              WHEN isinf(v) THEN 'f1 cannot be infinite.' END AS e1,
@@ -617,6 +630,10 @@ ORACLE["c08_label_encode"] = """
 SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS code
 FROM (SELECT DISTINCT l_returnflag AS label FROM lineitem WHERE l_returnflag IS NOT NULL) d"""
 
+ORACLE["c08_label_encode_integer"] = """
+SELECT CAST(p_size AS VARCHAR) AS label, CAST(dense_rank() OVER (ORDER BY p_size) - 1 AS INTEGER) AS code
+FROM (SELECT DISTINCT p_size FROM part WHERE p_size IS NOT NULL) d"""
+
 ORACLE["c09_label_decode"] = """
 WITH dim AS (SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS code
              FROM (SELECT DISTINCT l_returnflag AS label FROM lineitem WHERE l_returnflag IS NOT NULL) d),
@@ -713,6 +730,21 @@ D3M = f"{D3},\n{metric_ctes('d3')}"
 
 ORACLE["m06_confusion"] = f"WITH {D3M} SELECT model, label, prediction, n FROM conf"
 ORACLE["m07_summary_metrics"] = f"WITH {D3M} SELECT model, {_MR} FROM summ"
+# straight from the rows: no grid, all rows count, macro over the values that occur on either side
+ORACLE["m07_summary_unknown_labels"] = f"""WITH {D3},
+u AS (SELECT model, CASE WHEN substr(md5(rid), 1, 2) = '00' THEN 9 ELSE label END AS y,
+             CASE WHEN substr(md5(rid), 1, 2) IN ('00', '01') THEN 7 ELSE prediction END AS z FROM d3),
+v AS (SELECT DISTINCT model, y AS c FROM u UNION SELECT DISTINCT model, z FROM u),
+k AS (SELECT v.model, c, count(*) FILTER (WHERE y = c) AS s, count(*) FILTER (WHERE z = c) AS p,
+             count(*) FILTER (WHERE y = c AND z = c) AS t FROM v JOIN u ON u.model = v.model GROUP BY 1, 2),
+q AS (SELECT *, CASE WHEN p > 0 THEN t / p ELSE 0.0 END AS pr, CASE WHEN s > 0 THEN t / s ELSE 0.0 END AS re FROM k),
+f AS (SELECT *, CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END AS f1 FROM q)
+SELECT model, round(sum(t) / sum(s), 6) AS accuracy, round(sum(pr * s) / sum(s), 6) AS weighted_precision,
+       round(sum(re * s) / sum(s), 6) AS weighted_recall, round(sum(f1 * s) / sum(s), 6) AS weighted_f1,
+       round(avg(pr), 6) AS macro_precision, round(avg(re), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1,
+       CAST(sum(s) FILTER (WHERE c > 4) AS BIGINT) AS n_unknown_labels, CAST(sum(p) FILTER (WHERE c > 4) AS BIGINT) AS n_unknown_predictions
+FROM f GROUP BY model"""
+
 ORACLE["m10_classification_report"] = f"""WITH {D3M}
 SELECT model, CAST(class AS VARCHAR) AS class, round("precision", 6) AS "precision", round(recall, 6) AS recall,
        round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM pc
@@ -835,13 +867,14 @@ FROM part ORDER BY p_partkey LIMIT 5"""
 
 
 def _canon(cols: list[tuple[str, str]]) -> str:
-    parts = [f"coalesce(CAST(TRY_CAST({c} AS DECIMAL(38,9)) AS VARCHAR), '\\N')" if k == "double"
-             else f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c, k in cols]
-    return "CAST('0x' || substr(md5(concat_ws('|', " + ", ".join(parts) + ")), 1, 15) AS BIGINT)"
+    texts = [f"CASE WHEN isnan({c}) THEN 'NaN' ELSE CAST(TRY_CAST({c} AS DECIMAL(38,9)) AS VARCHAR) END" if k == "double"
+             else f"CAST({c} AS VARCHAR)" for c, k in cols]
+    parts = [f"coalesce('v' || length({t}) || ':' || ({t}), 'n')" for t in texts]
+    return "CAST('0x' || substr(md5(" + " || ".join(parts) + "), 1, 15) AS BIGINT)"
 
 
 def _fp(name: str, rel: str, cols: list[tuple[str, str]]) -> str:
-    return f"SELECT '{name}' AS table_name, count(*) AS n_rows, bit_xor({_canon(cols)}) AS digest FROM {rel}"
+    return f"SELECT '{name}' AS table_name, count(*) AS n_rows, sum(CAST({_canon(cols)} AS HUGEINT)) AS digest FROM {rel}"
 
 
 _REG = [("r_regionkey", "int"), ("r_name", "string")]

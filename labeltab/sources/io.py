@@ -2,7 +2,7 @@
 
 Scans use explicit schemas (no inference pass). File-level operators use the ``binaryFile``
 source, which reads file contents only when the ``content`` column is selected. Table
-fingerprints are order-insensitive aggregates (``count`` and ``bit_xor`` of a 60-bit row
+fingerprints are order-insensitive aggregates (``count`` and the sum of a 60-bit row
 digest), so they are one distributed pass and never depend on file layout.
 """
 
@@ -49,11 +49,9 @@ def preview(df: DataFrame, key: str, n: int = 5) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
-def dimension_join(fact: DataFrame, dim: DataFrame, on: str | Sequence[str], max_dim_rows: int = 1_000_000) -> DataFrame:
-    """S02 lookup: broadcast the dimension only after checking its size; otherwise let the
-    optimizer choose a shuffle join."""
-    n = dim.limit(max_dim_rows + 1).count()
-    return fact.join(F.broadcast(dim) if n <= max_dim_rows else dim, on, "left")
+def dimension_join(fact: DataFrame, dim: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """S02 lookup: a left join; the optimizer broadcasts the dimension by its size in bytes."""
+    return fact.join(dim, on, "left")
 
 
 # ---- S04–S06 manifests and fingerprints -----------------------------------------------------
@@ -83,14 +81,16 @@ def file_digests(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame
 
 
 def canonical_text(df: DataFrame) -> Column:
-    """Engine-independent text of a row: doubles as decimal(38,9), the rest as text."""
+    """Engine-independent text of a row: doubles as decimal(38,9), the rest as text, each with its
+    length in front, so that no two rows of different values share a text; nulls and NaN apart."""
     parts = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = c.try_cast("decimal(38,9)")
-        parts.append(F.coalesce(c.cast("string"), F.lit("\\N")))
-    return F.concat_ws("|", *parts)
+            c = F.when(F.isnan(c), F.lit("NaN")).otherwise(c.try_cast("decimal(38,9)").cast("string"))
+        text = c.cast("string")
+        parts.append(F.when(text.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.char_length(text).cast("string"), F.lit(":"), text)))
+    return F.concat(*parts)
 
 
 def row_digest(df: DataFrame) -> Column:
@@ -100,7 +100,7 @@ def row_digest(df: DataFrame) -> Column:
 
 def table_fingerprint(df: DataFrame, name: str) -> DataFrame:
     """(table_name, n_rows, digest): order-insensitive, one pass."""
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(row_digest(df)).alias("digest")) \
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row_digest(df).cast("decimal(20,0)")).alias("digest")) \
         .select(F.lit(name).alias("table_name"), "n_rows", "digest")
 
 

@@ -23,16 +23,6 @@ class TableSpec:
     seed: int = 42
     test_fraction: float = 0.2
     n_folds: int = 5
-    # quantiles: "auto" = exact; the in-buffer ``percentile`` aggregate when every feature has
-    # at most ``percentile_buffer_limit`` distinct values (HLL estimate), else the exact
-    # distributed sort; "percentile" / "distributed" force one; "approx" = percentile_approx
-    quantile_mode: str = "auto"
-    # above ~1e5 distinct values the boxed hash-map buffer is also slower than the sort
-    # (measured at sf0.1: 5.9 s vs 4.8 s for 600k distinct), besides growing with the data
-    percentile_buffer_limit: int = 100_000
-    approx_accuracy: int = 10000
-    # guard for anything collected to the driver per class (bounds, quotas, class lists)
-    max_classes: int = 10000
     name: str = "table"
 
     def with_(self, **kw) -> "TableSpec":

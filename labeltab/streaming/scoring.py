@@ -22,11 +22,16 @@ from labeltab.spec import TableSpec
 
 
 def score_batch(batch: DataFrame, model: PipelineModel, spec: TableSpec, name: str) -> tuple[DataFrame, DataFrame]:
-    """Validated scoring of one batch (also the batch job M26): (scored, rejected)."""
+    """Validated scoring of one batch (also the batch job M26): (scored, rejected). Rows need no label;
+    a scored row has its class name, confidence and the classes ranked by probability."""
     v = validate_rows(batch, spec)
     good = v.where("is_valid").withColumns({f: F.col(f).cast("double") for f in spec.features})
+    names = F.array(*[F.lit(str(c)) for c in sorted(spec.expected_classes)])
+    ranked = F.sort_array(F.zip_with("probability", names, lambda p, c: F.struct((-p).alias("neg"), c.alias("class"))))
     scored = predict(model, good, spec, name).select(
-        spec.key, "prediction", F.array_max("probability").alias("confidence"))
+        spec.key, "prediction", F.element_at(names, F.col("prediction") + 1).alias("predicted_label"),
+        F.array_max("probability").alias("confidence"),
+        F.transform(ranked, lambda r: F.struct(r["class"].alias("class"), (-r["neg"]).alias("probability"))).alias("probabilities"))
     rejected = v.where(~F.col("is_valid")).select(spec.key, "n_errors", F.array_join("errors", "; ").alias("errors"))
     return scored, rejected
 

@@ -45,7 +45,8 @@ def test_class_rank_is_a_permutation(spark):
 
 def test_row_validation_precedence(spark):
     spec = TableSpec(features=("v",), target="y", key="id", bounds={"v": (0.0, 10.0)})
-    rows = [(1, "NaN"), (2, "abc"), (3, "-5"), (4, "inf"), (5, "11"), (6, "5"), (7, None), (8, "  ")]
+    rows = [(1, "NaN"), (2, "abc"), (3, "-5"), (4, "inf"), (5, "11"), (6, "+5"), (7, None), (8, "  "),
+            (9, "5d"), (10, "3F"), (11, "0x1p3"), (12, "1_000")]
     df = spark.createDataFrame(rows, "id int, v string")
     got = {r.row_id: r.errors for r in Q.validation_report(df, spec).collect()}
     assert got[1] == "v cannot be NaN."
@@ -54,6 +55,7 @@ def test_row_validation_precedence(spark):
     assert got[4] == "v cannot be infinite."
     assert got[5] == "v must be less than or equal to 10."
     assert got[6] == ""
+    assert all(got[i] == "v must be numeric." for i in (9, 10, 11, 12))
     assert got[7] == "v must be numeric." and got[8] == "v must be numeric."
 
 
@@ -103,7 +105,7 @@ def test_shapley_additivity(spark):
     from labeltab.operators import explain as EX
 
     model = C.fitted(spark, SF_SMALL, "Random Forest")
-    train = C.d2_split_ckpt(spark, SF_SMALL).where("split = 'train'")
+    train = C.d2_split(spark, SF_SMALL).where("split = 'train'")
     bg = EX.background_rows(train, list(X.D2_FEATURES), "rid", n=8)
     sh = EX.shapley(model, C.d2_test(spark, SF_SMALL), list(X.D2_FEATURES), "rid", bg)
     err = sh.select(F.max(F.abs(F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)
@@ -147,7 +149,7 @@ def test_shapley_sampled_additivity(spark):
     from labeltab.operators import explain as EX
 
     model = C.fitted(spark, SF_SMALL, "Random Forest")
-    train = C.d2_split_ckpt(spark, SF_SMALL).where("split = 'train'")
+    train = C.d2_split(spark, SF_SMALL).where("split = 'train'")
     bg = EX.background_rows(train, list(X.D2_FEATURES), "rid", n=4)
     sh = EX.shapley(model, C.d2_test(spark, SF_SMALL), list(X.D2_FEATURES), "rid", bg, exact_max=0, permutations=5)
     err = sh.select(F.max(F.abs(F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)
@@ -175,15 +177,46 @@ def test_fingerprint_ignores_row_order_and_layout(spark):
     assert audit == {"region": "same", "nation": "same", "part": "changed", "supplier": "removed", "customer": "added"}
 
 
-def test_approx_quantiles_close_to_exact(spark):
-    li = X.lineitem_labelled(spark, SF_SMALL)
-    exact = {r.feature: r for r in A.describe(li, X.LI_SPEC.with_(quantile_mode="percentile")).collect()}
-    approx = {r.feature: r for r in A.describe(li, X.LI_SPEC.with_(quantile_mode="approx")).collect()}
-    dist = {r.feature: r for r in A.describe(li, X.LI_SPEC.with_(quantile_mode="distributed")).collect()}
-    for f in X.LI_FEATURES:
-        assert dist[f].p50 == pytest.approx(exact[f].p50, rel=1e-12)
-        spread = exact[f].max - exact[f].min
-        assert abs(approx[f].p50 - exact[f].p50) <= 0.01 * spread + 1e-9
+def test_quantiles_do_not_depend_on_exchange_reuse(spark):
+    """Exact on odd value ranges (infinities, tiny and huge values, ties), with reuse on and off."""
+    import numpy as np
+
+    vals = [0.0, -0.0, 1e-308, 5e-324, 1e308, -1e308, float("inf"), 3.0, 3.0, 3.0, -7.5, 1e-9, 2.5e15, 2.5e15 + 1]
+    df = spark.createDataFrame([(v, "a" if i % 2 else "b") for i, v in enumerate(vals)] + [(None, "a"), (float("nan"), "b")], "x double, y string")
+    spec = TableSpec(features=("x",), target="y")
+    got = []
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        got.append((A.describe(df, spec).first(), sorted(map(tuple, A.class_stats(df, spec, five_number=True).collect()), key=str)))
+    spark.conf.set("spark.sql.exchange.reuse", "true")
+    assert got[0] == got[1]
+    s = np.sort(np.array(vals))
+    assert got[0][0].p50 == (s[6] + s[7]) / 2 and got[0][0].p25 == s[3] * 0.75 + s[4] * 0.25
+    empty = df.where("y = 'none'")
+    assert A.describe(empty, spec).first().p50 is None and A.box_stats(empty, spec).count() == 0
+    assert A.iqr_outliers(empty, spec).first().outlier_pct is None
+
+
+def test_unknown_labels_are_counted(spark):
+    preds = spark.createDataFrame([("m", 0, 0), ("m", 1, 1), ("m", 9, 1), ("m", None, 7)], "model string, label int, prediction int")
+    conf = M.confusion(preds, [0, 1])
+    s = M.summary(conf, classes=[0, 1]).first()
+    assert conf.agg(F.sum("n")).first()[0] == 4 and s.accuracy == 0.5
+    assert (s.n_unknown_labels, s.n_unknown_predictions) == (2, 1)
+    spec = TableSpec(features=(), target="y", expected_classes=("a",))
+    row = A.crosstab(spark.createDataFrame([("k", "Z"), ("k", "a")], "c string, y string"), "c", spec).first()
+    assert (row.n_a, row.n_other, row.share_a) == (1, 1, 0.5)
+
+
+def test_fingerprints_tell_pairs_apart(spark):
+    from labeltab.sources import io as IO
+
+    def fp(rows, schema="a string, b string, c double"):
+        return IO.table_fingerprint(spark.createDataFrame(rows, schema), "t").first().digest
+
+    a, b = ("A", "x", 1.0), ("B", "x", 1.0)
+    assert fp([a, a]) != fp([b, b])
+    assert fp([("a|b", "c", float("nan"))]) != fp([("a", "b|c", None)]) and fp([("a", "b", float("nan"))]) != fp([("a", "b", None)])
 
 
 def test_no_signal_model_selection(spark):
