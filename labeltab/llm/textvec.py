@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 BASE_INV = U64(pow(int(BASE), -1, 1 << 64))
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def byte_table(*allowed: int | range) -> np.ndarray:

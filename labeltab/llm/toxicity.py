@@ -29,7 +29,7 @@ from .shared import bounded_sample, only_ids
 class Ftrl:
     """Fit parameters. ``max_rows`` bounds the labelled rows of the fit, ``positive`` weighs label 1."""
 
-    max_rows: int = 16_000
+    max_rows: int = 10_000
     alpha: float = 10.0
     beta: float = 1.0
     l1: float = 3.0
@@ -78,7 +78,7 @@ def fit(examples: list[tuple[np.ndarray, int]], p: Ftrl) -> tuple[np.ndarray, np
         at = np.searchsorted(ids, h)
         at[at == len(ids)] = 0
         ok = ids[at] == h if len(ids) else np.zeros(len(h), bool)
-        rows.append((np.append(at[ok], len(ids)), np.append(rarity[at[ok]], 1.0), y))
+        rows.append((np.append(at[ok], len(ids)).astype(np.int32), np.append(rarity[at[ok]], 1.0).astype(np.float32), y))
     z, n = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
     l1 = np.full(len(ids) + 1, p.l1)
     l1[-1] = 0.0
