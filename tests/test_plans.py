@@ -3,17 +3,17 @@ Python (Arrow) only where it is documented (the R02 p-value helper)."""
 
 import pytest
 
-import __spark_entry__ as E
+from labeltab.plans.catalog import QUERIES
 from tests.conftest import SF_SMALL
 from tests.plan_review import SIDE_EFFECTS, plan_text, summary
 
-NAMES = sorted(n for n in E.queries() if n not in SIDE_EFFECTS)
+NAMES = sorted(n for n in QUERIES if n not in SIDE_EFFECTS)
 ARROW_OK = {"r02_anova_pvalue"}
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_plan_guard(spark, name):
-    s = summary(plan_text(E.queries()[name](spark, SF_SMALL)))
+    s = summary(plan_text(QUERIES[name](spark, SF_SMALL)))
     assert not s["forbidden"], s
     if name not in ARROW_OK:
         assert s["python"] == 0, s
