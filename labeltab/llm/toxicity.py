@@ -1,9 +1,11 @@
 """Operator 1: toxicity by FTRL-proximal logistic regression over hashed n-grams.
 
 Features of a text: its lower-cased words (runs of letters), word pairs, and skip-grams that leave
-out one or two words, each hashed to 32 bits. A feature's value is its rarity among the rows of the
-fit, however often the text has it. Per-coordinate learning rates and the L1 term of FTRL-proximal leave few non-zero weights; those are broadcast (hash and
-weight, sorted) and every text is scored whole in vectorised tasks.
+out one or two words, each hashed to 32 bits. Every word also counts by its stems (first 4 to 7
+bytes), so that inflected forms and compounds share a weight. A feature's value is its rarity among
+the rows of the fit, however often the text has it. Per-coordinate learning rates and the L1 term of
+FTRL-proximal leave few non-zero weights; those are broadcast (hash and weight, sorted) and every
+text is scored whole in vectorised tasks.
 
 The model is fitted on at most ``max_rows`` labelled documents (those with the smallest hash of
 their id), so the fit, its feature table and the weights are bounded whatever the corpus size.
@@ -38,15 +40,21 @@ class Ftrl:
     min_docs: int = 5
     positive: float = 2.0
     skips: tuple[int, ...] = (1, 2, 3)
+    stems: tuple[int, ...] = (4, 5, 6, 7)
     threshold: float = 0.7
 
 
-def features(buf: np.ndarray, off: np.ndarray, skips: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """(32-bit feature hash, row) of all words and of all word pairs at the given distances."""
+def features(buf: np.ndarray, off: np.ndarray, p: Ftrl) -> tuple[np.ndarray, np.ndarray]:
+    """(32-bit feature hash, row) of all words, their stems and all word pairs at the given distances."""
     s, e, row = tv.word_spans(buf, off, tv.LETTERS)
-    h = tv.Spans(buf).hash(s, e)
+    spans = tv.Spans(buf)
+    h = spans.hash(s, e)
     hs, rows = [h], [row]
-    for d in skips:
+    for k in p.stems:
+        longer = np.flatnonzero(e - s > k)
+        hs.append(tv.mix64(spans.hash(s[longer], s[longer] + k) + np.uint64(1)))
+        rows.append(row[longer])
+    for d in p.skips:
         if len(h) > d:
             same = np.flatnonzero(row[:-d] == row[d:])
             hs.append(tv.mix64(h[same] * tv.BASE + h[same + d] + np.uint64(d)))
@@ -105,7 +113,7 @@ def _fit_batches(batches: Iterator[pa.RecordBatch], p: Ftrl) -> Iterator[pa.Reco
     found: list[tuple[int, np.ndarray, int]] = []
     for batch in batches:
         for part, buf, off in tv.row_slices(lowered(batch), "text"):
-            row, h = distinct(*features(buf, off, p.skips))
+            row, h = distinct(*features(buf, off, p))
             b = tv.row_bounds(row, part.num_rows)
             for r, (key, y) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("label").to_pylist())):
                 found.append((key, h[b[r]: b[r + 1]].copy(), y))
@@ -133,15 +141,15 @@ class Scorer:
 
     BITS = 20
 
-    def __init__(self, h: np.ndarray, w: np.ndarray, bias: float, skips: tuple[int, ...]):
-        self.h, self.w, self.bias, self.skips = h, w, bias, skips
+    def __init__(self, h: np.ndarray, w: np.ndarray, bias: float, p: Ftrl):
+        self.h, self.w, self.bias, self.p = h, w, bias, p
         self.maybe = np.zeros(1 << self.BITS, bool)
         self.maybe[h & np.uint32((1 << self.BITS) - 1)] = True
 
     def __call__(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         total = np.full(len(off) - 1, self.bias)
         if len(buf) and len(self.h):
-            h, row = features(buf, off, self.skips)
+            h, row = features(buf, off, self.p)
             hit = np.flatnonzero(self.maybe[h & np.uint32((1 << self.BITS) - 1)])
             h, row = h[hit], row[hit]
             at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
@@ -156,7 +164,7 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float], p: Ftr
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*shared.value, p.skips)
+        scorer = Scorer(*shared.value, p)
         for batch in batches:
             for part, buf, off in tv.row_slices(lowered(batch), "text"):
                 x = scorer(buf, off)
