@@ -21,6 +21,7 @@ REASON_BEST = ("Selected %s using Macro F1 as the primary criterion (%.4f), then
 REASON_V1_TIED = ("Selected %s because it achieved the highest weighted F1-score (%.4f) among tied models, "
                   "with accuracy %.4f and favorable simplicity/stability.")
 REASON_V1_SINGLE = "Selected %s because it achieved the highest weighted F1-score (%.4f) on the held-out test set."
+REASON_V1_FOREST = " Random Forest was preferred as the simpler and more stable baseline."
 VERDICT_B = "B. Stable but heavily dependent on {feature}"
 VERDICT_C = "C. Highly sensitive to the train/test split"
 VERDICT_A = "A. Stable and robust"
@@ -138,13 +139,14 @@ def select_best(summ: DataFrame) -> DataFrame:
 
 def select_best_v1(summ: DataFrame) -> DataFrame:
     """Metrics rounded to 4 decimals first; order by weighted F1, accuracy (desc), model;
-    the reason text depends on whether the top F1 is tied."""
+    the reason text depends on whether the top F1 is tied, and on whether a forest won the tie."""
     r = summ.select("model", *[F.bround(c, 4).alias(c) for c in ("accuracy", "weighted_f1")])
     w = Window.orderBy(F.desc("weighted_f1"), F.desc("accuracy"), "model")
     t = (r.withColumn("rank", F.row_number().over(w))
          .withColumn("n_tied", F.count(F.lit(1)).over(Window.partitionBy("weighted_f1"))))
     b = t.where("rank = 1")
-    tied = F.format_string(REASON_V1_TIED, "model", "weighted_f1", "accuracy")
+    forest = F.when(F.col("model") == "Random Forest", F.lit(REASON_V1_FOREST)).otherwise(F.lit(""))
+    tied = F.concat(F.format_string(REASON_V1_TIED, "model", "weighted_f1", "accuracy"), forest)
     single = F.format_string(REASON_V1_SINGLE, "model", "weighted_f1")
     return b.select("model", "accuracy", "weighted_f1", F.col("n_tied").cast("bigint"),
                     F.when(F.col("n_tied") > 1, tied).otherwise(single).alias("reason"))

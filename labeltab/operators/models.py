@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labeltab.session import scratch_path
@@ -39,13 +39,18 @@ class Preset:
 # Model presets (name, family, hyper-parameters).
 PRESETS = {
     "Random Forest": Preset("Random Forest", "rf", {"numTrees": 20, "maxDepth": 12, "maxBins": 64}),
-    "LightGBM-like": Preset("LightGBM-like", "ovr_gbt", {"maxIter": 8, "maxDepth": 6, "stepSize": 0.3, "maxBins": 64}),
+    "LightGBM-like": Preset("LightGBM-like", "ovr_gbt", {"maxIter": 8, "maxDepth": 5, "stepSize": 0.3,
+                                                        "minInstancesPerNode": 20, "maxBins": 64}),
     "XGBoost-like": Preset("XGBoost-like", "ovr_gbt", {"maxIter": 8, "maxDepth": 4, "stepSize": 0.3,
-                                                      "subsamplingRate": 0.9, "featureSubsetStrategy": "all", "maxBins": 64}),
-    "CatBoost-like": Preset("CatBoost-like", "ovr_gbt", {"maxIter": 8, "maxDepth": 6, "stepSize": 0.3, "maxBins": 64}),
+                                                      "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9", "maxBins": 64}),
+    "CatBoost-like": Preset("CatBoost-like", "ovr_gbt", {"maxIter": 8, "maxDepth": 6, "stepSize": 0.3, "maxBins": 254}),
 }
 
 
+#: model class that a preset's family must load as
+KINDS = {"rf": RandomForestClassificationModel, "ovr_gbt": OneVsRestModel}
+
+
 def label_column(df: DataFrame, spec: TableSpec, out: str = "label") -> DataFrame:
     """Class code as a double label (codes follow the alphabetical class order)."""
     classes = list(spec.expected_classes or [])
@@ -81,12 +86,22 @@ def fit_all(train: DataFrame, spec: TableSpec, presets: Sequence[str] | None = N
     return {name: fit(train, spec, PRESETS[name]) for name in (presets or PRESETS)}
 
 
-def save_models(models: dict[str, PipelineModel], base: str) -> DataFrame | list:
-    """Persist each fitted pipeline under ``base`` (a shared folder); returns (model, path)."""
+def class_names(spec: TableSpec) -> list[str]:
+    """Class names by code, in the order of ``label_column``."""
+    classes = list(spec.expected_classes or [])
+    return [str(c) for c in (classes if all(isinstance(c, int) for c in classes) else sorted(str(c) for c in classes))]
+
+
+def save_models(models: dict[str, PipelineModel], base: str, spec: TableSpec) -> list:
+    """Persist each fitted pipeline under ``base`` (a shared folder) with its class names by
+    code; returns (model, path, number of stages)."""
     out = []
     for name, m in models.items():
         path = os.path.join(base, name.replace(" ", "_"))
-        m.write().overwrite().save(path)
+        m.write().overwrite().save(os.path.join(path, "pipeline"))
+        spark = SparkSession.getActiveSession()
+        (spark.createDataFrame(list(enumerate(class_names(spec))), "code int, label string")
+         .write.mode("overwrite").parquet(os.path.join(path, "classes")))
         out.append((name, path, len(m.stages)))
     return out
 
@@ -95,15 +110,22 @@ def _clf_stage(model: PipelineModel):
     return model.stages[-1]
 
 
-def load_and_check(path: str, spec: TableSpec, name: str) -> tuple:
-    """Load a saved pipeline; verify model kind, feature order and class count."""
-    m = PipelineModel.load(path)
-    va = m.stages[0]
-    feats = va.getInputCols()
-    clf = _clf_stage(m)
+def load_checked(path: str, spec: TableSpec, preset: Preset) -> PipelineModel:
+    """Load a saved pipeline; a wrong model kind, feature order or encoder raises."""
+    m = PipelineModel.load(os.path.join(path, "pipeline"))
+    clf, kind = _clf_stage(m), KINDS[preset.kind]
+    if not isinstance(clf, kind):
+        raise TypeError(f"{path}: expected {kind.__name__}, found {type(clf).__name__}")
+    feats = m.stages[0].getInputCols()
+    if feats != list(spec.features):
+        raise ValueError(f"{path}: feature order mismatch, expected {list(spec.features)}, found {feats}")
+    saved = SparkSession.getActiveSession().read.parquet(os.path.join(path, "classes")).orderBy("code")
+    names = [r.label for r in saved.collect()]  # one row per class of the model
     n_classes = len(clf.models) if isinstance(clf, OneVsRestModel) else clf.numClasses
-    return (name, type(clf).__name__, ",".join(feats), feats == list(spec.features),
-            n_classes == len(spec.expected_classes or []))
+    if names != class_names(spec) or n_classes != len(names):
+        raise ValueError(f"{path}: encoder classes mismatch, expected {class_names(spec)}, found {names} "
+                         f"and {n_classes} model classes")
+    return m
 
 
 def ovr_probabilities(raw: str = "rawPrediction") -> F.Column:

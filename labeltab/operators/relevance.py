@@ -222,30 +222,27 @@ def categorical_relevance(df: DataFrame, spec: TableSpec, categories: Sequence[s
 # ---- R10–R12 class ranges -------------------------------------------------------------------
 
 def class_bounds(df: DataFrame, spec: TableSpec, features: Sequence[str] | None = None) -> DataFrame:
-    """(feature, label, min, max, n) per class, from the per-value pre-aggregate."""
+    """(feature, label, min, max, n) per class: one wide aggregate, unpivoted afterwards (k x f rows).
+    Classes without a value of a feature have no row for it."""
     feats = list(features or spec.features)
-    vals = _long_values(df, spec, feats).groupBy("feature", "value", "label").agg(F.count(F.lit(1)).alias("cnt"))
-    return vals, vals.groupBy("feature", "label").agg(
-        F.min("value").alias("min"), F.max("value").alias("max"), F.sum("cnt").cast("bigint").alias("n"))
+    aggs = []
+    for i, f in enumerate(feats):
+        v = clean_number(f, _dt(df, f))
+        aggs += [F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}"), F.count(v).alias(f"n{i}")]
+    wide = (df.where(~is_missing(spec.target, _dt(df, spec.target)))
+            .groupBy(F.col(spec.target).alias("label")).agg(*aggs))
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"a{i}").alias("min"), F.col(f"b{i}").alias("max"),
+                               F.col(f"n{i}").alias("n")) for i, f in enumerate(feats)])
+    return wide.select("label", F.inline(cells)).where("n > 0").select("feature", "label", "min", "max", "n")
 
 
 def class_ranges(df: DataFrame, spec: TableSpec, features: Sequence[str] | None = None,
                  tolerance: int = 0) -> DataFrame:
     """R10 per-class [min, max] and the number of other-class rows inside it; R11 ``exclusive``
     when that number is <= ``tolerance``. Range join: distinct (feature, value, class) counts
-    against the k x f bounds, which are collected and
-    broadcast as a local relation of proven size."""
+    against the k x f bounds."""
     feats = list(features or spec.features)
-    lab = df.where(~is_missing(spec.target, _dt(df, spec.target)))
-    aggs = []
-    for i, f in enumerate(feats):
-        v = clean_number(f, _dt(df, f))
-        aggs += [F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}"), F.count(v).alias(f"n{i}")]
-    per_class = lab.groupBy(F.col(spec.target).alias("label")).agg(*aggs).collect()  # k rows
-    rows = [(f, r["label"], r[f"a{i}"], r[f"b{i}"], r[f"n{i}"]) for r in per_class for i, f in enumerate(feats)
-            if r[f"n{i}"]]
-    ltype = df.schema[spec.target].dataType.simpleString()
-    bounds = df.sparkSession.createDataFrame(rows, f"feature string, label {ltype}, min double, max double, n bigint")
+    bounds = class_bounds(df, spec, feats)
     vals = _long_values(df, spec, feats).groupBy("feature", "value", "label").agg(F.count(F.lit(1)).alias("cnt"))
     v = vals.alias("v")
     b = bounds.alias("b")
@@ -262,8 +259,8 @@ def class_ranges(df: DataFrame, spec: TableSpec, features: Sequence[str] | None
 def range_overlaps(df: DataFrame, spec: TableSpec, features: Sequence[str] | None = None) -> DataFrame:
     """Every unordered class pair per feature — overlap flag (touching counts), overlap
     interval, width and width as percent of the smaller range (0 when that range is 0).
-    A self join of the k x f bounds table, not of data rows."""
-    _, bounds = class_bounds(df, spec, features)
+    A self join of the k x f bounds table, not of data rows; both sides are the same aggregate."""
+    bounds = class_bounds(df, spec, features)
     a = bounds.select("feature", F.col("label").alias("class_a"), F.col("min").alias("a_min"), F.col("max").alias("a_max"))
     b = bounds.select(F.col("feature").alias("fb"), F.col("label").alias("class_b"), F.col("min").alias("b_min"), F.col("max").alias("b_max"))
     j = a.join(b, (a["feature"] == b["fb"]) & (a["class_a"] < b["class_b"]))

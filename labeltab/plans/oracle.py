@@ -309,6 +309,10 @@ def _anova_select() -> str:
 
 
 ORACLE["r01_anova"] = _anova("", "lineitem", LI_FEATURES, "l_returnflag") + "\n" + _anova_select()
+#: with three classes (2 degrees of freedom) the survival function of F has a closed form
+ORACLE["r02_anova_pvalue"] = _anova("", "lineitem", LI_FEATURES, "l_returnflag") + """
+SELECT feature, round(f_stat, 6) AS f_stat, CAST(k - 1 AS BIGINT) AS df_between, CAST(n - k AS BIGINT) AS df_within,
+       round(pow(1 + 2 * f_stat / (n - k), -(n - k) / 2.0), 6) AS p_value FROM res"""
 ORACLE["r01_anova_separable"] = _anova(D2, "d2", D2_FEATURES, "cls") + "\n" + _anova_select()
 ORACLE["a20_feature_rank"] = _anova(D2, "d2", D2_FEATURES, "cls") + """
 SELECT feature, round(f_stat, 6) AS f_stat,
@@ -772,6 +776,7 @@ t AS (SELECT *, row_number() OVER (ORDER BY weighted_f1 DESC, accuracy DESC, mod
              count(*) OVER (PARTITION BY weighted_f1) AS n_tied FROM r)
 SELECT model, round(accuracy, 6) AS accuracy, round(weighted_f1, 6) AS weighted_f1, CAST(n_tied AS BIGINT) AS n_tied,
        CASE WHEN n_tied > 1 THEN printf('Selected %s because it achieved the highest weighted F1-score (%.4f) among tied models, with accuracy %.4f and favorable simplicity/stability.', model, weighted_f1, accuracy)
+                 || CASE WHEN model = 'Random Forest' THEN ' Random Forest was preferred as the simpler and more stable baseline.' ELSE '' END
             ELSE printf('Selected %s because it achieved the highest weighted F1-score (%.4f) on the held-out test set.', model, weighted_f1) END AS reason
 FROM t WHERE rk = 1"""
 ORACLE["m17_easiest_hardest"] = f"""WITH {D3M},

@@ -237,3 +237,32 @@ def test_one_class_and_ties(spark):
     assert conf.predicted == 0 and conf.confidence == 0.4  # first maximum wins
     table = SC.probability_table(probs, ["b", "a", "c"], "probability", "row_id").orderBy("rank").collect()
     assert [t["class"] for t in table] == ["a", "b", "c"]  # tie broken by class name
+
+
+def test_artifact_gate_raises(spark):
+    """A saved model of another kind, feature order or encoder is refused."""
+    from dataclasses import replace
+
+    from labeltab.operators import models as ML
+    from labeltab.session import scratch_path
+
+    path = ML.save_models({"Random Forest": C.fitted(spark, SF_SMALL, "Random Forest")}, scratch_path(spark, "gate"), C.X.D2_SPEC)[0][1]
+    forest, spec = ML.PRESETS["Random Forest"], C.X.D2_SPEC
+    assert ML.load_checked(path, spec, forest).stages
+    with pytest.raises(TypeError):
+        ML.load_checked(path, spec, ML.PRESETS["XGBoost-like"])
+    with pytest.raises(ValueError, match="feature order"):
+        ML.load_checked(path, replace(spec, features=list(reversed(spec.features))), forest)
+    with pytest.raises(ValueError, match="encoder"):
+        ML.load_checked(path, replace(spec, expected_classes=list(spec.expected_classes)[:-1]), forest)
+
+
+def test_v1_selection_names_a_tied_forest(spark):
+    from labeltab.operators import metrics as M
+
+    def reason(first, second):
+        rows = [(first, 0.9, 0.5), (second, 0.9, 0.5)]
+        return M.select_best_v1(spark.createDataFrame(rows, "model string, accuracy double, weighted_f1 double")).first().reason
+
+    assert reason("Random Forest", "XGBoost").endswith("stability. Random Forest was preferred as the simpler and more stable baseline.")
+    assert reason("CatBoost", "Random Forest").endswith("favorable simplicity/stability.")
