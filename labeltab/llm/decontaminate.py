@@ -1,21 +1,25 @@
 """Operator 9: benchmark decontamination by template windows.
 
-Tokens are runs of letters and digits. A token with a digit becomes a number placeholder, a unit
-after a number a unit placeholder and a capitalised word inside a sentence a name placeholder; all
-other tokens count in lower case. Windows of ``window`` template tokens are hashed, once with names
-kept and once with names replaced. Documents and benchmark items are joined on the hash. For each
-run of windows at one distance between document and item, the values behind the placeholders must
-map one to one; then a question with other numbers or names is the same question. An item is leaked
-into a document if consistent windows cover ``min_run`` of its tokens, or all of a shorter item.
+Tokens are runs of letters and digits. A token with a digit becomes a number placeholder, a unit after a number a
+unit placeholder and a capitalised word inside a sentence a name placeholder; all other tokens count
+in lower case. Windows of ``window`` template tokens are hashed, once with names kept and once
+with names replaced. Documents and benchmark items are
+joined on the hash. In a run of windows at one distance between document and item, the values behind
+the placeholders must map one to one; then a question with other numbers or names is the same
+question. A place whose pair of values does not have the strict majority among the run's pairs with
+the same value on either side is in conflict, and the windows over it do not count; the others do.
+An item is leaked into a document if the windows that count cover ``min_run`` of its tokens, or all
+of a shorter item; of an item with few template windows, all of these are enough.
 
 A Bloom filter of the item windows with a fixed number of bits drops nearly all document windows
 before they leave the task; the join decides. An item with fewer tokens than a window is one window
-of its own length; one with fewer than ``min_words`` plain words cannot be found. Null texts read as empty; rows
-without an id are left out.
+of its own length; one with fewer than ``min_words`` plain words cannot be found. Null texts read as empty; rows without an id are left out.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +39,11 @@ UNITS = ("mm cm dm m km in ft yd mi inch inches foot feet yard yards mile miles
          "kmh mph km2 m2 degrees celsius fahrenheit watt watts volt volts").split()
 
 PLAIN, NUMBER, UNIT, NAME = range(4)
-WINDOW_ROWS = "id long, wh long, at int, total int, slots array<long>"
+KEPT, REPLACED = range(2)  # names kept, names replaced
+WINDOW_ROWS = "id long, wh long, at int, total int, template boolean, offs array<int>, slots array<long>"
+RUN_ROWS = "doc_id long, item_id long, places array<int>, template_places array<int>, n_slots int, reparameterised boolean"
+RUN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("places", pa.list_(pa.int32())),
+                        ("template_places", pa.list_(pa.int32())), ("n_slots", pa.int32()), ("reparameterised", pa.bool_())])
 BLOOM_BITS = 1 << 24
 
 
@@ -85,28 +93,34 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return h, kind, row
 
 
-def template_windows(h: np.ndarray, kind: np.ndarray, row: np.ndarray, n: int, min_words: int, names: bool
-                     ) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first token) of the n-token windows with enough plain words; ``names``: replaced, too,
-    and only windows that have one."""
+def windows(h: np.ndarray, kind: np.ndarray, row: np.ndarray, n: int, min_words: int, variant: int
+            ) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first token) of the n-token windows with enough plain words; with names replaced only
+    windows that have one."""
     m = len(h) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    slot = (kind == NUMBER) | (kind == UNIT)
-    swap = slot | (kind == NAME) if names else slot
-    item = np.where(swap, PLACEHOLDER[kind], h)
-    acc = np.full(m, n, np.uint64)
+    item = np.where(_swapped(kind, variant), PLACEHOLDER[kind], h)
+    acc = np.full(m, np.uint64(n), np.uint64)
     for k in range(n):
         acc = acc * tv.BASE + item[k: k + m]
-    plain = _running(kind == PLAIN)
-    ok = (row[:m] == row[n - 1:]) & (plain[n:] - plain[:m] >= min_words)
-    if names:
+    ok = (row[:m] == row[n - 1:]) & _rich(kind, np.arange(m), n, min_words)
+    if variant == REPLACED:
         named = _running(kind == NAME)
         ok &= named[n:] > named[:m]
     at = np.flatnonzero(ok)
     return tv.mix64(acc[at]), at
 
 
+def _swapped(kind: np.ndarray, variant: int) -> np.ndarray:
+    return (kind > PLAIN) & (kind < (NAME, NAME + 1)[variant])
+
+
+def _rich(kind: np.ndarray, at: np.ndarray, n: int, min_words: int) -> np.ndarray:
+    plain = _running(kind == PLAIN)
+    return plain[at + n] - plain[at] >= min_words
+
+
 def _window_batches(batches: Iterator[pa.RecordBatch], p: Params, sizes: tuple[int, ...] | None,
                     maybe) -> Iterator[pa.RecordBatch]:
     """Windows of each text; ``sizes`` None: the item's own size if it is shorter than a window."""
@@ -114,36 +128,65 @@ def _window_batches(batches: Iterator[pa.RecordBatch], p: Params, sizes: tuple[i
         for part, buf, off in tv.row_slices(batch, "text", 1 << 19):
             h, kind, row = tokens(buf, off)
             start = tv.row_bounds(row, part.num_rows)
+            total = np.diff(start)
             ids = part.column("id").to_numpy(zero_copy_only=False)
-            hs, ats, ns, named = [], [], [], []
-            own = sizes or tuple(sorted({min(int(x), p.window) for x in np.diff(start) if x >= p.min_words}))
-            for n in own:
-                for names in (False, True):
-                    wh, at = template_windows(h, kind, row, n, p.min_words, names)
+            hs, ats, rich, offs, slots = [], [], [], [], []
+            for n in sizes or sorted({min(int(x), p.window) for x in total if x >= p.min_words}):
+                for variant in (KEPT, REPLACED):
+                    wh, at = windows(h, kind, row, n, p.min_words, variant)
                     if sizes is None:
-                        size = np.minimum(np.diff(start), p.window)
-                        k = size[row[at]] == n
+                        k = np.minimum(total, p.window)[row[at]] == n
                         wh, at = wh[k], at[k]
                     if maybe is not None:
                         k = maybe(wh)
                         wh, at = wh[k], at[k]
                     hs.append(wh)
                     ats.append(at)
-                    ns.append(np.full(len(at), n))
-                    named.append(np.full(len(at), names))
-            if not hs or not sum(map(len, hs)):
+                    rich.append(_rich(kind, at, n, p.min_words))
+                    swapped = _swapped(kind, variant)
+                    for a in at.tolist():
+                        o = np.flatnonzero(swapped[a: a + n])
+                        offs.append(o.tolist())
+                        slots.append(h[a + o].view(np.int64).tolist())
+            if not slots:
                 continue
-            wh, at, n, names = (np.concatenate(x) for x in (hs, ats, ns, named))
-            slots = []
-            for a, k, with_names in zip(at.tolist(), n.tolist(), names.tolist()):
-                kinds = kind[a: a + k]
-                take = kinds > PLAIN if with_names else (kinds > PLAIN) & (kinds < NAME)
-                slots.append(h[a: a + k][take].view(np.int64))
-            total = np.diff(start)
+            wh, at, rich = (np.concatenate(x) for x in (hs, ats, rich))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[row[at]]), pa.array(wh.view(np.int64)), pa.array((at - start[row[at]]).astype(np.int32)),
-                 pa.array(total[row[at]].astype(np.int32)), pa.array([x.tolist() for x in slots], pa.list_(pa.int64()))],
-                names=["id", "wh", "at", "total", "slots"])
+                 pa.array(total[row[at]].astype(np.int32)), pa.array(rich), pa.array(offs, pa.list_(pa.int32())),
+                 pa.array(slots, pa.list_(pa.int64()))],
+                names=["id", "wh", "at", "total", "template", "offs", "slots"])
+
+
+def conflicts(pairs: set[tuple[int, int, int]]) -> set[int]:
+    """Places of the (place, item value, document value) triples whose pair of values is not the most
+    frequent one, alone, both for its item value and for its document value."""
+    count: Counter = Counter((i, d) for _, i, d in pairs)
+    best: tuple[dict, dict] = ({}, {})
+    for pair, c in count.items():
+        for side in (0, 1):
+            best[side].setdefault(pair[side], []).append(c)
+    good = {pair for pair, c in count.items()
+            if all(c == max(best[k][pair[k]]) and best[k][pair[k]].count(c) == 1 for k in (0, 1))}
+    return {place for place, i, d in pairs if (i, d) not in good}
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of each run that count."""
+    for batch in batches:
+        out = []
+        for run in batch.to_pylist():
+            found = [(w["at"], w["n"], w["template"], [(w["at"] + o, i, d) for o, i, d in zip(w["offs"], w["i"], w["d"])])
+                     for w in run["windows"]]
+            bad = sorted(conflicts({x for w in found for x in w[3]}))
+            if bad:
+                found = [w for w in found if bisect_left(bad, w[0]) == bisect_left(bad, w[0] + w[1])]
+            if found:
+                pairs = {x[1:] for w in found for x in w[3]}
+                out.append({"doc_id": run["doc_id"], "item_id": run["item_id"], "places": sorted({w[0] for w in found}),
+                            "template_places": sorted({w[0] for w in found if w[2]}), "n_slots": len({i for i, _ in pairs}),
+                            "reparameterised": any(i != d for i, d in pairs)})
+        yield pa.RecordBatch.from_pylist(out, RUN_SCHEMA)
 
 
 def _keyed(df: DataFrame, key: str) -> DataFrame:
@@ -185,23 +228,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFr
         yield from _window_batches(batches, p, sizes, maybe)
 
     found = _keyed(docs, "doc_id").mapInArrow(scan, WINDOW_ROWS)
-    item = items.select("wh", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
-    hits = (found.select(F.col("id").alias("doc_id"), "wh", "at", "slots").distinct().join(item.distinct(), "wh")
-            .select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("distance"), "item_at",
-                    F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("pairs")))
-    run = ["doc_id", "item_id", "distance"]
-    slots = F.array_distinct(F.flatten(F.collect_set("pairs")))
-    runs = (hits.groupBy(run).agg(F.collect_set("item_at").alias("places"), slots.alias("pairs"))
-            .withColumn("n_slots", F.size(F.array_distinct(F.expr("transform(pairs, x -> x.i)"))))
-            .where((F.size("pairs") == F.col("n_slots"))
-                   & (F.size(F.array_distinct(F.expr("transform(pairs, x -> x.d)"))) == F.col("n_slots"))))
+    item = items.select("wh", F.col("id").alias("item_id"), F.col("at").alias("item_at"), "template",
+                        F.least("total", F.lit(p.window)).alias("n"), "offs", F.col("slots").alias("item_slots"))
+    hits = found.select(F.col("id").alias("doc_id"), "wh", "at", "slots").distinct().join(item.distinct(), "wh")
+    window = F.struct(F.col("item_at").alias("at"), "n", "template", "offs", F.col("item_slots").alias("i"), F.col("slots").alias("d"))
+    runs = (hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("distance"))
+            .agg(F.collect_set(window).alias("windows")).mapInArrow(_judge, RUN_ROWS))
+    size = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
     matched = (runs.groupBy("doc_id", "item_id")
-               .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"),
-                    F.max("n_slots").cast("long").alias("n_slots"),
-                    F.max(F.exists("pairs", lambda x: x["i"] != x["d"])).alias("reparameterised")))
-    all_windows = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("at").alias("n_windows"))
-    need = F.least(F.lit(p.min_run - p.window + 1), F.col("n_windows"))
-    return (matched.join(all_windows, "item_id").where(F.col("n_matched") >= need)
+               .agg(size("places").alias("n_matched"), size("template_places").alias("n_templates"),
+                    F.max("n_slots").cast("long").alias("n_slots"), F.max("reparameterised").alias("reparameterised")))
+    all_windows = (items.groupBy(F.col("id").alias("item_id"))
+                   .agg(F.countDistinct("at").alias("n_windows"), F.countDistinct(F.when(F.col("template"), F.col("at"))).alias("templates")))
+    need = F.lit(p.min_run - p.window + 1)
+    leaked = ((F.col("n_matched") >= F.least(need, F.col("n_windows")))
+              | ((F.col("templates") > 0) & (F.col("n_templates") >= F.least(need, F.col("templates")))))
+    return (matched.join(all_windows, "item_id").where(leaked)
             .select("doc_id", "item_id", "n_windows", "n_matched",
                     (F.col("n_matched") / F.col("n_windows")).alias("coverage"), "n_slots", "reparameterised"))
 

@@ -109,6 +109,24 @@ def test_leaks_and_reparameterised_questions(spark, make_docs, odd_rows):
     assert decontaminate.leaks(make_docs(rows), bench.where("item_id = 99")).count() == 0
 
 
+APPLES = ("3 red apples and 5 green pears lie on the old wooden table near the kitchen door where the tired farmer "
+          "put them after a long walk through his quiet garden while the morning sun was slowly rising over the far blue hills again")
+HAUS = ("wir gingen am Abend zum alten Haus hinter dem Wald und sahen dort lange in den hellen Himmel bis es kalt wurde "
+        "und wir wieder leise durch das Tor zum anderen Haus am Fluss liefen um dort zu schlafen")
+
+
+def test_leaks_with_values_in_conflict_at_single_places(spark, make_docs):
+    bench = spark.createDataFrame([(1, APPLES), (2, HAUS)], "item_id long, text string")
+    assert HAUS.count("Haus") == 2
+    rows = [(1, APPLES.replace("3", "5", 1)), (2, APPLES.replace("3", "4", 1)), (3, HAUS.replace("Haus", "Dorf", 1)), (4, APPLES), (5, HAUS)]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(make_docs(rows), bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 1), (5, 2)}
+    assert all(got[k].coverage == 1.0 for k in ((2, 1), (4, 1), (5, 2)))
+    assert got[(2, 1)].reparameterised and 0.5 < got[(3, 2)].coverage < 1
+    assert decontaminate.conflicts({(0, 1, 1), (4, 1, 1), (9, 1, 2)}) == {9}  # the majority stands
+    assert decontaminate.conflicts({(0, 1, 1), (9, 1, 2)}) == {0, 9} and decontaminate.conflicts({(0, 1, 3), (5, 2, 3)}) == {0, 5}
+
+
 def test_planted_benchmark_passages(spark):
     docs, bench = table(spark, SF_MID, "documents"), table(spark, SF_MID, "benchmark")
     items = [(r.item_id, re.findall(r"\w+", r.text.lower())) for r in bench.collect()]
