@@ -1,9 +1,11 @@
 """Operator 9: benchmark decontamination by template windows.
 
-Tokens are runs of letters and digits. A token with a digit becomes a number placeholder, a unit after a number a
+Tokens are runs of letters and digits; a number with its sign, separators and decimals (-3, 1,250,
+2.5, 3/4) is one token. A token with a digit becomes a number placeholder, a unit after a number a
 unit placeholder and a capitalised word inside a sentence a name placeholder; all other tokens count
-in lower case. Windows of ``window`` template tokens are hashed, once with names kept and once
-with names replaced. Documents and benchmark items are
+in lower case. Windows of ``window`` tokens are hashed as templates, once with names kept and once
+with names replaced, if they have ``min_words`` plain words, and all windows once more by their exact
+tokens, so that verbatim copies are found whatever they consist of. Documents and benchmark items are
 joined on the hash. In a run of windows at one distance between document and item, the values behind
 the placeholders must map one to one; then a question with other numbers or names is the same
 question. A place whose pair of values does not have the strict majority among the run's pairs with
@@ -13,7 +15,7 @@ of a shorter item; of an item with few template windows, all of these are enough
 
 A Bloom filter of the item windows with a fixed number of bits drops nearly all document windows
 before they leave the task; the join decides. An item with fewer tokens than a window is one window
-of its own length; one with fewer than ``min_words`` plain words cannot be found. Null texts read as empty; rows without an id are left out.
+of its own length. Null texts read as empty; rows without an id are left out.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ UNITS = ("mm cm dm m km in ft yd mi inch inches foot feet yard yards mile miles
          "kmh mph km2 m2 degrees celsius fahrenheit watt watts volt volts").split()
 
 PLAIN, NUMBER, UNIT, NAME = range(4)
-KEPT, REPLACED = range(2)  # names kept, names replaced
+KEPT, REPLACED, EXACT = range(3)  # names kept, names replaced, no placeholder at all
 WINDOW_ROWS = "id long, wh long, at int, total int, template boolean, offs array<int>, slots array<long>"
 RUN_ROWS = "doc_id long, item_id long, places array<int>, template_places array<int>, n_slots int, reparameterised boolean"
 RUN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("places", pa.list_(pa.int32())),
@@ -66,6 +68,10 @@ PLACEHOLDER = tv.mix64(np.arange(1, 5, dtype=np.uint64))
 UPPER = tv.byte_table(range(65, 91))
 SMALL = tv.byte_table(range(97, 123), range(128, 256))
 STOP = tv.byte_table(*(ord(c) for c in ".!?:\n\r"))
+SEPARATOR = tv.byte_table(*(ord(c) for c in ",./"))
+SIGN = tv.byte_table(*(ord(c) for c in "+-"))
+OPERAND_END = tv.ALNUM | tv.byte_table(ord(")"), ord("]"))
+EXACT_SEED = np.uint64(0x2545F4914F6CDD1D)
 
 
 def _running(flag: np.ndarray) -> np.ndarray:
@@ -74,10 +80,29 @@ def _running(flag: np.ndarray) -> np.ndarray:
     return out
 
 
+def _whole_numbers(low: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The bytes with a digit in place of every sign of a number and separator between its digits."""
+    out = low.copy()
+    if not len(low):
+        return out
+    digit = tv.DIGITS[low]
+    first, last = np.zeros(len(low), bool), np.zeros(len(low), bool)
+    filled = off[1:] > off[:-1]
+    first[off[:-1][filled]] = True
+    last[off[1:][filled] - 1] = True
+    before, after = np.zeros(len(low), bool), np.zeros(len(low), bool)
+    before[1:], after[:-1] = digit[:-1], digit[1:]
+    operand = np.zeros(len(low), bool)
+    operand[1:] = OPERAND_END[low[:-1]]
+    after &= ~last
+    out[(SEPARATOR[low] & before & after & ~first) | (SIGN[low] & after & (first | ~operand))] = ord("0")
+    return out
+
+
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of the lower-cased token, kind, row)."""
     low = tv.ASCII_LOWER[buf]
-    s, e, row = tv.word_spans(low, off, tv.ALNUM)
+    s, e, row = tv.word_spans(_whole_numbers(low, off), off, tv.ALNUM)
     if not len(s):
         return np.zeros(0, np.uint64), np.zeros(0, np.int8), row
     h = tv.Spans(low).hash(s, e)
@@ -95,16 +120,18 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def windows(h: np.ndarray, kind: np.ndarray, row: np.ndarray, n: int, min_words: int, variant: int
             ) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first token) of the n-token windows with enough plain words; with names replaced only
-    windows that have one."""
+    """(hash, first token) of the n-token windows: all of them by exact tokens, or those with enough
+    plain words as templates; with names replaced only windows that have one."""
     m = len(h) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     item = np.where(_swapped(kind, variant), PLACEHOLDER[kind], h)
-    acc = np.full(m, np.uint64(n), np.uint64)
+    acc = np.full(m, EXACT_SEED if variant == EXACT else np.uint64(n), np.uint64)
     for k in range(n):
         acc = acc * tv.BASE + item[k: k + m]
-    ok = (row[:m] == row[n - 1:]) & _rich(kind, np.arange(m), n, min_words)
+    ok = row[:m] == row[n - 1:]
+    if variant != EXACT:
+        ok &= _rich(kind, np.arange(m), n, min_words)
     if variant == REPLACED:
         named = _running(kind == NAME)
         ok &= named[n:] > named[:m]
@@ -113,7 +140,7 @@ def windows(h: np.ndarray, kind: np.ndarray, row: np.ndarray, n: int, min_words:
 
 
 def _swapped(kind: np.ndarray, variant: int) -> np.ndarray:
-    return (kind > PLAIN) & (kind < (NAME, NAME + 1)[variant])
+    return (kind > PLAIN) & (kind < (NAME, NAME + 1, NUMBER)[variant])
 
 
 def _rich(kind: np.ndarray, at: np.ndarray, n: int, min_words: int) -> np.ndarray:
@@ -131,8 +158,8 @@ def _window_batches(batches: Iterator[pa.RecordBatch], p: Params, sizes: tuple[i
             total = np.diff(start)
             ids = part.column("id").to_numpy(zero_copy_only=False)
             hs, ats, rich, offs, slots = [], [], [], [], []
-            for n in sizes or sorted({min(int(x), p.window) for x in total if x >= p.min_words}):
-                for variant in (KEPT, REPLACED):
+            for n in sizes or sorted({min(int(x), p.window) for x in total if x}):
+                for variant in (KEPT, REPLACED, EXACT):
                     wh, at = windows(h, kind, row, n, p.min_words, variant)
                     if sizes is None:
                         k = np.minimum(total, p.window)[row[at]] == n

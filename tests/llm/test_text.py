@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from labeltab.llm import chat_format, decontaminate, html_text, language_id, secret_scan, toxicity
@@ -118,15 +119,33 @@ HAUS = ("wir gingen am Abend zum alten Haus hinter dem Wald und sahen dort lange
 def test_leaks_with_values_in_conflict_at_single_places(spark, make_docs):
     bench = spark.createDataFrame([(1, APPLES), (2, HAUS)], "item_id long, text string")
     assert HAUS.count("Haus") == 2
-    rows = [(1, APPLES.replace("3", "5", 1)), (2, APPLES.replace("3", "4", 1)), (3, HAUS.replace("Haus", "Dorf", 1)), (4, APPLES), (5, HAUS)]
+    rows = [(1, APPLES.replace("3", "5", 1)), (2, APPLES.replace("3", "4", 1)), (3, HAUS.replace("Haus", "Dorf", 1)), (4, APPLES), (5, HAUS),
+            (6, APPLES.replace("3", "2.5", 1)), (7, APPLES.replace("3", "-1,250", 1))]
     got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(make_docs(rows), bench).collect()}
-    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 1), (5, 2)}
-    assert all(got[k].coverage == 1.0 for k in ((2, 1), (4, 1), (5, 2)))
-    assert got[(2, 1)].reparameterised and 0.5 < got[(3, 2)].coverage < 1
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 1), (5, 2), (6, 1), (7, 1)}
+    assert all(got[k].coverage == 1.0 for k in ((2, 1), (4, 1), (5, 2), (6, 1), (7, 1)))
+    assert all(got[k].reparameterised for k in ((2, 1), (6, 1), (7, 1))) and 0.5 < got[(3, 2)].coverage < 1
     assert decontaminate.conflicts({(0, 1, 1), (4, 1, 1), (9, 1, 2)}) == {9}  # the majority stands
     assert decontaminate.conflicts({(0, 1, 1), (9, 1, 2)}) == {0, 9} and decontaminate.conflicts({(0, 1, 3), (5, 2, 3)}) == {0, 5}
 
 
+SUM = "Compute 17 + 25 - 3 * 4 + 99 / 11 - 6 + 48 * 2 - 13 + 7"
+
+
+def test_leaks_of_items_poor_in_words_and_whole_numbers(spark, make_docs):
+    bench = spark.createDataFrame([(1, SUM), (2, "is 91 prime?"), (3, "a box holds 12 bright marbles so how many bright marbles do four such boxes hold"),
+                                   (4, " ")], "item_id long, text string")
+    rows = [(1, "please. " + SUM + " now"), (2, SUM.replace("25", "26").replace("6 +", "8 +")), (3, "he asks: is 91 prime? yes"), (4, "is 97 prime"),
+            (5, "a box holds 1,250 bright marbles so how many bright marbles do four such boxes hold"), (6, ""), (7, "Please Compute" + SUM[7:])]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(make_docs(rows), bench).collect()}
+    assert set(got) == {(1, 1), (3, 2), (5, 3), (7, 1)}
+    assert all(r.coverage == 1.0 for r in got.values()) and [got[k].reparameterised for k in sorted(got)] == [False, False, True, False]
+    texts = [b"-3 of 1,250 and 2.5, 3/4; 10-3 x-7 (+8) 5.", b",5 end 6", b".7"]
+    off = np.cumsum([0, *map(len, texts)])
+    _, kind, row = decontaminate.tokens(np.frombuffer(b"".join(texts), np.uint8), off)
+    assert [int(x) for x in np.bincount(row)] == [12, 3, 1] and (kind == decontaminate.NUMBER).sum() == 9 + 2 + 1
+
+
 def test_planted_benchmark_passages(spark):
     docs, bench = table(spark, SF_MID, "documents"), table(spark, SF_MID, "benchmark")
     items = [(r.item_id, re.findall(r"\w+", r.text.lower())) for r in bench.collect()]
