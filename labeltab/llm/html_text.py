@@ -4,8 +4,8 @@ A page is read into blocks: runs of inline content inside one block element, eac
 from the root and whether it stands in boilerplate markup. For every path, text length (without link
 text) and punctuation are totalled over its blocks; their ratios to the number of blocks are fused, spread over
 the page and smoothed along the block sequence, and paths whose smoothed mean reaches the threshold (the lesser of
-the deviation and half the mean) hold content. The smallest element that has nearly all the content of the selected
-nodes is the article; its blocks, headings and short ones included, are the text.
+the deviation and half the mean) hold content. The smallest element that has all the selected nodes, or the article
+or main element around it, is the article; its blocks, headings and short ones included, are the text.
 
 Dropped wherever they stand: scripts, styles and other elements that show no text, comments, menus,
 headers, footers, sidebars, forms and elements whose class or id names a notice, an advert, or reader
@@ -35,6 +35,7 @@ BLOCK = frozenset("html body address article aside blockquote center dd details
                   "footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot "
                   "th thead tr ul caption".split())
 CLOSES_P = BLOCK - frozenset("html body td th tr tbody thead tfoot caption".split())
+LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 td th dt dd blockquote pre ul ol dl table thead tbody tfoot tr caption".split())
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
                   "gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments "
                   "disqus respond replies reply sidebar sidebars menu menus navbar navigation nav breadcrumb breadcrumbs footer header "
@@ -72,7 +73,6 @@ class Block:
 @dataclass(frozen=True)
 class Params:
     kernel: tuple[float, ...] = (1.0, 2.0, 4.0, 2.0, 1.0)
-    share: float = 0.9
     marks: frozenset = field(default=MARKS)
 
 
@@ -211,6 +211,15 @@ def path_scores(found: list[Block], kernel: tuple[float, ...]) -> dict[str, floa
     return {k: s / n for k, (s, n) in sums.items()}
 
 
+def ancestors(e: Element | None) -> list[Element]:
+    """From the root down to ``e``."""
+    out = []
+    while e is not None:
+        out.append(e)
+        e = e.parent
+    return out[::-1]
+
+
 def main_text(page: str | None, p: Params = Params()) -> str:
     found = blocks(page or "", p.marks)
     if not found:
@@ -218,31 +227,19 @@ def main_text(page: str | None, p: Params = Params()) -> str:
     scores = path_scores(found, p.kernel)
     each = np.array([scores[b.element.path] for b in found])
     bar = min(float(each.std()), float(each.mean()) / 2)
-    held: dict[int, float] = {}
-    depth: dict[int, int] = {}
-    whole = 0.0
+    # the lowest common element of all selected text; a lone block, list or table counts as its parent's content
+    shared: list[Element] | None = None
     for b, x in zip(found, each):
-        weight = len(b.text) - b.linked if x >= bar else 0
-        whole += weight
-        chain, e = [], b.element
-        while e is not None:
-            chain.append(e.number)
-            e = e.parent
-        for d, number in enumerate(reversed(chain)):
-            held[number] = held.get(number, 0.0) + weight
-            depth[number] = d
-    # the deepest element with nearly all selected text; a lone block counts as its parent's content
-    leaves = {b.element.number for b in found if b.element.tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "blockquote", "pre")}
-    top = max((x for x in held if held[x] >= p.share * whole and x not in leaves), key=lambda x: (depth[x], -x), default=0)
-
-    def inside(e: Element | None) -> bool:
-        while e is not None:
-            if e.number == top:
-                return True
-            e = e.parent
-        return False
+        if x >= bar and len(b.text) > b.linked:
+            chain = ancestors(b.element)
+            same = len(chain) if shared is None else next((i for i, (u, v) in enumerate(zip(shared, chain)) if u is not v), min(len(shared), len(chain)))
+            shared = chain[:same]
+    shared = shared or ancestors(found[0].element)[:1]
+    while len(shared) > 1 and shared[-1].tag in LEAVES:
+        shared.pop()
+    top = next((e for tag in ("article", "main") for e in shared if e.tag == tag), shared[-1]).number
 
-    return "\n\n".join(b.text for b in found if inside(b.element))
+    return "\n\n".join(b.text for b in found if any(e.number == top for e in ancestors(b.element)))
 
 
 def extract(pages: DataFrame, p: Params = Params()) -> DataFrame:

@@ -204,6 +204,24 @@ def test_main_text_of_a_page():
     assert html_text.main_text("just text, no markup") == "just text, no markup"
 
 
+def para(i):
+    return f"<p>Paragraph {i} of the text, with enough words to be read as content, and a comma or two.</p>"
+
+
+def test_all_selected_text_and_its_headings_stay():
+    for tag, pre in (("article", ""), ("body", "<div>")):
+        many = "".join(map(para, range(20)))
+        page = f"<html><body><nav>menu</nav><{tag}>{pre}<h1>Head</h1><section>{many}</section><section>{para(99)}</section></{tag}><footer>f</footer>"
+        assert html_text.main_text(page).split("\n\n") == ["Head"] + [para(i)[3:-4] for i in [*range(20), 99]]
+    page = f"<body><div class='page'><div class='intro'>{para(0)}</div><div class='body'>{''.join(map(para, range(1, 30)))}</div></div></body>"
+    assert len(html_text.main_text(page).split("\n\n")) == 30
+    items = [f"Item {i} of the list, which is long enough, as all of its items are, to be the content of this page." for i in range(30)]
+    for a, b, c in (("<ul>", "<li>", "</ul>"), ("<table>", "<tr><td>", "</table>")):
+        page = f"<body><div><h2>List</h2>{para(0)}{a}{''.join(b + x for x in items)}{c}</div></body>"
+        assert html_text.main_text(page).split("\n\n") == ["List", para(0)[3:-4], *items]
+    assert html_text.main_text(f"<body><article><h1>T</h1><div>{para(1)}{para(2)}</div></article></body>").startswith("T\n\n")
+
+
 def test_extract_matches_article_markup(spark):
     import html
 
