@@ -8,8 +8,10 @@ the deviation and half the mean) hold content. The smallest element that has all
 or main element around it, is the article; its blocks, headings and short ones included, are the text.
 
 Dropped wherever they stand: scripts, styles and other elements that show no text, comments, menus,
-headers, footers, sidebars, forms and elements whose class or id names a notice, an advert, or reader
-comments. Character references are decoded, white space inside a block becomes one space, blocks are
+headers, footers, sidebars, forms and elements with a class, id or role made up of words for a notice, an advert,
+or reader comments. If it also has other words (related-work), or only words that name subjects as well (copyright),
+the element is dropped if its fused ratio is below a quarter of that of the page's unmarked text. A token that tells a state
+(no-sidebar, comment-open) says nothing. Headings and an element with most of the page's unlinked text always stay. Character references are decoded, white space inside a block becomes one space, blocks are
 joined by an empty line. Null and empty pages give an empty text. Tables of pages are processed row by row.
 """
 
@@ -40,6 +42,13 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
                   "gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments "
                   "disqus respond replies reply sidebar sidebars menu menus navbar navigation nav breadcrumb breadcrumbs footer header "
                   "masthead share sharing social related recommended widget toolbar pagination pager copyright skip".split())
+TOPICS = frozenset("copyright social related skip notice notices alert share sharing menu menus banner promotion advertising "
+                   "subscription navigation modal widget header login signup respond reply toolbar pager pagination".split())
+STATE_FIRST = frozenset("no not non has have is with without hide".split())
+STATE_LAST = frozenset("none off on open closed enabled disabled".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+UNMARKED = HEADINGS | frozenset("html body article main".split())
+LOW_RATIO = 0.25
 CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]),
              "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
 SCOPE = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]),
@@ -61,6 +70,8 @@ class Element:
     parent: Element | None
     dropped: bool
     link: bool
+    mark: int = 0
+    marked: Element | None = None
 
 
 @dataclass(slots=True)
@@ -76,52 +87,83 @@ class Params:
     marks: frozenset = field(default=MARKS)
 
 
-def boilerplate(tag: str, attributes: str, marks: frozenset) -> bool:
-    if tag in SILENT or tag in BOILERPLATE:
-        return True
-    if not attributes:
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
+def boilerplate(tag: str, attributes: str) -> bool:
+    return tag in SILENT or tag in BOILERPLATE or bool(attributes and HIDDEN.search(attributes))
+
+
+def mark_of(tag: str, attributes: str, marks: frozenset) -> int:
+    """2: a token of class, id or role names boilerplate; 1: it may; 0: none does."""
+    if not attributes or tag in UNMARKED:
+        return 0
+    mark = 0
     for m in NAMES.finditer(attributes):
-        value = CAMEL.sub(" ", m[1] or m[2] or m[3] or "")
-        if any(w.lower() in marks for w in WORD.findall(value)):
-            return True
-    return False
+        for token in CAMEL.sub("-", m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in WORD.findall(token)]
+            own = [w for w in words if w in marks]
+            if own and words[0] not in STATE_FIRST and words[-1] not in STATE_LAST:
+                mark = max(mark, 2 if len(own) == len(words) and not TOPICS.issuperset(own) else 1)
+    return mark
+
+
+def fused(length: int, marks: int, n: int) -> float:
+    return (length / n) * (1.0 + marks / n)
+
+
+def judged(raw: list[tuple[Element, list[tuple[str, Element]]]]) -> set[int]:
+    """Numbers of the marked elements to drop. Headings have no part in the ratios."""
+    size: dict[int, int] = {}  # text without links
+    total: dict[int, list[int]] = {}  # the same outside headings, punctuation, blocks; 0: unmarked text
+    found: dict[int, Element] = {}
+    whole = 0
+    for holder, pieces in raw:
+        seen = set()
+        for text, e in pieces:
+            text = text.strip()
+            if not text:
+                continue
+            length, points = (0, 0) if e.link else (len(text), len(PUNCTUATION.findall(text)))
+            whole += length
+            numbers, m = [], e.marked
+            while m is not None:
+                found[m.number] = m
+                numbers.append(m.number)
+                m = m.parent.marked
+            for number in numbers or [0]:
+                size[number] = size.get(number, 0) + length
+                if holder.tag not in HEADINGS:
+                    t = total.setdefault(number, [0, 0, 0])
+                    t[0] += length
+                    t[1] += points
+                    t[2] += number not in seen
+                    seen.add(number)
+    low = fused(*total[0]) * LOW_RATIO if 0 in total else 0.0
+    return {k for k, e in found.items() if 2 * size[k] <= whole and (e.mark == 2 or k in total and fused(*total[k]) < low)}
 
 
 def blocks(page: str, marks: frozenset = MARKS) -> list[Block]:
     """Blocks with text, in page order; those in boilerplate are left out."""
     root = Element("", "", 0, None, False, False)
-    stack, out, at, count = [root], [], 0, 0
-    pieces: list[str] = []
-    linked = 0
+    stack, raw, at, count = [root], [], 0, 0
+    pieces: list[tuple[str, Element]] = []
     owner = root
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal pieces
         if pieces:
-            text = " ".join("".join(pieces).split())
-            if text:
-                out.append(Block(owner, text, min(linked, len(text))))
-            pieces.clear()
-        linked = 0
-
-    def add(raw: str) -> None:
-        nonlocal linked, owner
+            raw.append((owner, pieces))
+            pieces = []
+
+    def add(source: str) -> None:
+        nonlocal owner
         top = stack[-1]
-        if raw and not top.dropped:
-            text = html.unescape(raw) if "&" in raw else raw
+        if source and not top.dropped:
+            text = html.unescape(source) if "&" in source else source
             if not pieces:
                 holder = top
                 while holder.tag not in BLOCK and holder.parent is not None:
                     holder = holder.parent
                 owner = holder
-            pieces.append(text)
-            if top.link:
-                linked += len(text.strip())
+            pieces.append((text, top))
 
     def close(k: int) -> None:
         if any(x.tag in BLOCK for x in stack[k:]):
@@ -176,7 +218,9 @@ def blocks(page: str, marks: frozenset = MARKS) -> list[Block]:
         count += 1
         top = stack[-1]
         own = Element(tag, f"{top.path}/{tag}" if tag in BLOCK else top.path, count, top,
-                      top.dropped or boilerplate(tag, attributes, marks), top.link or tag == "a")
+                      top.dropped or boilerplate(tag, attributes), top.link or tag == "a",
+                      mark_of(tag, attributes, marks))
+        own.marked = own if own.mark else top.marked
         stack.append(own)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
@@ -187,6 +231,22 @@ def blocks(page: str, marks: frozenset = MARKS) -> list[Block]:
                     add(page[at: end.start()])
                 at = end.start()
     flush()
+    drop = judged(raw) if any(e.marked is not None for _, x in raw for _, e in x) else set()
+
+    def stays(e: Element) -> bool:
+        m = e.marked
+        while m is not None:
+            if m.number in drop:
+                return False
+            m = m.parent.marked
+        return True
+
+    out = []
+    for holder, x in raw:
+        kept = [(text, e) for text, e in x if stays(e)] if drop else x
+        text = " ".join("".join(t for t, _ in kept).split())
+        if text:
+            out.append(Block(holder, text, min(sum(len(t.strip()) for t, e in kept if e.link), len(text))))
     return out
 
 
@@ -198,8 +258,8 @@ def path_scores(found: list[Block], kernel: tuple[float, ...]) -> dict[str, floa
         t[0] += len(b.text) - b.linked
         t[1] += len(PUNCTUATION.findall(b.text)) if b.linked < len(b.text) else 0
         t[2] += 1
-    fused = {k: (length / n) * (1.0 + marks / n) for k, (length, marks, n) in total.items()}
-    along = np.array([fused[b.element.path] for b in found])
+    ratio = {k: fused(*t) for k, t in total.items()}
+    along = np.array([ratio[b.element.path] for b in found])
     half = len(kernel) // 2
     weights = np.array(kernel)
     smooth = np.convolve(along, weights)[half: half + len(along)] / np.convolve(np.ones(len(along)), weights)[half: half + len(along)]

@@ -222,6 +222,19 @@ def test_all_selected_text_and_its_headings_stay():
     assert html_text.main_text(f"<body><article><h1>T</h1><div>{para(1)}{para(2)}</div></article></body>").startswith("T\n\n")
 
 
+def test_marks_are_weighed_against_the_text():
+    text = [para(i)[3:-4] for i in range(6)]
+    for name in ("content no-sidebar", "has-sidebar", "post comment-open", "entry with-header", "hasSidebar", "skip-none", "sidebar"):
+        page = f"<body><div class='{name}'><h1>T</h1>{''.join(map(para, range(6)))}</div></body>"
+        assert html_text.main_text(page).split("\n\n") == ["T", *text]  # it holds the page's text
+    for name in ("related-work", "social-history", "copyright", "skip-none"):
+        for tag in ("section", "div"):
+            page = (f"<body><article>{''.join(map(para, range(4)))}<{tag} id='{name}'><h2 id='{name}'>Head</h2>{para(4)}</{tag}>{para(5)}"
+                    f"<div class='sidebar'>{para(7)}</div><div class='related-posts'><a href='/a'>A long title of some other text, on this site</a></div>"
+                    f"<div class='copyright'>(c) Site</div><p>Ends, with <span class='sponsored'>Ad</span> words.</p></article></body>")
+            assert html_text.main_text(page).split("\n\n") == [*text[:4], "Head", *text[4:], "Ends, with words."]
+
+
 def test_extract_matches_article_markup(spark):
     import html
 
