@@ -15,7 +15,8 @@ of a shorter item; of an item with few template windows, all of these are enough
 
 A Bloom filter of the item windows with a fixed number of bits drops nearly all document windows
 before they leave the task; the join decides. An item with fewer tokens than a window is one window
-of its own length. Null texts read as empty; rows without an id are left out.
+of its own length. Null texts read as empty; ``leaks`` leaves out
+rows without an id, ``clean`` does not.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import stage, without_ids
+from .shared import ROW_KEY, stage, with_row_keys, without_ids
 
 # Unit words that count as units after a number.
 UNITS = ("mm cm dm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres "
@@ -276,5 +277,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFr
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
-    """``docs`` without the documents into which an item leaked; rows without an id stay."""
-    return without_ids(docs, leaks(docs, benchmark, p), "doc_id")
+    """``docs`` without the rows into which an item leaked. Rows of both tables count one by one, whatever their id."""
+    rows = with_row_keys(docs, "leak-rows")
+    items = benchmark.select(F.monotonically_increasing_id().alias("item_id"), "text")  # used once, in a written table
+    found = leaks(rows.select(F.col(ROW_KEY).alias("doc_id"), "text"), items, p).select(F.col("doc_id").alias(ROW_KEY))
+    return without_ids(rows, found, ROW_KEY).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -61,6 +61,16 @@ def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
+ROW_KEY, ROW_DIGEST = "__row_key", "__row_digest"
+
+
+def with_row_keys(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table with a key of its own on every row, equal rows and rows without an
+    id included, and a digest that is the same for equal rows only. The key holds for this table."""
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    return stage(df.withColumn(ROW_DIGEST, F.sha2(text, 256)).withColumn(ROW_KEY, F.monotonically_increasing_id()), name)
+
+
 def bounded_sample(df: DataFrame, rows: int, key: str) -> DataFrame:
     """At most ``rows`` rows, those with the smallest hash of ``key``: the same rows on every run.
 

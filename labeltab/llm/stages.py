@@ -6,24 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, near_dup, piece_sampling, secret_scan, toxicity
-from .shared import table, without_ids
+from .shared import ROW_DIGEST, ROW_KEY, table, with_row_keys
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns from all labelled documents of its input."""
+    """Rows that the classifier rejects go, each by its own text. It learns from all labelled documents of its input."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    scored = toxicity.score(docs, toxicity.train(docs, labels))
-    return without_ids(docs, scored.where("predicted = 1"), "doc_id")
+    return toxicity.clean(docs, toxicity.train(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
-    links = near_dup.link_documents(docs, ngram=5, num=80, den=100)
-    return without_ids(docs, links.where(~F.col("kept")), "doc_id")
+    """One row of each near-duplicate group stays (five-word shingles, similarity 0.8), the one with the
+    smallest doc_id, and one of equal rows without words. Rows count one by one, whatever their id."""
+    rows = with_row_keys(docs, "near-rows")
+    links = near_dup.link_documents(rows.select(F.col(ROW_KEY).alias("doc_id"), "text"), ngram=5, num=80, den=100)
+    order = F.struct(F.col("id").isNull(), "id", ROW_DIGEST, ROW_KEY)
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id").cast("string")).otherwise(F.col(ROW_DIGEST))
+    kept = (links.select(F.col("doc_id").alias(ROW_KEY), "n_shingles", "component_id")
+            .join(rows.select(ROW_KEY, ROW_DIGEST, F.col("doc_id").alias("id")), ROW_KEY)
+            .groupBy(group.alias("group")).agg(F.min(order)[ROW_KEY].alias(ROW_KEY)).select(ROW_KEY))
+    return rows.join(kept, ROW_KEY, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Rows that hold a benchmark item go, each by its own text."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -176,6 +176,21 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float], p: Ftr
             .mapInArrow(run, "doc_id long, score double, predicted int"))
 
 
+def clean(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float], p: Ftrl = Ftrl()) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, each by its own text, with all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*shared.value, p)
+        for batch in batches:
+            at = 0
+            for part, buf, off in tv.row_slices(lowered(batch), "text"):
+                yield batch.slice(at, part.num_rows).filter(pa.array(scorer(buf, off) < p.threshold))
+                at += part.num_rows
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: str = "doc_id", mod: int = 3, fold: int = 1) -> F.Column:
     """Whether crc32 of the id's text leaves the remainder ``fold``; false for a null id."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % mod == fold, F.lit(False))

@@ -1,7 +1,9 @@
 """The corpus pipeline, stage by stage and as a whole."""
 
 import corpus_pipeline
-from labeltab.llm import stages
+from pyspark.sql import functions as F
+
+from labeltab.llm import stages, toxicity
 from labeltab.llm.shared import stage, table
 from tests.conftest import SF_SMALL
 
@@ -22,6 +24,24 @@ def test_pipeline_equals_its_stages(spark):
     assert {r.doc_id for r in out} == kept["secrets"] and all(r.decoded_ok for r in out)
 
 
+def test_stages_decide_row_by_row(spark, make_docs):
+    plain = "an ordinary row number {} of the corpus with words of its own, kept as it is and was"
+    copy = "the same long passage stands in several rows here, with and without an id, and only one of them stays in the end"
+    rows = [(None, copy), (5, copy), (None, copy), (4, copy), (7, plain.format("seven")), (7, plain.format("seven")), (7, "other words under this id, clean as well"),
+            (8, ""), (8, ""), (9, "")]
+    got = [(r.doc_id, r.text) for r in stages.drop_near_duplicates(spark, make_docs(rows), SF_SMALL).collect()]
+    assert sorted(got) == [(4, copy), (7, plain.format("seven")), (7, rows[6][1]), (8, ""), (9, "")]
+    item = table(spark, SF_SMALL, "benchmark").where("length(text) > 100").first().text
+    got = [(r.doc_id, r.text) for r in stages.drop_leaks(spark, make_docs([(None, "x. " + item), (3, "clean"), (3, item), (None, "clean"), (3, "clean")]), SF_SMALL).collect()]
+    assert sorted(got, key=str) == [(3, "clean"), (3, "clean"), (None, "clean")]
+    labels = table(spark, SF_SMALL, "labels").select("doc_id", F.col("toxic").alias("label"))
+    docs = table(spark, SF_SMALL, "documents")
+    weights = toxicity.train(docs, labels)
+    bad = toxicity.score(docs, weights).where("predicted = 1").join(docs, "doc_id").first().text
+    got = [(r.doc_id, r.text) for r in toxicity.clean(make_docs([(None, bad), (3, bad), (3, "clean"), (None, "clean")]), weights).collect()]
+    assert sorted(got, key=str) == [(3, "clean"), (None, "clean")]
+
+
 def test_stages_take_awkward_documents(spark, make_docs, odd_rows):
     docs = make_docs(odd_rows)
     for _, step in corpus_pipeline.STAGES[:-1]:
