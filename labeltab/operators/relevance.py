@@ -192,10 +192,11 @@ def categorical_relevance(df: DataFrame, spec: TableSpec, categories: Sequence[s
     R09 maximum category purity and largest category size. Zero cells are never enumerated:
     chi2 = sum O^2/E - n over the observed cells."""
     c = contingency(df, spec, categories).withColumn("n", F.col("n").cast("double"))
-    wc = Window.partitionBy("category_col")
-    t = (c.withColumn("tot", F.sum("n").over(wc))
-         .withColumn("ni", F.sum("n").over(Window.partitionBy("category_col", "category")))
-         .withColumn("nj", F.sum("n").over(Window.partitionBy("category_col", "label"))))
+    # totals by partial aggregation and joined back: a window over a column would put all its cells into one task
+    total = c.groupBy("category_col").agg(F.sum("n").alias("tot"))
+    by_label = c.groupBy("category_col", "label").agg(F.sum("n").alias("nj")).join(total, "category_col")
+    t = (c.join(c.groupBy("category_col", "category").agg(F.sum("n").alias("ni")), ["category_col", "category"])
+         .join(by_label, ["category_col", "label"]))
     cells = t.groupBy("category_col").agg(
         F.first("tot").alias("tot"),  # identical on every row of the group
         F.count_distinct("category").alias("r"), F.count_distinct("label").alias("c"),
@@ -203,9 +204,7 @@ def categorical_relevance(df: DataFrame, spec: TableSpec, categories: Sequence[s
         F.sum(F.col("n") / F.col("tot") * F.log(F.col("n") * F.col("tot") / (F.col("ni") * F.col("nj")))).alias("mi"),
         F.max(F.col("n") / F.col("ni")).alias("max_purity"),
         F.max("ni").cast("bigint").alias("largest_category_n"))
-    ent = (c.groupBy("category_col", "label").agg(F.sum("n").alias("nj"))
-           .withColumn("tot", F.sum("nj").over(Window.partitionBy("category_col")))
-           .groupBy("category_col").agg((-F.sum(F.col("nj") / F.col("tot") * F.log(F.col("nj") / F.col("tot")))).alias("h_target")))
+    ent = (by_label.groupBy("category_col").agg((-F.sum(F.col("nj") / F.col("tot") * F.log(F.col("nj") / F.col("tot")))).alias("h_target")))
     j = cells.join(ent, "category_col")  # one row per category column on each side
     n, r, k = F.col("tot"), F.col("r"), F.col("c")
     phi2c = F.greatest(F.lit(0.0), F.col("chi2") / n - (k - 1) * (r - 1) / (n - 1))

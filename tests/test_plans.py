@@ -17,3 +17,7 @@ def test_plan_guard(spark, name):
     assert not s["forbidden"], s
     if name not in ARROW_OK:
         assert s["python"] == 0, s
+
+
+def test_categorical_relevance_needs_no_window(spark):
+    assert summary(plan_text(QUERIES["r06_categorical_relevance"](spark, SF_SMALL)))["windows"] == 0
