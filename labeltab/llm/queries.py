@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_text, language_id, near_dup, nearest, piece_sampling, secret_scan, suffix_dedup, toxicity
+from . import (chat_format, decontaminate, html_text, language_id, near_dup, nearest, piece_sampling, secret_scan, simhash_dup,
+               suffix_dedup, toxicity, vector_codes)
 from .shared import table
 
 
@@ -54,6 +55,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.classify(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(table(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dup.digests(simhash_dup.link_documents(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
@@ -65,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_simhash_dup": op13_simhash_dup,
 }
 
 ORACLE: dict[str, str] = {}
