@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (chat_format, decontaminate, html_text, language_id, near_dup, nearest, piece_sampling, secret_scan, simhash_dup,
-               suffix_dedup, toxicity, vector_codes)
+               suffix_dedup, token_align, toxicity, vector_codes)
 from .shared import table
 
 
@@ -55,6 +55,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.classify(table(spark, sf_dir, "documents"))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.digests(token_align.align_documents(table(spark, sf_dir, "documents")))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.digests(table(spark, sf_dir, "embeddings"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
+    "op11_token_align": op11_token_align,
     "op12_vector_codes": op12_vector_codes,
     "op13_simhash_dup": op13_simhash_dup,
 }
