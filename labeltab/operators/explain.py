@@ -1,5 +1,7 @@
-"""Per-row attribution for the predicted class (M27), re-aimed as interventional Shapley
-values over feature coalitions.
+"""Per-row attribution for the predicted class.
+
+``tree_shap`` takes it from the trees and their covers (``labeltab.operators.trees``): no background rows, any number of
+features. ``shapley`` is the interventional variant for any model, over feature coalitions.
 
 Every attribution is a linear combination of coalition values: phi_i = sum_S coef[S, i] v(S),
 where v(S) is the mean model probability of the row's predicted class when the features in S
@@ -34,7 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labeltab.functions.exprs import hash_order_key
-from labeltab.operators.models import ovr_probabilities
+from labeltab.operators import trees as T
+from labeltab.operators.ensembles import TreeModel
+from labeltab.operators.models import Model, ovr_probabilities
+from labeltab.session import scratch_path
 
 
 def background_rows(df: DataFrame, features: Sequence[str], key: str, n: int = 16, seed: int = 42) -> list[list[float]]:
@@ -111,6 +116,27 @@ def shapley(model: PipelineModel, df: DataFrame, features: Sequence[str], key: s
                       F.array(*[F.col(f"phi{i}") / B for i in range(f)]).alias("contributions"))
 
 
+def tree_shap(model: Model, df: DataFrame, features: Sequence[str], key: str) -> DataFrame:
+    """(key, predicted, score, base, contributions array) for every row of ``df``: path-dependent Shapley values of
+    a tree ensemble or a Spark ML forest. ``score`` is the margin (boosting) or probability (forest) of the predicted
+    class, ``base`` its value with all features unknown; base + contributions = score."""
+    if isinstance(model, TreeModel):
+        trees = model.trees
+    else:
+        path = scratch_path(df.sparkSession, "forest")
+        model.stages[-1].write().overwrite().save(path)
+        trees = T.from_forest(df.sparkSession, path)
+    return T.attribute_rows(trees, df, features, key)
+
+
+def class_attributions(attributed: DataFrame, classes: Sequence[str], label: str) -> DataFrame:
+    """Rows attributed to one class by name; a name that is not exactly one of the classes raises."""
+    at = [i for i, c in enumerate(classes) if c == label]
+    if len(at) != 1:
+        raise ValueError(f"predicted class not found among the classes: {label}")
+    return attributed.where(F.col("predicted") == at[0])
+
+
 def contributions_long(sh: DataFrame, features: Sequence[str], key: str) -> DataFrame:
     names = F.array(*[F.lit(x) for x in features])
     return sh.select(key, F.posexplode("contributions").alias("i", "contribution")) \

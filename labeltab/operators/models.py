@@ -1,20 +1,17 @@
-"""Learning operators on Spark ML.
+"""Learning operators.
 
-Fits are driver loops over ``Pipeline`` objects (model registry, folds, ablation configs);
-every fit is a distributed Spark ML job over the cached, assembled training rows. Predictions
-of all models / folds / configs are unioned into one long table and evaluated by
+Forest and boosted presets are fitted by ``labeltab.operators.ensembles`` with the reference's numbers of trees and
+steps; fits of several presets, folds or feature subsets run side by side. Two Spark ML presets stay beside them:
+a random forest, and ``OneVsRest`` over binary boosted trees (M25 turns its margins into probabilities).
+Predictions of all models / folds / configs are unioned into one long table and evaluated by
 ``labeltab.operators.metrics`` in a single job.
-
-The reference's three boosting libraries are not available; each is re-aimed as a
-``OneVsRest(GBTClassifier)`` preset with that library's depth / learning rate / sampling
-settings (GBT is binary-only in Spark). Spark runs one distributed pass per boosting
-iteration, so the presets use fewer iterations than the reference libraries.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -25,30 +22,46 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labeltab.operators import ensembles as E
+from labeltab.operators import trees as T
 from labeltab.session import scratch_path
 from labeltab.spec import TableSpec
 
+Model = PipelineModel | E.TreeModel
+
 
 @dataclass(frozen=True)
 class Preset:
     name: str
-    kind: str  # "rf" or "ovr_gbt"
-    params: dict
+    kind: str  # "forest", "boosting", or Spark ML's "rf" and "ovr_gbt"
+    params: E.Forest | E.Boosting | dict
 
 
-# Model presets (name, family, hyper-parameters).
+# Model presets (name, family, hyper-parameters) of the second and the first workflow.
 PRESETS = {
-    "Random Forest": Preset("Random Forest", "rf", {"numTrees": 20, "maxDepth": 12, "maxBins": 64}),
-    "LightGBM-like": Preset("LightGBM-like", "ovr_gbt", {"maxIter": 8, "maxDepth": 5, "stepSize": 0.3,
-                                                        "minInstancesPerNode": 20, "maxBins": 64}),
-    "XGBoost-like": Preset("XGBoost-like", "ovr_gbt", {"maxIter": 8, "maxDepth": 4, "stepSize": 0.3,
-                                                      "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9", "maxBins": 64}),
-    "CatBoost-like": Preset("CatBoost-like", "ovr_gbt", {"maxIter": 8, "maxDepth": 6, "stepSize": 0.3, "maxBins": 254}),
+    "Random Forest": Preset("Random Forest", "forest", E.Forest(200)),
+    "LightGBM-like": Preset("LightGBM-like", "boosting", E.Boosting(200, "leaf", rate=0.05, leaves=31, min_rows=20)),
+    "XGBoost-like": Preset("XGBoost-like", "boosting", E.Boosting(200, "level", rate=0.05, depth=4, l2=1.0, min_hessian=1.0,
+                                                                 row_share=0.9, column_share=0.9)),
+    "CatBoost-like": Preset("CatBoost-like", "boosting", E.Boosting(300, "symmetric", rate=0.05, depth=6, l2=3.0, min_hessian=0.0)),
+}
+V1_PRESETS = {
+    "Random Forest": Preset("Random Forest", "forest", E.Forest(100, depth=12)),
+    "LightGBM-like": Preset("LightGBM-like", "boosting", E.Boosting(100, "leaf", rate=0.1, leaves=31, min_rows=20)),
+    "XGBoost-like": Preset("XGBoost-like", "boosting", E.Boosting(100, "level", rate=0.3, depth=6, l2=1.0, min_hessian=1.0)),
+    "CatBoost-like": Preset("CatBoost-like", "boosting", E.Boosting(100, "symmetric", rate=0.1, depth=6, l2=3.0, min_hessian=0.0)),
+}
+SPARK_PRESETS = {
+    "Spark forest": Preset("Spark forest", "rf", {"numTrees": 20, "maxDepth": 12, "maxBins": 64}),
+    "One-vs-rest": Preset("One-vs-rest", "ovr_gbt", {"maxIter": 8, "maxDepth": 4, "stepSize": 0.3, "subsamplingRate": 0.9,
+                                                     "featureSubsetStrategy": "0.9", "maxBins": 64}),
 }
 
 
 #: model class that a preset's family must load as
-KINDS = {"rf": RandomForestClassificationModel, "ovr_gbt": OneVsRestModel}
+KINDS = {"rf": RandomForestClassificationModel, "ovr_gbt": OneVsRestModel, "forest": E.Forest, "boosting": E.Boosting}
+#: fits that run side by side
+FITS = 4
 
 
 def label_column(df: DataFrame, spec: TableSpec, out: str = "label") -> DataFrame:
@@ -71,19 +84,29 @@ def make_pipeline(preset: Preset, features: Sequence[str], seed: int = 42, paral
     return Pipeline(stages=[va, clf])
 
 
-def fit(train: DataFrame, spec: TableSpec, preset: Preset, features: Sequence[str] | None = None) -> PipelineModel:
-    """Fit one preset on the training rows (cached for the iterative passes)."""
+def fit(train: DataFrame, spec: TableSpec, preset: Preset, features: Sequence[str] | None = None) -> Model:
+    """Fit one preset on the training rows."""
     feats = list(features or spec.features)
-    data = label_column(train, spec).select(*feats, "label").persist(StorageLevel.MEMORY_AND_DISK)
+    data = label_column(train, spec).select(*feats, "label")
+    if preset.kind in ("forest", "boosting"):
+        return E.fit(data, feats, "label", len(class_names(spec)), preset.params)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)  # iterative passes
     try:
         return make_pipeline(preset, feats, spec.seed).fit(data)
     finally:
         data.unpersist()
 
 
-def fit_all(train: DataFrame, spec: TableSpec, presets: Sequence[str] | None = None) -> dict[str, PipelineModel]:
+def side_by_side(fits: Sequence[Callable[[], Model]]) -> list[Model]:
+    """Run the fits, ``FITS`` at a time; results in order."""
+    with ThreadPoolExecutor(FITS) as pool:
+        return list(pool.map(lambda f: f(), fits))
+
+
+def fit_all(train: DataFrame, spec: TableSpec, presets: dict[str, Preset] | None = None) -> dict[str, Model]:
     """The model registry fitted on the training rows only."""
-    return {name: fit(train, spec, PRESETS[name]) for name in (presets or PRESETS)}
+    presets = presets or PRESETS
+    return dict(zip(presets, side_by_side([lambda p=p: fit(train, spec, p) for p in presets.values()])))
 
 
 def class_names(spec: TableSpec) -> list[str]:
@@ -92,36 +115,67 @@ def class_names(spec: TableSpec) -> list[str]:
     return [str(c) for c in (classes if all(isinstance(c, int) for c in classes) else sorted(str(c) for c in classes))]
 
 
-def save_models(models: dict[str, PipelineModel], base: str, spec: TableSpec) -> list:
-    """Persist each fitted pipeline under ``base`` (a shared folder) with its class names by
-    code; returns (model, path, number of stages)."""
+def _save(m: Model, path: str) -> int:
+    spark = SparkSession.getActiveSession()
+    kind = type(_clf_stage(m) if isinstance(m, PipelineModel) else m.params).__name__
+    spark.createDataFrame([(kind,)], "kind string").coalesce(1).write.mode("overwrite").json(os.path.join(path, "kind"))
+    if isinstance(m, PipelineModel):
+        m.write().overwrite().save(os.path.join(path, "pipeline"))
+        return len(m.stages)
+    spark.createDataFrame(T.node_rows(m.trees), T.NODES).coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "nodes"))
+    meta = (list(m.features), [float(x) for x in m.trees.base], m.trees.softmax,
+            [float(x) for x in m.losses], [float(x) for x in m.gains])
+    (spark.createDataFrame([meta], "features array<string>, base array<double>, softmax boolean, "
+                                   "losses array<double>, gains array<double>")
+     .coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "ensemble")))
+    return len(m.trees.root)
+
+
+def save_models(models: dict[str, Model], base: str, spec: TableSpec) -> list:
+    """Persist each fitted model under ``base`` (a shared folder) with its class names by
+    code; returns (model, path, number of stages or trees)."""
     out = []
     for name, m in models.items():
         path = os.path.join(base, name.replace(" ", "_"))
-        m.write().overwrite().save(os.path.join(path, "pipeline"))
+        n = _save(m, path)
         spark = SparkSession.getActiveSession()
         (spark.createDataFrame(list(enumerate(class_names(spec))), "code int, label string")
          .write.mode("overwrite").parquet(os.path.join(path, "classes")))
-        out.append((name, path, len(m.stages)))
+        out.append((name, path, n))
     return out
 
 
+def save_best(models: dict[str, Model], best: str, base: str, spec: TableSpec) -> str:
+    """The selected model in a folder of its own, with its name."""
+    path = os.path.join(base, "best_model")
+    (_, saved, _), = save_models({"model": models[best]}, path, spec)
+    SparkSession.getActiveSession().createDataFrame([(best,)], "model string").write.mode("overwrite").json(os.path.join(path, "name"))
+    return saved
+
+
 def _clf_stage(model: PipelineModel):
     return model.stages[-1]
 
 
-def load_checked(path: str, spec: TableSpec, preset: Preset) -> PipelineModel:
-    """Load a saved pipeline; a wrong model kind, feature order or encoder raises."""
-    m = PipelineModel.load(os.path.join(path, "pipeline"))
-    clf, kind = _clf_stage(m), KINDS[preset.kind]
-    if not isinstance(clf, kind):
-        raise TypeError(f"{path}: expected {kind.__name__}, found {type(clf).__name__}")
-    feats = m.stages[0].getInputCols()
+def load_checked(path: str, spec: TableSpec, preset: Preset) -> Model:
+    """Load a saved model; a wrong model kind, feature order or encoder raises."""
+    spark, kind = SparkSession.getActiveSession(), KINDS[preset.kind]
+    found = spark.read.schema("kind string").json(os.path.join(path, "kind")).first().kind
+    if found != kind.__name__:
+        raise TypeError(f"{path}: expected {kind.__name__}, found {found}")
+    if preset.kind in ("rf", "ovr_gbt"):
+        m = PipelineModel.load(os.path.join(path, "pipeline"))
+        clf, feats = _clf_stage(m), m.stages[0].getInputCols()
+        n_classes = len(clf.models) if isinstance(clf, OneVsRestModel) else clf.numClasses
+    else:
+        meta = spark.read.parquet(os.path.join(path, "ensemble")).first()
+        feats, n_classes = list(meta.features), len(meta.base)
+        rows = spark.read.parquet(os.path.join(path, "nodes")).orderBy("node").collect()  # the nodes of one model
+        m = E.TreeModel(tuple(feats), T.from_rows(rows, meta.base, meta.softmax), tuple(meta.losses), tuple(meta.gains), preset.params)
     if feats != list(spec.features):
         raise ValueError(f"{path}: feature order mismatch, expected {list(spec.features)}, found {feats}")
-    saved = SparkSession.getActiveSession().read.parquet(os.path.join(path, "classes")).orderBy("code")
+    saved = spark.read.parquet(os.path.join(path, "classes")).orderBy("code")
     names = [r.label for r in saved.collect()]  # one row per class of the model
-    n_classes = len(clf.models) if isinstance(clf, OneVsRestModel) else clf.numClasses
     if names != class_names(spec) or n_classes != len(names):
         raise ValueError(f"{path}: encoder classes mismatch, expected {class_names(spec)}, found {names} "
                          f"and {n_classes} model classes")
@@ -135,20 +189,26 @@ def ovr_probabilities(raw: str = "rawPrediction") -> F.Column:
     return F.transform(sig, lambda x: x / tot)
 
 
-def predict(model: PipelineModel, df: DataFrame, spec: TableSpec, name: str, key: str | None = None,
+def predict(model: Model, df: DataFrame, spec: TableSpec, name: str, key: str | None = None,
             keep: Sequence[str] = ()) -> DataFrame:
     """(model, key, label, prediction, probability) for every row of ``df``; without ``label``
-    if the rows carry none (new rows to be scored)."""
+    if the rows carry none (new rows to be scored). Ties of the probability go to the lower class."""
     key = key or spec.key
     labelled = spec.target in df.columns
-    scored = model.transform(label_column(df, spec) if labelled else df)
-    clf = _clf_stage(model)
-    prob = ovr_probabilities() if isinstance(clf, OneVsRestModel) else vector_to_array("probability")
+    rows = label_column(df, spec) if labelled else df
+    if isinstance(model, E.TreeModel):
+        used = dict.fromkeys([key, *model.features, *(["label"] if labelled else []), *keep])
+        scored = T.score_rows(model.trees, rows.select(*used), model.features, "probability")
+        prob = F.col("probability")
+        scored = scored.withColumn("prediction", F.array_position(prob, F.array_max(prob)) - 1)
+    else:
+        scored = model.transform(rows)
+        prob = ovr_probabilities() if isinstance(_clf_stage(model), OneVsRestModel) else vector_to_array("probability")
     return scored.select(F.lit(name).alias("model"), key, *([F.col("label").cast("int").alias("label")] if labelled else []),
                          F.col("prediction").cast("int").alias("prediction"), prob.alias("probability"), *keep)
 
 
-def predict_all(models: dict[str, PipelineModel], df: DataFrame, spec: TableSpec) -> DataFrame:
+def predict_all(models: dict[str, Model], df: DataFrame, spec: TableSpec) -> DataFrame:
     out = None
     for name, m in models.items():
         p = predict(m, df, spec, name)
@@ -156,17 +216,18 @@ def predict_all(models: dict[str, PipelineModel], df: DataFrame, spec: TableSpec
     return out
 
 
-def feature_importance(models: dict[str, PipelineModel], features: Sequence[str], spark) -> DataFrame:
-    """Raw importance per (model, feature) and importance / total (0 when total is 0);
-    for OneVsRest the mean over the binary models. Importances are model metadata (f values)."""
+def feature_importance(models: dict[str, Model], features: Sequence[str], spark) -> DataFrame:
+    """Raw importance per (model, feature) and importance / total (0 when total is 0): the summed gain of an
+    ensemble's splits; for OneVsRest the mean over the binary models. Importances are model metadata (f values)."""
     rows = []
     for name, m in models.items():
-        clf = _clf_stage(m)
-        if isinstance(clf, OneVsRestModel):
-            vecs = [sub.featureImportances.toArray() for sub in clf.models]
+        if isinstance(m, E.TreeModel):
+            imp = [float(x) for x in m.gains]
+        elif isinstance(_clf_stage(m), OneVsRestModel):
+            vecs = [sub.featureImportances.toArray() for sub in _clf_stage(m).models]
             imp = [float(sum(v[i] for v in vecs) / len(vecs)) for i in range(len(features))]
         else:
-            imp = [float(x) for x in clf.featureImportances.toArray()]
+            imp = [float(x) for x in _clf_stage(m).featureImportances.toArray()]
         total = sum(x for x in imp if x == x)
         for f, x in zip(features, imp):
             rows.append((name, f, x, (x / total) if total > 0 else 0.0))
@@ -177,9 +238,9 @@ def cross_validate(train_with_folds: DataFrame, spec: TableSpec, preset: Preset,
     """Per fold, fit on the other folds and predict the held-out fold; returns the union
     of all fold predictions with a ``fold`` column (evaluate with metrics.summary)."""
     k = n_folds or spec.n_folds
+    folds = [train_with_folds.where(F.col("fold") != i) for i in range(k)]
     out = None
-    for i in range(k):
-        m = fit(train_with_folds.where(F.col("fold") != i), spec, preset)
+    for i, m in enumerate(side_by_side([lambda t=t: fit(t, spec, preset) for t in folds])):
         p = predict(m, train_with_folds.where(F.col("fold") == i), spec, preset.name).withColumn("fold", F.lit(i))
         out = p if out is None else out.unionByName(p)
     return out
@@ -188,9 +249,9 @@ def cross_validate(train_with_folds: DataFrame, spec: TableSpec, preset: Preset,
 def ablation(train: DataFrame, test: DataFrame, spec: TableSpec, preset: Preset,
              configs: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
     """Refit on each feature subset, predict the same test rows; ``config`` column."""
+    models = side_by_side([lambda f=feats: fit(train, spec, preset, f) for _, feats in configs])
     out = None
-    for name, feats in configs:
-        m = fit(train, spec, preset, feats)
+    for (name, _), m in zip(configs, models):
         p = predict(m, test, spec, preset.name).withColumn("config", F.lit(name))
         out = p if out is None else out.unionByName(p)
     return out

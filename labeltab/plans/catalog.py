@@ -510,9 +510,6 @@ def d2_split(spark, sf):
     return S.stratified_split(X.d2(spark, sf), X.D2_SPEC)
 
 
-_FITTED: dict = {}
-
-
 @register("m18_heldout_sample")
 def m18(spark, sf):
     test = d2_split(spark, sf).where("split = 'test'")
@@ -585,17 +582,46 @@ from labeltab.operators import models as ML  # noqa: E402
 from labeltab.session import scratch_path  # noqa: E402
 from labeltab.streaming import scoring as ST  # noqa: E402
 
-def fitted(spark, sf, preset: str, features=None):
-    """Fit once per (application, data folder, preset, features)."""
-    key = (spark.sparkContext.applicationId, sf, preset, tuple(features or X.D2_FEATURES))
-    if key not in _FITTED:
-        train = d2_split(spark, sf).where("split = 'train'")
-        _FITTED[key] = ML.fit(train, X.D2_SPEC, ML.PRESETS[preset], features)
-    return _FITTED[key]
+_WRITTEN: dict = {}
+
+
+def source_state(spark, sf) -> tuple:
+    """Application, folder, and a digest of the names, sizes and times of the files of ``lineitem``."""
+    path = X.table_path(sf, "lineitem")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).drop("content")
+    got = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)")).alias("d")).first()
+    return spark.sparkContext.applicationId, sf, got.n, got.d
+
+
+def d2_written(spark, sf, part: str):
+    """Rows of one part of the D2 split. The split is written once for each state of the source, by part."""
+    key = source_state(spark, sf)
+    if key not in _WRITTEN:
+        path = scratch_path(spark, "d2-split")
+        d2_split(spark, sf).write.partitionBy("split").parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key]).where(F.col("split") == part)
+
+
+_FITTED: dict = {}
+
+
+def fitted_all(spark, sf, names) -> dict:
+    """The presets fitted on the training rows; once for each state of the source."""
+    state, registry = source_state(spark, sf), ML.PRESETS | ML.SPARK_PRESETS
+    missing = {n: registry[n] for n in names if (*state, n) not in _FITTED}
+    if missing:
+        for n, m in ML.fit_all(d2_written(spark, sf, "train"), X.D2_SPEC, missing).items():
+            _FITTED[(*state, n)] = m
+    return {n: _FITTED[(*state, n)] for n in names}
+
+
+def fitted(spark, sf, preset: str):
+    return fitted_all(spark, sf, [preset])[preset]
 
 
 def d2_test(spark, sf):
-    return d2_split(spark, sf).where("split = 'test'")
+    return d2_written(spark, sf, "test")
 
 
 @register("m01_random_forest")
@@ -606,47 +632,71 @@ def m01(spark, sf):
 
 @register("m02_boosted_presets")
 def m02(spark, sf):
-    out = None
-    for name in ("LightGBM-like", "XGBoost-like", "CatBoost-like"):
-        p = ML.predict(fitted(spark, sf, name), d2_test(spark, sf), X.D2_SPEC, name).drop("probability")
-        out = p if out is None else out.unionByName(p)
-    return out
+    models = fitted_all(spark, sf, ["LightGBM-like", "XGBoost-like", "CatBoost-like"])
+    return ML.predict_all(models, d2_test(spark, sf), X.D2_SPEC).drop("probability")
 
 
 @register("m13_model_comparison_fitted")
 def m13f(spark, sf):
     """All four presets evaluated in one job from one confusion table."""
     test = d2_test(spark, sf)
-    preds = ML.predict_all({n: fitted(spark, sf, n) for n in ML.PRESETS}, test, X.D2_SPEC)
+    preds = ML.predict_all(fitted_all(spark, sf, ML.PRESETS), test, X.D2_SPEC)
     return finish(M.compare_models(M.summary(M.confusion(preds, X.D2_CLASSES))))
 
 
 def saved_models(spark, sf) -> list:
-    """All presets, fitted and saved: (model, path, number of stages)."""
-    return ML.save_models({n: fitted(spark, sf, n) for n in ML.PRESETS}, scratch_path(spark, "models"), X.D2_SPEC)
+    """All presets, fitted and saved: (model, path, number of trees)."""
+    return ML.save_models(fitted_all(spark, sf, ML.PRESETS), scratch_path(spark, "models"), X.D2_SPEC)
 
 
 @register("m03_train_persist")
 def m03(spark, sf):
     """Every saved model is loaded again and scores the test rows: rows and correct rows per model."""
     test, out = d2_test(spark, sf), None
-    for name, path, n_stages in saved_models(spark, sf):
+    for name, path, n_trees in saved_models(spark, sf):
         p = (ML.predict(ML.load_checked(path, X.D2_SPEC, ML.PRESETS[name]), test, X.D2_SPEC, name)
-             .groupBy("model").agg(F.lit(n_stages).alias("n_stages"), F.count(F.lit(1)).alias("n_rows"),
+             .groupBy("model").agg(F.lit(n_trees).alias("n_trees"), F.count(F.lit(1)).alias("n_rows"),
                                    F.sum((F.col("label") == F.col("prediction")).cast("long")).alias("n_correct")))
         out = p if out is None else out.unionByName(p)
     return out
 
 
+@register("m03_best_model_apart")
+def m03b(spark, sf):
+    """The selected model, saved in a folder of its own, loaded from it and held against the fitted one on every test row."""
+    models, test = fitted_all(spark, sf, ML.PRESETS), d2_test(spark, sf)
+    best = M.select_best(M.summary(M.confusion(ML.predict_all(models, test, X.D2_SPEC), X.D2_CLASSES))).first()[0]
+    path = ML.save_best(models, best, scratch_path(spark, "best"), X.D2_SPEC)
+    both = (ML.predict(models[best], test, X.D2_SPEC, "fitted")
+            .unionByName(ML.predict(ML.load_checked(path, X.D2_SPEC, ML.PRESETS[best]), test, X.D2_SPEC, "loaded")))
+    pairs = both.groupBy("rid").agg(F.count(F.lit(1)).alias("n"), F.min("prediction").alias("a"), F.max("prediction").alias("b"),
+                                    F.max(F.element_at("probability", 1)).alias("x"), F.min(F.element_at("probability", 1)).alias("y"))
+    same = (F.col("n") == 2) & (F.col("a") == F.col("b")) & (F.col("x") == F.col("y"))
+    return pairs.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(same.cast("long")).alias("n_same"))
+
+
 @register("m04_artifact_contract")
 def m04(spark, sf):
-    """What the gate accepted, one row per saved model; a model that fails it raises."""
-    rows = []
+    """The gate on every saved model against four contracts: its own, another feature order, another encoder, another
+    kind. One row a model and contract: whether the gate let it pass, and the rows it scored (0 where it raised)."""
+    flipped = X.D2_SPEC.with_(features=tuple(reversed(X.D2_FEATURES)))
+    other = X.D2_SPEC.with_(expected_classes=(0, 1, 2, 3, 5))
+    out = None
     for name, path, _ in saved_models(spark, sf):
-        m = ML.load_checked(path, X.D2_SPEC, ML.PRESETS[name])
-        rows.append((name, type(m.stages[-1]).__name__, ",".join(m.stages[0].getInputCols()), True, True))
-    return spark.createDataFrame(rows, "model string, kind string, features string, feature_order_ok boolean, "
-                                       "n_classes_ok boolean")
+        kind = "boosting" if ML.PRESETS[name].kind == "forest" else "forest"
+        wrong = next(p for p in ML.PRESETS.values() if p.kind == kind)
+        for contract, spec, preset in (("own", X.D2_SPEC, ML.PRESETS[name]), ("feature_order", flipped, ML.PRESETS[name]),
+                                       ("encoder", other, ML.PRESETS[name]), ("kind", X.D2_SPEC, wrong)):
+            rows = d2_test(spark, sf)
+            try:
+                scored = ML.predict(ML.load_checked(path, spec, preset), rows, spec, name)
+            except (TypeError, ValueError):
+                scored = None
+            passed, n = F.lit(scored is not None), F.count(F.lit(1)) if scored is not None else F.lit(0).cast("long")
+            row = (rows if scored is None else scored).agg(n.alias("n_scored")).select(
+                F.lit(name).alias("model"), F.lit(contract).alias("contract"), passed.alias("passed"), "n_scored")
+            out = row if out is None else out.unionByName(row)
+    return out
 
 
 @register("m05_batch_predict")
@@ -658,7 +708,7 @@ def m05(spark, sf):
 
 @register("m16_feature_importance")
 def m16(spark, sf):
-    models = {n: fitted(spark, sf, n) for n in ML.PRESETS}
+    models = fitted_all(spark, sf, ML.PRESETS)
     return finish(ML.feature_importance(models, list(X.D2_FEATURES), spark))
 
 
@@ -666,7 +716,7 @@ def m16(spark, sf):
 def m19(spark, sf):
     """Fold loop of forest fits over folds written once."""
     path = scratch_path(spark, "folds")  # ranked once; every fit and prediction reads the written folds
-    S.stratified_folds(d2_split(spark, sf).where("split = 'train'"), X.D2_SPEC).write.partitionBy("fold").parquet(path)
+    S.stratified_folds(d2_written(spark, sf, "train"), X.D2_SPEC).write.partitionBy("fold").parquet(path)
     preds = ML.cross_validate(spark.read.parquet(path), X.D2_SPEC, ML.PRESETS["Random Forest"])
     per_fold = M.summary(M.confusion(preds, X.D2_CLASSES, ("model", "fold")), ("model", "fold"))
     return finish(per_fold.withColumn("fold", (F.col("fold") + 1).cast("int")))
@@ -685,15 +735,14 @@ def ablation_configs():
 
 @register("m21_feature_ablation")
 def m21(spark, sf):
-    sp = d2_split(spark, sf)
-    preds = ML.ablation(sp.where("split = 'train'"), sp.where("split = 'test'"), X.D2_SPEC,
+    preds = ML.ablation(d2_written(spark, sf, "train"), d2_written(spark, sf, "test"), X.D2_SPEC,
                         ML.PRESETS["Random Forest"], ablation_configs())
     return finish(M.summary(M.confusion(preds, X.D2_CLASSES, ("model", "config")), ("model", "config")))
 
 
 @register("m25_ovr_probabilities")
 def m25(spark, sf):
-    p = ML.predict(fitted(spark, sf, "XGBoost-like"), d2_test(spark, sf), X.D2_SPEC, "XGBoost-like")
+    p = ML.predict(fitted(spark, sf, "One-vs-rest"), d2_test(spark, sf), X.D2_SPEC, "One-vs-rest")
     return finish(p.select("rid", "prediction", F.aggregate("probability", F.lit(0.0), lambda a, x: a + x).alias("prob_sum"),
                            (F.array_position("probability", F.array_max("probability")) - 1).cast("int").alias("argmax")))
 
@@ -724,20 +773,54 @@ def m26(spark, sf):
 
 @register("m27_shapley")
 def m27(spark, sf):
-    model = fitted(spark, sf, "Random Forest")
-    train = d2_split(spark, sf).where("split = 'train'")
-    bg = EX.background_rows(train, list(X.D2_FEATURES), "rid", n=16)
+    """Interventional values over 16 background rows, of a Spark ML forest."""
+    model = fitted(spark, sf, "Spark forest")
+    bg = EX.background_rows(d2_written(spark, sf, "train"), list(X.D2_FEATURES), "rid", n=16)
     sh = EX.shapley(model, d2_test(spark, sf), list(X.D2_FEATURES), "rid", bg)
     return finish(EX.contributions_long(sh, list(X.D2_FEATURES), "rid"))
 
 
+def tree_attributions(spark, sf):
+    """Attribution of the predicted class of every test row by the ensembles themselves: the symmetric boosted preset
+    (margins) and a Spark ML forest (probabilities)."""
+    test, out = d2_test(spark, sf), None
+    models = fitted_all(spark, sf, ["CatBoost-like", "Spark forest"])
+    for name, m in models.items():
+        sh = EX.tree_shap(m, test, X.D2_FEATURES, "rid").withColumn("model", F.lit(name))
+        out = sh if out is None else out.unionByName(sh)
+    return out
+
+
+@register("m27_tree_attribution")
+def m27t(spark, sf):
+    sh = tree_attributions(spark, sf)
+    named = EX.contributions_long(sh.withColumn("rid", F.struct("model", "rid")), list(X.D2_FEATURES), "rid")
+    return finish(named.select("rid.model", "rid.rid", "feature", "contribution"))
+
+
+@register("m27_attribution_check")
+def m27c(spark, sf):
+    """For each model: rows, rows with finite contributions, rows where base + contributions is the model's score."""
+    sh = tree_attributions(spark, sf)
+    finite = F.forall("contributions", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    total = F.aggregate("contributions", F.col("base"), lambda a, x: a + x)
+    return sh.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(finite.cast("long")).alias("n_finite"),
+                                   F.sum((F.abs(total - F.col("score")) < 1e-9).cast("long")).alias("n_additive"))
+
+
+# Golden cases, quantities away from the class edges with the class they must get.
+GOLDEN = ((3, 0), (5, 0), (7, 0), (9, 0), (13, 1), (15, 1), (17, 1), (19, 1), (23, 2), (25, 2), (27, 2), (29, 2),
+          (33, 3), (35, 3), (37, 3), (39, 3), (43, 4), (45, 4), (47, 4), (49, 4))
+
+
 @register("m29_golden_cases")
 def m29(spark, sf):
-    test = d2_test(spark, sf).where(F.col("l_quantity").isin(5.0, 15.0, 25.0, 35.0, 45.0))
-    pred = ML.predict(fitted(spark, sf, "Random Forest"), test, X.D2_SPEC, "Random Forest") \
+    """Test rows with a golden quantity, the expected class from the list written in advance."""
+    want = F.create_map(*[F.lit(x) for q, c in GOLDEN for x in (float(q), c)])
+    test = d2_test(spark, sf).withColumn("expected", want[F.col("l_quantity")]).where("expected IS NOT NULL")
+    pred = ML.predict(fitted(spark, sf, "CatBoost-like"), test, X.D2_SPEC, "CatBoost-like") \
         .select("rid", F.col("prediction").alias("predicted"))
-    cases = SC.golden_cases(pred, test.select("rid", F.col("cls").alias("expected")), "rid")
-    return finish(SC.golden_summary(cases))
+    return finish(SC.golden_summary(SC.golden_cases(pred, test.select("rid", "expected"), "rid")))
 
 
 @register("m30_streaming_scoring")
@@ -886,15 +969,12 @@ LI_MODEL_SPEC = X.LI_SPEC.with_(features=("l_quantity", "l_discount", "l_tax"))
 
 @register("m15_best_model_v1_fitted")
 def m15f(spark, sf):
-    """All presets fitted on lineitem's return flag (no signal: accuracy near
+    """All presets of the first workflow fitted on lineitem's return flag (no signal: accuracy near
     the largest class share), evaluated in one job and selected by the V1 rule (weighted F1
     rounded to 4 decimals, ties by accuracy then name)."""
-    sp = S.stratified_split(li(spark, sf), X.LI_SPEC)
-    train, test = sp.where("split = 'train'"), sp.where("split = 'test'")
-    preds = None
-    for name in ML.PRESETS:
-        m = ML.fit(train, LI_MODEL_SPEC, ML.PRESETS[name])
-        p = ML.predict(m, test, LI_MODEL_SPEC, name).drop("probability")
-        preds = p if preds is None else preds.unionByName(p)
-    summ = M.summary(M.confusion(preds, [0, 1, 2]))
-    return finish(M.select_best_v1(summ))
+    path = scratch_path(spark, "li-split")
+    S.stratified_split(li(spark, sf).select("rid", *LI_MODEL_SPEC.features, "l_returnflag"), LI_MODEL_SPEC).write.partitionBy("split").parquet(path)
+    rows = spark.read.parquet(path)
+    models = ML.fit_all(rows.where("split = 'train'"), LI_MODEL_SPEC, ML.V1_PRESETS)
+    preds = ML.predict_all(models, rows.where("split = 'test'"), LI_MODEL_SPEC).drop("probability")
+    return finish(M.select_best_v1(M.summary(M.confusion(preds, [0, 1, 2]))))

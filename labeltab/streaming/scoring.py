@@ -11,17 +11,16 @@ from __future__ import annotations
 
 import os
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labeltab.operators.contract import validate_rows
-from labeltab.operators.models import predict
+from labeltab.operators.models import Model, predict
 from labeltab.spec import TableSpec
 
 
-def score_batch(batch: DataFrame, model: PipelineModel, spec: TableSpec, name: str) -> tuple[DataFrame, DataFrame]:
+def score_batch(batch: DataFrame, model: Model, spec: TableSpec, name: str) -> tuple[DataFrame, DataFrame]:
     """Validated scoring of one batch (also the batch job M26): (scored, rejected). Rows need no label;
     a scored row has its class name, confidence and the classes ranked by probability."""
     v = validate_rows(batch, spec)
@@ -36,7 +35,7 @@ def score_batch(batch: DataFrame, model: PipelineModel, spec: TableSpec, name: s
     return scored, rejected
 
 
-def run_stream(spark: SparkSession, source_dir: str, schema: T.StructType, model: PipelineModel,
+def run_stream(spark: SparkSession, source_dir: str, schema: T.StructType, model: Model,
                spec: TableSpec, name: str, out_dir: str, checkpoint: str, max_files_per_trigger: int = 1) -> None:
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
 
