@@ -834,6 +834,106 @@ def m30(spark, sf):
     return finish(ST.read_results(spark, out, "rid"))
 
 
+# ---- M: exact counts of the fitted operators (every one has its SQL) ------------------------
+
+def n_true(cond) -> F.Column:
+    return F.coalesce(F.sum(cond.cast("long")), F.lit(0).cast("long"))
+
+
+@register("m01_m02_scored_rows")
+def m0102(spark, sf):
+    """For each preset: test rows scored, rows whose probabilities sum to 1 and peak at the prediction, and whether the
+    training loss of a boosted preset falls in every step."""
+    models = fitted_all(spark, sf, ML.PRESETS)
+    p = ML.predict_all(models, d2_test(spark, sf), X.D2_SPEC)
+    total = F.aggregate("probability", F.lit(0.0), lambda a, x: a + x)
+    ok = (F.abs(total - 1) < 1e-9) & (F.element_at("probability", F.col("prediction") + 1) == F.array_max("probability"))
+    falls = {n: all(b < a for a, b in zip(m.losses, m.losses[1:])) for n, m in models.items()}
+    rule = F.create_map(*[F.lit(x) for n, v in falls.items() for x in (n, v)])
+    return (p.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"), n_true(ok).alias("n_ok"))
+            .withColumn("loss_falls", rule[F.col("model")]))
+
+
+@register("m05_decoded_rows")
+def m05c(spark, sf):
+    return m05(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("rid").alias("n_ids"),
+                              n_true(F.col("predicted_label") == F.concat(F.lit("class_"), F.col("prediction"))).alias("n_decoded"))
+
+
+@register("m16_importance_check")
+def m16c(spark, sf):
+    return m16(spark, sf).groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_features"), (F.abs(F.sum("normalized_importance") - 1) < 1e-5).alias("sums_to_one"),
+        F.max_by("feature", "importance").alias("top_feature"))
+
+
+@register("m19_fold_rows")
+def m19c(spark, sf):
+    """Held-out rows scored in each fold of the cross-validation, and that its accuracy lies in (0.9, 1]."""
+    path = scratch_path(spark, "folds")
+    S.stratified_folds(d2_written(spark, sf, "train"), X.D2_SPEC).write.partitionBy("fold").parquet(path)
+    preds = ML.cross_validate(spark.read.parquet(path), X.D2_SPEC, ML.PRESETS["CatBoost-like"])
+    good = F.avg((F.col("label") == F.col("prediction")).cast("int")) > 0.9
+    return preds.groupBy(F.col("fold").cast("int").alias("fold")).agg(F.count(F.lit(1)).alias("n_rows"), good.alias("accurate"))
+
+
+@register("m21_ablation_rows")
+def m21c(spark, sf):
+    """Test rows scored by each feature subset; only the one without the key feature is no good."""
+    preds = ML.ablation(d2_written(spark, sf, "train"), d2_test(spark, sf), X.D2_SPEC, ML.PRESETS["CatBoost-like"], ablation_configs())
+    good = F.avg((F.col("label") == F.col("prediction")).cast("int")) > 0.9
+    return preds.groupBy("config").agg(F.count(F.lit(1)).alias("n_rows"), good.alias("accurate"))
+
+
+@register("m25_ovr_check")
+def m25c(spark, sf):
+    p = m25(spark, sf)
+    return p.agg(F.count(F.lit(1)).alias("n_rows"), n_true(F.abs(F.col("prob_sum") - 1) < 1e-6).alias("n_sum_one"),
+                 n_true(F.col("argmax") == F.col("prediction")).alias("n_argmax"))
+
+
+@register("m26_validated_counts")
+def m26c(spark, sf):
+    return m26(spark, sf).groupBy("is_valid").agg(F.count(F.lit(1)).alias("n_rows"), F.count("prediction").alias("n_scored"),
+                                                  F.count("errors").alias("n_messages"))
+
+
+@register("m30_streamed_counts")
+def m30c(spark, sf):
+    return m30(spark, sf).groupBy("is_valid").agg(F.count(F.lit(1)).alias("n_rows"), F.count("prediction").alias("n_scored"),
+                                                  F.count("errors").alias("n_messages"))
+
+
+@register("m22_stability_verdict_fitted")
+def m22f(spark, sf):
+    """The verdict from fitted evidence: cross-validation (M19), refits without the key feature (M21), importances
+    and the lowest class score of the boosted preset that the reference explains. The evidence stands in the row."""
+    name = "CatBoost-like"
+    preset, model = ML.PRESETS[name], fitted(spark, sf, name)
+    path = scratch_path(spark, "folds")
+    S.stratified_folds(d2_written(spark, sf, "train"), X.D2_SPEC).write.partitionBy("fold").parquet(path)
+    cv_preds = ML.cross_validate(spark.read.parquet(path), X.D2_SPEC, preset)
+    cv = M.cv_summary(M.summary(M.confusion(cv_preds, X.D2_CLASSES, ("model", "fold")), ("model", "fold"))).where("metric = 'macro_f1'")
+    subsets = [c for c in ablation_configs() if c[0].startswith(("A_", "B_"))]  # all features, and without the key feature
+    preds = ML.ablation(d2_written(spark, sf, "train"), d2_test(spark, sf), X.D2_SPEC, preset, subsets)
+    summ = M.summary(M.confusion(preds, X.D2_CLASSES, ("model", "config")), ("model", "config"))
+    test = ML.predict(model, d2_test(spark, sf), X.D2_SPEC, name)
+    classes = M.per_class(M.confusion(test, X.D2_CLASSES))
+    share = ML.feature_importance({name: model}, list(X.D2_FEATURES), spark).where("feature = 'l_quantity'")
+    parts = [cv.select(F.lit("cv_macro_f1_mean").alias("m"), F.col("mean").alias("v")),
+             cv.select(F.lit("cv_macro_f1_std").alias("m"), F.col("std").alias("v")),
+             summ.where("config LIKE 'A%'").select(F.lit("full_feature_macro_f1").alias("m"), F.col("macro_f1").alias("v")),
+             summ.where("config LIKE 'B%'").select(F.lit("no_key_feature_macro_f1").alias("m"), F.col("macro_f1").alias("v")),
+             share.select(F.lit("key_feature_normalized_importance").alias("m"), F.col("normalized_importance").alias("v")),
+             classes.agg(F.min("f1").alias("v")).select(F.lit("minimum_class_f1").alias("m"), "v")]
+    evidence = parts[0]
+    for x in parts[1:]:
+        evidence = evidence.unionByName(x)
+    names = ["cv_macro_f1_mean", "cv_macro_f1_std", "full_feature_macro_f1", "no_key_feature_macro_f1",
+             "key_feature_normalized_importance", "minimum_class_f1"]
+    return finish(M.stability_verdict(evidence.groupBy().pivot("m", names).agg(F.first("v")), "l_quantity"))
+
+
 # ---- S: sources and sinks ----------------------------------------------------------------
 
 from labeltab.sources import io as IO  # noqa: E402

@@ -913,3 +913,36 @@ ORACLE["a05_feature_summary_distributed"] = ORACLE["a05_feature_summary"]
 ORACLE["a07_class_summary_distributed"] = ORACLE["a07_class_summary"]
 ORACLE["a08_iqr_outliers_distributed"] = ORACLE["a08_iqr_outliers_lineitem"]
 ORACLE["a12_box_stats_distributed"] = ORACLE["a12_box_stats"]
+
+# ---- fitted operators: exact counts ---------------------------------------------------------
+_MODELS = ["Random Forest", "LightGBM-like", "XGBoost-like", "CatBoost-like"]
+_PER_MODEL = "(VALUES " + ", ".join(f"('{m}')" for m in _MODELS) + ") m(model)"
+_TEST = f"{D2_SPLIT},\nte AS (SELECT * FROM split WHERE split = 'test'),\nnt AS (SELECT count(*) AS n FROM te)"
+ORACLE["m01_m02_scored_rows"] = f"""WITH {_TEST}
+SELECT model, n AS n_rows, n AS n_ok, true AS loss_falls FROM {_PER_MODEL}, nt"""
+ORACLE["m03_best_model_apart"] = f"WITH {_TEST} SELECT n AS n_rows, n AS n_same FROM nt"
+ORACLE["m04_artifact_contract"] = f"""WITH {_TEST}
+SELECT model, contract, contract = 'own' AS passed, CASE WHEN contract = 'own' THEN n ELSE 0 END AS n_scored
+FROM {_PER_MODEL}, (VALUES ('own'), ('feature_order'), ('encoder'), ('kind')) c(contract), nt"""
+ORACLE["m05_decoded_rows"] = f"WITH {_TEST} SELECT n AS n_rows, (SELECT count(DISTINCT rid) FROM te) AS n_ids, n AS n_decoded FROM nt"
+ORACLE["m16_importance_check"] = f"""SELECT model, CAST(3 AS BIGINT) AS n_features, true AS sums_to_one, 'l_quantity' AS top_feature
+FROM {_PER_MODEL}"""
+ORACLE["m19_fold_rows"] = f"WITH {D2_FOLDS} SELECT fold, count(*) AS n_rows, true AS accurate FROM folds GROUP BY fold"
+ORACLE["m21_ablation_rows"] = f"""WITH {_TEST}
+SELECT config, n AS n_rows, config <> 'B_No_l_quantity' AS accurate
+FROM (VALUES ('A_All_Features'), ('B_No_l_quantity'), ('C_No_l_discount'), ('D_No_l_tax')) c(config), nt"""
+ORACLE["m25_ovr_check"] = f"WITH {_TEST} SELECT n AS n_rows, n AS n_sum_one, n AS n_argmax FROM nt"
+_VALIDATED = f"""WITH {_TEST},
+v AS (SELECT substr(md5(rid), 1, 2) NOT IN ('00', '01', '02', '03', '04') AND l_quantity BETWEEN 1 AND 50 AS is_valid FROM te)
+SELECT is_valid, count(*) AS n_rows, count(*) FILTER (is_valid) AS n_scored, count(*) FILTER (NOT is_valid) AS n_messages
+FROM v GROUP BY is_valid"""
+ORACLE["m26_validated_counts"] = _VALIDATED
+ORACLE["m30_streamed_counts"] = _VALIDATED
+ORACLE["m27_attribution_check"] = f"""WITH {_TEST}
+SELECT model, n AS n_rows, n AS n_finite, n AS n_additive FROM (VALUES ('CatBoost-like'), ('Spark forest')) m(model), nt"""
+#: golden quantities and classes, as written down for the query
+_GOLDEN = ", ".join(f"({q}, {c})" for c in range(5) for q in (10 * c + 3, 10 * c + 5, 10 * c + 7, 10 * c + 9))
+ORACLE["m29_golden_cases"] = f"""WITH {_TEST},
+cases AS (SELECT CAST(g.c AS VARCHAR) AS expected FROM te JOIN (VALUES {_GOLDEN}) g(q, c) ON te.l_quantity = g.q)
+SELECT expected, count(*) AS n_cases, count(*) AS n_pass, CAST(1 AS DOUBLE) AS pass_rate FROM cases GROUP BY expected
+UNION ALL SELECT '*', count(*), count(*), CAST(1 AS DOUBLE) FROM cases"""

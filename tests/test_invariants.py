@@ -104,8 +104,8 @@ def test_ovr_probabilities_sum_to_one(spark):
 def test_shapley_additivity(spark):
     from labeltab.operators import explain as EX
 
-    model = C.fitted(spark, SF_SMALL, "Random Forest")
-    train = C.d2_split(spark, SF_SMALL).where("split = 'train'")
+    model = C.fitted(spark, SF_SMALL, "Spark forest")
+    train = C.d2_written(spark, SF_SMALL, "train")
     bg = EX.background_rows(train, list(X.D2_FEATURES), "rid", n=8)
     sh = EX.shapley(model, C.d2_test(spark, SF_SMALL), list(X.D2_FEATURES), "rid", bg)
     err = sh.select(F.max(F.abs(F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)
@@ -120,9 +120,7 @@ def test_stream_equals_batch(spark):
     assert sorted(map(tuple, stream.select(cols).collect()), key=str) == sorted(map(tuple, batch.select(cols).collect()), key=str)
 
 
-def test_artifact_contract_and_manifest(spark):
-    r = C.m04(spark, SF_SMALL).first()
-    assert r.feature_order_ok and r.n_classes_ok
+def test_manifest_and_digests(spark):
     man = {r.file_name: r.status for r in C.s04(spark, SF_SMALL).collect()}
     assert man["lineitem.parquet"] == "found" and man["fertilizer.parquet"] == "missing"
     dig = C.s05(spark, SF_SMALL).collect()
@@ -148,8 +146,8 @@ def test_sampled_permutations_cover_exact(spark):
 def test_shapley_sampled_additivity(spark):
     from labeltab.operators import explain as EX
 
-    model = C.fitted(spark, SF_SMALL, "Random Forest")
-    train = C.d2_split(spark, SF_SMALL).where("split = 'train'")
+    model = C.fitted(spark, SF_SMALL, "Spark forest")
+    train = C.d2_written(spark, SF_SMALL, "train")
     bg = EX.background_rows(train, list(X.D2_FEATURES), "rid", n=4)
     sh = EX.shapley(model, C.d2_test(spark, SF_SMALL), list(X.D2_FEATURES), "rid", bg, exact_max=0, permutations=5)
     err = sh.select(F.max(F.abs(F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)
@@ -248,7 +246,7 @@ def test_artifact_gate_raises(spark):
 
     path = ML.save_models({"Random Forest": C.fitted(spark, SF_SMALL, "Random Forest")}, scratch_path(spark, "gate"), C.X.D2_SPEC)[0][1]
     forest, spec = ML.PRESETS["Random Forest"], C.X.D2_SPEC
-    assert ML.load_checked(path, spec, forest).stages
+    assert len(ML.load_checked(path, spec, forest).trees.root) == 200
     with pytest.raises(TypeError):
         ML.load_checked(path, spec, ML.PRESETS["XGBoost-like"])
     with pytest.raises(ValueError, match="feature order"):
