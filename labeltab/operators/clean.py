@@ -6,6 +6,7 @@ from **one** grouped pass instead of materialising each intermediate table.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from itertools import chain
 
@@ -127,6 +128,41 @@ def lineage(df: DataFrame, spec: TableSpec) -> DataFrame:
     return out.select("step", "stage", *[F.col(c).cast("bigint").alias(c) for c in ("n_before", "n_removed", "n_after")])
 
 
+def lineage_with_labels(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """C07 in the order of the second workflow: missing -> duplicates -> label standardisation, with the method of each step and
+    its details (JSON): missing cells per column, rows per corrected label. From one ``groupBy`` over the used columns."""
+    used = spec.columns
+    groups = df.groupBy(*used).agg(F.count(F.lit(1)).alias("c"))
+    miss = missing_row_mask(groups, used)
+    cells = {u: missing_row_mask(groups, [u]) for u in used}
+    fixes = sorted(spec.label_fixes)
+    s = groups.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n0"), F.coalesce(F.sum(F.when(miss, F.col("c"))), F.lit(0)).alias("r1"),
+        F.count_if(~miss).alias("g"),
+        *[F.coalesce(F.sum(F.when(m, F.col("c"))), F.lit(0)).alias(f"m{i}") for i, m in enumerate(cells.values())],
+        *[F.count_if(~miss & (F.col(spec.target) == w)).alias(f"w{i}") for i, w in enumerate(fixes)])
+
+    def text(names: Sequence[str], cols: Sequence[str]) -> F.Column:
+        pairs = [F.concat(F.lit(json.dumps(str(n), ensure_ascii=False) + ": "), F.col(c).cast("string")) for n, c in zip(names, cols)]
+        return F.concat(F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}"))
+
+    fixed = sum((F.col(f"w{i}") for i in range(len(fixes))), F.lit(0))
+    n1 = F.col("n0") - F.col("r1")
+
+    def stage(step, name, before, removed, changed, method, details):
+        return F.struct(F.lit(step).alias("step"), F.lit(name).alias("stage"), before.cast("bigint").alias("n_before"),
+                        removed.cast("bigint").alias("n_removed"), (before - removed).cast("bigint").alias("n_after"),
+                        changed.cast("bigint").alias("n_changed"), method.alias("method"), details.alias("details"))
+
+    rows = F.array(
+        stage(1, "missing_values", F.col("n0"), F.col("r1"), F.lit(0),
+              F.when(F.col("r1") > 0, F.lit("drop_rows_with_missing_values")).otherwise(F.lit("no_missing_values_found")),
+              text(used, [f"m{i}" for i in range(len(used))])),
+        stage(2, "duplicates", n1, n1 - F.col("g"), F.lit(0), F.lit("keep_first_occurrence"), F.lit("{}")),
+        stage(3, "label_standardization", F.col("g"), F.lit(0), fixed, F.lit("map_known_spellings"), text(fixes, [f"w{i}" for i in range(len(fixes))])))
+    return s.select(F.inline(rows))
+
+
 def clean(df: DataFrame, spec: TableSpec) -> DataFrame:
     """The cleaning plan as one lazy chain: project, drop missing, dedup, drop out-of-bounds,
     standardise labels (dedup before the label fix, as the reference does)."""

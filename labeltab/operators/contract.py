@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -222,6 +222,43 @@ def duplicate_listing(df: DataFrame, columns: Sequence[str], key: str) -> DataFr
                                   F.col("s.group_size").cast("bigint").alias("group_size"))
 
 
+def duplicate_positions(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """Q13 on Parquet files: every member of every duplicate group with its place in the table, files in the order of their
+    names: ``position`` from 0 and ``line_number`` = position + 2 (a header line before it). Places come from the files' own row
+    numbers plus the rows of the files before (one row a file), not from a sort of the rows."""
+    rows = spark.read.parquet(path).select(*columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    files = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    placed = rows.join(files.select("__file", "__before"), "__file").withColumn("position", (F.col("__before") + F.col("__row")).cast("bigint"))
+    return (duplicate_listing(placed, columns, "position").withColumnRenamed("key", "position")
+            .withColumn("line_number", F.col("position") + 2))
+
+
+def numeric_report(df: DataFrame, features: Sequence[str], n_examples: int = 5) -> DataFrame:
+    """Q09 as the reference counts: ``nan_count`` = null or NaN, ``infinite_count`` (0 for text columns),
+    ``invalid_string_count`` = present text that is no number (blanks and spelled NaN included) with up to
+    ``n_examples`` smallest distinct examples, and ``valid``: a numeric column without any of them. One row a feature."""
+    out = None
+    for f in features:
+        dt, raw = _dt(df, f), F.col(f"`{f}`")
+        numeric = is_numeric(dt)
+        num = raw.cast("double") if numeric else strict_number(raw.cast("string"))
+        bad = F.lit(False) if numeric else raw.isNotNull() & (num.isNull() | F.isnan(num))
+        counts = df.agg(F.count_if(is_missing(f, dt)).alias("nan_count"),
+                        F.count_if(F.lit(numeric) & num.isin(float("inf"), float("-inf"))).alias("infinite_count"), F.count_if(bad).alias("invalid_string_count"))
+        one = counts.select(F.inline(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("string").alias("v")) for m in counts.columns])))
+        some = (df.where(bad).select(raw.cast("string").alias("v")).distinct().orderBy("v").limit(n_examples)
+                .agg(F.array_join(F.sort_array(F.collect_list("v")), ",").alias("v")).select(F.lit("examples").alias("m"), "v"))
+        row = one.unionByName(some).groupBy().pivot("m", ["nan_count", "infinite_count", "invalid_string_count", "examples"]).agg(F.first("v"))
+        n = {c: F.coalesce(F.col(c).cast("bigint"), F.lit(0)) for c in counts.columns}
+        row = row.select(F.lit(f).alias("feature"), F.lit(dt.simpleString()).alias("dtype"), F.lit(numeric).alias("is_numeric"),
+                         n["nan_count"].alias("nan_count"), n["infinite_count"].alias("infinite_count"),
+                         n["invalid_string_count"].alias("invalid_string_count"), F.coalesce("examples", F.lit("")).alias("examples"),
+                         (F.lit(numeric) & (n["nan_count"] == 0) & (n["infinite_count"] == 0)).alias("valid"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # ---- Q14–Q17 checklists ----------------------------------------------------------------------
 
 def checklist(df: DataFrame, spec: TableSpec, expected_columns: Sequence[str]) -> DataFrame:

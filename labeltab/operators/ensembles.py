@@ -293,7 +293,7 @@ class Grower:
             if t.feature[x] < 0:
                 grad, hess = t.sums[x]
                 v = -self.p.rate * grad / np.maximum(hess + self.p.l2, 1e-16)
-                out[x, slice(None) if t.cls < 0 else t.cls] = np.where(hess + self.p.l2 > 1e-12, v, 0.0)
+                out[x, slice(None) if t.cls < 0 else slice(t.cls, t.cls + 1)] = np.where(hess + self.p.l2 > 1e-12, v, 0.0)
         return out
 
 

@@ -323,8 +323,11 @@ def crosstab(df: DataFrame, category: str, spec: TableSpec) -> DataFrame:
         [r[0] for r in _labelled(df, spec).select(spec.target).distinct().orderBy(spec.target).collect()]  # output columns
     base = df.where(F.col(category).isNotNull()).where(~is_missing(spec.target, _dt(df, spec.target)))
     known = F.col(spec.target).isin(classes)
-    names = [*[str(c) for c in classes], "other"]  # labels outside the domain are counted, too
-    base = base.withColumn("__class", F.when(known, F.col(spec.target).cast("string")).otherwise(F.lit("other")))
+    rest = "other"  # labels outside the domain are counted, too, under a name that no class has
+    while rest in {sanitize(str(c)) for c in classes} | {str(c) for c in classes}:
+        rest += "_labels"
+    names = [*[str(c) for c in classes], rest]
+    base = base.withColumn("__class", F.when(known, F.col(spec.target).cast("string")).otherwise(F.lit(rest)))
     pv = base.groupBy(F.col(category).alias("category")).pivot("__class", names).count().na.fill(0)
     total = sum((F.col(f"`{c}`") for c in names), F.lit(0))
     return pv.select(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labeltab.functions.exprs import clean_number, is_missing
+from labeltab.functions.ranked import ranked, running
 from labeltab.spec import TableSpec
 
 
@@ -218,6 +219,52 @@ def categorical_relevance(df: DataFrame, spec: TableSpec, categories: Sequence[s
         "max_purity", "largest_category_n")
 
 
+def chi2_tail(x: np.ndarray, dof: np.ndarray) -> np.ndarray:
+    """P(chi-square(dof) > x): the regularised upper incomplete gamma function Q(dof / 2, x / 2), by its power series
+    below a + 1 and its continued fraction above."""
+    out = np.full(len(x), np.nan)
+    for i, (chi2, d) in enumerate(zip(x, dof)):
+        a, z = d / 2, chi2 / 2
+        if not (d > 0 and z >= 0):
+            continue
+        if z == 0 or math.isinf(z):
+            out[i] = 0.0 if z else 1.0
+            continue
+        scale = math.exp(a * math.log(z) - z - math.lgamma(a))
+        if z < a + 1:
+            term = total = 1 / a
+            n = a
+            while term > total * 1e-17:
+                n += 1
+                term *= z / n
+                total += term
+            out[i] = 1 - scale * total
+        else:
+            b = z + 1 - a  # Lentz's form of the continued fraction
+            c, d_ = 1e300, 1 / b
+            f = d_
+            for k in range(1, 10_000):
+                an = -k * (k - a)
+                b += 2
+                d_ = 1 / (an * d_ + b)
+                c = b + an / c
+                f *= c * d_
+                if abs(c * d_ - 1) < 1e-16:
+                    break
+            out[i] = scale * f
+    return np.clip(out, 0, 1)
+
+
+@F.pandas_udf(T.DoubleType())
+def _chi2_tail_udf(x: pd.Series, dof: pd.Series) -> pd.Series:
+    return pd.Series(chi2_tail(x.to_numpy(float), dof.to_numpy(float)))
+
+
+def chi_square_pvalue(relevance: DataFrame) -> DataFrame:
+    """Upper tail of the chi-square distribution for each row of ``categorical_relevance``; NaN without freedom."""
+    return relevance.select("category_col", "chi2", "dof", _chi2_tail_udf(F.col("chi2"), F.col("dof").cast("double")).alias("p_value"))
+
+
 # ---- R10–R12 class ranges -------------------------------------------------------------------
 
 def class_bounds(df: DataFrame, spec: TableSpec, features: Sequence[str] | None = None) -> DataFrame:
@@ -238,20 +285,13 @@ def class_bounds(df: DataFrame, spec: TableSpec, features: Sequence[str] | None
 def class_ranges(df: DataFrame, spec: TableSpec, features: Sequence[str] | None = None,
                  tolerance: int = 0) -> DataFrame:
     """R10 per-class [min, max] and the number of other-class rows inside it; R11 ``exclusive``
-    when that number is <= ``tolerance``. Range join: distinct (feature, value, class) counts
-    against the k x f bounds."""
-    feats = list(features or spec.features)
-    bounds = class_bounds(df, spec, feats)
-    vals = _long_values(df, spec, feats).groupBy("feature", "value", "label").agg(F.count(F.lit(1)).alias("cnt"))
-    v = vals.alias("v")
-    b = bounds.alias("b")
-    cond = ((F.col("v.feature") == F.col("b.feature")) & (F.col("v.value") >= F.col("b.min"))
-            & (F.col("v.value") <= F.col("b.max")) & (F.col("v.label") != F.col("b.label")))
-    inside = (v.join(b, cond).groupBy(F.col("b.feature").alias("feature"), F.col("b.label").alias("label"))
-              .agg(F.sum("v.cnt").alias("inside")))
-    return (bounds.join(inside, ["feature", "label"], "left")
-            .select("feature", "label", "min", "max", "n",
-                    F.coalesce("inside", F.lit(0)).cast("bigint").alias("n_other_inside"))
+    when that number is <= ``tolerance``. One scan: rows inside = rows up to max - rows below min, from running
+    counts over the sorted distinct values; the class's own rows are subtracted."""
+    by_class = running(ranked(_long_values(df, spec, list(features or spec.features)))).groupBy("feature", "label")
+    per = by_class.agg(F.min("value").alias("min"), F.max("value").alias("max"), F.sum("n").alias("n"),
+                       F.max_by("upto", "value").alias("upto"), F.min_by("below", "value").alias("below"))
+    return (per.select("feature", "label", "min", "max", "n",
+                       (F.col("upto") - F.col("below") - F.col("n")).cast("bigint").alias("n_other_inside"))
             .withColumn("exclusive", F.col("n_other_inside") <= tolerance))
 
 
@@ -281,7 +321,9 @@ def granularity(df: DataFrame, spec: TableSpec, features: Sequence[str] | None =
     feats = list(features or spec.features)
     vals = _long_values(df, spec, feats).groupBy("feature", "value", "label").agg(F.count(F.lit(1)).alias("cnt"))
     s = F.col("value").cast("string")
-    decimals = F.when(s.contains("E"), F.lit(None)).otherwise(F.length(F.regexp_extract(s, r"\.([0-9]*?)0*$", 1)))
+    digits = F.length(F.regexp_extract(s, r"\.([0-9]*?)0*(?:E|$)", 1))  # of the mantissa; the exponent moves them
+    power = F.coalesce(F.nullif(F.regexp_extract(s, r"E(-?[0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
+    decimals = F.when(F.abs("value") < float("inf"), F.greatest(digits - power, F.lit(0)))
     per_value = vals.groupBy("feature", "value").agg(F.sum("cnt").alias("c")).groupBy("feature").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_unique"), F.sum("c").cast("bigint").alias("n"),
         F.count_if(F.col("c") > 1).cast("bigint").alias("n_repeated_values"),

@@ -50,14 +50,21 @@ def decode(df: DataFrame, dim: DataFrame, code: str = "code", out: str = "decode
 
 # ---- class rank (shared by C10 and C12) --------------------------------------------------------
 
-def class_rank(df: DataFrame, spec: TableSpec, salt: str = "", prefix: int = 3) -> DataFrame:
-    """Adds ``__h`` (digest) and ``rank_in_class`` (1-based, by digest) to every labelled row."""
+#: rows that one bucket of a rank sorts
+ROWS_PER_BUCKET = 1 << 20
+
+
+def class_rank(df: DataFrame, spec: TableSpec, salt: str = "", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Adds ``__h`` (digest) and ``rank_in_class`` (1-based, by digest) to every labelled row. Digests are cut into equal
+    ranges, as many as the rows need for ``rows_per_bucket`` each; a rank is the number of rows in lower ranges plus the rank
+    in the row's own. Only the columns that the caller goes on to use are moved; keys should be distinct."""
     if not spec.key:
         raise ValueError("a key column is required for a reproducible order")
-    seed = f"{spec.seed}{salt}"
-    t = (_labelled(df, spec)
-         .withColumn("__h", hash_order_key(seed, spec.key))
-         .withColumn("__b", F.substring("__h", 1, prefix)))
+    rows = _labelled(df, spec)
+    buckets = max(1, -(-rows.count() // rows_per_bucket))
+    number = F.conv(F.substring("__h", 1, 15), 16, 10).cast("bigint")  # 60 bits, spread evenly
+    t = (rows.withColumn("__h", hash_order_key(f"{spec.seed}{salt}", spec.key))
+         .withColumn("__b", F.floor(number / F.lit(-(-(1 << 60) // buckets))).cast("int")))
     local = t.withColumn("__r", F.row_number().over(Window.partitionBy(spec.target, "__b").orderBy("__h", spec.key)))
     counts = t.groupBy(spec.target, "__b").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(spec.target).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

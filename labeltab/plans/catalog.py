@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labeltab.functions.exprs import r6
+from labeltab.functions.exprs import r6, strict_number
 from labeltab.operators import profile as A
 from labeltab.operators import relevance as R
+from labeltab.operators.gram import wide_correlation
+from labeltab.operators.neighbour_mi import neighbour_information
 from labeltab.plans import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,6 +111,11 @@ def a09(spark, sf):
     return finish(A.correlation(li(spark, sf), X.LI_SPEC).drop("i", "j"))
 
 
+@register("a09_correlation_wide")
+def a09w(spark, sf):
+    return finish(wide_correlation(li(spark, sf), X.LI_FEATURES).drop("i", "j"))
+
+
 @register("a10_strong_pairs")
 def a10(spark, sf):
     pt = X.load(spark, sf, "part")
@@ -199,11 +206,29 @@ def r05(spark, sf):
     return finish(R.mutual_information(X.d2(spark, sf), X.D2_SPEC, bins=20))
 
 
+@register("r05_neighbour_information")
+def r05n(spark, sf):
+    """The nearest-neighbour estimate on lineitem, with the x100 copy of a feature that the recorded table has."""
+    d = li(spark, sf).withColumn("quantity_copy", F.col("l_quantity") / 100)
+    spec = X.LI_SPEC.with_(features=(*X.LI_FEATURES, "quantity_copy"))
+    return finish(neighbour_information(d, spec))
+
+
+@register("r05_neighbour_information_separable")
+def r05ns(spark, sf):
+    return finish(neighbour_information(X.d2(spark, sf), X.D2_SPEC))
+
+
 @register("r06_categorical_relevance")
 def r06(spark, sf):
     return finish(R.categorical_relevance(X.load(spark, sf, "orders"), X.OD_SPEC, ["o_orderstatus"]))
 
 
+@register("r06_chi2_pvalue")
+def r06p(spark, sf):
+    return finish(R.chi_square_pvalue(R.categorical_relevance(X.load(spark, sf, "orders"), X.OD_SPEC, ["o_orderstatus"])))
+
+
 @register("r10_class_ranges")
 def r10(spark, sf):
     return finish(R.class_ranges(X.d2(spark, sf), X.D2_SPEC))
@@ -279,6 +304,13 @@ def q09(spark, sf):
     return Q.numeric_validity(X.d1(spark, sf), ["f1"])
 
 
+@register("q09_numeric_report")
+def q09r(spark, sf):
+    """The text column of D1 and a numeric column with missing and infinite values made from it."""
+    d = X.d1(spark, sf).withColumn("f2", strict_number(F.col("f1")))
+    return Q.numeric_report(d, ["f1", "f2"])
+
+
 @register("q10_finite_gate")
 def q10(spark, sf):
     return Q.finite_gate(X.load(spark, sf, "lineitem"), list(X.LI_FEATURES))
@@ -294,6 +326,11 @@ def q12(spark, sf):
     return Q.duplicate_count(X.load(spark, sf, "part"), ["p_size", "p_type", "p_brand"])
 
 
+@register("q13_duplicate_positions")
+def q13p(spark, sf):
+    return Q.duplicate_positions(spark, X.table_path(sf, "part"), ["p_size", "p_type", "p_brand"])
+
+
 @register("q13_duplicate_listing")
 def q13(spark, sf):
     return Q.duplicate_listing(X.load(spark, sf, "part"), ["p_size", "p_type", "p_brand"], "p_partkey")
@@ -367,6 +404,11 @@ def c07(spark, sf):
     return C.lineage(X.d1(spark, sf), X.D1_SPEC)
 
 
+@register("c07_lineage_labels")
+def c07l(spark, sf):
+    return C.lineage_with_labels(X.d1(spark, sf), X.D1_SPEC)
+
+
 @register("c08_label_encode")
 def c08(spark, sf):
     return S.label_dimension(X.load(spark, sf, "lineitem"), LI_FLAG)
@@ -1015,6 +1057,15 @@ def s07(spark, sf):
     return spark.read.parquet(f"{path}/labels")
 
 
+@register("s07_split_rows")
+def s07r(spark, sf):
+    """All rows of the written split, read back: rows, distinct ids and sums by split and class, with the class's code."""
+    rows = spark.read.parquet(f"{_written_split(spark, sf)}/rows")
+    return finish(rows.groupBy("split", F.col("l_returnflag").alias("label"), F.col("code").cast("int").alias("code")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("rid").alias("n_ids"), F.sum("l_quantity").alias("sum_quantity"),
+        F.sum("l_extendedprice").alias("sum_price")), 2)
+
+
 @register("s08_split_reload")
 def s08(spark, sf):
     path = _written_split(spark, sf)
@@ -1030,6 +1081,25 @@ def s09(spark, sf):
     return spark.read.schema(rep.schema).json(path)
 
 
+@register("s09_report_csv")
+def s09c(spark, sf):
+    """The rounded report written as CSV and read back."""
+    rep = IO.round_report(a05(spark, sf), 6)
+    path = scratch_path(spark, "report-csv")
+    IO.write_report(rep, path, "csv")
+    return finish(IO.scan(spark, path, "csv", rep.schema))
+
+
+@register("s10_json_leaves")
+def s10l(spark, sf):
+    """Nested JSON made from the events: the flat map inside an object, an array with an object, a null, empty ones, and text
+    that is no JSON."""
+    nested = F.concat(F.lit('{"props":'), "props", F.lit(',"tags":["'), "event_type", F.lit('",'), F.col("user_id").cast("string"), F.lit(',{"k":['),
+                      F.col("event_id").cast("string"), F.lit(',true]}],"none":null,"empty":[],"void":{}}'))
+    text = F.when(F.col("event_id") % 17 == 0, F.lit("{broken")).otherwise(nested)
+    return IO.json_leaves(X.load(spark, sf, "events").select("event_id", text.alias("doc")), "event_id", "doc")
+
+
 @register("s10_json_entries")
 def s10(spark, sf):
     return IO.json_entries(X.load(spark, sf, "events"), "event_id", "props", "bigint")

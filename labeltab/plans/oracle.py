@@ -331,6 +331,34 @@ t AS (SELECT *, sum(nxy) OVER (PARTITION BY feature) AS n, sum(nxy) OVER (PARTIT
 SELECT feature, round(sum(CAST(nxy AS DOUBLE) / n * ln(CAST(nxy AS DOUBLE) * n / (CAST(nx AS DOUBLE) * ny))), 6) AS mi
 FROM t GROUP BY feature"""
 
+
+
+def _neighbour(ctes: str, table: str, feats: list[str], label: str, k: int = 3) -> str:
+    """Row-level nearest-neighbour estimate: the k-th of the 2k class neighbours in order, rows nearer than it by counts
+    up to both ends, and psi of an integer as a harmonic number (its constant cancels)."""
+    near = ", ".join([f"x - lag(x, {j}) OVER w" for j in range(1, k + 1)] + [f"lead(x, {j}) OVER w - x" for j in range(1, k + 1)])
+    return f"""WITH {ctes}
+lng0 AS ({long_values(table, feats, label)}),
+lng AS (SELECT feature, label, x, count(*) OVER (PARTITION BY feature, label) AS nc FROM lng0 QUALIFY nc > 1),
+nb AS (SELECT feature, label, x, nc, list_sort([{near}], 'ASC', 'NULLS LAST')[least({k}, nc - 1)] AS r
+       FROM lng WINDOW w AS (PARTITION BY feature, label ORDER BY x)),
+pts AS (SELECT feature, label, x, nc, r, count(*) AS c FROM nb GROUP BY ALL),
+vals AS (SELECT feature, x, sum(count(*)) OVER (PARTITION BY feature ORDER BY x) AS upto, count(*) AS here FROM lng GROUP BY 1, 2),
+hi AS (SELECT p.*, v.upto AS u FROM pts p ASOF JOIN vals v ON p.feature = v.feature AND p.x + CASE WHEN r > 0 THEN r * (1 - 1e-9) ELSE 0 END >= v.x),
+lo AS (SELECT h.*, v.upto - v.here AS b FROM hi h ASOF JOIN vals v ON h.feature = v.feature AND h.x - CASE WHEN r > 0 THEN r * (1 - 1e-9) ELSE 0 END <= v.x),
+harm AS (SELECT n, coalesce(sum(1.0 / (n - 1)) FILTER (WHERE n > 1) OVER (ORDER BY n), 0) AS h
+         FROM range(1, (SELECT count(*) + 2 FROM lng0)) t(n)),
+t AS (SELECT lo.feature, c, nc, u - b AS m FROM lo)
+SELECT t.feature, CAST(sum(c) AS BIGINT) AS n,
+       round(greatest(0.0, (SELECT h FROM harm WHERE n = CAST(sum(c) AS BIGINT))
+                           + sum(c * (hk.h - hc.h - hm.h)) / sum(c)), 6) AS mi
+FROM t JOIN harm hk ON hk.n = least({k}, nc - 1) JOIN harm hc ON hc.n = nc JOIN harm hm ON hm.n = m GROUP BY t.feature"""
+
+
+ORACLE["r05_neighbour_information"] = _neighbour(
+    "li_copy AS (SELECT *, l_quantity / 100 AS quantity_copy FROM lineitem),", "li_copy", [*LI_FEATURES, "quantity_copy"], "l_returnflag")
+ORACLE["r05_neighbour_information_separable"] = _neighbour(D2 + ",", "d2", D2_FEATURES, "cls")
+
 ORACLE["r06_categorical_relevance"] = """
 WITH c AS (SELECT 'o_orderstatus' AS category_col, CAST(o_orderstatus AS VARCHAR) AS category,
                   o_orderpriority AS label, count(*) AS n
@@ -384,8 +412,8 @@ WITH lng AS ({long_values('lineitem', LI_FEATURES, 'l_returnflag')}),
 pv AS (SELECT feature, x, count(*) AS c FROM lng GROUP BY 1, 2),
 a AS (SELECT feature, count(*) AS n_unique, CAST(sum(c) AS BIGINT) AS n, count(*) FILTER (WHERE c > 1) AS n_repeated_values,
              min(x) AS mn, max(x) AS mx,
-             CAST(max(CASE WHEN contains(CAST(x AS VARCHAR), 'E') OR contains(CAST(x AS VARCHAR), 'e') THEN NULL
-                          ELSE length(regexp_extract(CAST(x AS VARCHAR), '\\.([0-9]*?)0*$', 1)) END) AS INTEGER) AS max_decimals,
+             CAST(max(greatest(0, length(regexp_extract(CAST(x AS VARCHAR), '\\.([0-9]*?)0*(e|$)', 1))
+                          - coalesce(TRY_CAST(regexp_extract(CAST(x AS VARCHAR), 'e([-+]?[0-9]+)$', 1) AS INTEGER), 0))) AS INTEGER) AS max_decimals,
              bool_and(x = floor(x)) AS integer_like
       FROM pv GROUP BY 1),
 pc AS (SELECT feature, label, count(DISTINCT x) AS d FROM lng GROUP BY 1, 2),
@@ -946,3 +974,51 @@ ORACLE["m29_golden_cases"] = f"""WITH {_TEST},
 cases AS (SELECT CAST(g.c AS VARCHAR) AS expected FROM te JOIN (VALUES {_GOLDEN}) g(q, c) ON te.l_quantity = g.q)
 SELECT expected, count(*) AS n_cases, count(*) AS n_pass, CAST(1 AS DOUBLE) AS pass_rate FROM cases GROUP BY expected
 UNION ALL SELECT '*', count(*), count(*), CAST(1 AS DOUBLE) FROM cases"""
+
+# ---- further forms of earlier operators --------------------------------------------------------
+ORACLE["a09_correlation_wide"] = ORACLE["a09_correlation"]
+#: with an even number of degrees of freedom the tail is a finite sum
+ORACLE["r06_chi2_pvalue"] = f"""WITH r AS ({ORACLE["r06_categorical_relevance"]}),
+c AS (SELECT category_col, sum(CAST(n AS DOUBLE) * n * nn / (CAST(ni AS DOUBLE) * nj)) - any_value(nn) AS chi2 FROM (
+  SELECT *, sum(n) OVER () AS nn, sum(n) OVER (PARTITION BY category) AS ni, sum(n) OVER (PARTITION BY label) AS nj FROM (
+    SELECT 'o_orderstatus' AS category_col, o_orderstatus AS category, o_orderpriority AS label, count(*) AS n
+    FROM orders WHERE o_orderpriority IS NOT NULL AND o_orderstatus IS NOT NULL GROUP BY ALL) x) y GROUP BY 1)
+SELECT category_col, round(c.chi2, 6) AS chi2, dof,
+       round(exp(-c.chi2 / 2) * list_sum(list_transform(range(0, dof // 2), lambda i: pow(c.chi2 / 2, i) / factorial(CAST(i AS INTEGER)))), 6) AS p_value
+FROM r JOIN c USING (category_col)"""
+_NUM_BAD = f"f1 IS NOT NULL AND ({NUM_F1} IS NULL OR isnan({NUM_F1}))"
+ORACLE["q09_numeric_report"] = f"""WITH {D1},
+e AS (SELECT coalesce(string_agg(f1, ',' ORDER BY f1), '') AS examples FROM (SELECT DISTINCT f1 FROM d1 WHERE {_NUM_BAD} ORDER BY f1 LIMIT 5) t),
+n AS (SELECT {NUM_F1} AS f2 FROM d1)
+SELECT 'f1' AS feature, 'string' AS dtype, false AS is_numeric, count(*) FILTER (WHERE f1 IS NULL) AS nan_count, CAST(0 AS BIGINT) AS infinite_count,
+       count(*) FILTER (WHERE {_NUM_BAD}) AS invalid_string_count, any_value(examples) AS examples, false AS valid FROM d1, e
+UNION ALL SELECT 'f2', 'double', true, count(*) FILTER (WHERE f2 IS NULL OR isnan(f2)), count(*) FILTER (WHERE isinf(f2)), 0, '',
+       count(*) FILTER (WHERE f2 IS NULL OR isnan(f2) OR isinf(f2)) = 0 FROM n"""
+ORACLE["q13_duplicate_positions"] = """WITH p AS (SELECT row_number() OVER () - 1 AS position, p_size, p_type, p_brand FROM part),
+g AS (SELECT *, count(*) OVER (PARTITION BY p_size, p_type, p_brand) AS group_size FROM p)
+SELECT CAST(position AS BIGINT) AS position, p_size, p_type, p_brand, group_size, CAST(position + 2 AS BIGINT) AS line_number FROM g WHERE group_size > 1"""
+_D1_CELL = {c: f"({c} IS NULL OR regexp_matches({c}, '^\\s*$'))" for c in ("f1", "label")}
+ORACLE["c07_lineage_labels"] = f"""WITH {D1},
+g AS (SELECT f1, label, count(*) AS c FROM d1 GROUP BY f1, label),
+s AS (SELECT CAST(sum(c) AS BIGINT) AS n0, CAST(coalesce(sum(c) FILTER (WHERE {_D1_CELL["f1"]} OR {_D1_CELL["label"]}), 0) AS BIGINT) AS r1,
+             count(*) FILTER (WHERE NOT ({_D1_CELL["f1"]} OR {_D1_CELL["label"]})) AS g,
+             CAST(coalesce(sum(c) FILTER (WHERE {_D1_CELL["f1"]}), 0) AS BIGINT) AS m0, CAST(coalesce(sum(c) FILTER (WHERE {_D1_CELL["label"]}), 0) AS BIGINT) AS m1,
+             count(*) FILTER (WHERE NOT ({_D1_CELL["f1"]} OR {_D1_CELL["label"]}) AND label = '5-LWO') AS w FROM g)
+SELECT 1 AS step, 'missing_values' AS stage, n0 AS n_before, r1 AS n_removed, n0 - r1 AS n_after, CAST(0 AS BIGINT) AS n_changed,
+       CASE WHEN r1 > 0 THEN 'drop_rows_with_missing_values' ELSE 'no_missing_values_found' END AS method,
+       '{{"f1": ' || m0 || ', "label": ' || m1 || '}}' AS details FROM s
+UNION ALL SELECT 2, 'duplicates', n0 - r1, n0 - r1 - g, g, 0, 'keep_first_occurrence', '{{}}' FROM s
+UNION ALL SELECT 3, 'label_standardization', g, 0, g, w, 'map_known_spellings', '{{"5-LWO": ' || w || '}}' FROM s"""
+ORACLE["s07_split_rows"] = f"""WITH {LI_SPLIT},
+dim AS (SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT l_returnflag AS label FROM split) d)
+SELECT split, dim.label, code, count(*) AS n, count(DISTINCT rid) AS n_ids, round(sum(l_quantity), 2) AS sum_quantity, round(sum(l_extendedprice), 2) AS sum_price
+FROM split JOIN dim ON l_returnflag = dim.label GROUP BY ALL"""
+ORACLE["s09_report_csv"] = ORACLE["a05_feature_summary"]
+ORACLE["s10_json_leaves"] = """WITH d AS (SELECT event_id, CASE WHEN event_id % 17 = 0 THEN '{broken' ELSE
+  '{"props":' || props || ',"tags":["' || event_type || '",' || user_id || ',{"k":[' || event_id || ',true]}],"none":null,"empty":[],"void":{}}' END AS doc FROM events),
+t AS (SELECT d.event_id, j.fullkey AS path, j.type, j.value, j.atom FROM (SELECT * FROM d WHERE json_valid(doc)) d, json_tree(d.doc) j)
+SELECT event_id, path,
+       CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind,
+       CASE type WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN json_extract_string(value, '$') ELSE CAST(value AS VARCHAR) END AS value
+FROM t WHERE type NOT IN ('OBJECT', 'ARRAY') OR CAST(value AS VARCHAR) IN ('{}', '[]')
+UNION ALL SELECT event_id, '$', 'malformed', doc FROM d WHERE NOT json_valid(doc)"""

@@ -152,3 +152,36 @@ def json_entries(df: DataFrame, key: str, column: str, value_type: str = "bigint
     """A JSON-object text column as (key, entry, value) rows."""
     m = F.from_json(F.col(column), f"map<string,{value_type}>")
     return df.select(key, F.explode(m).alias("entry", "value"))
+
+
+def json_leaves(df: DataFrame, key: str, column: str, max_depth: int = 64) -> DataFrame:
+    """S10 without a schema: (key, path, kind, value) for every leaf of a JSON text, objects and arrays walked down as variants.
+    Paths read ``$.a.b[0]``; ``kind`` is number, string, boolean or null, and object or array for empty ones. Text that is no
+    JSON has one row with kind ``malformed``; a null text has none. Values nested deeper than ``max_depth`` raise."""
+    spark = df.sparkSession
+    top = df.where(F.col(column).isNotNull()).select(key, F.lit("$").alias("path"), F.col(column).alias("raw"), F.try_parse_json(column).alias("v"))
+    out = top.where("v IS NULL").select(key, "path", F.lit("malformed").alias("kind"), F.col("raw").alias("value"))
+    level = top.where("v IS NOT NULL").select(key, "path", "v")
+    kind = F.expr("CASE WHEN is_variant_null(v) THEN 'null' WHEN schema_of_variant(v) = 'STRING' THEN 'string' "
+                  "WHEN schema_of_variant(v) = 'BOOLEAN' THEN 'boolean' WHEN schema_of_variant(v) LIKE 'OBJECT%' THEN 'object' "
+                  "WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN 'array' ELSE 'number' END")
+    for _ in range(max_depth):
+        typed = level.withColumn("kind", kind).withColumn("value", F.expr("variant_get(v, '$', 'string')"))
+        nested = F.col("kind").isin("object", "array") & ~F.col("value").isin("{}", "[]")
+        out = out.unionByName(typed.where(~nested).select(key, "path", "kind", "value"))
+        inner = typed.where(nested).select(key, "path", F.col("v").alias("outer"))
+        if not inner.limit(1).count():
+            return out
+        parts = inner.lateralJoin(spark.tvf.variant_explode(F.col("outer").outer()).toDF("pos", "name", "v"))
+        step = F.when(F.col("name").isNotNull(), F.concat(F.lit("."), "name")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        level = parts.select(key, F.concat("path", step).alias("path"), "v")
+    raise ValueError(f"{column}: values are nested deeper than {max_depth}")
+
+
+def audit_files(before: DataFrame, after: DataFrame) -> DataFrame:
+    """S06 by path: two tables of ``file_digests`` -> (file_name, status, sha256_before, sha256_after)."""
+    b = before.select("file_name", F.col("sha256").alias("sha256_before"))
+    a = after.select("file_name", F.col("sha256").alias("sha256_after"))
+    status = (F.when(F.col("sha256_before").isNull(), F.lit("added")).when(F.col("sha256_after").isNull(), F.lit("removed"))
+              .when(F.col("sha256_before") == F.col("sha256_after"), F.lit("same")).otherwise(F.lit("changed")))
+    return b.join(a, "file_name", "full_outer").select("file_name", status.alias("status"), "sha256_before", "sha256_after")

@@ -9,7 +9,8 @@ import sys
 
 # queries that write files or fit models while being built are summarised separately
 SIDE_EFFECTS = ("s01_csv_scan", "s07_split_sink", "s08_split_reload", "s09_report_sink", "m03_train_persist",
-                "m04_artifact_contract", "m30_streaming_scoring")
+                "m04_artifact_contract", "m30_streaming_scoring", "m30_streamed_counts", "m03_best_model_apart", "s07_split_rows",
+                "s09_report_csv")
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
 
 

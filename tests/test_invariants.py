@@ -36,7 +36,7 @@ def test_fold_balance_per_class(spark):
 
 def test_class_rank_is_a_permutation(spark):
     li = X.lineitem_labelled(spark, SF_SMALL)
-    r = S.class_rank(li, X.LI_SPEC, prefix=1)
+    r = S.class_rank(li, X.LI_SPEC, rows_per_bucket=300)
     chk = r.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.min("rank_in_class").alias("lo"),
                                         F.max("rank_in_class").alias("hi"),
                                         F.count_distinct("rank_in_class").alias("d")).collect()
@@ -219,7 +219,7 @@ def test_fingerprints_tell_pairs_apart(spark):
 
 def test_no_signal_model_selection(spark):
     r = C.m15f(spark, SF_SMALL).first()
-    assert r.model in ("Random Forest", "XGBoost-like")
+    assert r.model in C.ML.V1_PRESETS  # without signal any of them may come first
     assert 0.2 <= r.accuracy <= 0.7
 
 
