@@ -518,18 +518,19 @@ def cells_of(df: DataFrame, features: Sequence[str], label: str, edges: list[np.
             .groupBy(*names, "label").agg(F.sum("w").alias("w")))
 
 
-def _trees(rows: list, edges: list[np.ndarray] | None, base: np.ndarray, softmax: bool) -> T.Trees:
-    """One ensemble of the rows of all stages; thresholds are bin numbers without ``edges``."""
-    rows = sorted(rows, key=lambda r: (r.step, r.cls, r.node))
-    first = [i for i, r in enumerate(rows) if r.node == 0]
-    start = np.zeros(len(rows), np.int64)
-    for s, e in zip(first, [*first[1:], len(rows)]):
-        start[s:e] = s
-    feature = np.array([r.feature for r in rows], np.int64)
-    at = [0.0 if r.feature < 0 else float(r.bin) if edges is None else float(edges[r.feature][r.bin]) for r in rows]
-    return T.Trees(feature, np.array(at, float), np.where(feature < 0, -1, start + [r.left for r in rows]),
-                   np.where(feature < 0, -1, start + [r.right for r in rows]), np.array([r.cover for r in rows], float),
-                   np.array([r.value for r in rows], float).reshape(len(rows), len(base)), np.array(first, np.int64), base, softmax)
+def _trees(nodes: pa.Table, edges: list[np.ndarray] | None, base: np.ndarray, softmax: bool) -> T.Trees:
+    """One ensemble of the nodes of all stages, by step, class and node; thresholds are bin numbers without ``edges``."""
+    t = nodes.sort_by([("step", "ascending"), ("cls", "ascending"), ("node", "ascending")]).combine_chunks()
+    node, feature, at, left, right, cover = (t.column(c).to_numpy() for c in ("node", "feature", "bin", "left", "right", "cover"))
+    first = np.flatnonzero(node == 0)
+    start = np.repeat(first, np.diff(np.concatenate([first, [len(node)]])))
+    inner = feature >= 0
+    threshold = np.where(inner, at, 0).astype(float)
+    for f, e in enumerate(edges or []):
+        threshold[feature == f] = e[at[feature == f]]
+    value = np.asarray(t.column("value").combine_chunks().flatten()).reshape(len(node), len(base))
+    return T.Trees(feature.astype(np.int64), threshold, np.where(inner, left + start, -1), np.where(inner, right + start, -1), cover, value, first,
+                   base, softmax)
 
 
 def fit(train: DataFrame, features: Sequence[str], label: str, k: int, p: Boosting | Forest,
@@ -551,16 +552,15 @@ def fit(train: DataFrame, features: Sequence[str], label: str, k: int, p: Boosti
     names = [f"b{i}" for i in range(len(features))]
     n_bins = [len(e) + 1 for e in edges]
     dealt = cells.select(*names, "label", "w").repartition(tasks, *names, "label").sortWithinPartitions(*names, "label")
-    rows: list = []
+    nodes: pa.Table | None = None
     for first in range(0, p.steps, p.steps_per_job):
-        before = _trees(rows, None, base, True) if rows and margins else None
+        before = _trees(nodes, None, base, True) if nodes is not None and margins else None
         out = scratch_path(spark, "boost-trees")
         dealt.mapInArrow(_job(k, n_bins, p, first, base, before), OUT, barrier=True).write.parquet(out)
-        rows += spark.read.parquet(out).collect()  # the nodes of the new trees
-    loss = {r.step: r.loss for r in rows}
-    gains = np.zeros(len(features))
-    for r in rows:
-        if r.feature >= 0:
-            gains[r.feature] += r.gain
-    return TreeModel(tuple(features), _trees(rows, edges, base, margins), tuple(loss[s] for s in sorted(loss)) if margins else (),
+        new = spark.read.parquet(out).toArrow()  # the nodes of the new trees
+        nodes = new if nodes is None else pa.concat_tables([nodes, new])
+    step, which, gain = (nodes.column(c).to_numpy() for c in ("step", "feature", "gain"))
+    loss = dict(zip(step.tolist(), nodes.column("loss").to_pylist()))
+    gains = np.bincount(which[which >= 0], gain[which >= 0], len(features))
+    return TreeModel(tuple(features), _trees(nodes, edges, base, margins), tuple(loss[s] for s in sorted(loss)) if margins else (),
                         tuple(gains.tolist()), replace(p))

@@ -61,7 +61,7 @@ SPARK_PRESETS = {
 #: model class that a preset's family must load as
 KINDS = {"rf": RandomForestClassificationModel, "ovr_gbt": OneVsRestModel, "forest": E.Forest, "boosting": E.Boosting}
 #: fits that run side by side
-FITS = 4
+FITS = 8
 
 
 def label_column(df: DataFrame, spec: TableSpec, out: str = "label") -> DataFrame:
@@ -122,7 +122,7 @@ def _save(m: Model, path: str) -> int:
     if isinstance(m, PipelineModel):
         m.write().overwrite().save(os.path.join(path, "pipeline"))
         return len(m.stages)
-    spark.createDataFrame(T.node_rows(m.trees), T.NODES).coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "nodes"))
+    spark.createDataFrame(T.node_table(m.trees)).coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "nodes"))
     meta = (list(m.features), [float(x) for x in m.trees.base], m.trees.softmax,
             [float(x) for x in m.losses], [float(x) for x in m.gains])
     (spark.createDataFrame([meta], "features array<string>, base array<double>, softmax boolean, "
@@ -170,8 +170,8 @@ def load_checked(path: str, spec: TableSpec, preset: Preset) -> Model:
     else:
         meta = spark.read.parquet(os.path.join(path, "ensemble")).first()
         feats, n_classes = list(meta.features), len(meta.base)
-        rows = spark.read.parquet(os.path.join(path, "nodes")).orderBy("node").collect()  # the nodes of one model
-        m = E.TreeModel(tuple(feats), T.from_rows(rows, meta.base, meta.softmax), tuple(meta.losses), tuple(meta.gains), preset.params)
+        nodes = spark.read.parquet(os.path.join(path, "nodes")).toArrow()  # the nodes of one model
+        m = E.TreeModel(tuple(feats), T.from_table(nodes, meta.base, meta.softmax), tuple(meta.losses), tuple(meta.gains), preset.params)
     if feats != list(spec.features):
         raise ValueError(f"{path}: feature order mismatch, expected {list(spec.features)}, found {feats}")
     saved = spark.read.parquet(os.path.join(path, "classes")).orderBy("code")

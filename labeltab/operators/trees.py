@@ -154,20 +154,22 @@ def path_weights(o: np.ndarray, z: np.ndarray) -> np.ndarray:
 
 # ---- ensembles as tables -----------------------------------------------------------------------
 
-def node_rows(t: Trees) -> list[tuple]:
-    number = np.searchsorted(t.root, np.arange(len(t.feature)), "right") - 1
-    return [(int(number[i]), i, int(t.feature[i]), float(t.threshold[i]), int(t.left[i]), int(t.right[i]),
-             float(t.cover[i]), [float(v) for v in t.value[i]]) for i in range(len(t.feature))]
-
-
-def from_rows(rows: Sequence, base: np.ndarray, softmax: bool) -> Trees:
-    """Ensemble from ``NODES`` rows in node order."""
-    tree = np.array([r.tree for r in rows], np.int64)
-    root = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]])) if len(rows) else np.zeros(0, np.int64)
-    return Trees(np.array([r.feature for r in rows], np.int64), np.array([r.threshold for r in rows], float),
-                 np.array([r.left for r in rows], np.int64), np.array([r.right for r in rows], np.int64),
-                 np.array([r.cover for r in rows], float), np.array([r.value for r in rows], float).reshape(len(rows), len(base)),
-                 root, np.asarray(base, float), softmax)
+def node_table(t: Trees) -> pa.Table:
+    """The nodes as an Arrow table of the columns ``NODES``."""
+    n, k = t.value.shape
+    return pa.table({"tree": pa.array(np.searchsorted(t.root, np.arange(n), "right") - 1, pa.int32()), "node": pa.array(np.arange(n), pa.int32()),
+                     "feature": pa.array(t.feature, pa.int32()), "threshold": t.threshold, "left": pa.array(t.left, pa.int32()),
+                     "right": pa.array(t.right, pa.int32()), "cover": t.cover,
+                     "value": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(t.value.ravel()))})
+
+
+def from_table(t: pa.Table, base: np.ndarray, softmax: bool) -> Trees:
+    """Ensemble from a table of the columns ``NODES``, in any order."""
+    t = t.sort_by("node").combine_chunks()
+    tree, feature, threshold, left, right, cover = (t.column(c).to_numpy() for c in ("tree", "feature", "threshold", "left", "right", "cover"))
+    root = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]])) if len(tree) else np.zeros(0, np.int64)
+    value = np.asarray(t.column("value").combine_chunks().flatten()).reshape(len(tree), len(base))
+    return Trees(feature.astype(np.int64), threshold, left.astype(np.int64), right.astype(np.int64), cover, value, root, np.asarray(base, float), softmax)
 
 
 def from_forest(spark: SparkSession, saved: str) -> Trees:
