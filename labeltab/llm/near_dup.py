@@ -13,7 +13,8 @@ Bands of the signature name candidate buckets; every link is confirmed on the fu
   only its edges, fewer than members, leave the task and are confirmed on the full sets.
 * An edge that fails is excluded and its bucket is resolved again, until no bucket has an open
   pair. In round t a member outside the largest component names its 4^t nearest open partners,
-  so a member with many near misses needs few rounds. A large bucket is cut into blocks: first each by itself, then the members outside its
+  so a member with many near misses needs few rounds. A bucket is sent again, with its bitmaps, only while it had an
+  open pair in the last round and holds more than one component; of buckets with the same members one is kept. A large bucket is cut into blocks: first each by itself, then the members outside its
   largest component against the rest, block by block. So links are complete for all pairs that
   share a bucket, at every bucket size.
 
@@ -313,8 +314,10 @@ def link_documents(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 10
                  .select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), "bits", "bands"), "near-classes")
 
     pairs = reps.select("a", F.explode("bands").alias("key"))
-    wide = pairs.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    bucket = stage(pairs.join(wide, "key"), "near-buckets")
+    wide = (pairs.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("a").cast("decimal(20,0)")).alias("m1"),
+                                     F.bit_xor(F.xxhash64("a", F.lit(7))).alias("m2")).where("size > 1"))
+    once = wide.groupBy("size", "m1", "m2").agg(F.min("key").alias("key"))  # one bucket of several with the same members
+    bucket = stage(pairs.join(once.select("key", "size"), "key"), "near-buckets")
     info = reps.select("a", "n", "bits")
     null = F.lit(None).cast("long")
     first = (bucket.join(info, "a")
@@ -328,15 +331,21 @@ def link_documents(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 10
         if checked is not None:
             open_ = open_.join(checked, ["a", "b"], "left_anti")
         new = stage(_verify(open_, base, ngram, num, den), "near-checked")
-        checked = new if checked is None else checked.union(new)
+        first_round = checked is None
+        checked = new if first_round else checked.union(new)
         if labels is None or new.where("linked").limit(1).count():
             labels = components(checked.where("linked"))
         bad = found.join(checked.where("NOT linked"), ["a", "b"]).select("key", "a", "b")
         failed = bad if failed is None else failed.union(bad)
-        again = failed.select("key").union(bucket.where(F.col("size") > block).select("key")).distinct()
-        member_rows = (bucket.join(again, "key", "left_semi").join(info, "a")
-                       .join(labels.withColumnRenamed("v", "a"), "a", "left")
-                       .select("key", "a", F.coalesce("label", "a").alias("label"), "n", "bits"))
+        # a bucket without an open pair in this round has none later: components only grow. In the first round a forest
+        # without a failed edge is complete, but for buckets cut into blocks
+        again = found.select("key").distinct()
+        if first_round:
+            again = bad.select("key").union(bucket.where(F.col("size") > block).select("key")).distinct()
+        named = stage(bucket.join(again, "key", "left_semi").select("key", "a").join(labels.withColumnRenamed("v", "a"), "a", "left")
+                      .select("key", "a", F.coalesce("label", "a").alias("label")), "near-named")
+        apart = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        member_rows = named.join(apart, "key", "left_semi").join(info, "a").select("key", "a", "label", "n", "bits")
         grouped = stage(_blocks(member_rows, block), "near-blocks")
         groups = grouped.select("key", "u", "v").distinct()
         barred = (failed.distinct().join(groups, "key")
