@@ -14,7 +14,8 @@ Bands of the signature name candidate buckets; every link is confirmed on the fu
 * An edge that fails is excluded and its bucket is resolved again, until no bucket has an open
   pair. In round t a member outside the largest component names its 4^t nearest open partners,
   so a member with many near misses needs few rounds. A bucket is sent again, with its bitmaps, only while it had an
-  open pair in the last round and holds more than one component; of buckets with the same members one is kept. A large bucket is cut into blocks: first each by itself, then the members outside its
+  open pair in the last round and holds more than one component; of buckets with the same members one is kept. The first bands are
+  resolved before the others, whose buckets mostly hold one component by then. A large bucket is cut into blocks: first each by itself, then the members outside its
   largest component against the rest, block by block. So links are complete for all pairs that
   share a bucket, at every bucket size.
 
@@ -40,6 +41,8 @@ SIGNATURE = ("doc_id long, n_shingles long, d1 long, d2 long, bands array<long>,
 ROWS_PER_BAND = 4
 MISS = 1e-5
 BLOCK = 4096
+#: bands resolved first; a bucket of a later band is looked at only if these leave its members apart
+FIRST_BANDS = 4
 #: share of (permuted) multipliers of the ring order, odd 32-bit constants
 PI_A, PI_B = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
@@ -313,20 +316,23 @@ def link_documents(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 10
                  .dropDuplicates(["doc_id"])
                  .select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), "bits", "bands"), "near-classes")
 
-    pairs = reps.select("a", F.explode("bands").alias("key"))
-    wide = (pairs.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("a").cast("decimal(20,0)")).alias("m1"),
+    pairs = reps.select("a", F.posexplode("bands").alias("band", "key"))
+    wide = (pairs.groupBy("key").agg(F.count("*").alias("size"), F.min("band").alias("band"),
+                                     F.sum(F.xxhash64("a").cast("decimal(20,0)")).alias("m1"),
                                      F.bit_xor(F.xxhash64("a", F.lit(7))).alias("m2")).where("size > 1"))
-    once = wide.groupBy("size", "m1", "m2").agg(F.min("key").alias("key"))  # one bucket of several with the same members
-    bucket = stage(pairs.join(once.select("key", "size"), "key"), "near-buckets")
+    one = wide.groupBy("size", "m1", "m2").agg(F.min(F.struct("band", "key")).alias("k"))  # of buckets with the same members
+    once = one.select(F.col("k.key").alias("key"), F.col("k.band").alias("first_band"), "size")
+    bucket = stage(pairs.drop("band").join(once, "key"), "near-buckets")
     info = reps.select("a", "n", "bits")
     null = F.lit(None).cast("long")
-    first = (bucket.join(info, "a")
+    early = bucket.where(F.col("first_band") < FIRST_BANDS)
+    first = (early.join(info, "a")
              .select("key", F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / block)).alias("u"),
                      F.lit(0).cast("long").alias("v"), "a", null.alias("b"), F.col("a").alias("label"), "n", "bits"))
     found = stage(_resolve(first, num, den, 0), "near-open")
     checked = failed = labels = None
     fan = 1
-    while found.limit(1).count():
+    while checked is None or found.limit(1).count():
         open_ = found.select("a", "b").distinct()
         if checked is not None:
             open_ = open_.join(checked, ["a", "b"], "left_anti")
@@ -338,10 +344,11 @@ def link_documents(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 10
         bad = found.join(checked.where("NOT linked"), ["a", "b"]).select("key", "a", "b")
         failed = bad if failed is None else failed.union(bad)
         # a bucket without an open pair in this round has none later: components only grow. In the first round a forest
-        # without a failed edge is complete, but for buckets cut into blocks
+        # without a failed edge is complete, but for buckets cut into blocks; the buckets of the later bands come in after it
         again = found.select("key").distinct()
         if first_round:
-            again = bad.select("key").union(bucket.where(F.col("size") > block).select("key")).distinct()
+            late = bucket.where((F.col("size") > block) | (F.col("first_band") >= FIRST_BANDS)).select("key")
+            again = bad.select("key").union(late).distinct()
         named = stage(bucket.join(again, "key", "left_semi").select("key", "a").join(labels.withColumnRenamed("v", "a"), "a", "left")
                       .select("key", "a", F.coalesce("label", "a").alias("label")), "near-named")
         apart = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
