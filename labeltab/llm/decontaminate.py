@@ -9,19 +9,20 @@ tokens, so that verbatim copies are found whatever they consist of. Documents an
 joined on the hash. In a run of windows at one distance between document and item, the values behind
 the placeholders must map one to one; then a question with other numbers or names is the same
 question. A place whose pair of values does not have the strict majority among the run's pairs with
-the same value on either side is in conflict, and the windows over it do not count; the others do.
+the same value on either side is in conflict, and the windows with a placeholder there do not count; the
+others do, windows of exact tokens always, so that no conflict hides a verbatim copy.
 An item is leaked into a document if the windows that count cover ``min_run`` of its tokens, or all
 of a shorter item; of an item with few template windows, all of these are enough.
 
 A Bloom filter of the item windows with a fixed number of bits drops nearly all document windows
 before they leave the task; the join decides. An item with fewer tokens than a window is one window
-of its own length. Null texts read as empty; ``leaks`` leaves out
-rows without an id, ``clean`` does not.
+of its own length. Null texts read as empty and have no window; empty tables have no leak. ``leaks`` leaves out
+rows without an id and takes the rows of one doc_id (or item_id) as parts of one document (item), so repeated
+rows change nothing; ``clean`` judges every row by itself, whatever its id. Further columns are not read.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -204,15 +205,15 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for run in batch.to_pylist():
-            found = [(w["at"], w["n"], w["template"], [(w["at"] + o, i, d) for o, i, d in zip(w["offs"], w["i"], w["d"])])
+            found = [(w["at"], w["template"], [(w["at"] + o, i, d) for o, i, d in zip(w["offs"], w["i"], w["d"])])
                      for w in run["windows"]]
-            bad = sorted(conflicts({x for w in found for x in w[3]}))
+            bad = conflicts({x for w in found for x in w[2]})
             if bad:
-                found = [w for w in found if bisect_left(bad, w[0]) == bisect_left(bad, w[0] + w[1])]
+                found = [w for w in found if bad.isdisjoint(x[0] for x in w[2])]
             if found:
-                pairs = {x[1:] for w in found for x in w[3]}
+                pairs = {x[1:] for w in found for x in w[2]}
                 out.append({"doc_id": run["doc_id"], "item_id": run["item_id"], "places": sorted({w[0] for w in found}),
-                            "template_places": sorted({w[0] for w in found if w[2]}), "n_slots": len({i for i, _ in pairs}),
+                            "template_places": sorted({w[0] for w in found if w[1]}), "n_slots": len({i for i, _ in pairs}),
                             "reparameterised": any(i != d for i, d in pairs)})
         yield pa.RecordBatch.from_pylist(out, RUN_SCHEMA)
 
