@@ -8,8 +8,10 @@ original vectors, and go into a heap of k. Heaps of the tiles are merged by quer
 
 Equal candidate vectors have equal scores, so only the k + 1 smallest ids of each vector can be
 needed (one may be the query itself); they are found by a partial aggregate before the join. The
-search is exact. Vectors that are null, zero or hold null or non-finite components take no part.
-Vectors of different sizes are never compared.
+search is exact. Vectors that are null, zero or hold null or non-finite components take no part, nor do rows
+without an id. Vectors of different sizes are never compared. Repeated rows count once; of several vectors under one
+vec_id the smallest, component by component, stands for it. Equal scores go by the smaller vec_id. An empty table, or
+one without a query, gives no rows; further columns are not read. ``is_query`` may name ``vec_id`` only.
 """
 
 from __future__ import annotations
@@ -52,13 +54,14 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows scaled to length 1 without overflow, and rows over their largest component."""
-    y = x / np.abs(x).max(1, keepdims=True)
+    """Rows scaled to length 1, and rows times the power of two that brings their largest component into [0.5, 1):
+    exact, so that products neither overflow nor vanish."""
+    y = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return y / np.linalg.norm(y, axis=1, keepdims=True), y
 
 
 def cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Row-wise cosine in double precision."""
+    """Row-wise cosine in double precision of rows scaled by ``unit``."""
     return (q * c).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((c * c).sum(1)))
 
 
@@ -77,7 +80,7 @@ def tile(qid: np.ndarray, q: np.ndarray, cids: list[np.ndarray], c: np.ndarray,
         few = min(k + 1, len(low))  # the query itself may be among them
         bar = np.partition(low, len(low) - few)[len(low) - few]
         alive = np.flatnonzero(near[i] + error[i] >= bar)
-        score = cosines(np.broadcast_to(q[i], (len(alive), q.shape[1])), c[alive])
+        score = cosines(np.broadcast_to(qy[i], (len(alive), q.shape[1])), cy[alive])
         best: list[tuple[float, int]] = []
         for j in np.lexsort((alive, -score)):
             x = float(score[j])
@@ -92,9 +95,9 @@ def tile(qid: np.ndarray, q: np.ndarray, cids: list[np.ndarray], c: np.ndarray,
 
 def search(rows: DataFrame, is_query, p: Params = Params()) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest others of each row for which ``is_query`` holds."""
-    all_rows = usable(rows)
+    all_rows = stage(usable(rows).groupBy("vec_id").agg(F.min("v").alias("v")), "nearest-rows")
     distinct = stage(_smallest_ids(all_rows, p.k + 1), "nearest-candidates")
-    queries = stage(all_rows.where(is_query).dropDuplicates(["vec_id"]), "nearest-queries")
+    queries = all_rows.where(is_query)
     n_q, n_c = queries.count(), distinct.count()
     q_blocks, c_blocks = max(1, -(-n_q // p.query_block)), max(1, -(-n_c // p.candidate_block))
     q = (queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int"))

@@ -47,6 +47,19 @@ def test_nearest_awkward_vectors(spark):
     assert nearest.search(df.where("vec_id = 999"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_nearest_of_large_and_small_components_and_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1e200, 1e199]), (2, [1e-200, 1e-201]), (3, [1e308, 1e308]), (4, [5e-324, 0.0]), (5, [0.0, 1e300]),
+            (50, [1e200, 1e200]), (6, [9.0, 9.0]), (6, [0.5, -1.0]), (6, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.search(df.repartition(4), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    c = 1 / math.sqrt(1.01)
+    assert got[0][0][0] == 4 and {x for x, _ in got[0][1:3]} == {1, 2} and [x for x, _ in got[0][3:]] == [3, 50] and np.allclose([s for _, s in got[0]], [1, c, c, math.sqrt(.5), math.sqrt(.5)], atol=1e-15)
+    assert got[50][0][0] == 3 and len({x for x, _ in got[50]}) == 5
+    assert all(x != 6 for x, _ in got[0])  # the smallest vector under id 6 points away
+
+
 def test_quantisation_error_bound():
     rng = np.random.default_rng(0)
     q, _ = nearest.unit(rng.normal(size=(20, 48)))
