@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from labeltab.llm import chat_format, decontaminate, html_text, language_id, secret_scan, toxicity
@@ -290,6 +291,48 @@ def test_marks_are_weighed_against_the_text():
             assert html_text.main_text(page).split("\n\n") == [*text[:4], "Head", *text[4:], "Ends, with words."]
 
 
+def test_a_form_around_the_page_hides_nothing():
+    body = "".join(map(para, range(5)))
+    ask = "<form><p>Your name, please, and your address.</p><input><button>Send</button></form>"
+    text = "\n\n".join(["T", *(para(i)[3:-4] for i in range(5))])
+    assert html_text.main_text(f"<body><form id='page'><nav>menu</nav><article><h1>T</h1>{body}{ask}</article><footer>f</footer></form></body>") == text
+    assert html_text.main_text(f"<body><article><h1>T</h1>{body}</article>{ask}</body>") == text
+    assert html_text.main_text(f"<body><article><header><h1>Site</h1></header><h1>T</h1>{body}</article></body>") == text
+
+
+BROKEN = {"open": "<p " * 350_000, "quotes": '<p a="\'x ' * 110_000, "odd": '<p "' * 250_000 + ">", "names": "<aaaa" * 200_000, "marks": "<!x " * 250_000,
+          "mixed": "<p \">'<" * 140_000, "nested": "<div>" * 100_000 + "some text", "texts": "<div>some text, " * 60_000,
+          "adverts": "<div class=ad>some text, " * 40_000, "inline": "<b>" * 100_000 + "<div></div>" * 60_000, "title": "<title>" * 140_000,
+          "ends": "<div>" * 100_000 + "</span>" * 70_000, "items": "<li><ul>" + "<div>" * 50_000 + "<li></li>" * 80_000}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_broken_and_deep_pages_are_read_in_proportion(name):
+    import time
+    import tracemalloc
+
+    start = time.process_time()
+    text = html_text.main_text(BROKEN[name])
+    assert time.process_time() - start < 8  # about 1 s; hours where the time grows with the square
+    assert {"open": text == BROKEN[name].strip(), "nested": text == "some text", "texts": text.count("some text,") == 60_000}.get(name, True)
+    tracemalloc.start()
+    html_text.main_text(BROKEN[name][: 1 << 18])
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+
+
+def test_tags_match_a_plain_reading():
+    plain = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/><]*+)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+    rng = np.random.default_rng(1)
+    for _ in range(2000):
+        page = "".join(rng.choice(["<p ", ">", '"', "'", " ", "x", "<!--", "-->", "<!", "</b ", "<", "/", "?"], int(rng.integers(1, 30))))
+        tags, at, got = html_text.Tags(page), 0, []
+        while (m := tags.next_tag(at)) is not None:
+            got.append(m)
+            at = m[1]
+        assert [x[:2] for x in got] == [m.span() for m in plain.finditer(page)], page
+
+
 def test_extract_matches_article_markup(spark):
     import html
 
