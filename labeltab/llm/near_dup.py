@@ -12,11 +12,14 @@ Bands of the signature name candidate buckets; every link is confirmed on the fu
   pairs that remain, Prim's algorithm gives a spanning forest over the components known so far;
   only its edges, fewer than members, leave the task and are confirmed on the full sets.
 * An edge that fails is excluded and its bucket is resolved again, until no bucket has an open
-  pair. In round t a member outside the largest component names its 4^t nearest open partners,
-  so a member with many near misses needs few rounds. A bucket is sent again, with its bitmaps, only while it had an
-  open pair in the last round and holds more than one component; of buckets with the same members one is kept. A large bucket is cut into blocks: first each by itself, then the members outside its
-  largest component against the rest, block by block. So links are complete for all pairs that
-  share a bucket, at every bucket size.
+  pair. In later rounds a member outside the largest component names its nearest open partners, four times
+  as many in each round, so a member with many near misses needs few rounds. Of buckets with the same members one is kept.
+* The first round takes the first ``lead`` bands. From then on a bucket is sent only while it holds more than one component
+  and its group had an open pair in the last round; the buckets of the later bands come in the second round. A bucket that is
+  mostly of one component sends only its other members, to each other and as guests to that component, whose classes are
+  sent once for all its buckets: a large group of near copies is not sent again for each band.
+* A large group is cut into blocks: first each by itself, then the members outside its largest component against the rest,
+  block by block. So links are complete for all pairs that share a bucket, at every bucket size.
 
 Rows that repeat a doc_id are taken to be the same document. A null doc_id or a text without
 words links with nothing.
@@ -40,6 +43,7 @@ SIGNATURE = ("doc_id long, n_shingles long, d1 long, d2 long, bands array<long>,
 ROWS_PER_BAND = 4
 MISS = 1e-5
 BLOCK = 4096
+LEAD = 4  # bands of the first round
 #: share of (permuted) multipliers of the ring order, odd 32-bit constants
 PI_A, PI_B = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
@@ -295,8 +299,28 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
                     "a", F.lit(None).cast("long").alias("b"), "label", "n", "bits")
 
 
+def _groups(named: DataFrame, classes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members ``(key, a, label)`` of the groups to resolve for the buckets ``named(key, a, label)``, and the group of each bucket
+    ``(key, group)``. A bucket of one component has none. One that is mostly of one component, its host, sends only its other
+    members: as a group of their own, and as guests to the host's group, which holds the host's classes once for all buckets."""
+    sizes = named.groupBy("key", "label").agg(F.count("*").alias("c"))
+    shape = (sizes.groupBy("key").agg(F.max(F.struct("c", F.col("label").alias("l"))).alias("top"), F.count("*").alias("parts"),
+                                      F.sum("c").alias("total")).where("parts > 1")
+             .select("key", "parts", F.when(2 * F.col("top.c") > F.col("total"), F.col("top.l")).alias("host")))
+    rows = stage(named.join(shape, "key").where("host IS NULL OR label <> host"), "near-apart")
+    own = rows.where("host IS NULL OR parts > 2")
+    guests = rows.where("host IS NOT NULL").select("a", "label", "host").distinct()
+    group = F.xxhash64("host", F.lit(11))
+    hosts = (classes.join(labels.withColumnRenamed("v", "a"), "a", "left").select("a", F.coalesce("label", "a").alias("label"))
+             .join(guests.select(F.col("host").alias("label")).distinct(), "label", "left_semi")
+             .select(F.xxhash64("label", F.lit(11)).alias("key"), "a", "label"))
+    members = own.select("key", "a", "label").union(guests.select(group.alias("key"), "a", "label")).union(hosts.select("key", "a", "label"))
+    routes = own.select("key", F.col("key").alias("group")).union(rows.where("host IS NOT NULL").select("key", group.alias("group")))
+    return members, stage(routes.distinct(), "near-routes")
+
+
 def link_documents(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100,
-                   rows: int = ROWS_PER_BAND, block: int = BLOCK) -> DataFrame:
+                   rows: int = ROWS_PER_BAND, block: int = BLOCK, lead: int = LEAD) -> DataFrame:
     """Near-duplicate components: one row per row of ``docs`` with
     ``doc_id, n_shingles, component_id, kept``.
 
@@ -313,52 +337,50 @@ def link_documents(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 10
                  .dropDuplicates(["doc_id"])
                  .select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), "bits", "bands"), "near-classes")
 
-    pairs = reps.select("a", F.explode("bands").alias("key"))
-    wide = (pairs.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("a").cast("decimal(20,0)")).alias("m1"),
+    pairs = reps.select("a", F.posexplode("bands").alias("band", "key"))
+    wide = (pairs.groupBy("key").agg(F.count("*").alias("size"), F.min("band").alias("band"),
+                                     F.sum(F.xxhash64("a").cast("decimal(20,0)")).alias("m1"),
                                      F.bit_xor(F.xxhash64("a", F.lit(7))).alias("m2")).where("size > 1"))
-    once = wide.groupBy("size", "m1", "m2").agg(F.min("key").alias("key"))  # one bucket of several with the same members
-    bucket = stage(pairs.join(once.select("key", "size"), "key"), "near-buckets")
+    once = (wide.groupBy("size", "m1", "m2").agg(F.min(F.struct("band", "key")).alias("x"))  # one bucket of several with the same members
+            .select("size", F.col("x.key").alias("key"), (F.col("x.band") >= lead).alias("later")))
+    bucket = stage(pairs.select("a", "key").join(once, "key"), "near-buckets")
     info = reps.select("a", "n", "bits")
     null = F.lit(None).cast("long")
-    first = (bucket.join(info, "a")
+    first = (bucket.where("NOT later").join(info, "a")
              .select("key", F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / block)).alias("u"),
                      F.lit(0).cast("long").alias("v"), "a", null.alias("b"), F.col("a").alias("label"), "n", "bits"))
     found = stage(_resolve(first, num, den, 0), "near-open")
-    checked = failed = labels = None
+    checked = routes = None
+    labels = reps.sparkSession.createDataFrame([], "v long, label long")
     fan = 1
-    while found.limit(1).count():
+    while routes is None or found.limit(1).count():
         open_ = found.select("a", "b").distinct()
         if checked is not None:
             open_ = open_.join(checked, ["a", "b"], "left_anti")
         new = stage(_verify(open_, base, ngram, num, den), "near-checked")
-        first_round = checked is None
-        checked = new if first_round else checked.union(new)
-        if labels is None or new.where("linked").limit(1).count():
+        checked = new if checked is None else checked.union(new)
+        if new.where("linked").limit(1).count():
             labels = components(checked.where("linked"))
-        bad = found.join(checked.where("NOT linked"), ["a", "b"]).select("key", "a", "b")
-        failed = bad if failed is None else failed.union(bad)
-        # a bucket without an open pair in this round has none later: components only grow. In the first round a forest
-        # without a failed edge is complete, but for buckets cut into blocks
-        again = found.select("key").distinct()
-        if first_round:
-            again = bad.select("key").union(bucket.where(F.col("size") > block).select("key")).distinct()
+        failed = checked.where("NOT linked").select("a", "b")
+        # a bucket whose group had no open pair in this round has none later: components only grow. In the first round a
+        # forest without a failed edge is complete, but for buckets cut into blocks; the buckets of later bands come now
+        if routes is None:
+            again = (found.join(failed, ["a", "b"]).select("key")
+                     .union(bucket.where((F.col("size") > block) | F.col("later")).select("key")).distinct())
+        else:
+            again = routes.join(found.select(F.col("key").alias("group")).distinct(), "group", "left_semi").select("key").distinct()
         named = stage(bucket.join(again, "key", "left_semi").select("key", "a").join(labels.withColumnRenamed("v", "a"), "a", "left")
                       .select("key", "a", F.coalesce("label", "a").alias("label")), "near-named")
-        apart = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        member_rows = named.join(apart, "key", "left_semi").join(info, "a").select("key", "a", "label", "n", "bits")
-        grouped = stage(_blocks(member_rows, block), "near-blocks")
-        groups = grouped.select("key", "u", "v").distinct()
-        barred = (failed.distinct().join(groups, "key")
-                  .select("key", "u", "v", "a", "b", null.alias("label"), null.alias("n"),
-                          F.lit(None).cast("binary").alias("bits")))
-        fan *= 4
+        groups, routes = _groups(named, reps.select("a"), labels)
+        grouped = stage(_blocks(groups.join(info, "a").select("key", "a", "label", "n", "bits"), block), "near-blocks")
+        barred = (grouped.select("key", "u", "v", "a").join(failed, "a")
+                  .join(grouped.select("key", "u", "v", F.col("a").alias("b")), ["key", "u", "v", "b"], "left_semi")
+                  .select("key", "u", "v", "a", "b", null.alias("label"), null.alias("n"), F.lit(None).cast("binary").alias("bits")))
         found = stage(_resolve(grouped.unionByName(barred), num, den, fan), "near-open")
+        fan *= 4
 
     own = F.coalesce("rep", "doc_id")
-    if labels is None:
-        out = member.withColumn("component_id", own)
-    else:
-        out = (member.join(labels.withColumnRenamed("v", "rep"), "rep", "left")
-               .withColumn("component_id", F.coalesce("label", own)))
+    out = (member.join(labels.withColumnRenamed("v", "rep"), "rep", "left")
+           .withColumn("component_id", F.coalesce("label", own)))
     return out.select("doc_id", "n_shingles", "component_id",
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

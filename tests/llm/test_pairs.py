@@ -63,6 +63,17 @@ def test_near_duplicates_match_brute_force(make_docs, odd_rows):
                 assert r.kept == (r.doc_id == r.component_id)
 
 
+@pytest.mark.parametrize("lead, block", [(1, 16), (4, near_dup.BLOCK), (99, near_dup.BLOCK)])
+def test_a_large_group_with_stragglers_matches_brute_force(make_docs, lead, block):
+    rng = random.Random(5)
+    base = " ".join(f"v{rng.randrange(900)}" for _ in range(150))
+    rows = [(j, family(rng, base, rng.choice((0, 1, 2, 3, 4, 7, 9)))) for j in range(200)]  # some link with few or none of the others
+    want = brute_links(rows, 3, 85, 100)
+    assert len({c for _, c in want.values()}) > 20
+    got = near_dup.link_documents(make_docs(rows), ngram=3, num=85, den=100, block=block, lead=lead).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in want.items()}
+
+
 def test_bands_miss_less_than_asked():
     for s in (0.8, 0.85, 0.9):
         assert (1 - s ** near_dup.ROWS_PER_BAND) ** near_dup.bands_for(s) < near_dup.MISS
