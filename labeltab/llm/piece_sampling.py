@@ -16,8 +16,9 @@ Segmentations come out distinct and in the order of their perturbed values. The
 node left over is the threshold of the inclusion scores: log(1 - exp(-exp(log_prob - threshold))).
 
 Pieces never span a space that follows another character, nor a character that no longer piece
-holds, so the lattice falls into units; equal units of a slice are built once. Every random number is a hash
-of (seed, row key, sample, unit, step): results do not depend on partitions. Decoding joins the
+holds, so the lattice falls into units; a task builds equal units once and keeps them for its later slices, up to
+``held_bytes`` of unit text. Every random number is a hash of (seed, row key, sample, unit, step): results do not
+depend on partitions, slices or what is kept. Decoding joins the
 pieces' bytes and is exact for every text. Null and empty texts have the empty segmentation. A null
 key counts as its own key.
 """
@@ -46,6 +47,7 @@ class Params:
     k: int = 2
     seed: int = 1
     slice_bytes: int = 1 << 20
+    held_bytes: int = 4 << 20
 
 
 @dataclass
@@ -92,11 +94,15 @@ class Pieces:
         at = np.zeros(len(normal) + 1, np.int64)
         np.cumsum([len(x) for _, x in normal], out=at[1:])
         h = tv.Spans(text).hash(at[:-1], at[1:])
-        order = np.argsort(h)
-        self.hash, self.id = h[order], np.array([i for i, _ in normal], np.int32)[order]
         self.sizes = sorted({len(x) for _, x in normal})
+        slot = (h & np.uint64((1 << 19) - 1)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        self.hash, self.id = h[order], np.array([i for i, _ in normal], np.int32)[order]
+        self.slot = np.append(slot[order], -1)
         self.maybe = np.zeros(1 << 19, bool)
-        self.maybe[(h & np.uint64((1 << 19) - 1)).astype(np.int64)] = True
+        self.maybe[slot] = True
+        self.at = np.zeros(1 << 19, np.int32)  # first piece of a slot
+        self.at[slot[order][::-1]] = np.arange(len(slot) - 1, -1, -1)
         self.log_p = v.log_p
         self.byte_log_p = float(v.log_p[v.byte_ids].min())
         self.byte_ids = v.byte_ids
@@ -109,9 +115,18 @@ class Pieces:
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions in h, piece ids) of the hashes that are pieces."""
-        hit = np.flatnonzero(self.maybe[(h & np.uint64((1 << 19) - 1)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.hash, h[hit]), len(self.hash) - 1)
-        ok = self.hash[at] == h[hit]
+        slot = (h & np.uint64((1 << 19) - 1)).astype(np.int64)
+        hit = np.flatnonzero(self.maybe[slot])
+        h, slot = h[hit], slot[hit]
+        at = self.at[slot].astype(np.int64)
+        ok = self.hash[at] == h
+        left = np.flatnonzero(~ok)
+        while len(left):  # the next piece of the same slot
+            at[left] += 1
+            left = left[self.slot[at[left]] == slot[left]]
+            same = self.hash[at[left]] == h[left]
+            ok[left[same]] = True
+            left = left[~same]
         return hit[ok], self.id[at[ok]]
 
 
@@ -148,11 +163,15 @@ class Lattice:
         weight = np.concatenate([p.log_p[ids], char[lone] * p.byte_log_p])
         order = np.argsort(self.pos, kind="stable")
         self.pos, self.next, self.id, weight = self.pos[order], self.next[order], self.id[order], weight[order]
-        self.first = np.searchsorted(self.pos, np.arange(n + 1))  # edges of a position
+        self.first = np.zeros(n + 1, np.int64)  # edges of a position
+        np.cumsum(np.bincount(self.pos, minlength=n), out=self.first[1:])
         back = np.zeros(n)
         left = (until - np.arange(n))[self.pos]
+        if left.max(initial=0) < 1 << 16:
+            left = left.astype(np.uint16)  # sorted by radix
         by = np.argsort(left, kind="stable")
-        cuts = np.flatnonzero(np.append(True, np.diff(left[by]) > 0)) if len(by) else np.zeros(0, np.int64)
+        ranked = left[by]
+        cuts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(by) else np.zeros(0, np.int64)
         for i, j in zip(cuts, np.append(cuts[1:], len(by))):  # from the ends of the units to their starts
             e = by[i:j]
             x = weight[e] + back[self.next[e]]
@@ -177,6 +196,15 @@ class Lattice:
             self.upto[at] += self.upto[at - 1]
         self.upto[head + count - 1] = 1.0
 
+    def extend(self, other: Lattice, offset: int) -> None:
+        """The edges of ``other``, whose positions start at ``offset``, after the own ones."""
+        small = np.int32 if max(offset + len(other.first), len(self.pos) + len(other.pos)) < 1 << 31 else np.int64
+        self.first = np.concatenate([self.first[:-1], (other.first + len(self.pos)).astype(small)])
+        for name in ("pos", "next"):
+            setattr(self, name, np.concatenate([getattr(self, name), (getattr(other, name) + offset).astype(small)]))
+        for name in ("id", "log_q", "upto"):
+            setattr(self, name, np.concatenate([getattr(self, name), getattr(other, name)]))
+
     def draw(self, pos: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each position, by probability."""
         e = self.first[pos]
@@ -187,6 +215,48 @@ class Lattice:
         return e
 
 
+class Units:
+    """Lattices of the units a task has met; all are dropped before a slice once they hold over ``limit`` bytes."""
+
+    def __init__(self, p: Pieces, limit: int):
+        self.p, self.limit = p, limit
+        self.forget()
+
+    def forget(self) -> None:
+        none = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint8)
+        self.lattice = Lattice(self.flat, none, none, self.p)
+        for name in ("pos", "next", "first"):
+            setattr(self.lattice, name, getattr(self.lattice, name).astype(np.int32))
+        self.hash, self.place = np.zeros(0, np.uint64), none
+
+    def places(self, text: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) in ``flat`` of the units text[s:e]; those not held are built and held from now on."""
+        if len(self.flat) > self.limit:
+            self.forget()
+        keys, first, inverse = np.unique(tv.Spans(text).hash(s, e), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hash, keys)
+        held = at < len(self.hash)
+        held[held] = self.hash[at[held]] == keys[held]
+        new = first[~held]
+        size = e[new] - s[new]
+        place = np.zeros(len(new) + 1, np.int64)
+        np.cumsum(size + 1, out=place[1:])
+        flat = np.zeros(int(place[-1]), np.uint8)
+        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        flat[np.repeat(place[:-1], size) + inner] = text[np.repeat(s[new], size) + inner]
+        offset = len(self.flat)
+        self.lattice.extend(Lattice(flat, place[:-1], place[:-1] + size, self.p), offset)
+        self.flat = np.concatenate([self.flat, flat])
+        start = np.zeros(len(keys), np.int64)
+        start[held] = self.place[at[held]]
+        start[~held] = place[:-1] + offset
+        self.hash = np.insert(self.hash, at[~held], keys[~held])
+        self.place = np.insert(self.place, at[~held], start[~held])
+        start = start[inverse]
+        return start, start + (e - s)
+
+
 def uniform(key: np.ndarray, *parts: np.ndarray | int) -> np.ndarray:
     """Numbers in (0, 1) from a hash of the key and the parts."""
     x = key
@@ -205,29 +275,21 @@ def truncated(mass: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
 class Sampler:
     """Top-k segmentations of the rows of one slice."""
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray, keys: np.ndarray, p: Pieces, k: int):
+    def __init__(self, buf: np.ndarray, off: np.ndarray, keys: np.ndarray, units: Units, k: int):
         self.rows, self.k = len(off) - 1, k
         full = np.flatnonzero(np.diff(off) > 0)
         text = np.insert(buf, off[full], 32)  # one blank before each text
         begin = off[full] + np.arange(len(full))
         n = len(text)
-        blank, alone = text == 32, p.alone[text] & (text != 32)
+        blank, alone = text == 32, units.p.alone[text] & (text != 32)
         cut = np.zeros(n, bool)
         cut[1:] = (blank[1:] & ~blank[:-1]) | alone[1:] | alone[:-1]
         cut[begin] = True
         s = np.flatnonzero(cut)
         e = np.append(s[1:], n)[: len(s)]
         self.row = full[np.searchsorted(begin, s, "right") - 1] if len(s) else s
-        _, first, inverse = np.unique(tv.Spans(text).hash(s, e), return_index=True, return_inverse=True)
-        size = e[first] - s[first]
-        place = np.zeros(len(first) + 1, np.int64)
-        np.cumsum(size + 1, out=place[1:])
-        flat = np.zeros(int(place[-1]), np.uint8)
-        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        flat[np.repeat(place[:-1], size) + inner] = text[np.repeat(s[first], size) + inner]
-        self.flat = flat
-        self.lattice = Lattice(flat, place[:-1], place[:-1] + size, p)
-        self.start, self.end = place[:-1][inverse], (place[:-1] + size)[inverse]
+        self.start, self.end = units.places(text, s, e)
+        self.flat, self.lattice, self.p = units.flat, units.lattice, units.p
         self.of_row = tv.row_bounds(self.row, self.rows)
         self.key = keys
         self.unit_key = keys[self.row] if len(s) else np.zeros(0, np.uint64)
@@ -346,18 +408,38 @@ class Sampler:
             paths.append(path)
             yield number, path, np.flatnonzero(has), best
 
-    def ids(self, edges: np.ndarray, p: Pieces) -> np.ndarray:
-        """Piece ids of edges; an edge without a piece becomes its bytes."""
-        ids, size = self.lattice.id[edges], np.ones(len(edges), np.int64)
+    def ids(self, path: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of a sample's rows and the bounds of each row; an edge without a piece becomes its bytes."""
+        edges, bounds = path["edge"], path["bounds"]
+        ids = self.lattice.id[edges]
         lone = np.flatnonzero(ids < 0)
         if not len(lone):
-            return ids
+            return ids, bounds
+        size = np.ones(len(edges), np.int64)
         size[lone] = self.lattice.next[edges[lone]] - self.lattice.pos[edges[lone]]
+        last = np.cumsum(size)
         out = np.repeat(ids, size)
-        at = np.repeat(self.lattice.pos[edges], size) + np.arange(len(out)) - np.repeat(np.cumsum(size) - size, size)
-        low = out < 0
-        out[low] = p.byte_ids[self.flat[at[low]]]
-        return out
+        n = size[lone]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(last[lone] - n, n) + inner] = self.p.byte_ids[self.flat[np.repeat(self.lattice.pos[edges[lone]], n) + inner]]
+        return out, np.append(0, last)[bounds]
+
+
+class Decoder:
+    """Bytes of many pieces at once."""
+
+    def __init__(self, v: Vocabulary):
+        parts = [x or b"" for x in v.pieces]
+        self.text = np.frombuffer(b"".join(parts), np.uint8)
+        self.size = np.array([len(x) for x in parts], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+
+    def join(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The joined bytes of all ids, and where those of each row of ids start and end."""
+        size = self.size[ids]
+        ends = np.append(0, np.cumsum(size))
+        step = np.repeat(self.at[ids] - ends[:-1], size)
+        return self.text[step + np.arange(len(step))], ends[bounds]
 
 
 def row_keys(ids: pa.Array, seed: int) -> np.ndarray:
@@ -366,10 +448,10 @@ def row_keys(ids: pa.Array, seed: int) -> np.ndarray:
 
 
 def _sample_batches(batches: Iterator[pa.RecordBatch], v: Vocabulary, p: Params, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    pieces = Pieces(v)
+    units, decoder = Units(Pieces(v), p.held_bytes), Decoder(v)
     for batch in batches:
         for part, buf, off in tv.row_slices(batch, "text", p.slice_bytes):
-            sampler = Sampler(buf, off, row_keys(part.column("doc_id"), p.seed), pieces, p.k)
+            sampler = Sampler(buf, off, row_keys(part.column("doc_id"), p.seed), units, p.k)
             threshold = np.full(part.num_rows, -np.inf)
             cols: list[list] = [[] for _ in range(6)]
             lists: list[np.ndarray] = []
@@ -381,11 +463,13 @@ def _sample_batches(batches: Iterator[pa.RecordBatch], v: Vocabulary, p: Params,
                     threshold = value
                     continue
                 place.append(rows)
+                all_ids, bounds = sampler.ids(path)
+                joined, ends = decoder.join(all_ids, bounds)
+                text = joined.tobytes()
                 for r in rows.tolist():
-                    ids = sampler.ids(path["edge"][path["bounds"][r]: path["bounds"][r + 1]], pieces)
-                    text = decode(v, ids.tolist())
-                    for c, x in zip(cols, (keys[r], number, len(ids), float(path["total"][r]), float(value[r]),
-                                           text == raw[off[r]: off[r + 1]])):
+                    ids = all_ids[bounds[r]: bounds[r + 1]]
+                    same = text[ends[r] + 1: ends[r + 1]] == raw[off[r]: off[r + 1]]  # without the blank put first
+                    for c, x in zip(cols, (keys[r], number, len(ids), float(path["total"][r]), float(value[r]), same)):
                         c.append(x)
                     lists.append(ids.astype(np.int32))
             at = np.concatenate(place)

@@ -132,6 +132,14 @@ def test_samples_do_not_depend_on_partitions_and_round_trip(spark, make_docs, od
     assert piece_sampling.sample(make_docs(rows).where("doc_id = 999")).count() == 0
 
 
+def test_samples_do_not_depend_on_slices_and_held_units(spark, make_docs, odd_rows):
+    rows = odd_rows + [(i, f"shared words and own{i} ones, {'ab' * (i % 40)} \u20ac{i}") for i in range(100, 160)]
+    docs = make_docs(rows)
+    forms = [piece_sampling.Params(), piece_sampling.Params(slice_bytes=64), piece_sampling.Params(slice_bytes=64, held_bytes=0)]
+    first, *others = [sorted(map(str, piece_sampling.sample(docs, p, with_ids=True).collect())) for p in forms]
+    assert all(x == first for x in others)
+
+
 def test_model_of_the_library_decodes_the_same(spark, make_docs):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=piece_sampling.MODEL_FILE)
     texts = ["plain words here", "né à Zürich", "漢字 and 😀"]
@@ -140,4 +148,4 @@ def test_model_of_the_library_decodes_the_same(spark, make_docs):
 
 
 def test_every_operator_is_registered_once():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
