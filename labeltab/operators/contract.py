@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labeltab.functions.exprs import is_blank, is_missing, is_numeric, strict_number
+from labeltab.operators.inventory import row_keys
 from labeltab.operators.profile import dataset_profile
 from labeltab.spec import TableSpec
 
@@ -201,9 +202,9 @@ def bounds_rule_counts(df: DataFrame, spec: TableSpec) -> DataFrame:
 # ---- Q12–Q13 duplicates ------------------------------------------------------------------------
 
 def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Q12: rows beyond the first occurrence (null and NaN group as equal, as in pandas)."""
+    """Q12: rows beyond the first occurrence (null and NaN group as equal, as in pandas), by row digests."""
     cols = list(columns or df.columns)
-    return (df.groupBy(*cols).count()
+    return (df.groupBy(*row_keys(df, cols)).count()
             .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("n_duplicates")))
 
 

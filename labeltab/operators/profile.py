@@ -28,6 +28,7 @@ from labeltab.functions.exprs import (
     sanitize,
 )
 from labeltab.functions.quantile import exact_quantiles, quantile_columns
+from labeltab.operators.inventory import row_keys
 from labeltab.spec import TableSpec
 
 
@@ -337,35 +338,7 @@ def crosstab(df: DataFrame, category: str, spec: TableSpec) -> DataFrame:
     ).orderBy("category")
 
 
-# ---- A14–A15 column inventory -------------------------------------------------------------
-
-def column_inventory(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Dtype, kind, missing, missing %, distinct, infinite, invalid-numeric, constant."""
-    cols = list(columns or df.columns)
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
-    for i, c in enumerate(cols):
-        dt = _dt(df, c)
-        miss = is_missing(c, dt)
-        val = F.when(~miss, F.col(c))
-        aggs += [F.count_if(miss).alias(f"m{i}"), F.count_distinct(val).alias(f"u{i}")]
-        aggs.append((F.count_if(F.col(c).isin(float("inf"), float("-inf"))) if is_floating(dt) else F.lit(0)).alias(f"f{i}"))
-        # typed numeric columns cannot hold unparseable text; string columns are categorical
-        aggs.append(F.lit(0).alias(f"x{i}"))
-    one = df.agg(*aggs)
-    rows = []
-    for i, c in enumerate(cols):
-        dt = _dt(df, c)
-        kind = "numeric" if is_numeric(dt) else ("categorical" if isinstance(dt, T.StringType) else "other")
-        rows.append(F.struct(
-            F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.lit(dt.simpleString()).alias("data_type"),
-            F.lit(kind).alias("feature_type"), F.col(f"m{i}").cast("bigint").alias("missing_values"),
-            F.try_divide(F.col(f"m{i}") * 100.0, F.col("n_rows")).alias("missing_pct"),
-            F.col(f"u{i}").cast("bigint").alias("unique_values"),
-            F.col(f"f{i}").cast("bigint").alias("infinite_values"),
-            F.col(f"x{i}").cast("bigint").alias("invalid_numeric_values"),
-            (F.col(f"u{i}") <= 1).alias("constant_column")))
-    return one.select(F.inline(F.array(*rows)))
-
+# ---- A15 column classification (A14: operators/inventory.py) -------------------------------
 
 def classify_columns(inventory: DataFrame, rules: DataFrame) -> DataFrame:
     """Attach curated (group, leakage class, reason) rules to the inventory; ``usable``
@@ -427,20 +400,21 @@ def leakage_overlap(split_df: DataFrame, spec: TableSpec, features: Sequence[str
 
 
 def dataset_profile(df: DataFrame, spec: TableSpec, name: str) -> DataFrame:
-    """One row of Q05-style metrics tagged with the dataset name (input of A19). A single
-    group-by over all columns yields duplicates, and every other count is derived from the
-    grouped rows weighted by their multiplicity, so the table is shuffled once."""
+    """One row of Q05-style metrics tagged with the dataset name (input of A19). One group-by on row
+    digests (``row_keys``) yields the duplicates and carries the missing cells and the label along, so a distinct row
+    ships its digest, two counts and its label, not its columns."""
     cols = spec.columns
     dt = {c: _dt(df, c) for c in cols}
-    groups = df.groupBy(*df.columns).count()
     miss = sum((is_missing(c, dt[c]).cast("long") for c in cols), F.lit(0))
+    label = F.when(~is_missing(spec.target, dt[spec.target]), F.col(spec.target))
+    groups = df.groupBy(*row_keys(df, df.columns)).agg(F.count(F.lit(1)).alias("__n"), F.sum(miss).alias("__miss"), F.max(label).alias("__label"))
     return groups.agg(
         F.lit(name).alias("dataset"),
-        F.sum("count").cast("bigint").alias("n_rows"),
+        F.sum("__n").cast("bigint").alias("n_rows"),
         F.lit(len(df.columns)).cast("bigint").alias("n_columns"),
-        F.sum(F.col("count") - 1).cast("bigint").alias("n_duplicates"),
-        F.sum(miss * F.col("count")).cast("bigint").alias("n_missing"),
-        F.count_distinct(F.when(~is_missing(spec.target, dt[spec.target]), F.col(spec.target))).cast("bigint").alias("n_classes"))
+        F.sum(F.col("__n") - 1).cast("bigint").alias("n_duplicates"),
+        F.sum("__miss").cast("bigint").alias("n_missing"),
+        F.count_distinct("__label").cast("bigint").alias("n_classes"))
 
 
 def compare_datasets(profiles: dict[str, DataFrame]) -> DataFrame:

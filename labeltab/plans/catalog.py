@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labeltab.functions.exprs import r6, strict_number
+from labeltab.operators import inventory as INV
 from labeltab.operators import profile as A
 from labeltab.operators import relevance as R
 from labeltab.operators.gram import wide_correlation
@@ -139,7 +140,12 @@ def a13(spark, sf):
 
 @register("a14_column_inventory")
 def a14(spark, sf):
-    return finish(A.column_inventory(X.load(spark, sf, "part")))
+    return finish(INV.column_inventory(X.load(spark, sf, "part")))
+
+
+@register("a14_column_inventory_text")
+def a14_text(spark, sf):
+    return finish(INV.column_inventory(X.d1(spark, sf), parsed=["f1"]))
 
 
 # Curated rules for the lineitem columns (group, leakage class, reason).
@@ -160,7 +166,7 @@ LI_COLUMN_RULES = [
 
 @register("a15_column_classification")
 def a15(spark, sf):
-    inv = A.column_inventory(X.load(spark, sf, "lineitem"))
+    inv = INV.column_inventory(X.load(spark, sf, "lineitem"))
     rules = spark.createDataFrame(LI_COLUMN_RULES, "column_name string, feature_group string, "
                                                    "leakage_classification string, leakage_reason string")
     return A.classify_columns(inv, rules)

@@ -234,6 +234,16 @@ _LI_COLS = [("l_orderkey", "int"), ("l_partkey", "int"), ("l_suppkey", "int"), (
             ("l_returnflag", "string"), ("l_linestatus", "string"), ("l_shipdate", "other")]
 ORACLE["a14_column_inventory"] = _inventory("part", _PT_COLS)
 
+ORACLE["a14_column_inventory_text"] = f"""
+WITH {D1},
+p AS (SELECT f1, {NUM_F1} AS v, f1 IS NULL OR regexp_matches(f1, '^\\s*$') AS gap FROM d1),
+c AS (SELECT count(*) AS n, count(*) FILTER (WHERE gap OR isnan(v)) AS m, count(DISTINCT CASE WHEN NOT isnan(v) THEN v END) AS u,
+             count(*) FILTER (WHERE isinf(v)) AS i, count(*) FILTER (WHERE NOT gap AND v IS NULL) AS x FROM p)
+SELECT CAST(1 AS INTEGER) AS position, 'f1' AS column_name, 'string' AS data_type, 'numeric' AS feature_type, m AS missing_values,
+       round(CAST(m AS DOUBLE) * 100 / n, 6) AS missing_pct, u AS unique_values, i AS infinite_values, x AS invalid_numeric_values,
+       u <= 1 AS constant_column FROM c
+UNION ALL SELECT * FROM ({_inventory('d1', [('row_id', 'int'), ('f1', 'string'), ('label', 'string')])}) t WHERE column_name <> 'f1'"""
+
 ORACLE["a15_column_classification"] = f"""
 WITH inv AS ({_inventory('lineitem', _LI_COLS)}),
 rules(column_name, feature_group, leakage_classification, leakage_reason) AS (VALUES
