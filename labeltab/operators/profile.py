@@ -407,7 +407,8 @@ def dataset_profile(df: DataFrame, spec: TableSpec, name: str) -> DataFrame:
     dt = {c: _dt(df, c) for c in cols}
     miss = sum((is_missing(c, dt[c]).cast("long") for c in cols), F.lit(0))
     label = F.when(~is_missing(spec.target, dt[spec.target]), F.col(spec.target))
-    groups = df.groupBy(*row_keys(df, df.columns)).agg(F.count(F.lit(1)).alias("__n"), F.sum(miss).alias("__miss"), F.max(label).alias("__label"))
+    keys = [*row_keys(df, df.columns), label.alias("__label")]  # the label as a key: a text among the sums would need a sort
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.sum(miss).alias("__miss"))
     return groups.agg(
         F.lit(name).alias("dataset"),
         F.sum("__n").cast("bigint").alias("n_rows"),
