@@ -26,6 +26,7 @@ bounded by classes x nodes of a level x bins, whatever the number of rows.
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from statistics import NormalDist
@@ -502,22 +503,71 @@ def cells_of(df: DataFrame, features: Sequence[str], label: str, edges: list[np.
     """``b0, b1, ..., label, w``: distinct bin combinations with class and number of rows."""
     names = [f"b{i}" for i in range(len(features))]
 
+    coded = math.prod(len(e) + 1 for e in edges) < 1 << 31  # a cell and its class in one number
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        cell = np.concatenate(held)
+        if coded and cell.dtype == np.int64 and len(cell) and 0 <= cell[:, -1].min() and cell[:, -1].max() < 1 << 31:
+            code = cell[:, -1]
+            for i, e in enumerate(edges):
+                code = code * (len(e) + 1) + cell[:, i]
+            _, first, n = np.unique(code, return_index=True, return_counts=True)
+            cell = cell[first]
+        else:
+            cell, n = np.unique(cell, axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([*[pa.array(cell[:, i].astype(np.int32)) for i in range(len(names) + 1)], pa.array(n)],
+                                          names=[*names, "label", "w"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
             x = T.matrix(batch, features)
             if not np.isfinite(x).all():
                 raise ValueError("boosting needs finite features")
             cols = [np.searchsorted(e, x[:, i], "left") for i, e in enumerate(edges)]
             y = batch.column(len(features)).cast(pa.int64()).to_numpy(zero_copy_only=False)
-            cell, n = np.unique(np.stack([*cols, y], 1), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*[pa.array(cell[:, i].astype(np.int32)) for i in range(len(names) + 1)], pa.array(n)],
-                                             names=[*names, "label", "w"])
+            held.append(np.stack([*cols, y], 1))
+            if sum(map(len, held)) >= CELLS_PER_TASK:
+                yield counted(held)
+                held = []
+        if held:
+            yield counted(held)
 
     schema = ", ".join([*[f"{n} int" for n in names], "label int", "w long"])
     return (df.select(*features, F.col(label).cast("long").alias("label")).mapInArrow(run, schema)
             .groupBy(*names, "label").agg(F.sum("w").alias("w")))
 
 
+@dataclass(frozen=True)
+class Binned:
+    """A training table cut to bins: upper edges of the bins of each feature, and the written cells. Fits of several presets
+    or feature subsets of the same rows share it."""
+
+    features: tuple[str, ...]
+    edges: list[np.ndarray]
+    cells: DataFrame
+
+    def only(self, features: Sequence[str]) -> "Binned":
+        """The same rows by some of the features."""
+        if tuple(features) == self.features:
+            return self
+        at = [self.features.index(f) for f in features]
+        cells = (self.cells.groupBy(*[F.col(f"b{i}").alias(f"b{j}") for j, i in enumerate(at)], "label").agg(F.sum("w").alias("w")))
+        return Binned(tuple(features), [self.edges[i] for i in at], _written(cells))
+
+
+def _written(cells: DataFrame) -> DataFrame:
+    path = scratch_path(cells.sparkSession, "boost-cells")
+    cells.write.parquet(path)
+    return cells.sparkSession.read.parquet(path)
+
+
+def binned(train: DataFrame, features: Sequence[str], label: str, bins: int) -> Binned:
+    """Two scans of the rows: bin edges, cells."""
+    edges = bin_edges(train, features, bins)
+    return Binned(tuple(features), edges, _written(cells_of(train, list(features), label, edges)))
+
+
 def _trees(nodes: pa.Table, edges: list[np.ndarray] | None, base: np.ndarray, softmax: bool) -> T.Trees:
     """One ensemble of the nodes of all stages, by step, class and node; thresholds are bin numbers without ``edges``."""
     t = nodes.sort_by([("step", "ascending"), ("cls", "ascending"), ("node", "ascending")]).combine_chunks()
@@ -537,11 +587,13 @@ def fit(train: DataFrame, features: Sequence[str], label: str, k: int, p: Boosti
         cells_per_task: int = CELLS_PER_TASK) -> TreeModel:
     """Fit on all rows of ``train``; ``label`` holds class codes 0 to k - 1. Null, NaN or infinite features and an
     empty table raise."""
-    spark = train.sparkSession
-    edges = bin_edges(train, features, p.bins)
-    path = scratch_path(spark, "boost-cells")
-    cells_of(train, list(features), label, edges).write.parquet(path)
-    cells = spark.read.parquet(path)
+    return fit_binned(binned(train, features, label, p.bins), k, p, cells_per_task)
+
+
+def fit_binned(rows: Binned, k: int, p: Boosting | Forest, cells_per_task: int = CELLS_PER_TASK) -> TreeModel:
+    """``fit`` on rows that are cut to bins already."""
+    features, edges, cells = rows.features, rows.edges, rows.cells
+    spark = cells.sparkSession
     weight = {r.label: r.w for r in cells.groupBy("label").agg(F.sum("w").alias("w")).collect()}  # one row a class
     if not weight:
         raise ValueError("no training rows")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from labeltab.functions.exprs import hash_order_key
 from labeltab.operators import trees as T
 from labeltab.operators.ensembles import TreeModel
-from labeltab.operators.models import Model, ovr_probabilities
+from labeltab.operators.models import Model, ovr_probabilities, transform
 from labeltab.session import scratch_path
 
 
@@ -94,7 +94,7 @@ def shapley(model: PipelineModel, df: DataFrame, features: Sequence[str], key: s
     full, empty = (1 << f) - 1, 0
     coef = coalition_coefficients(f, exact_max, permutations, seed)
     masks = sorted(set(coef) | {full, empty})
-    first = model.transform(df.select(key, *features)).select(key, *features, F.col("prediction").cast("int").alias("__c"))
+    first = transform(model, df.select(key, *features)).select(key, *features, F.col("prediction").cast("int").alias("__c"))
     idx = F.explode(F.sequence(F.lit(0), F.lit(len(masks) * B - 1)))
     exp = (first.select(key, "__c", *features, idx.alias("__i"))
            .withColumn("__k", (F.col("__i") / B).cast("int"))
@@ -104,7 +104,7 @@ def shapley(model: PipelineModel, df: DataFrame, features: Sequence[str], key: s
     for i, feat in enumerate(features):
         bg = F.array(*[F.lit(row[i]) for row in background])[F.col("__b")]
         cols[feat] = F.when(F.shiftright(F.col("__m"), i) % 2 == 1, F.col(feat).cast("double")).otherwise(bg)
-    scored = model.transform(exp.select(key, "__c", "__k", "__m", *[cols[ft].alias(ft) for ft in features]))
+    scored = transform(model, exp.select(key, "__c", "__k", "__m", *[cols[ft].alias(ft) for ft in features]))
     p = _prob_of(model, "__c")
     sums = [F.sum(F.array(*[F.lit(coef.get(m, [0.0] * f)[i]) for m in masks])[F.col("__k")] * p).alias(f"phi{i}")
             for i in range(f)]

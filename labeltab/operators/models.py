@@ -9,6 +9,7 @@ Predictions of all models / folds / configs are unioned into one long table and
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -17,8 +18,8 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,8 @@ SPARK_PRESETS = {
 KINDS = {"rf": RandomForestClassificationModel, "ovr_gbt": OneVsRestModel, "forest": E.Forest, "boosting": E.Boosting}
 #: fits that run side by side
 FITS = 8
+#: equal rows that the row sampling of a one-vs-rest fit draws apart, for each cell
+PARTS = 32
 
 
 def label_column(df: DataFrame, spec: TableSpec, out: str = "label") -> DataFrame:
@@ -75,21 +78,46 @@ def label_column(df: DataFrame, spec: TableSpec, out: str = "label") -> DataFram
 
 
 def make_pipeline(preset: Preset, features: Sequence[str], seed: int = 42, parallelism: int = 4) -> Pipeline:
-    va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
+    """A forest on the features, or one-vs-rest on their bins with the rows' weights."""
+    cols = list(features) if preset.kind == "rf" else [f"__bin{i}" for i in range(len(features))]
+    va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error")
     if preset.kind == "rf":
         clf = RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed, **preset.params)
     else:
-        gbt = GBTClassifier(featuresCol="features", labelCol="label", seed=seed, **preset.params)
-        clf = OneVsRest(classifier=gbt, featuresCol="features", labelCol="label", parallelism=parallelism)
+        gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", seed=seed, **preset.params)
+        clf = OneVsRest(classifier=gbt, featuresCol="features", labelCol="label", weightCol="weight", parallelism=parallelism)
     return Pipeline(stages=[va, clf])
 
 
+def fit_ovr(data: DataFrame, features: Sequence[str], preset: Preset, seed: int) -> PipelineModel:
+    """One-vs-rest from cells: all rows with the same bins and class are the same to a boosted tree, so they go in as one row of their
+    number as weight, or as ``PARTS`` rows of nearly equal weights for the row sampling. The bins are those a fit
+    would cut (``maxBins``, by quantiles); the model cuts new rows by the same edges. A fit's size depends on the bins, not the rows."""
+    rows = E.binned(data, features, "label", preset.params["maxBins"])
+    parts = F.least(F.col("w"), F.lit(PARTS).cast("long"))
+    cols = [f"__bin{i}" for i in range(len(features))]
+    cells = (rows.cells.withColumn("__n", parts).withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+             .select(*[F.col(f"b{i}").cast("double").alias(c) for i, c in enumerate(cols)], F.col("label").cast("double").alias("label"),
+                     (F.floor(F.col("w") / F.col("__n")) + (F.col("__i") < F.col("w") % F.col("__n")).cast("long")).cast("double").alias("weight")))
+    # a bin holds its upper edge; Spark's buckets hold their lower one
+    splits = [[-math.inf, *[math.nextafter(float(e), math.inf) for e in edges], math.inf] for edges in rows.edges]
+    cut = Bucketizer(splitsArray=[s if len(s) > 2 else [-math.inf, math.inf, math.inf] for s in splits],
+                     inputCols=list(features), outputCols=cols, handleInvalid="error")
+    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return PipelineModel([cut, *make_pipeline(preset, features, seed).fit(cells).stages])
+    finally:
+        cells.unpersist()
+
+
 def fit(train: DataFrame, spec: TableSpec, preset: Preset, features: Sequence[str] | None = None) -> Model:
     """Fit one preset on the training rows."""
     feats = list(features or spec.features)
     data = label_column(train, spec).select(*feats, "label")
     if preset.kind in ("forest", "boosting"):
         return E.fit(data, feats, "label", len(class_names(spec)), preset.params)
+    if preset.kind == "ovr_gbt":
+        return fit_ovr(data, feats, preset, spec.seed)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)  # iterative passes
     try:
         return make_pipeline(preset, feats, spec.seed).fit(data)
@@ -104,9 +132,20 @@ def side_by_side(fits: Sequence[Callable[[], Model]]) -> list[Model]:
 
 
 def fit_all(train: DataFrame, spec: TableSpec, presets: dict[str, Preset] | None = None) -> dict[str, Model]:
-    """The model registry fitted on the training rows only."""
+    """The model registry fitted on the training rows only. Tree presets of the same bins share the binned rows."""
     presets = presets or PRESETS
-    return dict(zip(presets, side_by_side([lambda p=p: fit(train, spec, p) for p in presets.values()])))
+    k, shared = len(class_names(spec)), {}
+    for b in {p.params.bins for p in presets.values() if p.kind in ("forest", "boosting")}:
+        shared[b] = binned(train, spec, spec.features, b)
+
+    def one(p: Preset) -> Model:
+        return E.fit_binned(shared[p.params.bins], k, p.params) if p.kind in ("forest", "boosting") else fit(train, spec, p)
+
+    return dict(zip(presets, side_by_side([lambda p=p: one(p) for p in presets.values()])))
+
+
+def binned(train: DataFrame, spec: TableSpec, features: Sequence[str], bins: int) -> E.Binned:
+    return E.binned(label_column(train, spec).select(*features, "label"), list(features), "label", bins)
 
 
 def class_names(spec: TableSpec) -> list[str]:
@@ -189,6 +228,23 @@ def ovr_probabilities(raw: str = "rawPrediction") -> F.Column:
     return F.transform(sig, lambda x: x / tot)
 
 
+def transform(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``model.transform``; the margins of a one-vs-rest model come from its binary models in Spark (pyspark's own ``transform``
+    passes every row through Python once a class). The lower class wins a tie."""
+    clf = _clf_stage(model)
+    if not isinstance(clf, OneVsRestModel):
+        return model.transform(df)
+    for stage in model.stages[:-1]:
+        df = stage.transform(df)
+    kept = df.columns
+    for i, m in enumerate(clf.models):
+        df = m.copy().setPredictionCol("").setProbabilityCol("").setRawPredictionCol(f"__raw{i}").transform(df)
+    margins = F.array(*[vector_to_array(F.col(f"__raw{i}"))[1] for i in range(len(clf.models))])
+    return (df.select(*kept, margins.alias("__margins"))
+            .select(*kept, array_to_vector("__margins").alias("rawPrediction"),
+                    (F.array_position("__margins", F.array_max("__margins")) - 1).cast("double").alias("prediction")))
+
+
 def predict(model: Model, df: DataFrame, spec: TableSpec, name: str, key: str | None = None,
             keep: Sequence[str] = ()) -> DataFrame:
     """(model, key, label, prediction, probability) for every row of ``df``; without ``label``
@@ -202,7 +258,7 @@ def predict(model: Model, df: DataFrame, spec: TableSpec, name: str, key: str |
         prob = F.col("probability")
         scored = scored.withColumn("prediction", F.array_position(prob, F.array_max(prob)) - 1)
     else:
-        scored = model.transform(rows)
+        scored = transform(model, rows)
         prob = ovr_probabilities() if isinstance(_clf_stage(model), OneVsRestModel) else vector_to_array("probability")
     return scored.select(F.lit(name).alias("model"), key, *([F.col("label").cast("int").alias("label")] if labelled else []),
                          F.col("prediction").cast("int").alias("prediction"), prob.alias("probability"), *keep)
@@ -249,7 +305,12 @@ def cross_validate(train_with_folds: DataFrame, spec: TableSpec, preset: Preset,
 def ablation(train: DataFrame, test: DataFrame, spec: TableSpec, preset: Preset,
              configs: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
     """Refit on each feature subset, predict the same test rows; ``config`` column."""
-    models = side_by_side([lambda f=feats: fit(train, spec, preset, f) for _, feats in configs])
+    if preset.kind in ("forest", "boosting"):  # one binning of all rows, narrowed to each subset
+        used = [f for f in spec.features if any(f in feats for _, feats in configs)]
+        rows, k = binned(train, spec, used, preset.params.bins), len(class_names(spec))
+        models = side_by_side([lambda f=feats: E.fit_binned(rows.only(f), k, preset.params) for _, feats in configs])
+    else:
+        models = side_by_side([lambda f=feats: fit(train, spec, preset, f) for _, feats in configs])
     out = None
     for (name, _), m in zip(configs, models):
         p = predict(m, test, spec, preset.name).withColumn("config", F.lit(name))
