@@ -63,6 +63,8 @@ SPARK_PRESETS = {
 KINDS = {"rf": RandomForestClassificationModel, "ovr_gbt": OneVsRestModel, "forest": E.Forest, "boosting": E.Boosting}
 #: fits that run side by side
 FITS = 8
+#: rows in a partition of a Spark ML forest's training table
+ROWS_PER_PARTITION = 1 << 19
 #: equal rows that the row sampling of a one-vs-rest fit draws apart, for each cell
 PARTS = 32
 
@@ -118,6 +120,9 @@ def fit(train: DataFrame, spec: TableSpec, preset: Preset, features: Sequence[st
         return E.fit(data, feats, "label", len(class_names(spec)), preset.params)
     if preset.kind == "ovr_gbt":
         return fit_ovr(data, feats, preset, spec.seed)
+    parts = -(-data.count() // ROWS_PER_PARTITION)
+    if parts > data.rdd.getNumPartitions():  # a task reads its whole partition in every pass
+        data = data.repartition(parts)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)  # iterative passes
     try:
         return make_pipeline(preset, feats, spec.seed).fit(data)

@@ -68,3 +68,20 @@ def test_one_vs_rest_takes_cells_and_predicts_without_python(spark, monkeypatch)
         got = p.join(own, "rid").agg(F.avg((F.col("prediction") == F.col("own")).cast("int")), F.avg((F.col("prediction") == F.col("label")).cast("int")),
                                      F.max(F.abs(F.aggregate("probability", F.lit(0.0), lambda a, x: a + x) - 1))).first()
         assert got[0] == 1 and got[1] > 0.85 and got[2] < 1e-9
+
+
+def test_spark_forest_rows_are_spread(spark, monkeypatch):
+    parts, make = [], ML.make_pipeline
+
+    class Seen:
+        def __init__(self, p):
+            self.p = p
+
+        def fit(self, data):
+            parts.append(data.rdd.getNumPartitions())
+            return self.p.fit(data)
+
+    monkeypatch.setattr(ML, "make_pipeline", lambda *a, **k: Seen(make(*a, **k)))
+    monkeypatch.setattr(ML, "ROWS_PER_PARTITION", 50, raising=False)
+    ML.fit(small_rows(spark).coalesce(2), SPEC, ML.Preset("f", "rf", {"numTrees": 2, "maxDepth": 3}))
+    assert parts == [14]
