@@ -18,8 +18,9 @@ for all hit patterns, so a row costs one look-up a leaf.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -196,6 +197,47 @@ def from_forest(spark: SparkSession, saved: str) -> Trees:
 
 # ---- batches -----------------------------------------------------------------------------------
 
+#: cells whose results a task keeps
+KEPT_CELLS = 1 << 16
+
+
+class ByCell:
+    """``work`` on rows of finite features, once for each cell of an ensemble's thresholds: a tree compares features with
+    thresholds only, so all rows between the same thresholds take the same way in every tree. Up to ``KEPT_CELLS`` results are kept for
+    the next batches of a task; rows of other cells are worked out each time."""
+
+    def __init__(self, t: Trees, n_features: int, work: Callable[[np.ndarray], np.ndarray]):
+        self.work = work
+        self.edges = [np.unique(t.threshold[t.feature == f]) for f in range(n_features)]
+        self.coded = math.prod(len(e) + 1 for e in self.edges) < 1 << 63
+        self.codes = np.zeros(0, np.int64)
+        self.kept: np.ndarray | None = None
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        if not self.coded:
+            found, back = np.unique(x, axis=0, return_inverse=True)
+            return self.work(found)[back.ravel()]
+        code = np.zeros(len(x), np.int64)
+        for f, e in enumerate(self.edges):
+            code = code * (len(e) + 1) + np.searchsorted(e, x[:, f], "left")
+        cells, first, back = np.unique(code, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.codes, cells)
+        known = np.zeros(len(cells), bool)
+        inside = at < len(self.codes)
+        known[inside] = self.codes[at[inside]] == cells[inside]
+        made = self.work(x[first[~known]])
+        got = np.empty((len(cells), made.shape[1]))
+        got[~known] = made
+        if known.any():
+            got[known] = self.kept[at[known]]
+        if len(made) and len(self.codes) + len(made) <= KEPT_CELLS:
+            codes = np.concatenate([self.codes, cells[~known]])
+            kept = made if self.kept is None else np.concatenate([self.kept, made])
+            order = codes.argsort()
+            self.codes, self.kept = codes[order], kept[order]
+        return got[back]
+
+
 def matrix(batch: pa.RecordBatch, features: Sequence[str]) -> np.ndarray:
     cols = [batch.column(batch.schema.get_field_index(f)).cast(pa.float64()).to_numpy(zero_copy_only=False) for f in features]
     return np.stack(cols, 1) if cols else np.zeros((batch.num_rows, 0))
@@ -207,12 +249,12 @@ def score_rows(t: Trees, df: DataFrame, features: Sequence[str], out: str = "sco
     feats = list(features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scored = ByCell(t, len(feats), lambda x: t.scores(x) if out == "score" else t.probabilities(t.scores(x)))
         for batch in batches:
-            x, back = np.unique(matrix(batch, feats), axis=0, return_inverse=True)
+            x = matrix(batch, feats)
             if not np.isfinite(x).all():
                 raise ValueError("scoring needs finite features")
-            got = t.scores(x)
-            got = (got if out == "score" else t.probabilities(got))[back.ravel()]
+            got = scored(x)
             col = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * got.shape[1]), pa.array(got.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, col], names=[*batch.schema.names, out])
 
@@ -226,22 +268,26 @@ def attribute_rows(t: Trees, df: DataFrame, features: Sequence[str], key: str) -
     Features must be finite (the finite gate Q10); a null or NaN raises. Ties of the score go to the lower class."""
     feats = list(features)
 
+    def attributed(x: np.ndarray) -> np.ndarray:
+        """(rows, 3 + features): class, score, base, contributions."""
+        got = t.scores(x)
+        cls = got.argmax(1) if len(x) else np.zeros(0, np.int64)
+        phi = np.zeros(x.shape)
+        for c in np.unique(cls):
+            phi[cls == c] = t.attributions(x[cls == c], int(c))
+        return np.column_stack([cls, got[np.arange(len(x)), cls], t.expected[cls], phi])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_cell = ByCell(t, len(feats), attributed)
         for batch in batches:
-            x, back = np.unique(matrix(batch, feats), axis=0, return_inverse=True)
+            x = matrix(batch, feats)
             if not np.isfinite(x).all():
                 raise ValueError("attribution needs finite features")
-            got = t.scores(x)
-            cls = got.argmax(1) if len(x) else np.zeros(0, np.int64)
-            phi = np.zeros(x.shape)
-            for c in np.unique(cls):
-                phi[cls == c] = t.attributions(x[cls == c], int(c))
-            back = back.ravel()
-            phi = phi[back]
+            got = by_cell(x)
+            phi = got[:, 3:]
             col = pa.ListArray.from_arrays(pa.array(np.arange(len(phi) + 1, dtype=np.int32) * len(feats)), pa.array(phi.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cls[back].astype(np.int32)), pa.array(got[np.arange(len(x)), cls][back]),
-                 pa.array(t.expected[cls][back]), col], names=[key, "predicted", "score", "base", "contributions"])
+                [batch.column(0), pa.array(got[:, 0].astype(np.int32)), pa.array(got[:, 1]), pa.array(got[:, 2]), col], names=[key, "predicted", "score", "base", "contributions"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, *feats).mapInArrow(run, f"`{key}` {kind}, predicted int, score double, base double, contributions array<double>")

@@ -27,6 +27,24 @@ def small_rows(spark, times=1):
 SPEC = X.D2_SPEC.with_(features=("a", "b"))
 
 
+def test_results_by_cell_are_worked_out_once(spark):
+    m = E.fit(small_rows(spark), ["a", "b"], "cls", 5, E.Boosting(5, "level"))
+    seen = []
+
+    def work(x):
+        seen.append(len(x))
+        return m.trees.scores(x)
+
+    rng = np.random.default_rng(1)
+    by_cell = T.ByCell(m.trees, 2, work)
+    batches = [rng.uniform(-3, 30, (400, 2)) for _ in range(3)] + [np.array([[4.0, 3.0], [np.nextafter(4.0, 5), 3.0]]), np.zeros((0, 2))]
+    for x in batches:
+        assert np.array_equal(by_cell(x), m.trees.scores(x))
+    assert sum(seen) <= np.prod([len(e) + 1 for e in by_cell.edges]) < 1200
+    by_cell.coded = False
+    assert np.array_equal(by_cell(batches[0]), m.trees.scores(batches[0]))
+
+
 def test_presets_and_subsets_share_one_binning(spark, monkeypatch):
     calls, edges = [], E.bin_edges
     monkeypatch.setattr(E, "bin_edges", lambda *a: calls.append(1) or edges(*a))
