@@ -874,11 +874,12 @@ def m29(spark, sf):
 @register("m30_streaming_scoring")
 def m30(spark, sf):
     src = scratch_path(spark, "stream-in")
-    d2_dirty(spark, sf).repartition(4).write.parquet(src)  # several files -> several micro-batches
+    files = max(4, -(-d2_test(spark, sf).count() // ST.ROWS_PER_FILE))  # several files -> several micro-batches
+    d2_dirty(spark, sf).repartition(files).write.parquet(src)
     out = scratch_path(spark, "stream-out")
     schema = spark.read.parquet(src).schema
     ST.run_stream(spark, src, schema, fitted(spark, sf, "Random Forest"), D2_SCORING_SPEC, "Random Forest",
-                  out, scratch_path(spark, "stream-ckpt"))
+                  out, scratch_path(spark, "stream-ckpt"), min(files // 4, 2 * spark.sparkContext.defaultParallelism))
     return finish(ST.read_results(spark, out, "rid"))
 
 

@@ -20,6 +20,10 @@ from labeltab.operators.models import Model, predict
 from labeltab.spec import TableSpec
 
 
+#: rows in one file of a stream's source folder: a micro-batch is read by a task for each of its files
+ROWS_PER_FILE = 1 << 18
+
+
 def score_batch(batch: DataFrame, model: Model, spec: TableSpec, name: str) -> tuple[DataFrame, DataFrame]:
     """Validated scoring of one batch (also the batch job M26): (scored, rejected). Rows need no label;
     a scored row has its class name, confidence and the classes ranked by probability."""

@@ -103,3 +103,13 @@ def test_spark_forest_rows_are_spread(spark, monkeypatch):
     monkeypatch.setattr(ML, "ROWS_PER_PARTITION", 50, raising=False)
     ML.fit(small_rows(spark).coalesce(2), SPEC, ML.Preset("f", "rf", {"numTrees": 2, "maxDepth": 3}))
     assert parts == [14]
+
+
+def test_stream_files_follow_the_rows(spark, monkeypatch):
+    given, run = [], C.ST.run_stream
+    monkeypatch.setattr(C.ST, "ROWS_PER_FILE", 40, raising=False)
+    monkeypatch.setattr(C.ST, "run_stream", lambda *a: given.append((a[8:], spark.read.parquet(a[1]).inputFiles())) or run(*a))
+    n = C.d2_test(spark, SF_SMALL).count()
+    got = C.m30(spark, SF_SMALL)
+    assert got.count() == n and len(given[0][1]) == -(-n // 40)
+    assert given[0][0] == (min(-(-n // 40) // 4, 2 * spark.sparkContext.defaultParallelism),)
