@@ -119,9 +119,16 @@ def change_audit(before: DataFrame, after: DataFrame, key: str = "table_name") -
 
 # ---- S07–S09 sinks ---------------------------------------------------------------------------
 
+def write_by(df: DataFrame, column: str, values: Sequence[str], path: str) -> None:
+    """One Parquet table partitioned by ``column``, whose values must all be given: a job for each of them, so that no task
+    sorts its rows by the column (the sort of ``partitionBy`` holds a task's rows in memory or spills them)."""
+    for v in values:
+        df.where(F.col(column) == v).drop(column).write.mode("overwrite").parquet(os.path.join(path, f"{column}={v}"))
+
+
 def write_split_table(split_df: DataFrame, dim: DataFrame, path: str) -> None:
     """One Parquet table partitioned by ``split`` plus the label dimension beside it."""
-    split_df.write.mode("overwrite").partitionBy("split").parquet(os.path.join(path, "rows"))
+    write_by(split_df, "split", ("train", "test"), os.path.join(path, "rows"))
     dim.coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "labels"))
 
 

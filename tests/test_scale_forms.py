@@ -113,3 +113,16 @@ def test_stream_files_follow_the_rows(spark, monkeypatch):
     got = C.m30(spark, SF_SMALL)
     assert got.count() == n and len(given[0][1]) == -(-n // 40)
     assert given[0][0] == (min(-(-n // 40) // 4, 2 * spark.sparkContext.defaultParallelism),)
+
+
+def test_split_is_written_without_a_sort(spark, tmp_path):
+    calls, df = [], S.stratified_split(small_rows(spark), SPEC)
+    write = df.write.__class__.partitionBy
+    try:
+        df.write.__class__.partitionBy = lambda self, *a: calls.append(a) or write(self, *a)
+        IO.write_split_table(df, spark.createDataFrame([("0", 0)], "label string, code int"), str(tmp_path))
+    finally:
+        df.write.__class__.partitionBy = write
+    back = spark.read.parquet(str(tmp_path / "rows"))
+    assert not calls and {tuple(r) for r in back.select(*df.columns).collect()} == {tuple(r) for r in df.collect()}
+    assert back.schema["split"].dataType.simpleString() == "string"
