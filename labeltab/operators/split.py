@@ -39,19 +39,21 @@ def label_dimension(df: DataFrame, spec: TableSpec) -> DataFrame:
 def encode(df: DataFrame, spec: TableSpec, dim: DataFrame, out: str = "code") -> DataFrame:
     """Attach the class code by a join with the k-row dimension."""
     d = dim.select(F.col("label").alias("__l"), F.col("code").alias(out))
-    return df.join(d, F.col(spec.target).cast("string") == F.col("__l"), "left").drop("__l")
+    return df.join(F.broadcast(d), F.col(spec.target).cast("string") == F.col("__l"), "left").drop("__l")  # k rows
 
 
 def decode(df: DataFrame, dim: DataFrame, code: str = "code", out: str = "decoded") -> DataFrame:
     """Code -> label through the same dimension."""
     d = dim.select(F.col("code").alias("__c"), F.col("label").alias(out))
-    return df.join(d, F.col(code) == F.col("__c"), "left").drop("__c")
+    return df.join(F.broadcast(d), F.col(code) == F.col("__c"), "left").drop("__c")  # k rows
 
 
 # ---- class rank (shared by C10 and C12) --------------------------------------------------------
 
 #: rows that one bucket of a rank sorts
 ROWS_PER_BUCKET = 1 << 20
+#: digest ranges that rows are counted by
+RANGES = 16 ** 4
 
 
 def class_rank(df: DataFrame, spec: TableSpec, salt: str = "", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -60,18 +62,32 @@ def class_rank(df: DataFrame, spec: TableSpec, salt: str = "", rows_per_bucket:
     in the row's own. Only the columns that the caller goes on to use are moved; keys should be distinct."""
     if not spec.key:
         raise ValueError("a key column is required for a reproducible order")
-    rows = _labelled(df, spec)
-    buckets = max(1, -(-rows.count() // rows_per_bucket))
-    number = F.conv(F.substring("__h", 1, 15), 16, 10).cast("bigint")  # 60 bits, spread evenly
-    t = (rows.withColumn("__h", hash_order_key(f"{spec.seed}{salt}", spec.key))
-         .withColumn("__b", F.floor(number / F.lit(-(-(1 << 60) // buckets))).cast("int")))
-    local = t.withColumn("__r", F.row_number().over(Window.partitionBy(spec.target, "__b").orderBy("__h", spec.key)))
-    counts = t.groupBy(spec.target, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    return _ranked(df, spec, salt, rows_per_bucket)[0]
+
+
+def _ranked(df: DataFrame, spec: TableSpec, salt: str, rows_per_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``class_rank``, and the counts (label, __b, __n) by ``RANGES`` digest ranges, from one scan."""
+    t = (_labelled(df, spec).withColumn("__h", hash_order_key(f"{spec.seed}{salt}", spec.key))
+         .withColumn("__b", F.conv(F.substring("__h", 1, 4), 16, 10).cast("int")))
+    counts = _kept(t.groupBy(spec.target, "__b").agg(F.count(F.lit(1)).alias("__n")), "rank-counts")
+    rows = counts.agg(F.sum("__n")).first()[0] or 0
+    buckets = min(RANGES, max(1, -(-rows // rows_per_bucket)))
+    bucket = F.floor(F.col("__b") * F.lit(buckets) / RANGES).cast("int")
+    local = t.withColumn("__b", bucket).withColumn("__r", F.row_number().over(Window.partitionBy(spec.target, "__b").orderBy("__h", spec.key)))
     w = Window.partitionBy(spec.target).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")  # classes x buckets
-    return (local.join(offsets, [spec.target, "__b"])
-            .withColumn("rank_in_class", F.col("__r") + F.col("__off"))
-            .drop("__b", "__r", "__off"))
+    offsets = (counts.groupBy(spec.target, bucket.alias("__b")).agg(F.sum("__n").alias("__n"))
+               .withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n"))  # classes x buckets
+    ranked = (local.join(_kept(offsets, "rank-offsets"), [spec.target, "__b"])
+              .withColumn("rank_in_class", F.col("__r") + F.col("__off"))
+              .drop("__b", "__r", "__off"))
+    return ranked, counts
+
+
+def _kept(small: DataFrame, name: str) -> DataFrame:
+    """A small table written once: later jobs do not work it out again, and its size is known to the joins."""
+    path = scratch_path(small.sparkSession, name)
+    small.write.parquet(path)
+    return small.sparkSession.read.schema(small.schema).parquet(path)
 
 
 # ---- C10–C11 exact stratified split ----------------------------------------------------------
@@ -92,7 +108,11 @@ def train_quotas(class_counts: dict, test_fraction: float) -> dict:
 
 def quota_table(df: DataFrame, spec: TableSpec) -> DataFrame:
     """(label, quota) by the rule of ``train_quotas``, in the plan (k rows)."""
-    counts = _labelled(df, spec).groupBy(spec.target).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"))
+    return _quotas(_labelled(df, spec).groupBy(spec.target).agg(F.count(F.lit(1)).alias("n")), spec)
+
+
+def _quotas(counts: DataFrame, spec: TableSpec) -> DataFrame:
+    counts = counts.withColumn("n", F.col("n").cast("decimal(38,0)"))
     whole = Window.partitionBy()
     t = counts.withColumn("total", F.sum("n").over(whole).cast("decimal(38,0)"))
     t = t.withColumn("n_train", (F.col("total") - F.ceil(F.lit(spec.test_fraction) * F.col("total").cast("double"))).cast("decimal(38,0)"))
@@ -112,17 +132,16 @@ def stratified_split(df: DataFrame, spec: TableSpec, prefix: int = 4) -> DataFra
     rows = _labelled(df, spec).withColumn("__h", hash_order_key(spec.seed, spec.key))
     small = rows.select(spec.target, "__h", F.col(spec.key).alias("__k"), F.substring("__h", 1, prefix).alias("__b"))
     before = Window.partitionBy(spec.target).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # counts only
-    counts = small.groupBy(spec.target, "__b").agg(F.count(F.lit(1)).alias("c"))
-    counts = counts.withColumn("cum", F.coalesce(F.sum("c").over(before), F.lit(0)))
-    cut = (counts.join(quota_table(df, spec), spec.target)
+    found = _kept(small.groupBy(spec.target, "__b").agg(F.count(F.lit(1)).alias("c")), "split-counts")
+    quotas = _quotas(found.groupBy(spec.target).agg(F.sum("c").alias("n")), spec)
+    counts = found.withColumn("cum", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    cut = (counts.join(quotas, spec.target)
            .where((F.col("cum") < F.col("quota")) & (F.col("quota") <= F.col("cum") + F.col("c")))
            .select(spec.target, "__b", (F.col("quota") - F.col("cum")).alias("need")))
     inside = Window.partitionBy(spec.target).orderBy("__h", "__k")  # rows of one bucket
-    last = (small.join(cut, [spec.target, "__b"]).withColumn("r", F.row_number().over(inside)).where("r = need")
+    last = (small.join(_kept(cut, "split-buckets"), [spec.target, "__b"]).withColumn("r", F.row_number().over(inside)).where("r = need")
             .select(F.col(spec.target).alias("__label"), F.col("__h").alias("__cut"), F.col("__k").alias("__cut_key")))
-    path = scratch_path(df.sparkSession, "split-cuts")
-    last.write.parquet(path)  # k rows; a table of known size for the join
-    cuts = df.sparkSession.read.schema(last.schema).parquet(path)
+    cuts = _kept(last, "split-cuts")  # k rows
     train = (F.col("__h") < F.col("__cut")) | ((F.col("__h") == F.col("__cut")) & (F.col(spec.key) <= F.col("__cut_key")))
     return (rows.join(cuts, F.col(spec.target) == F.col("__label"), "left")
             .withColumn("split", F.when(train, F.lit("train")).otherwise(F.lit("test")))
@@ -139,8 +158,10 @@ def split_report(split_df: DataFrame, spec: TableSpec) -> DataFrame:
 def stratified_folds(train: DataFrame, spec: TableSpec) -> DataFrame:
     """fold = (offset_c + rank_in_class - 1) mod k, i.e. rows sorted by (class, digest)
     and dealt round-robin — every fold gets floor or ceil of each class's share."""
-    ranked = class_rank(train, spec, salt="|fold")
-    counts = _labelled(train, spec).groupBy(spec.target).agg(F.count(F.lit(1)).alias("__n"))
+    if not spec.key:
+        raise ValueError("a key column is required for a reproducible order")
+    ranked, found = _ranked(train, spec, "|fold", ROWS_PER_BUCKET)
+    counts = found.groupBy(spec.target).agg(F.sum("__n").alias("__n"))
     w = Window.orderBy(spec.target).rowsBetween(Window.unboundedPreceding, -1)  # k rows
     off = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
     return (ranked.join(off, spec.target)  # k rows: the optimizer broadcasts it under its threshold

@@ -126,3 +126,16 @@ def test_split_is_written_without_a_sort(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "rows"))
     assert not calls and {tuple(r) for r in back.select(*df.columns).collect()} == {tuple(r) for r in df.collect()}
     assert back.schema["split"].dataType.simpleString() == "string"
+
+
+def test_class_codes_come_by_broadcast(spark):
+    dim = spark.createDataFrame([(str(i), i) for i in range(5)], "label string, code int")
+    for df in (S.encode(small_rows(spark), SPEC, dim), S.decode(small_rows(spark), dim, "cls")):
+        assert "BroadcastHashJoin" in plan(df) and "SortMergeJoin" not in plan(df)
+
+
+def test_split_moves_no_rows_and_verdict_ranks_once(spark):
+    text = plan(S.stratified_split(small_rows(spark), SPEC))
+    assert "SortMergeJoin" not in text
+    ranked = C.stability_inputs(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert ranked.count("row_number()") == 1
