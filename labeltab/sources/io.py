@@ -166,22 +166,25 @@ def json_leaves(df: DataFrame, key: str, column: str, max_depth: int = 64) -> Da
     Paths read ``$.a.b[0]``; ``kind`` is number, string, boolean or null, and object or array for empty ones. Text that is no
     JSON has one row with kind ``malformed``; a null text has none. Values nested deeper than ``max_depth`` raise."""
     spark = df.sparkSession
-    top = df.where(F.col(column).isNotNull()).select(key, F.lit("$").alias("path"), F.col(column).alias("raw"), F.try_parse_json(column).alias("v"))
-    out = top.where("v IS NULL").select(key, "path", F.lit("malformed").alias("kind"), F.col("raw").alias("value"))
-    level = top.where("v IS NOT NULL").select(key, "path", "v")
     kind = F.expr("CASE WHEN is_variant_null(v) THEN 'null' WHEN schema_of_variant(v) = 'STRING' THEN 'string' "
                   "WHEN schema_of_variant(v) = 'BOOLEAN' THEN 'boolean' WHEN schema_of_variant(v) LIKE 'OBJECT%' THEN 'object' "
                   "WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN 'array' ELSE 'number' END")
+    text = F.expr("variant_get(v, '$', 'string')")
+    level = (df.where(F.col(column).isNotNull())
+             .select(key, F.lit("$").alias("path"), F.col(column).alias("raw"), F.try_parse_json(column).alias("v"))
+             .select(key, "path", F.when(F.col("v").isNull(), F.lit("malformed")).otherwise(kind).alias("kind"),
+                     F.when(F.col("v").isNull(), F.col("raw")).otherwise(text).alias("value"), "v"))
     for _ in range(max_depth):
-        typed = level.withColumn("kind", kind).withColumn("value", F.expr("variant_get(v, '$', 'string')"))
+        # every row goes on in one plan: a leaf as it is, an object or array by its parts, so no level is worked out twice
         nested = F.col("kind").isin("object", "array") & ~F.col("value").isin("{}", "[]")
-        out = out.unionByName(typed.where(~nested).select(key, "path", "kind", "value"))
-        inner = typed.where(nested).select(key, "path", F.col("v").alias("outer"))
-        if not inner.limit(1).count():
-            return out
-        parts = inner.lateralJoin(spark.tvf.variant_explode(F.col("outer").outer()).toDF("pos", "name", "v"))
+        if not level.where(nested).limit(1).count():
+            return level.select(key, "path", "kind", "value")
+        held = level.select(key, "path", "kind", "value", nested.alias("nested"), F.when(nested, F.col("v")).alias("outer"))
+        parts = held.lateralJoin(spark.tvf.variant_explode_outer(F.col("outer").outer()).toDF("pos", "name", "v"))
         step = F.when(F.col("name").isNotNull(), F.concat(F.lit("."), "name")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-        level = parts.select(key, F.concat("path", step).alias("path"), "v")
+        level = parts.select(key, F.when(F.col("nested"), F.concat("path", step)).otherwise(F.col("path")).alias("path"),
+                             F.when(F.col("nested"), kind).otherwise(F.col("kind")).alias("kind"),
+                             F.when(F.col("nested"), text).otherwise(F.col("value")).alias("value"), "v")
     raise ValueError(f"{column}: values are nested deeper than {max_depth}")
 
 

@@ -115,6 +115,15 @@ def test_stream_files_follow_the_rows(spark, monkeypatch):
     assert given[0][0] == (min(-(-n // 40) // 4, 2 * spark.sparkContext.defaultParallelism),)
 
 
+def test_json_leaves_reads_its_rows_once(spark, tmp_path):
+    rows = [(1, '{"a":{"b":[1,{"c":null}]},"e":{}}'), (2, "{oops"), (3, None), (4, "[]"), (5, '"x"')]
+    spark.createDataFrame(rows, "k int, doc string").write.parquet(str(tmp_path / "docs"))
+    out = IO.json_leaves(spark.read.parquet(str(tmp_path / "docs")), "k", "doc")
+    assert plan(out).count("FileScan parquet") == 1
+    assert {tuple(r) for r in out.collect()} == {(1, "$.a.b[0]", "number", "1"), (1, "$.a.b[1].c", "null", None), (1, "$.e", "object", "{}"),
+                                                 (2, "$", "malformed", "{oops"), (4, "$", "array", "[]"), (5, "$", "string", "x")}
+
+
 def test_split_is_written_without_a_sort(spark, tmp_path):
     calls, df = [], S.stratified_split(small_rows(spark), SPEC)
     write = df.write.__class__.partitionBy
