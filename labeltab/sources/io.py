@@ -1,7 +1,8 @@
 """Sources and sinks.
 
 Scans use explicit schemas (no inference pass). File-level operators use the ``binaryFile``
-source, which reads file contents only when the ``content`` column is selected. Table
+source, which reads file contents only when the ``content`` column is selected; large files are
+digested by byte ranges of the ``text`` source. Table
 fingerprints are order-insensitive aggregates (``count`` and the sum of a 60-bit row
 digest), so they are one distributed pass and never depend on file layout.
 """
@@ -9,13 +10,19 @@ digest), so they are one distributed pass and never depend on file layout.
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labeltab.functions import sha256
+
 
 # ---- S01–S03 scans ---------------------------------------------------------------------------
 
@@ -72,12 +79,87 @@ def manifest(spark: SparkSession, folder: str, expected: Sequence[str], glob: st
     return found.unionByName(missing)
 
 
-def file_digests(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """sha256 of every file (one task per file). Files over 2 GB cannot be held as one
-    binary value — use ``table_fingerprint`` for those."""
+#: a file above this size is digested by ranges of this size, each read by a task of its own
+RANGE = 1 << 27
+#: names that Spark's line reader would decompress
+PACKED = r"(?i)\.(gz|bz2|zst|zstd|snappy|lz4|deflate|passthrough)$"
+BOM = b"\xef\xbb\xbf"
+
+
+def file_digests(spark: SparkSession, folder: str, glob: str = "*", range_bytes: int = RANGE) -> DataFrame:
+    """sha256 of every file. A file of up to ``range_bytes`` is one binary value; a larger one is read by ranges
+    (``_digests_by_range``, when this is called). Larger files with a name of ``PACKED``, or all where libcrypto is
+    missing, still go whole, up to 2 GB."""
     bf = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-    return bf.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length",
-                     F.sha2("content", 256).alias("sha256"))
+    large = list_files(spark, folder, glob).where(F.col("length") > range_bytes).collect() if sha256.available() else []
+    if not large:
+        return _whole_digests(bf)
+    packed = [_literal(f.path) for f in large if re.search(PACKED, f.file_name)]
+    out = _whole_digests(bf.where(F.col("length") <= range_bytes))  # the source itself skips the others by their length
+    if packed:
+        out = out.unionByName(_whole_digests(spark.read.format("binaryFile").load(packed)))
+    ranged = _digests_by_range(spark, [f for f in large if not re.search(PACKED, f.file_name)], range_bytes)
+    return out.unionByName(spark.createDataFrame(ranged, out.schema))
+
+
+def _whole_digests(bf: DataFrame) -> DataFrame:
+    return bf.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+def _literal(path: str) -> str:
+    """A path whose glob characters stand for themselves."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def _digests_by_range(spark: SparkSession, files: Sequence[Row], range_bytes: int, head: bytes = b"") -> list[tuple[str, int, str]]:
+    """(file_name, length, sha256) of files read as lines ending in ``\\n``, which Spark splits by byte ranges and whose bytes
+    it leaves as they are. A sha256 takes the bytes in order, so the k-th job reads the k-th range of every file and goes
+    on from the state that the job before has left. A task reads its range and the line that crosses its end.
+    ``head``: bytes that the reader skips at the start of the file."""
+    sc, apart = spark.sparkContext, spark.newSession()  # its settings cut the ranges whatever the number of cores
+    apart.conf.set("spark.sql.files.maxPartitionBytes", range_bytes)
+    apart.conf.set("spark.sql.files.minPartitionNum", 1)
+    apart.conf.unset("spark.sql.files.maxPartitionNum")
+    lines = {f.path: apart.read.format("text").option("lineSep", "\n").load(_literal(f.path))
+             .select("_metadata.file_block_start", F.col("value").cast("binary")) for f in files}
+    at = {f.path: (sha256.update(sha256.begin(), head), len(head)) for f in files}
+    left, start = list(files), 0
+    while left:
+        parts = [lines[f.path].mapInArrow(_digest_range(*at[f.path], start, f.length), "state binary, n_read long").rdd for f in left]
+        sizes = [p.getNumPartitions() for p in parts]
+        if sizes != [-(-f.length // range_bytes) for f in left]:
+            raise ValueError(f"{[f.path for f in left]}: cut into {sizes} ranges of {range_bytes} bytes")
+        states = sc.runJob(sc.union(parts), list, [i + start // range_bytes for i in accumulate(sizes[:-1], initial=0)])
+        at |= {f.path: (bytes(s.state), s.n_read) for f, s in zip(left, states, strict=True)}
+        start += range_bytes
+        left = [f for f in left if f.length > start]
+    out = []
+    for f in files:
+        state, n = at[f.path]
+        if n in (f.length, f.length + 1):  # the last line may have no end
+            out.append((f.file_name, f.length, sha256.hexdigest(state)))
+        elif not head and n + len(BOM) in (f.length, f.length + 1):  # the line reader skips this mark
+            out += _digests_by_range(spark, [f], range_bytes, BOM)
+        else:
+            raise ValueError(f"{f.path}: {n} bytes read of {f.length}")
+    return out
+
+
+def _digest_range(state: bytes, n_read: int, start: int, length: int):
+    """Takes the state on by the lines that begin in the range at ``start``; one row of the new state and the bytes so far."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, n = state, n_read
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if pc.min_max(b.column(0)).as_py() != {"min": start, "max": start}:
+                raise ValueError(f"lines of another range than the one at {start}")
+            data = b"\n".join(b.column(1).to_pylist()) + b"\n"
+            n += len(data)
+            s = sha256.update(s, data[:-1] if n > length else data)
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.binary()), pa.array([n], pa.int64())], names=["state", "n_read"])
+
+    return run
 
 
 def canonical_text(df: DataFrame) -> Column:

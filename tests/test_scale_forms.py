@@ -1,8 +1,13 @@
 """Steps that must not grow with the rows: shared binning, cells in place of rows, plans without row shuffles or second scans."""
 
+import hashlib
+
 import numpy as np
+import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from labeltab.functions import sha256
 from labeltab.operators import ensembles as E
 from labeltab.operators import models as ML
 from labeltab.operators import split as S
@@ -148,3 +153,54 @@ def test_split_moves_no_rows_and_verdict_ranks_once(spark):
     assert "SortMergeJoin" not in text
     ranked = C.stability_inputs(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert ranked.count("row_number()") == 1
+
+
+def test_sha256_goes_on_from_a_state():
+    data = bytes(range(256)) * 3 + b"tail"
+    for cut in (0, 1, 55, 64, 100, len(data)):
+        held = sha256.update(sha256.begin(), data[:cut])
+        assert sha256.hexdigest(sha256.update(held, data[cut:])) == hashlib.sha256(data).hexdigest()
+        assert sha256.hexdigest(held) == hashlib.sha256(data[:cut]).hexdigest()
+
+
+@pytest.fixture
+def odd_files(tmp_path):
+    rng = np.random.default_rng(5)
+    noise = rng.integers(0, 256, 5500, np.uint8).tobytes()
+    files = {"noise.bin": noise, "noise_nl.bin": noise + b"\n", "marked.bin": IO.BOM + noise, "marked_nl.bin": IO.BOM + noise + b"\n\n",
+             "one_line.bin": noise.replace(b"\n", b"x"), "long line.bin": b"a\n" + b"\r\0" * 1700 + b"\n" + noise[:900], "nl.bin": b"\n" * 3000,
+             "crlf[1]{a}.bin": b"\r\n" * 1000 + b"\r", "packed.gz": noise, "full.bin": noise[:999] + b"\n" + noise[:999] + b"\n",
+             "at_most.bin": noise[:1000], "above.bin": noise[:1001]}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    return tmp_path, files
+
+
+def test_digests_by_ranges_are_those_of_the_whole_file(spark, odd_files, monkeypatch):
+    folder, files = odd_files
+    seen, step = set(), IO._digest_range
+    monkeypatch.setattr(IO, "_digest_range", lambda state, n, start, length: seen.add((start, length)) or step(state, n, start, length))
+    got = {r.file_name: (r.length, r.sha256) for r in IO.file_digests(spark, str(folder), range_bytes=1000).collect()}
+    assert got == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in files.items()}
+    assert seen == {(s, len(v)) for k, v in files.items() if len(v) > 1000 and not k.endswith(".gz") for s in range(0, len(v), 1000)}
+    assert sorted(map(tuple, IO.file_digests(spark, str(folder)).collect())) == sorted((k, *v) for k, v in got.items())
+
+
+def test_no_value_holds_a_large_file(spark, odd_files):
+    """The source raises above its length limit (2 GB; here 1,000 bytes), as one value cannot hold more."""
+    folder, files = odd_files
+    limit = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(limit, 1000)
+    try:
+        got = IO.file_digests(spark, str(folder), "*.bin", range_bytes=1000).collect()
+    finally:
+        spark.conf.unset(limit)
+    assert {r.file_name: r.sha256 for r in got} == {k: hashlib.sha256(v).hexdigest() for k, v in files.items() if k.endswith(".bin")}
+
+
+@pytest.mark.parametrize("length, says", [(5900, "5501 bytes read of 5900"), (9000, "cut into .2. ranges"), (5300, "5501 bytes read of 5300")])
+def test_a_file_that_changes_while_it_is_read_raises(spark, odd_files, length, says):
+    folder, _ = odd_files
+    f = IO.list_files(spark, str(folder), "noise.bin").first()
+    with pytest.raises(ValueError, match=says):
+        IO._digests_by_range(spark, [Row(**f.asDict() | {"length": length})], 3000)
