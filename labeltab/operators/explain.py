@@ -13,10 +13,11 @@ driver (coalitions x features, small):
 * sampled — ``permutations`` seeded random orders; each order telescopes from v(empty) to
   v(all), so additivity (sum phi = v(all) - v(empty)) still holds exactly.
 
-The Spark plan is the same for both: rows are expanded to coalitions x background rows with
-``explode`` (no join), scored by one ``model.transform``, and reduced by one ``groupBy(row)``
-of coefficient-weighted sums (map-side partial aggregation collapses each row's expansion,
-so one row per input row is shuffled).
+A Spark ML forest on the features themselves is worked out by the cells of its thresholds (``trees.Coalitions``): the model
+compares features with thresholds only, so the probabilities of a coalition are worked out once for each cell of
+the coalition's features and not once a row. For any other model the rows are expanded to coalitions x
+background rows with ``explode`` (no join) and scored by one ``model.transform``. One ``groupBy(row)`` of
+coefficient-weighted sums ends both (one row per input row is shuffled).
 
 The background set is a sampling operator by nature: the ``n`` rows with the lowest seeded
 digest (a bounded top-k, passed as literals).
@@ -30,9 +31,10 @@ from collections import defaultdict
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import OneVsRestModel
+from pyspark.ml.classification import OneVsRestModel, RandomForestClassificationModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labeltab.functions.exprs import hash_order_key
@@ -80,20 +82,54 @@ def _prob_of(model: PipelineModel, cls: str) -> F.Column:
     return F.element_at(probs, F.col(cls) + 1)
 
 
+def _forest(model: PipelineModel, spark: SparkSession, features: Sequence[str]) -> T.Trees | None:
+    """The trees of a Spark ML forest on the features themselves whose thresholds leave few cells; none for other models."""
+    if [type(s) for s in model.stages] != [VectorAssembler, RandomForestClassificationModel]:
+        return None
+    va, clf = model.stages
+    plain = (va.getInputCols() == list(features) and va.getOutputCol() == clf.getFeaturesCol() and va.getHandleInvalid() == "error"
+             and not clf.isSet("thresholds") and clf.totalNumNodes * 8 * (5 + clf.numClasses) <= T.MODEL_BYTES)
+    if not plain:
+        return None
+    path = scratch_path(spark, "forest")
+    clf.write().overwrite().save(path)
+    if T.has_categories(spark, path):
+        return None
+    trees = T.from_forest(spark, path, votes=True)
+    return trees if T.n_cells(trees, len(features)) <= T.CELLS else None
+
+
 def shapley(model: PipelineModel, df: DataFrame, features: Sequence[str], key: str,
             background: list[list[float]], exact_max: int = 10, permutations: int = 64,
             seed: int = 42) -> DataFrame:
     """(key, predicted, score, base, contributions array) for every row of ``df``.
 
-    phi_i = sum_S coef[S, i] * mean_b p(S, b) = (1/B) * sum over the row's synthetic rows of
-    coef[S, i] * p — a linear aggregate, so a single ``groupBy(row)`` with f + 2 sums finishes
-    the job and map-side partial aggregation collapses each row's expansion before the one
-    shuffle. Coefficients are literal arrays indexed by coalition (coalitions x features)."""
+    phi_i = sum_S coef[S, i] * mean_b p(S, b): for a forest from its cells, else from the expanded rows. Both give
+    terms of f + 2 sums, added by one ``groupBy(row)``."""
+    f = len(features)
+    B = len(background)
+    coef = {(1 << f) - 1: [0.0] * f, 0: [0.0] * f} | coalition_coefficients(f, exact_max, permutations, seed)
+    trees = _forest(model, df.sparkSession, features) if B else None
+    if trees is None:
+        rows, terms = _expanded(model, df, features, key, background, coef)
+    else:
+        rows = T.coalition_rows(trees, df, features, key, background, coef)
+        terms = {c: F.col(c) for c in rows.columns[2:]}
+    agg = rows.groupBy(key, "__c").agg(*[F.sum(c).alias(n) for n, c in terms.items()])
+    return agg.select(key, F.col("__c").alias("predicted"), (F.col("s_full") / B).alias("score"),
+                      (F.col("s_empty") / B).alias("base"),
+                      F.array(*[F.col(f"phi{i}") / B for i in range(f)]).alias("contributions"))
+
+
+def _expanded(model: PipelineModel, df: DataFrame, features: Sequence[str], key: str, background: list[list[float]],
+              coef: dict[int, list[float]]) -> tuple[DataFrame, dict[str, F.Column]]:
+    """A scored row for each row, coalition and background row, and the terms of its sums: linear, so map-side partial aggregation
+    collapses each row's expansion before the one shuffle. Coefficients are literal arrays indexed by coalition
+    (coalitions x features)."""
     f = len(features)
     B = len(background)
     full, empty = (1 << f) - 1, 0
-    coef = coalition_coefficients(f, exact_max, permutations, seed)
-    masks = sorted(set(coef) | {full, empty})
+    masks = sorted(coef)
     first = transform(model, df.select(key, *features)).select(key, *features, F.col("prediction").cast("int").alias("__c"))
     idx = F.explode(F.sequence(F.lit(0), F.lit(len(masks) * B - 1)))
     exp = (first.select(key, "__c", *features, idx.alias("__i"))
@@ -106,14 +142,9 @@ def shapley(model: PipelineModel, df: DataFrame, features: Sequence[str], key: s
         cols[feat] = F.when(F.shiftright(F.col("__m"), i) % 2 == 1, F.col(feat).cast("double")).otherwise(bg)
     scored = transform(model, exp.select(key, "__c", "__k", "__m", *[cols[ft].alias(ft) for ft in features]))
     p = _prob_of(model, "__c")
-    sums = [F.sum(F.array(*[F.lit(coef.get(m, [0.0] * f)[i]) for m in masks])[F.col("__k")] * p).alias(f"phi{i}")
-            for i in range(f)]
-    agg = scored.groupBy(key, "__c").agg(
-        *sums, F.sum(F.when(F.col("__m") == full, p)).alias("s_full"),
-        F.sum(F.when(F.col("__m") == empty, p)).alias("s_empty"))
-    return agg.select(key, F.col("__c").alias("predicted"), (F.col("s_full") / B).alias("score"),
-                      (F.col("s_empty") / B).alias("base"),
-                      F.array(*[F.col(f"phi{i}") / B for i in range(f)]).alias("contributions"))
+    terms = {f"phi{i}": F.array(*[F.lit(coef[m][i]) for m in masks])[F.col("__k")] * p for i in range(f)}
+    terms |= {"s_full": F.when(F.col("__m") == full, p), "s_empty": F.when(F.col("__m") == empty, p)}
+    return scored, terms
 
 
 def tree_shap(model: Model, df: DataFrame, features: Sequence[str], key: str) -> DataFrame:

@@ -173,8 +173,14 @@ def from_table(t: pa.Table, base: np.ndarray, softmax: bool) -> Trees:
     return Trees(feature.astype(np.int64), threshold, left.astype(np.int64), right.astype(np.int64), cover, value, root, np.asarray(base, float), softmax)
 
 
-def from_forest(spark: SparkSession, saved: str) -> Trees:
-    """Ensemble of a saved Spark ML random forest classifier (its node table)."""
+def has_categories(spark: SparkSession, saved: str) -> bool:
+    """Whether a saved Spark ML forest splits by sets of categories, which have no threshold."""
+    return not spark.read.parquet(f"{saved}/data").where("nodeData.split.numCategories >= 0").isEmpty()
+
+
+def from_forest(spark: SparkSession, saved: str, votes: bool = False) -> Trees:
+    """Ensemble of a saved Spark ML random forest classifier (its node table). ``votes``: the scores are the raw
+    predictions of Spark, bit by bit (``probabilities`` divides them by their sum); an empty leaf has none."""
     n = F.col("nodeData")
     rows = (spark.read.parquet(f"{saved}/data").select("treeID", n["id"].alias("id"), n["leftChild"].alias("left"),
                                                         n["rightChild"].alias("right"), n["split"]["featureIndex"].alias("feature"),
@@ -187,7 +193,8 @@ def from_forest(spark: SparkSession, saved: str) -> Trees:
     stats = np.array([r.stats for r in rows], float)
     cover = stats.sum(1)
     leaf = np.array([r.left < 0 for r in rows])
-    value = np.where(leaf[:, None], stats / cover[:, None] / n_trees, 0.0)
+    share = stats / (np.where(cover > 0, cover, 1.0) if votes else cover)[:, None]
+    value = np.where(leaf[:, None], share if votes else share / n_trees, 0.0)
     at = np.array([start[r.treeID] for r in rows])
     left, right = np.array([r.left for r in rows]), np.array([r.right for r in rows])
     return Trees(np.where(leaf, -1, [r.feature for r in rows]), np.array([r.at[0] if r.at else 0.0 for r in rows]),
@@ -199,16 +206,21 @@ def from_forest(spark: SparkSession, saved: str) -> Trees:
 
 #: cells whose results a task keeps
 KEPT_CELLS = 1 << 16
+#: bytes of interventional results that a task keeps, and as many of the coalitions' probabilities
+KEPT_BYTES = 32 << 20
+#: largest number of cells of an ensemble whose interventional values are worked out by cell
+CELLS = 1 << 20
 
 
 class ByCell:
     """``work`` on rows of finite features, once for each cell of an ensemble's thresholds: a tree compares features with
-    thresholds only, so all rows between the same thresholds take the same way in every tree. Up to ``KEPT_CELLS`` results are kept for
-    the next batches of a task; rows of other cells are worked out each time."""
+    thresholds only, so all rows between the same thresholds take the same way in every tree. Up to ``most`` results are kept for
+    the next batches of a task; rows of other cells are worked out each time. ``columns``: the features that the rows hold, if not all."""
 
-    def __init__(self, t: Trees, n_features: int, work: Callable[[np.ndarray], np.ndarray]):
-        self.work = work
-        self.edges = [np.unique(t.threshold[t.feature == f]) for f in range(n_features)]
+    def __init__(self, t: Trees, n_features: int, work: Callable[[np.ndarray], np.ndarray], columns: Sequence[int] | None = None,
+                 most: int = KEPT_CELLS):
+        self.work, self.most = work, most
+        self.edges = [np.unique(t.threshold[t.feature == f]) for f in (range(n_features) if columns is None else columns)]
         self.coded = math.prod(len(e) + 1 for e in self.edges) < 1 << 63
         self.codes = np.zeros(0, np.int64)
         self.kept: np.ndarray | None = None
@@ -230,7 +242,7 @@ class ByCell:
         got[~known] = made
         if known.any():
             got[known] = self.kept[at[known]]
-        if len(made) and len(self.codes) + len(made) <= KEPT_CELLS:
+        if len(made) and len(self.codes) + len(made) <= self.most:
             codes = np.concatenate([self.codes, cells[~known]])
             kept = made if self.kept is None else np.concatenate([self.kept, made])
             order = codes.argsort()
@@ -291,3 +303,87 @@ def attribute_rows(t: Trees, df: DataFrame, features: Sequence[str], key: str) -
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, *feats).mapInArrow(run, f"`{key}` {kind}, predicted int, score double, base double, contributions array<double>")
+
+
+def n_cells(t: Trees, n_features: int) -> int:
+    return math.prod(len(np.unique(t.threshold[t.feature == f])) + 1 for f in range(n_features))
+
+
+class Coalitions:
+    """Interventional sums of a forest's rows, worked out by cell: ``sums(x)`` gives for each row its class, and the sums over the
+    background rows of the class's probability with all features of the row, with none, and over all coalitions with the
+    coefficients of each feature.
+
+    The probabilities of a coalition depend on the row's features in it alone, so they are worked out once for each cell of those
+    features. Terms are added in the order of coalitions and background rows."""
+
+    def __init__(self, t: Trees, n_features: int, background: np.ndarray, coef: dict[int, list[float]]):
+        self.t, self.f, self.background, self.coef = t, n_features, background, coef
+        self.k, self.full = t.value.shape[1], (1 << n_features) - 1
+        self.cols = {m: [i for i in range(n_features) if m >> i & 1] for m in sorted(coef)}
+        most = KEPT_BYTES // (8 * len(coef) * len(background) * self.k)
+        self.parts = {m: ByCell(t, n_features, lambda x, c=c: self.mixed(x, c), c, most) for m, c in self.cols.items() if m != self.full}
+        self.sums = ByCell(t, n_features, self.worked, most=KEPT_BYTES // (8 * (3 + n_features)))
+
+    def probabilities(self, votes: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(votes))
+        for j in range(self.k):
+            total += votes[:, j]
+        return votes / np.where(total != 0, total, 1.0)[:, None]
+
+    def mixed(self, x: np.ndarray, cols: list[int]) -> np.ndarray:
+        """(rows, background rows x classes) probabilities of the background rows with the features ``cols`` of each row."""
+        b = len(self.background)
+        out = np.empty((len(x), b * self.k))
+        step = max(1, TILE // (b * max(self.f, self.k)))
+        for i in range(0, len(x), step):
+            part = x[i: i + step]
+            rows = np.tile(self.background, (len(part), 1))
+            rows[:, cols] = np.repeat(part, b, axis=0)
+            out[i: i + step] = self.probabilities(self.t.scores(rows)).reshape(len(part), -1)
+        return out
+
+    def worked(self, x: np.ndarray) -> np.ndarray:
+        b = len(self.background)
+        out = np.zeros((len(x), 3 + self.f))
+        step = max(1, TILE // (b * self.k))
+        for i in range(0, len(x), step):
+            part, to = x[i: i + step], out[i: i + step]
+            votes, row = self.t.scores(part), np.arange(len(part))
+            cls = votes.argmax(1)
+            to[:, 0] = cls
+            for m, cols in self.cols.items():
+                if m == self.full:
+                    p = np.broadcast_to(self.probabilities(votes)[row, cls], (b, len(part)))
+                else:
+                    p = np.ascontiguousarray(self.parts[m](part[:, cols]).reshape(len(part), b, self.k)[row, :, cls].T)
+                used = [(3 + j, w) for j, w in enumerate(self.coef[m]) if w]
+                for q in p:
+                    if m == self.full:
+                        to[:, 1] += q
+                    if m == 0:
+                        to[:, 2] += q
+                    for j, w in used:
+                        to[:, j] += w * q
+        return out
+
+
+def coalition_rows(t: Trees, df: DataFrame, features: Sequence[str], key: str, background: list[list[float]],
+                   coef: dict[int, list[float]]) -> DataFrame:
+    """``key, __c, s_full, s_empty, phi0, phi1, ...`` of every row of ``df``: its class and sums by ``Coalitions``. ``coef`` holds all
+    coalitions, the full and the empty one among them. A null or NaN feature raises."""
+    feats, names = list(features), [key, "__c", "s_full", "s_empty", *[f"phi{i}" for i in range(len(features))]]
+    known = np.array(background, float).reshape(len(background), len(feats))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_cell = Coalitions(t, len(feats), known, coef)
+        for batch in batches:
+            x = matrix(batch, feats)
+            if np.isnan(x).any() or len(x) and np.isnan(known).any():
+                raise ValueError("attribution needs features without nulls and NaN")
+            got = by_cell.sums(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got[:, 0].astype(np.int32)), *[pa.array(c) for c in got[:, 1:].T]], names=names)
+
+    kind = df.schema[key].dataType.simpleString()
+    doubles = ", ".join(f"{n} double" for n in names[2:])
+    return df.select(key, *[F.col(c).cast("double").alias(c) for c in feats]).mapInArrow(run, f"`{key}` {kind}, __c int, {doubles}")

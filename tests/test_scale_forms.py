@@ -4,11 +4,13 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from labeltab.functions import sha256
 from labeltab.operators import ensembles as E
+from labeltab.operators import explain as EX
 from labeltab.operators import models as ML
 from labeltab.operators import split as S
 from labeltab.operators import trees as T
@@ -67,6 +69,64 @@ def test_presets_and_subsets_share_one_binning(spark, monkeypatch):
     assert {tuple(r) for r in got.select(*cols).collect()} == {tuple(r) for r in want.select(*cols).collect()}
 
 
+RF = ML.Preset("rf", "rf", {"numTrees": 5, "maxDepth": 6, "maxBins": 16})
+BACKGROUND = [[1.0, 2.0], [9.0, 0.0], [22.0, 6.0]]
+
+
+def test_interventional_values_of_a_forest_do_not_expand_rows(spark, monkeypatch):
+    m = ML.fit(small_rows(spark), SPEC, RF)
+    odd = [("twice", 3.0, 1.0), ("twice", 3.0, 1.0), ("twice", 21.0, 1.0), (None, 8.5, 4.25), (None, 12.0, 3.0), ("low", float("-inf"), 2.0), ("high", 5.0, float("inf"))]
+    rows = small_rows(spark).select("rid", "a", "b").unionByName(spark.createDataFrame(odd, "rid string, a double, b double"))
+    for sampled in ({}, {"exact_max": 0, "permutations": 5}):
+        by_cell = EX.shapley(m, rows, ["a", "b"], "rid", BACKGROUND, **sampled)
+        with monkeypatch.context() as p:
+            p.setattr(T, "CELLS", 1)
+            expanded = EX.shapley(m, rows, ["a", "b"], "rid", BACKGROUND, **sampled)
+        assert "Generate" in plan(expanded) and "Generate" not in plan(by_cell)
+        got, want = ({(r.rid, r.predicted): [r.score, r.base, *r.contributions] for r in df.collect()} for df in (by_cell, expanded))
+        assert got.keys() == want.keys() and len(got) == 700 + 6
+        assert all(np.allclose(got[k], want[k], rtol=0, atol=1e-12) for k in got)
+        assert all(got[k] == want[k] for k in got if k[0] and k[0].startswith("r"))  # bit by bit
+    bad = spark.createDataFrame([("x", None, 1.0)], "rid string, a double, b double")
+    with pytest.raises(Exception, match="null"):
+        EX.shapley(m, bad, ["a", "b"], "rid", BACKGROUND).collect()
+
+
+def test_other_models_are_not_taken_for_a_plain_forest(spark):
+    m = ML.fit(small_rows(spark), SPEC, RF)
+    assert EX._forest(m, spark, ["a", "b"]) is not None and EX._forest(m, spark, ["b", "a"]) is None
+    ovr = ML.Preset("ovr", "ovr_gbt", {"maxIter": 2, "maxDepth": 2, "maxBins": 16})
+    assert EX._forest(ML.fit(small_rows(spark), SPEC, ovr), spark, ["a", "b"]) is None
+    index = StringIndexer(inputCol="colour", outputCol="b")
+    rows = small_rows(spark).drop("b").withColumn("colour", F.concat(F.lit("c"), F.col("cls") % 3))
+    coloured = index.fit(rows).transform(rows).withColumn("label", F.col("cls").cast("double"))
+    assert EX._forest(ML.make_pipeline(RF, ["a", "b"]).fit(coloured), spark, ["a", "b"]) is None  # splits by sets of colours
+
+
+def test_coalitions_are_worked_out_once_a_cell(monkeypatch):
+    scores, seen = T.Trees.scores, []
+    # feature 0 at 0.5, then feature 1 at 0.25 and feature 2 at 0.75
+    t = T.Trees(np.array([0, 1, 2, -1, -1, -1, -1]), np.array([0.5, 0.25, 0.75, 0, 0, 0, 0]), np.array([1, 3, 5, -1, -1, -1, -1]),
+                np.array([2, 4, 6, -1, -1, -1, -1]), np.ones(7), np.array([[0, 0], [0, 0], [0, 0], [1, 0], [0.5, 0.5], [0.25, 0.75], [0, 1]]),
+                np.array([0]), np.zeros(2), False)
+    monkeypatch.setattr(T.Trees, "scores", lambda t, x: seen.append(len(x)) or scores(t, x))
+    rng = np.random.default_rng(0)
+    background, coef = rng.random((4, 3)), EX.coalition_coefficients(3)
+    by_cell = T.Coalitions(t, 3, background, coef)
+    assert T.n_cells(t, 3) == 8
+    batches = [rng.random((1000, 3)) for _ in range(3)]
+    got = [by_cell.sums(x) for x in batches]
+    assert sum(seen) <= 8 + 4 * 3 ** 3  # cells, and the cells of each coalition with each background row
+    for x, sums in zip(batches, got):
+        for r in range(0, 1000, 50):
+            cls = scores(t, x[r: r + 1])[0].argmax()
+            want = np.zeros(3)
+            for s, w in coef.items():
+                mixed = np.where([s >> i & 1 for i in range(3)], x[r], background)
+                want += np.array(w) * scores(t, mixed)[:, cls].sum()
+            assert sums[r, 0] == cls and np.allclose(sums[r, 3:], want, atol=1e-12)
+
+
 def test_one_vs_rest_takes_cells_and_predicts_without_python(spark, monkeypatch):
     sizes, make = [], ML.make_pipeline
 
